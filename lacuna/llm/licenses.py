@@ -37,7 +37,8 @@ def shingles(text: Column) -> Column:
 
 def bands(of: Column) -> Column:
     """One MinHash value for each band, its number hashed in."""
-    return F.array(*[F.array_min(F.transform(of, lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(BANDS)])
+    least = lambda j: F.array_min(F.transform(of, lambda x: F.xxhash64(x, F.lit(j))))
+    return F.array(*map(least, range(BANDS)))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -71,8 +72,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     places = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.array_contains("hits", F.col("own")[i]))
 
     def windows(p):
-        near = lambda w: F.array_distinct(F.flatten(F.transform(p, lambda i: F.array(F.floor(i / (w // 2)).cast("int"), F.greatest(F.floor(i / (w // 2)).cast("int") - 1, F.lit(0))))))
-        return F.flatten(F.array(*[F.transform(near(w), lambda k, w=w: F.struct(F.lit(w).alias("width"), (k * (w // 2)).alias("at"))) for w in widths]))
+        def of_width(w):
+            half = w // 2
+            near = F.flatten(F.transform(p, lambda i: F.array(F.floor(i / half).cast("int"), F.greatest(F.floor(i / half).cast("int") - 1, F.lit(0)))))
+            return F.transform(F.array_distinct(near), lambda n: F.struct(F.lit(w).alias("width"), (n * half).alias("at")))
+
+        return F.flatten(F.array(*map(of_width, widths)))
 
     cut = rows.select(id_col, "own", F.explode(let(places, windows)).alias("w")) if widths else rows.select(id_col, "own", F.struct(F.lit(0).alias("width"), F.lit(0).alias("at")).alias("w"))
     cut = cut.select(id_col, "w.width", "w.at", F.slice("own", F.col("w.at") + 1, F.col("w.width")).alias("window"))
