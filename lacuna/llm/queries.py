@@ -74,7 +74,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    digest = f"array_to_string(list_transform(range(32), i -> substr('{letters}', 1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '')"
+    digest = f"array_to_string(list_transform(range(32), lambda i: substr('{letters}', 1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '')"
     return {
         "op8_warc": f"""
             WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
