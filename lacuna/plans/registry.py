@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("text_queries",)
 
 
 def query(name: str, sql: str | None = None):
