@@ -47,10 +47,10 @@ def e1(spark, sf):
     return E.hashed_terms(d, "doc_id", "text").select("id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 6).alias("w"))
 
 
-@query("e4_evidence_units", f"WITH {V.SENTENCES}, {V.PAPERS}, u AS (SELECT 's' || id AS unit_id, paper_id, source_text AS text, section_name FROM sentences UNION ALL SELECT 'e' || (id + 1), paper_id, upper(source_text), section_name FROM sentences WHERE part = 0) SELECT unit_id, u.text AS text, section_name AS section, publication_year AS year FROM u LEFT JOIN papers ON papers.id = paper_id WHERE length(trim(u.text)) > 0")
+@query("e4_evidence_units", f"WITH {V.SENTENCES}, {V.PAPERS}, u AS (SELECT 's' || id AS unit_id, paper_id, source_text AS text, section_name FROM sentences UNION ALL SELECT 'e' || (id + 1), paper_id, reverse(source_text), section_name FROM sentences WHERE part = 0) SELECT unit_id, u.text AS text, section_name AS section, publication_year AS year FROM u LEFT JOIN papers ON papers.id = paper_id WHERE length(trim(u.text)) > 0")
 def e4(spark, sf):
     s = V.sentences(spark, sf).withColumn("page_number", F.lit(1))
-    x = s.where("part = 0").select((F.col("id") + 1).alias("id"), "paper_id", F.col("id").alias("sentence_id"), F.lit("METHOD").alias("extraction_type"), F.upper("source_text").alias("extracted_text"))
+    x = s.where("part = 0").select((F.col("id") + 1).alias("id"), "paper_id", F.col("id").alias("sentence_id"), F.lit("METHOD").alias("extraction_type"), F.reverse("source_text").alias("extracted_text"))
     return E.evidence_units(s, x, V.papers(spark, sf)).select("unit_id", "text", "section", "year")
 
 

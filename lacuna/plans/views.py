@@ -38,10 +38,10 @@ PARAGRAPHS = f"""paragraphs AS (SELECT paper_id, paragraph_id, l[paragraph_id +
 def sentences(spark, sf) -> DataFrame:
     """Paragraphs cut after a stop and a blank, numbered within the paragraph."""
     rows = paragraphs(spark, sf).select("paper_id", "paragraph_id", "section_name", F.posexplode(F.split(F.replace("paragraph", F.lit(". "), F.lit(".\u0001")), "\u0001")).alias("part", "source_text"))
-    return rows.where("length(source_text) > 3").withColumn("id", F.col("paper_id") * 1000000 + F.col("paragraph_id") * 10000 + F.col("part"))
+    return rows.where("length(source_text) > 3").withColumn("id", F.col("paper_id") * 1000000000 + F.col("paragraph_id") * 100000 + F.col("part"))
 
 
-SENTENCES = PARAGRAPHS + """, sentences AS (SELECT paper_id, paragraph_id, section_name, part, s AS source_text, paper_id * 1000000 + paragraph_id * 10000 + part AS id
+SENTENCES = PARAGRAPHS + """, sentences AS (SELECT paper_id, paragraph_id, section_name, part, s AS source_text, paper_id * 1000000000 + paragraph_id * 100000 + part AS id
     FROM (SELECT paper_id, paragraph_id, section_name, l[part + 1] AS s, part FROM (SELECT *, unnest(range(len(l))) AS part FROM (SELECT *, string_split(replace(paragraph, '. ', '.' || chr(1)), chr(1)) AS l FROM paragraphs)))
     WHERE length(s) > 3)"""
 
