@@ -197,9 +197,9 @@ def kendall(df: DataFrame, by: list[str]) -> DataFrame:
 
 def kappa(matrix: DataFrame, by: list[str]) -> DataFrame:
     total = matrix.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("agree"))
-    gold = matrix.groupBy(*by, F.col("gold").alias("k")).agg(F.sum("n").alias("g"))
-    pred = matrix.groupBy(*by, F.col("pred").alias("k")).agg(F.sum("n").alias("p"))
-    e = gold.join(pred, [*by, "k"]).groupBy(*by).agg(F.sum(F.col("g") * F.col("p")).alias("e"))
+    gold = matrix.groupBy(*by, F.col("gold").alias("k")).agg(F.sum("n").alias("__g"))
+    pred = matrix.groupBy(*by, F.col("pred").alias("k")).agg(F.sum("n").alias("__p"))
+    e = gold.join(pred, [*by, "k"]).groupBy(*by).agg(F.sum(F.col("__g") * F.col("__p")).alias("e"))
     po, pe = F.col("agree") / F.col("n"), F.col("e") / (F.col("n") * F.col("n"))
     return total.join(e, by).select(*by, F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0).alias("kappa"))
 

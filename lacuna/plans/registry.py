@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("text_queries", "retrieval_queries", "graph_queries")
+_MODULES = ("text_queries", "retrieval_queries", "graph_queries", "gap_queries", "stat_queries")
 
 
 def query(name: str, sql: str | None = None):
