@@ -130,6 +130,29 @@ def mixtures(texts: list[str], table: np.ndarray, penalty: float = 1.0) -> tuple
     return share, chosen
 
 
+def guess(texts: list[str | None], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float], list[list[str]]]:
+    """Predicted language, its share, and the chosen set of each text, worked on in blocks of BLOCK characters."""
+    pred, score, sets = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    todo, size = [], 0
+
+    def work():
+        share, chosen = mixtures([texts[i] for i in todo], table)
+        for i, s, c in zip(todo, share, chosen):
+            own = sorted(np.nonzero(c)[0].tolist(), key=lambda k: (-s[k], k))
+            pred[i], score[i], sets[i] = langs[own[0]], float(s[own[0]]), [langs[k] for k in own]
+
+    for i, t in enumerate(texts):
+        if langs and has_letters(t):
+            todo.append(i)
+            size += len(t)
+            if size >= BLOCK:
+                work()
+                todo, size = [], 0
+    if todo:
+        work()
+    return pred, score, sets
+
+
 def identify(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: id, the ``keep`` columns, lang_pred, score, languages.
 
@@ -141,25 +164,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str =
 
     def run(batches):
         for b in batches:
-            texts = b.column("__text").to_pylist()
-            pred, score, sets = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            todo, size = [], 0
-
-            def work():
-                share, chosen = mixtures([texts[i] for i in todo], table)
-                for i, s, c in zip(todo, share, chosen):
-                    own = sorted(np.nonzero(c)[0].tolist(), key=lambda k: (-s[k], k))
-                    pred[i], score[i], sets[i] = langs[own[0]], float(s[own[0]]), [langs[k] for k in own]
-
-            for i, t in enumerate(texts):
-                if langs and has_letters(t):
-                    todo.append(i)
-                    size += len(t)
-                    if size >= BLOCK:
-                        work()
-                        todo, size = [], 0
-            if todo:
-                work()
+            pred, score, sets = guess(b.column("__text").to_pylist(), langs, table)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (id_col, *keep)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=[id_col, *keep, "lang_pred", "score", "languages"])
 
     rows = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
@@ -176,7 +181,16 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language can be told: those without letters, or null, go."""
+    """The documents whose language can be told, with all their columns: those without letters, or null, go.
+
+    If no document is labelled nothing can be told, so those with letters stay.
+    """
     langs, table = train(docs, id_col, text_col, lang_col)
-    marked = identify(docs, langs, table, id_col, text_col, tuple(c for c in docs.columns if c != id_col))
-    return marked.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            known = [p != UNKNOWN for p in guess(texts, langs, table)[0]] if langs else [has_letters(t) for t in texts]
+            yield b.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

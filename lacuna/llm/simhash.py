@@ -166,7 +166,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the component_id of their component, one row for each."""
-    found = near_duplicates(docs, id_col, text_col)
+    """One document of each near-duplicate component, the one with the smallest id, with all its columns.
+
+    Rows that repeat an id count as one document, of which one row stays. Documents without an
+    id cannot be told apart and all stay.
+    """
+    known = docs.where(F.col(id_col).isNotNull())
+    found = near_duplicates(known, id_col, text_col)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    one = known.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
