@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lacuna.functions import lexicon
 
@@ -14,7 +15,7 @@ INVISIBLE = "[\\u200B\\u200C\\u200D\\u200E\\u200F\\uFEFF\\u00AD\\u202A-\\u202E]"
 DOT = "\ue000"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def confusion(df: DataFrame, labels: list[str], by: list[str]) -> DataFrame:
@@ -114,22 +115,22 @@ def t_quantile(p: float, n: float) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_p(x: pd.Series) -> pd.Series:
     return x.map(lambda v: _erfc_chi(v) if v == v else float("nan"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([t_tail(a, b) if a == a and b > 0 else float("nan") for a, b in zip(t, n)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_q(n: pd.Series) -> pd.Series:
     return n.map(lambda v: t_quantile(0.975, v) if v > 0 else float("nan"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     def one(a, b, c, d):
         log = lambda x: math.lgamma(x + 1)

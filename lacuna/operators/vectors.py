@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 #: Vectors of one block of queries; more queries are joined block by block.
 QUERY_BLOCK = 4096
@@ -70,16 +73,12 @@ def hash_embed(df: DataFrame, id_col: str = "id", text_col: str = "text", dim: i
 def embed_with(df: DataFrame, load, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
     """Embed by a model: ``load()`` runs once a worker and gives a function from texts to vectors."""
 
-    @F.pandas_udf("array<float>")
-    def embed(batches):
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
             yield pd.Series([np.asarray(v, np.float32).tolist() for v in model(texts.fillna("").tolist())])
 
-    # the iterator form, so that a model is loaded once
-    from collections.abc import Iterator
-
-    embed.func.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(out_col, embed(F.col(text_col)))
 
 
