@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -15,15 +16,38 @@ from lacuna.llm.common import cut
 END_ID = 1
 #: A worker's memory of word ids is emptied at this many words (about 200 MB).
 CACHE_WORDS = 1_000_000
+#: A stop or comma between a letter and a blank: it is a token of its own, as a blank before it shows.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+_MARK = b"\x01"
 _cache: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
 
+def _words(model, new: list[bytes], together: int = 2000):
+    """(word, ids) of new words, many in one call: a mark that has an id of its own stands between them."""
+    ids = lambda t: np.array(model.encode_batch_fast([t.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+    mark = ids(_MARK)
+    plain = [w for w in new if _MARK not in w] if len(mark) == 1 else []
+    for i in range(0, len(plain), together):
+        part = plain[i : i + together]
+        found = ids((b" " + _MARK + b" ").join(part))
+        at = np.nonzero(found == mark[0])[0]
+        body = found.tobytes()
+        if len(at) == len(part) - 1:
+            yield from zip(part, (body[a:b] for a, b in zip([0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(body)])))
+        else:
+            yield from ((w, ids(w).tobytes()) for w in part)
+    if len(plain) < len(new):
+        done = set(plain)
+        yield from ((w, ids(w).tobytes()) for w in new if w not in done)
+
+
 def encode(tokenizer: str, texts: list[bytes | None]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, without the end id.
 
-    The tokenizer drops white space and never joins characters across it, so the ids of a
-    text are those of its words in a row; each worker remembers words it has met.
+    The tokenizer drops white space, ignores case, and never joins characters across blanks or a
+    letter with a stop, so the ids of a text are those of its words in a row; each worker
+    remembers the words it has met.
     """
     if tokenizer not in _tokenizers:
         import os
@@ -36,14 +60,15 @@ def encode(tokenizer: str, texts: list[bytes | None]) -> list[bytes]:
     model, known = _tokenizers[tokenizer], _cache[tokenizer]
     out = []
     for text in texts:
-        words = (text or b"").split()
+        text = text or b""
+        # special tokens are spelt in lower case, so texts that may hold their like stay as they are
+        words = text.split() if b"<|" in text else _STOP.sub(rb" \1", text.lower()).split()
         new = list(set(words).difference(known))
         if new:
             if len(known) > CACHE_WORDS:
                 known.clear()
                 new = list(set(words))
-            for w, e in zip(new, model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            known.update(_words(model, new))
         out.append(b"".join(map(known.__getitem__, words)))
     return out
 
