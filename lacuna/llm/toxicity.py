@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import cut, remainder
 
-BUCKETS = 1 << 18
+#: So many that words seldom share one; only the chosen buckets have weights.
+BUCKETS = 1 << 28
 #: Labelled documents that the machine is fitted on, at most (by a hash of the id).
 MAX_TRAIN = 20_000
-TERMS = 512
+TERMS = 256
 FACTORS = 4
-STEPS = 120
+STEPS = 80
 THRESHOLD = 0.7
+#: Pairs are penalised more than single terms, so that what one term shows is not left to pairs.
+LINEAR_PENALTY, PAIR_PENALTY = 1e-6, 1e-3
+#: Rows of the rarer kind weigh so many times more, at most.
+MAX_BALANCE = 10.0
+#: A term's first weight counts half if it stands in so many rows.
+PRIOR_ROWS = 10
+#: A term stands in so large a share of the rows at least, so that copies of one text choose none.
+MIN_SHARE = 0.002
 CACHE_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -75,8 +84,9 @@ class Machine:
 def fit(rows: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS) -> Machine:
     """Fit on rows (n, y, b): Spark counts the buckets, the driver learns over the chosen ones only.
 
-    The ``terms`` buckets with the largest chi-square against the label are chosen; linear and
-    pair weights come from full-batch Adam on the regularised log-loss.
+    The ``terms`` buckets with the largest chi-square against the label are chosen among those in
+    MIN_SHARE of the rows; linear and pair weights come from full-batch Adam on the regularised
+    log-loss, both kinds of rows weighing alike.
     """
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n, p = total["n"], total["p"]
@@ -86,8 +96,9 @@ def fit(rows: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int
     stats = rows.select("y", F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("df"), F.sum("y").alias("pos"))
     expected = F.col("df") * (p / n)
     chi = F.pow(F.col("pos") - expected, 2) / (expected * (1 - F.col("df") / F.lit(n + 1.0)))
-    chosen = stats.where("df >= 2").select("b", chi.alias("chi")).orderBy(F.desc("chi"), "b").limit(terms).collect()
-    picked = np.array(sorted(r["b"] for r in chosen), int)
+    chosen = stats.where(F.col("df") >= max(2, int(MIN_SHARE * n))).select("b", "df", "pos", chi.alias("chi")).orderBy(F.desc("chi"), "b").limit(terms).collect()
+    chosen = sorted(chosen, key=lambda r: r["b"])
+    picked, df, pos = (np.array([r[c] for r in chosen], int) for c in ("b", "df", "pos"))
     at = {int(t): i for i, t in enumerate(picked)}
     keep = F.array(*[F.lit(int(t)) for t in picked])
     data = rows.orderBy("n").select("y", F.array_intersect("b", keep).alias("b")).collect()  # rows are bounded by MAX_TRAIN
@@ -95,16 +106,21 @@ def fit(rows: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int
     for i, r in enumerate(data):
         x[i, [at[t] for t in r["b"]]] = 1
     y = np.array([r["y"] for r in data], np.float32)
+    weight = np.where(y == 1, min(MAX_BALANCE, (n - p) / p), 1.0).astype(np.float32)
+    weight /= weight.sum()
     rng = np.random.default_rng(7)
-    theta = [np.array([np.log(p / (n - p))], np.float32), np.zeros(len(picked), np.float32), rng.normal(0, 0.05, (len(picked), factors)).astype(np.float32)]
+    # terms begin with most of their log-odds, so that one that is rarely alone counts on its own
+    odds = np.log((pos + 0.5) / (p + 1)) - np.log((df - pos + 0.5) / (n - p + 1))
+    sure = df / (df + PRIOR_ROWS)
+    theta = [np.array([np.log(p / (n - p))], np.float32), (0.7 * sure * odds).astype(np.float32), rng.normal(0, 0.05, (len(picked), factors)).astype(np.float32)]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, steps + 1):
         bias, w, v = theta
         xv = x @ v
         z = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x @ (v * v)).sum(axis=1))
-        g = (1 / (1 + np.exp(-z)) - y) / len(y)
+        g = (1 / (1 + np.exp(-z)) - y) * weight
         gx = g @ x
-        grads = [np.array([g.sum()]), gx + 1e-5 * w, x.T @ (g[:, None] * xv) - gx[:, None] * v + 1e-4 * v]
+        grads = [np.array([g.sum()]), gx + LINEAR_PENALTY * w, x.T @ (g[:, None] * xv) - gx[:, None] * v + PAIR_PENALTY * v]
         for i, grad in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * grad
             second[i] = 0.999 * second[i] + 0.001 * grad * grad
