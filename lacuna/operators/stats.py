@@ -69,7 +69,7 @@ def bootstrap_ci(df: DataFrame, value: str, by: list[str], resamples: int = 1000
     times = lambda u: sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
     rows = df.select(*by, F.col(value).cast("double").alias("v"), F.col("row").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
     rows = rows.withColumn("t", times(draw(F.col("r"), F.col("i"))))
-    means = rows.groupBy(*by, "r").agg((F.sum(F.col("t") * F.col("v")) / F.sum("t")).alias("m"))
+    means = rows.groupBy(*by, "r").agg(F.try_divide(F.sum(F.col("t") * F.col("v")), F.sum("t")).alias("m"))
     return means.groupBy(*by).agg(F.expr(f"percentile(m, {low})").alias("low"), F.expr(f"percentile(m, {high})").alias("high"))
 
 
