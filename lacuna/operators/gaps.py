@@ -24,13 +24,21 @@ def sig_repeated(papers: Column, limitations: Column) -> Column:
 
 
 def sig_concentration(counts: DataFrame, by: list[str], name: str = "name", n: str = "n") -> DataFrame:
-    """Concentration of a group's counts: hhi, signal, the largest name and its share, the three largest."""
-    total = F.sum(n).over(Window.partitionBy(*by)) if by else F.sum(n).over(Window.partitionBy(F.lit(0)))
-    rows = counts.withColumn("__s", F.col(n) / total)
-    order = F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("c"), F.col(name).alias("k"))))
-    out = rows.groupBy(*by).agg(F.sum(n).alias("total"), F.sum(F.col("__s") * F.col("__s")).alias("hhi"), order.alias("__o"))
+    """Concentration of a group's counts: hhi, signal, the largest name and its share, the three largest.
+
+    Sums give the index, and only the first three names of a group are ever gathered.
+    """
+    order = [F.desc(n), F.col(name)]
+    sums = counts.groupBy(*by).agg(F.sum(n).alias("total"), (F.sum(F.col(n).cast("double") * F.col(n)) / F.sum(n) / F.sum(n)).alias("hhi"))
+    if by:
+        top = counts.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r <= 3")
+    else:
+        top = counts.orderBy(*order).limit(3)
+    first = F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("c"), F.col(name).alias("k"))))
+    top = top.groupBy(*by).agg(first.alias("__o"))
+    out = sums.join(top, by) if by else sums.crossJoin(top)  # one row each
     score = F.when((F.col("total") > 1) & (F.col("hhi") >= 0.50), F.round(F.least(F.lit(1.0), (F.col("hhi") - 0.40) / 0.60), 4)).otherwise(0.0)
-    return out.select(*by, "total", "hhi", score.alias("signal"), F.col("__o")[0]["k"].alias("top"), (-F.col("__o")[0]["c"] / F.col("total")).alias("top_share"), F.transform(F.slice("__o", 1, 3), lambda s: s["k"]).alias("top_three"))
+    return out.select(*by, "total", "hhi", score.alias("signal"), F.col("__o")[0]["k"].alias("top"), (-F.col("__o")[0]["c"] / F.col("total")).alias("top_share"), F.transform("__o", lambda s: s["k"]).alias("top_three"))
 
 
 def sig_temporal(first: Column, last: Column, addressed: Column) -> Column:

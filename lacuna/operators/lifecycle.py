@@ -53,16 +53,29 @@ def title_words(gaps: DataFrame, longer: int = 4) -> DataFrame:
     return gaps.select("gap_id", F.explode(w).alias("w"))
 
 
+def containing(rows: DataFrame, hay: Column, words: DataFrame, block: int = 10_000) -> DataFrame:
+    """Rows joined to the words (gap_id, w) that ``hay`` contains anywhere, once for each gap and word.
+
+    Distinct words go out in blocks of about ``block``, so what is broadcast has a bound whatever
+    the number of gaps.
+    """
+    vocabulary = words.select("w").distinct()
+    n = -(-vocabulary.count() // block) or 1
+    marked, out = rows.withColumn("__hay", hay), None
+    for k in range(n):
+        part = vocabulary.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k) if n > 1 else vocabulary
+        hits = marked.join(F.broadcast(part), F.col("__hay").contains(F.col("w")))
+        out = hits if out is None else out.unionByName(hits)
+    return out.join(words, "w").drop("__hay")
+
+
 def graph_events(gaps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Events from addresses and limited_by edges into limitation nodes whose label holds a word of the gap's title.
 
-    Titles' distinct words, a small table, are matched against labels; gaps then join by word.
+    Titles' distinct words are matched against labels; gaps then join by word.
     """
-    words = title_words(gaps)
-    vocabulary = F.broadcast(words.select("w").distinct())
-    labels = nodes.where("type = 'Limitation'").select("id", F.lower("label").alias("label"))
-    hits = labels.join(vocabulary, F.col("label").contains(F.col("w")))
-    pairs = hits.join(words, "w").select("gap_id", F.col("id").alias("target")).distinct()
+    labels = nodes.where("type = 'Limitation'").select("id", "label")
+    pairs = containing(labels, F.lower("label"), title_words(gaps)).select("gap_id", F.col("id").alias("target")).distinct()
     kind = F.when(F.col("relationship") == "addresses", "attempted_solution").when(F.col("relationship") == "limited_by", "repeated_limitation")
     text = F.coalesce("source_text", F.concat(F.lit("Relationship "), "relationship", F.lit(" from "), "source", F.lit(" to "), "target"))
     rows = pairs.join(edges, "target").withColumn("event_type", kind).where("event_type is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import lexicon
 from lacuna.functions.rules import any_match, contains_any
 from lacuna.functions.text import strip
-from lacuna.operators.lifecycle import first_by, title_words
+from lacuna.operators.lifecycle import containing, first_by, title_words
 
 CATEGORIES = ["SUPPORTING", "COUNTER", "CONTRADICTORY", "ADDRESSED_BY"]
 
@@ -37,12 +37,10 @@ def categorize(evidence: DataFrame, **options) -> DataFrame:
 
 def mine_edges(gaps: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFrame:
     """Further evidence from graph edges whose text or ends hold a word of the gap's title, without what is there."""
-    words = title_words(gaps)
     kind = F.when(F.col("relationship") == "contradicts", "CONTRADICTORY").when(F.col("relationship") == "addresses", "ADDRESSED_BY")
     rows = edges.where(F.length(F.coalesce("source_text", F.lit(""))) > 0).withColumn("category", kind)
     hay = F.lower(F.concat_ws("\n", "source_text", "source", "target"))
-    hits = rows.withColumn("__h", hay).join(F.broadcast(words.select("w").distinct()), F.col("__h").contains(F.col("w")))
-    found = hits.join(words, "w").select("gap_id", "paper_id", "source_text", "confidence", "seq", "category").distinct()
+    found = containing(rows, hay, title_words(gaps)).select("gap_id", "paper_id", "source_text", "confidence", "seq", "category").distinct()
     new = first_by(found.join(seen.select("gap_id", "paper_id", "source_text"), ["gap_id", "paper_id", "source_text"], "left_anti"), ["gap_id", "paper_id", "source_text"], ["seq"])
     return new.where("category is not null")
 

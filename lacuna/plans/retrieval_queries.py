@@ -78,6 +78,17 @@ def units(spark, sf):
     return s.select("id", "paper_id", F.upper("section_name").alias("extraction_type"), F.col("section_name").alias("section"), "year")
 
 
+def _letters():
+    """A stand-in for a model: letters and words of a text."""
+    return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("e5_embed_with", "SELECT item_id, length(text)::FLOAT AS letters, (length(text) - length(replace(text, ' ', '')))::FLOAT AS blanks FROM benchmark")
+def e5(spark, sf):
+    e = E.embed_with(V.table(spark, sf, "benchmark"), _letters)
+    return e.select("item_id", F.col("embedding")[0].alias("letters"), F.col("embedding")[1].alias("blanks"))
+
+
 @query("e8_evidence_filter", f"WITH {V.SENTENCES}, {V.PAPERS} SELECT s.id FROM sentences s JOIN papers p ON p.id = s.paper_id WHERE upper(section_name) = 'RESULTS' AND contains(lower(section_name), 'sul') AND publication_year BETWEEN 2020 AND 2022")
 def e8(spark, sf):
     return E.evidence_filter(units(spark, sf), extraction_type="results", section="SUL", min_year=2020, max_year=2022).select("id")

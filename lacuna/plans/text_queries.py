@@ -167,6 +167,13 @@ def c9(spark, sf):
     return d.select("doc_id", T.protect_periods(F.col("text"), []).alias("t"))
 
 
+@query("c11_restore_periods", f"WITH {V.SENTENCES} SELECT id, source_text FROM sentences WHERE NOT contains(source_text, chr(57344)) AND regexp_matches(source_text, '[0-9A-Za-z]')")
+def c11(spark, sf):
+    s = V.sentences(spark, sf).where(F.col("source_text").rlike("[0-9A-Za-z]"))
+    hidden = F.replace(F.col("source_text"), F.lit("."), F.lit(T.DOT))
+    return s.select("id", F.replace(hidden, F.lit(T.DOT), F.lit(".")).alias("source_text"))
+
+
 @query("c12_estimate_page", f"WITH {V.PARAGRAPHS}, n AS (SELECT *, count(*) OVER (PARTITION BY paper_id) AS n FROM paragraphs) SELECT paper_id, paragraph_id::BIGINT AS paragraph_id, CASE WHEN n > 1 THEN 3 + round_even(paragraph_id / (n - 1) * 7, 0) ELSE 3 END::BIGINT AS page_number FROM n")
 def c12(spark, sf):
     from pyspark.sql import Window
@@ -214,6 +221,11 @@ def d3(spark, sf):
     return classified(spark, sf).select("id", "label", "confidence")
 
 
+@query("d4_confidence", f"WITH {V.SENTENCES}, {V.classified_sql()} SELECT label, count(*) AS n, round(min(confidence), 6) AS low, round(max(confidence), 6) AS high FROM classified GROUP BY 1")
+def d4(spark, sf):
+    return classified(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.round(F.min("confidence"), 6).alias("low"), F.round(F.max("confidence"), 6).alias("high"))
+
+
 _D5 = {"computational": [V.word("the")], "generalization": [V.word("und"), V.word("der")], "generic": [V.word("of"), V.word("de")]}
 _D5_SQL = "CASE WHEN length(trim(source_text)) < 10 THEN NULL " + " ".join(f"WHEN {' OR '.join(V.hit('source_text', p) for p in v)} THEN '{k}'" for k, v in _D5.items()) + " END"
 
@@ -223,6 +235,11 @@ def d5(spark, sf):
     return discourse.detect_limitations(V.sentences(spark, sf), _D5).where("subtype is not null").select("id", "subtype", "lim_confidence")
 
 
+@query("d6_limitation_subtype", f"WITH {V.SENTENCES}, l AS (SELECT section_name, {_D5_SQL} AS subtype FROM sentences) SELECT subtype, count(*) AS n FROM l WHERE subtype IS NOT NULL GROUP BY 1")
+def d6(spark, sf):
+    return discourse.detect_limitations(V.sentences(spark, sf), _D5).where("subtype is not null").groupBy("subtype").agg(F.count("*").alias("n"))
+
+
 _D7 = [(V.word("to"), 3.6), (V.word("in"), 2.4)]
 
 
