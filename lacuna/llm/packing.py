@@ -14,13 +14,15 @@ from pyspark.sql import types as T
 from lacuna.llm.common import cut
 
 END_ID = 1
-#: A worker's memory of word ids is emptied at this many words (about 200 MB).
-CACHE_WORDS = 1_000_000
+#: A worker's memory of word ids is emptied at this many words (about 300 MB).
+CACHE_WORDS = 1_500_000
 #: A stop or comma between a letter and a blank: it is a token of its own, as a blank before it shows.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+_STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=\s|\Z)")
 _MARK = b"\x01"
 _cache: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict[str, object] = {}
+#: Bytes of text whose new words are looked up together.
+TOGETHER_BYTES = 1 << 20
 
 
 def _words(model, new: list[bytes], together: int = 2000):
@@ -58,18 +60,27 @@ def encode(tokenizer: str, texts: list[bytes | None]) -> list[bytes]:
 
         _tokenizers[tokenizer], _cache[tokenizer] = Tokenizer.from_file(str(public_tokenizers.path(tokenizer))), {}
     model, known = _tokenizers[tokenizer], _cache[tokenizer]
-    out = []
-    for text in texts:
-        text = text or b""
-        # special tokens are spelt in lower case, so texts that may hold their like stay as they are
-        words = text.split() if b"<|" in text else _STOP.sub(rb" \1", text.lower()).split()
-        new = list(set(words).difference(known))
+    out, held, size = [], [], 0
+
+    def work():
+        new = set().union(*held).difference(known)
         if new:
             if len(known) > CACHE_WORDS:
                 known.clear()
-                new = list(set(words))
-            known.update(_words(model, new))
-        out.append(b"".join(map(known.__getitem__, words)))
+                new = set().union(*held)
+            known.update(_words(model, list(new)))
+        out.extend(b"".join(map(known.__getitem__, words)) for words in held)
+
+    for text in texts:
+        text = text or b""
+        # special tokens are spelt in lower case, so texts that may hold their like stay as they are
+        held.append(text.split() if b"<|" in text else _STOP.sub(rb" \g<0>", text.lower()).split())
+        size += len(text)
+        if size >= TOGETHER_BYTES:
+            work()
+            held, size = [], 0
+    if held:
+        work()
     return out
 
 
