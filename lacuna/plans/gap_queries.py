@@ -400,7 +400,7 @@ def j9(spark, sf):
     return J.counter_evidence(evidence(spark, sf))
 
 
-@query("j10_acceptance", "WITH d AS (SELECT quality = 1 AS g, n_chars > 1000 AS n, n_chars > 3000 AS v FROM labels JOIN documents USING (doc_id)) SELECT 'naive' AS approach, sum((n AND g)::INT)::BIGINT AS tp, sum((n AND NOT g)::INT)::BIGINT AS fp, sum((n AND g)::INT) / sum(n::INT) AS precision, sum((n AND NOT g)::INT) / sum((NOT g)::INT) AS fpr FROM d UNION ALL SELECT 'verified', sum((v AND g)::INT), sum((v AND NOT g)::INT), sum((v AND g)::INT) / sum(v::INT), sum((v AND NOT g)::INT) / sum((NOT g)::INT) FROM d")
+@query("j10_acceptance", "WITH d AS (SELECT quality = 1 AS g, n_chars > 1000 AS n, n_chars > 3000 AS v FROM labels JOIN documents USING (doc_id)) SELECT 'naive' AS approach, sum((n AND g)::INT)::BIGINT AS tp, sum((n AND NOT g)::INT)::BIGINT AS fp, sum((n AND g)::INT) / sum(n::INT) AS precision, sum((n AND NOT g)::INT) / sum((NOT g)::INT) AS fpr FROM d UNION ALL SELECT 'verified', sum((v AND g)::INT)::BIGINT, sum((v AND NOT g)::INT)::BIGINT, sum((v AND g)::INT) / sum(v::INT), sum((v AND NOT g)::INT) / sum((NOT g)::INT) FROM d")
 def j10(spark, sf):
     d = V.table(spark, sf, "labels").join(V.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     return J.acceptance(d.select((F.col("quality") == 1).alias("gold_open"), (F.col("n_chars") > 1000).alias("accepted_naive"), (F.col("n_chars") > 3000).alias("accepted_verified"))).drop("tn")
