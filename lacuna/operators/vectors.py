@@ -46,9 +46,11 @@ def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> D
     The sparse form; only a text's own buckets have rows. Texts without words give none.
     """
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("\\b[a-z0-9_]+\\b"), F.lit(0))
-    rows = df.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", "t", F.posexplode("t").alias("i", "w"))
+    # each word takes the next one along, so that no row carries the whole text
+    follow = lambda t: F.transform(t, lambda w, i: F.struct(i.alias("i"), w.alias("w"), F.get(t, i + 1).alias("next")))
+    rows = df.select(F.col(id_col).alias("id"), F.inline(F.transform(F.array(tokens), follow)[0]))
     bucket = lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    pair = F.when(F.col("i") + 1 < F.size("t"), F.concat_ws("_", "w", F.get("t", F.col("i") + 1)))
+    pair = F.when(F.col("next").isNotNull(), F.concat_ws("_", "w", "next"))
     terms = F.array(
         F.struct(bucket(F.sha2("w", 256)).alias("bucket"), F.lit(1.5).alias("f")),
         F.when(F.char_length("w") > 3, F.struct(bucket(F.md5(F.substring("w", 1, 4))).alias("bucket"), F.lit(0.75).alias("f"))),
