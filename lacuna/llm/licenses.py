@@ -11,6 +11,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A window holds more than a quarter of its shingles' worth of template, so the Jaccard similarity of
 #: a match is 0.8 w / 4 / (w + 0.2 w / 4) = 0.19 at least, and 36 bands of one row miss it once in 2,000.
+#: This holds for narrow templates too, as their windows narrow along: one shingle has windows of two.
 BANDS = 36
 MAX_TEMPLATE_SHINGLES = 100_000
 
@@ -45,7 +46,7 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """license_id, width (of its windows), shingles, bands. Templates of fewer than five words are left out."""
     rows = spark.createDataFrame(sorted(templates.items()), "license_id string, text string")
     own = rows.select("license_id", shingles(F.coalesce("text", F.lit(""))).alias("all")).where(F.size("all") > 0)
-    width = F.greatest(F.lit(8), F.pow(2.0, F.ceil(F.log2(2.0 * F.size("all")))).cast("int"))
+    width = F.pow(2.0, F.ceil(F.log2(2.0 * F.size("all")))).cast("int")
     return own.select("license_id", width.alias("width"), F.array_distinct("all").alias("shingles")).withColumn("bands", bands(F.col("shingles")))
 
 
