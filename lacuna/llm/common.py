@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -29,9 +33,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+    return cut_at(df, name)[0]
+
+
+def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, with the path of the table, for ``discard`` when nothing needs it any more."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table through the file system that Spark itself uses for its path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -39,6 +54,23 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` over batches of BATCH_BYTES at most, so that neither side holds many texts at once.
+
+    The bound is the session's setting for all Arrow batches; a lower one of the user's stays.
+    """
+    conf = df.sparkSession.conf
+    had = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")
+    if not had.isdigit() or int(had) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def below_share(key, share: float):
+    """Whether a 64-bit hash lies in the lowest ``share`` of its range: a sample that any size of table can take."""
+    return F.lit(True) if share >= 1 else key < F.lit(-(1 << 63) + int(share * (1 << 64))).cast("long")
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; an id that is null gives 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))
