@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import remainder
+from lacuna.llm.common import below_share, map_arrow, remainder
 
 UNKNOWN = "und"
 DIM = 1 << 15
 SEGMENT = 24
 ROUNDS = 12
 PRIOR = 0.05
-#: Labelled documents that the n-gram tables are learnt from, at most (by a hash of the id).
+#: Labelled documents that the n-gram tables are learnt from, at most about; languages share it evenly.
 MAX_TRAIN = 20_000
 #: Bytes of text that a task works on in one go.
 BLOCK = 1 << 20
@@ -49,13 +49,16 @@ def has_letters(text: str | None) -> bool:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """Languages and their log-likelihood tables (DIM x languages), from labelled documents.
 
-    Rows come from at most about ``max_train`` documents, drawn by a hash of id and text; their
-    n-grams are counted in Spark and the driver gets one row a language and n-gram hash.
+    Rows come from at most about ``max_train`` documents, drawn by a hash of the id; every language
+    gets an equal part of them, a rare one all its documents. Their n-grams are counted in Spark
+    and the driver gets one row a language and n-gram hash.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = max_train / max(1, rows.count())
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    drawn = F.lit(False)
+    for lang, n in sorted(sizes.items()):
+        drawn = drawn | ((F.col(lang_col) == F.lit(lang)) & below_share(F.xxhash64(id_col), max_train / len(sizes) / n))
+    rows = rows.where(drawn)
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -68,7 +71,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.nonzero(c)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "code", "n"])
 
-    found = rows.select(F.col(lang_col), F.col(text_col)).mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select(F.col(lang_col), F.col(text_col)).transform(map_arrow, run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     table = np.full((DIM, len(langs)), 0.5)
     for k, lang in enumerate(langs):
@@ -91,7 +94,7 @@ def _em(seg: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarra
 
 
 def mixtures(texts: list[str], table: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its language shares (all languages) and the chosen set, as 0/1 rows.
+    """For each text its language shares within the chosen set, and that set, as 0/1 rows.
 
     A text is cut into segments of SEGMENT n-grams, each drawn from one language; expectation
     maximisation estimates the shares. The set is the one of the k most frequent languages whose
@@ -114,6 +117,7 @@ def mixtures(texts: list[str], table: np.ndarray, penalty: float = 1.0) -> tuple
     rank = np.argsort(order, axis=1, kind="stable")
     chosen = (rank == 0).astype(float)
     best = np.add.reduceat(np.log(np.maximum((seg * chosen[doc]).sum(axis=1), 1e-260)), starts)
+    final = chosen.copy()
     todo = np.nonzero(share.max(axis=1) < 0.995)[0]
     for k in range(2, langs + 1):
         if not len(todo):
@@ -122,12 +126,12 @@ def mixtures(texts: list[str], table: np.ndarray, penalty: float = 1.0) -> tuple
         own = np.repeat(np.arange(len(todo)), n[todo])
         at = np.cumsum(np.append(0, n[todo][:-1]))
         allowed = (rank[todo] < k).astype(float)
-        _, like = _em(seg[rows], own, at, allowed, ROUNDS)
+        part, like = _em(seg[rows], own, at, allowed, ROUNDS)
         value = like - penalty * (k - 1) * 0.5 * np.log(n[todo] + 1)
         better = value > best[todo]
-        best[todo[better]], chosen[todo[better]] = value[better], allowed[better]
+        best[todo[better]], chosen[todo[better]], final[todo[better]] = value[better], allowed[better], part[better]
         todo = todo[better]
-    return share, chosen
+    return final, chosen
 
 
 def guess(texts: list[str | None], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float], list[list[str]]]:
@@ -169,7 +173,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str =
 
     rows = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(id_col, *keep).schema)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, languages array<string>")
+    return rows.transform(map_arrow, run, f"{fields}, lang_pred string, score double, languages array<string>")
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
@@ -180,17 +184,20 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return found.select(id_col, "held_out", "lang_pred", "score", "languages")
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language can be told, with all their columns: those without letters, or null, go.
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The documents whose predicted language is among ``languages`` (None: any learnt one), with all their columns.
 
-    If no document is labelled nothing can be told, so those with letters stay.
+    Documents without letters, or null, go, and so do those in which another language prevails. If
+    no document is labelled nothing can be told, so those with letters stay. Repeated rows stay; an
+    empty table gives no rows.
     """
     langs, table = train(docs, id_col, text_col, lang_col)
+    wanted = set(langs if languages is None else languages)
 
     def run(batches):
         for b in batches:
             texts = b.column(text_col).to_pylist()
-            known = [p != UNKNOWN for p in guess(texts, langs, table)[0]] if langs else [has_letters(t) for t in texts]
+            known = [p in wanted for p in guess(texts, langs, table)[0]] if langs else [has_letters(t) for t in texts]
             yield b.filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)
