@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import below_share
+
 WORDS = 5
 #: Sketches of a fingerprint, a power of two; k-mers of a sketch are two.
 SKETCHES = 64
 SHIFT = 6
 #: Low bits of a hash that carry a k-mer's place in the text.
 PLACE = (1 << 28) - 1
-#: Documents of a bucket of neighbouring ids, and buckets at most.
-BUCKET_ROWS, MAX_BUCKETS = 500, 4096
+#: Documents of a bucket of neighbouring ids, or the square root of their number if that is more.
+BUCKET_ROWS = 500
+#: Ids that are drawn for each bound between buckets.
+DRAWN = 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,26 +113,33 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(rows: DataFrame, id_col: str, *columns: str, order: tuple[str, ...] = ()) -> DataFrame:
     """Add next_<column> of the row with the next larger id; the last row is followed by the first.
 
-    Rows go to buckets of neighbouring ids, whose bounds come from approximate quantiles. The
-    first rows of a bucket are sent to the bucket before as well, so one shuffle is enough and no
-    bucket holds more than a few hundred rows until there are MAX_BUCKETS of them. Null ids come
-    first; equal ids are ordered by the ``order`` columns.
+    Rows go to buckets of neighbouring ids, whose bounds are drawn from the ids by a hash. The
+    first rows of a bucket are sent to the bucket before as well, so one shuffle is enough. With n
+    rows there are no more bounds than the square root of n, and each row looks its bucket up in
+    two steps. Null ids come first; equal ids are ordered by the ``order`` columns.
     """
     ids = rows.select(id_col)
     stats = ids.agg(F.count("*").alias("n"), F.count(id_col).alias("known"), F.min(id_col).alias("least")).first()
-    n = min(MAX_BUCKETS, -(-stats["n"] // BUCKET_ROWS))
+    buckets = -(-stats["n"] // max(BUCKET_ROWS, math.isqrt(stats["n"])))
     bounds = []
-    if n > 1:
-        bounds = sorted(set(ids.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"] or []))
-    marks = F.array(*[F.lit(b).cast("long") for b in bounds]).cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(marks, lambda b: b <= F.col(id_col))), F.lit(0))
+    if buckets > 1:
+        drawn = ids.where(F.col(id_col).isNotNull() & below_share(F.xxhash64(id_col), DRAWN * buckets / stats["n"])).distinct()
+        sample = sorted(r[0] for r in drawn.collect())
+        bounds = sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
+    step = max(1, math.isqrt(len(bounds)))
+    coarse, fine = bounds[step - 1 :: step], [bounds[i : i + step - 1] for i in range(0, len(bounds) + 1, step)]
+    longs = lambda xs: f"cast(array({', '.join(f'{x}L' for x in xs)}) as array<bigint>)"
+    below = lambda xs: F.coalesce(F.size(F.filter(xs, lambda b: b <= F.col(id_col))), F.lit(0))
+    high, own = F.expr(longs(coarse)), F.expr(f"array({', '.join(map(longs, fine))})")[F.col("__c")]
+    placed = rows.withColumn("__c", F.when(F.col(id_col).isNull(), 0).otherwise(below(high))).withColumn("__f", F.when(F.col(id_col).isNull(), 0).otherwise(below(own)))
+    bound = F.when(F.col("__f") > 0, own[F.col("__f") - 1]).when(F.col("__c") > 0, high[F.col("__c") - 1])
     first = F.col(id_col).isNull() if stats["known"] < stats["n"] else F.col(id_col) == F.lit(stats["least"])
     guests = F.array(
         F.struct(F.col("__b").alias("bucket"), F.lit(0).alias("guest")),
-        F.when(F.array_contains(marks, F.coalesce(F.col(id_col), F.lit(0))) & F.col(id_col).isNotNull(), F.struct((F.col("__b") - 1).alias("bucket"), F.lit(1).alias("guest"))),
+        F.when(bound == F.col(id_col), F.struct((F.col("__b") - 1).alias("bucket"), F.lit(1).alias("guest"))),
         F.when(first, F.struct(F.lit(len(bounds)).alias("bucket"), F.lit(2).alias("guest"))),
     )
-    sent = rows.withColumn("__b", bucket).withColumn("__at", F.explode(F.filter(guests, lambda g: g.isNotNull())))
+    sent = placed.withColumn("__b", F.col("__c") * step + F.col("__f")).withColumn("__at", F.explode(F.filter(guests, lambda g: g.isNotNull())))
     near = Window.partitionBy("__at.bucket").orderBy(F.col("__at.guest"), F.col(id_col).asc_nulls_first(), *order)
     nexts = [F.lead(c).over(near).alias(f"next_{c}") for c in columns]
     return sent.select(*rows.columns, F.col("__at.guest").alias("__guest"), *nexts).where("__guest = 0").drop("__guest")
