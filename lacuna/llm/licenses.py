@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ THRESHOLD = 0.8
 #: a match is 0.8 w / 4 / (w + 0.2 w / 4) = 0.19 at least, and 36 bands of one row miss it once in 2,000.
 #: This holds for narrow templates too, as their windows narrow along: one shingle has windows of two.
 BANDS = 36
-MAX_TEMPLATE_SHINGLES = 100_000
+#: Templates that one pass over the documents looks for.
+BLOCK_TEMPLATES = 256
 
 #: The wording of public license notices.
 TEMPLATES = {
@@ -42,12 +45,19 @@ def bands(of: Column) -> Column:
     return F.array(*map(least, range(BANDS)))
 
 
+def sketch(of: Column) -> Column:
+    """The shingles that the bands' MinHash values belong to, BANDS at most."""
+    least = lambda j: F.array_min(F.transform(of, lambda x: F.struct(F.xxhash64(x, F.lit(j)).alias("h"), x.alias("x"))))["x"]
+    return F.array_distinct(F.array(*map(least, range(BANDS))))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license_id, width (of its windows), shingles, bands. Templates of fewer than five words are left out."""
+    """license_id, width (of its windows), shingles, bands, sketch. Templates of fewer than five words are left out."""
     rows = spark.createDataFrame(sorted(templates.items()), "license_id string, text string")
     own = rows.select("license_id", shingles(F.coalesce("text", F.lit(""))).alias("all")).where(F.size("all") > 0)
     width = F.pow(2.0, F.ceil(F.log2(2.0 * F.size("all")))).cast("int")
-    return own.select("license_id", width.alias("width"), F.array_distinct("all").alias("shingles")).withColumn("bands", bands(F.col("shingles")))
+    own = own.select("license_id", width.alias("width"), F.array_distinct("all").alias("shingles"))
+    return own.withColumn("bands", bands(F.col("shingles"))).withColumn("sketch", sketch(F.col("shingles")))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -55,20 +65,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
     Columns: id, license_id, containment (0 to 1), start_word (words before the first shared
     shingle). Windows are at least twice as long as the template and overlap by half, so one of
-    them holds any place whole. Windows without any shingle of a template cannot match and are
-    left out beforehand, at no loss; bands choose templates for the others. Null texts and texts
-    of fewer than five words hold nothing; rows with equal ids count as one document; of several
-    windows the best, then the first counts.
+    them holds any place whole. A window is a candidate for the templates that it shares a band
+    value with. Such a value belongs to one of the template's sketch shingles, so windows without
+    any of these are not hashed, at no loss. Candidates are verified on all shingles of the
+    template. Null texts and texts of fewer than five words hold nothing; rows with equal ids count
+    as one document; of several windows the best, then the first counts. BLOCK_TEMPLATES templates
+    are looked for in one pass over the documents, more of them in several.
     """
     spark = docs.sparkSession
-    table = template_table(spark, TEMPLATES if templates is None else templates)
-    known = table.select("width", "shingles").collect()  # bounded below
-    total = sorted({s for r in known for s in r["shingles"]})
-    if len(total) > MAX_TEMPLATE_SHINGLES:
-        raise ValueError(f"templates have {len(total)} shingles; scan them in parts of {MAX_TEMPLATE_SHINGLES}")
+    names = sorted((TEMPLATES if templates is None else templates).items())
+    parts = [dict(names[i : i + BLOCK_TEMPLATES]) for i in range(0, len(names), BLOCK_TEMPLATES)] or [{}]
+    rows = docs.select(F.col(id_col), shingles(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))
+    found = [_scan(rows, template_table(spark, part), id_col, threshold) for part in parts]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _scan(rows: DataFrame, table: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    known = table.select("width", "sketch").collect()  # BANDS shingles of BLOCK_TEMPLATES templates at most
+    total = sorted({s for r in known for s in r["sketch"]})
     widths = sorted({r["width"] for r in known})
     wanted = F.array(*[F.lit(s) for s in total]).cast("array<bigint>")
-    rows = docs.select(F.col(id_col), shingles(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))
     rows = rows.select("*", F.array_intersect("own", wanted).alias("hits")).where(F.size("hits") > 0)
     places = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.array_contains("hits", F.col("own")[i]))
 
@@ -81,9 +97,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         return F.flatten(F.array(*map(of_width, widths)))
 
     cut = rows.select(id_col, "own", F.explode(let(places, windows)).alias("w")) if widths else rows.select(id_col, "own", F.struct(F.lit(0).alias("width"), F.lit(0).alias("at")).alias("w"))
-    cut = cut.select(id_col, "w.width", "w.at", F.slice("own", F.col("w.at") + 1, F.col("w.width")).alias("window"))
-    cut = cut.where(F.size("window") > 0).withColumn("signature", bands(F.col("window")))
-    found = cut.join(F.broadcast(table), "width").where(F.arrays_overlap("signature", "bands"))
+    cut = cut.select(id_col, "w.width", "w.at", F.slice("own", F.col("w.at") + 1, F.col("w.width")).alias("window")).where(F.size("window") > 0)
+    banded = lambda df: df.select("*", F.posexplode("bands").alias("band", "value")).drop("bands")
+    # the index of bands holds BANDS rows for each of BLOCK_TEMPLATES templates at most
+    index = F.broadcast(banded(table.select("width", "license_id", "shingles", "bands")))
+    found = banded(cut.withColumn("bands", bands(F.col("window")))).join(index, ["width", "band", "value"])
     shared = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
     first = F.array_position(F.transform("window", lambda x: F.array_contains("shingles", x)), F.lit(True)) - 1 + F.col("at")
     checked = found.select(id_col, "license_id", shared.alias("containment"), first.alias("start_word")).where(F.col("containment") >= threshold)
