@@ -6,26 +6,31 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import cut, remainder
+from lacuna.llm.common import below_share, cut, map_arrow, remainder
 
 STATES = 6
 CLASSES = 2048
 ROUNDS = 2
-#: Tokens of a stretch in Baum-Welch; scoring runs over whole texts.
+#: Tokens of a stretch, the unit of work in Baum-Welch; what passes over its ends is carried exactly.
 STRETCH = 64
-#: Documents of the warm start on the driver, at most, and their length in characters.
+#: Distinct texts of the warm start on the driver, at most about, and their length in characters.
 WARM_DOCS, WARM_CHARS, WARM_ROUNDS = 400, 8000, 12
-#: Bytes of text that share one dictionary.
+#: Bytes of text that share one dictionary, about.
 CHUNK_BYTES = 24 << 20
+#: Tokens that Baum-Welch works on in one go.
+TOGETHER = 1 << 18
 CACHE_WORDS = 1_000_000
 END_CLASS = 0
 
 
 class Classes(dict):
-    """Class of a word: a hash of its last three bytes and whether it is longer; 0 is the end token's."""
+    """Class of a word: a hash of its last three bytes and whether it is longer; 0 is the end token's.
+
+    States tell classes apart, not words: within a class words keep their shares of the whole corpus.
+    """
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
@@ -62,27 +67,81 @@ def stretches(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return rows, sizes, first
 
 
+def _carried(model, rows: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What passes over the ends of stretches, each row up to a factor.
+
+    Returns the state shares before each stretch's first token, given all tokens before it, and for
+    each state the likelihood of all tokens after the stretch, given its last state. A stretch
+    turns the shares before it into those after it by one matrix, the product of its tokens'
+    steps; texts then run through their stretches' matrices in order, all texts side by side.
+    """
+    start, move, emit = model
+    n, k = len(rows), len(start)
+    heads = np.nonzero(first)[0]
+    count = np.diff(np.append(heads, n))
+    by_count = np.argsort(-count, kind="stable")
+    heads, count = heads[by_count], count[by_count]
+    inner = np.nonzero(~np.append(first[1:], True))[0]  # stretches with another one after them, all full
+    through = np.zeros((n, k, k))
+    if len(inner):
+        m = np.broadcast_to(np.eye(k), (len(inner), k, k))
+        for t in range(STRETCH):
+            m = ((m * emit[rows[inner, t]][:, None, :]).reshape(-1, k) @ move).reshape(-1, k, k)
+            if t % 8 == 7:
+                m = m / m.max(axis=(1, 2), keepdims=True)
+        through[inner] = m
+    before = np.empty((n, k))
+    before[heads] = start
+    for s in range(1, int(count.max())):
+        at = heads[: int(np.searchsorted(-count, -s, "left"))] + s
+        v = (before[at - 1][:, None, :] @ through[at - 1])[:, 0]
+        before[at] = v / v.sum(axis=1, keepdims=True)
+    last = heads + count - 1
+    end = np.ones((len(last), k))
+    for t in range(STRETCH - 1, -1, -1):
+        here = sizes[last] > t
+        v = emit[rows[last[here], t]] * (end[here] if t == STRETCH - 1 else np.where((sizes[last[here]] > t + 1)[:, None], end[here] @ move.T, 1.0))
+        end[here] = v / v.sum(axis=1, keepdims=True)
+    own = np.empty((n, k))  # likelihood of a stretch and all after it by the state of its first token
+    own[last] = end
+    after = np.ones((n, k))
+    for s in range(int(count.max()) - 1, 0, -1):
+        at = heads[: int(np.searchsorted(-count, -s, "left"))] + s
+        after[at - 1] = own[at] @ move.T
+        v = (through[at - 1] @ own[at][:, :, None])[:, :, 0]
+        own[at - 1] = v / v.sum(axis=1, keepdims=True)
+    return before, after
+
+
 def expectations(model, rows: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts as one table: CLASSES rows of emissions, then STATES of transitions, then one of starts."""
+    """Baum-Welch counts as one table: CLASSES rows of emissions, then STATES of transitions, then one of starts.
+
+    They are those of whole texts: stretches run side by side, each from the shares that its text
+    brings to it and back from the likelihood of all that follows.
+    """
     start, move, emit = model
     k, n = len(start), len(rows)
     out = np.zeros((CLASSES + k + 1, k))
+    before, after = _carried(model, rows, sizes, first)
+    follows = ~np.append(first[1:], True)
     order = np.argsort(-sizes, kind="stable")
-    rows, sizes, first = rows[order], sizes[order], first[order]
+    place = np.empty(n, int)
+    place[order] = np.arange(n)
+    ahead = order[follows[order]]  # stretches with another one after them, and where these stand
+    here, there = place[ahead], place[np.minimum(ahead + 1, n - 1)]
+    rows, sizes, first, before, after = rows[order], sizes[order], first[order], before[order], after[order]
     live = [int(np.searchsorted(-sizes, -t, "left")) for t in range(STRETCH)]  # rows longer than t
-    stay = np.linalg.matrix_power(move, 64)[0]
     alpha, e = np.zeros((STRETCH, n, k)), emit[rows.T]
     scale = np.ones((STRETCH, n))
-    a = np.where(first[:, None], start, stay) * e[0]
     for t in range(STRETCH):
         m = live[t]
         if not m:
             break
-        if t:
-            a = (alpha[t - 1, :m] @ move) * e[t, :m]
+        a = (before if t == 0 else alpha[t - 1, :m] @ move) * e[t, :m]
         s = a.sum(axis=1)
         alpha[t, :m], scale[t, :m] = a / s[:, None], s
-    beta = np.ones((n, k))
+    beta = after / (alpha[sizes - 1, np.arange(n)] * after).sum(axis=1, keepdims=True)
+    gamma = np.zeros((STRETCH, n, k))
     for t in range(STRETCH - 1, -1, -1):
         m = live[t]
         if not m:
@@ -92,12 +151,16 @@ def expectations(model, rows: np.ndarray, sizes: np.ndarray, first: np.ndarray)
             w = e[t + 1, :q] * beta[:q] / scale[t + 1, :q, None]
             out[CLASSES : CLASSES + k] += move * (alpha[t, :q].T @ w)
             beta[:q] = w @ move.T
-        gamma = alpha[t, :m] * beta[:m]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        for j in range(k):
-            out[:CLASSES, j] += np.bincount(rows[:m, t], gamma[:, j], minlength=CLASSES)
-        if t == 0:
-            out[-1] += gamma[first[:m]].sum(axis=0)
+        g = alpha[t, :m] * beta[:m]
+        gamma[t, :m] = g / g.sum(axis=1, keepdims=True)
+    if len(here):
+        tail, w = alpha[STRETCH - 1, here], e[0, there] * beta[there]
+        w /= ((tail @ move) * w).sum(axis=1, keepdims=True)
+        out[CLASSES : CLASSES + k] += move * (tail.T @ w)
+    flat = rows.T.reshape(-1)
+    for j in range(k):
+        out[:CLASSES, j] = np.bincount(flat, gamma[:, :, j].reshape(-1), minlength=CLASSES)
+    out[-1] = gamma[0][first].sum(axis=0)
     return out
 
 
@@ -144,7 +207,7 @@ def baum_welch(rows: DataFrame, model, rounds: int = ROUNDS):
                 for text in b.column(0).to_pylist():
                     held.append(np.array([known[w] for w in tokens(text)] + [END_CLASS], np.int32))
                     size += len(held[-1])
-                    if size >= 1 << 18:
+                    if size >= TOGETHER:
                         total = total + work()
                         held, size = [], 0
             if held:
@@ -153,49 +216,58 @@ def baum_welch(rows: DataFrame, model, rounds: int = ROUNDS):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), *(pa.array(total[:, j]) for j in range(total.shape[1]))], names=["row", *(f"s{j}" for j in range(total.shape[1]))])
 
         k = len(model[0])
-        got = rows.mapInArrow(run, "row long, " + ", ".join(f"s{j} double" for j in range(k))).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
+        got = rows.transform(map_arrow, run, "row long, " + ", ".join(f"s{j} double" for j in range(k))).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
         counts = np.zeros((CLASSES + k + 1, k))
         counts[got["row"].to_numpy()] = got[[f"s{j}" for j in range(k)]].to_numpy()
         model = maximise(counts)
     return model
 
 
-def word_counts(chunked: DataFrame) -> DataFrame:
-    """(chunk, word, class, c, first): each word of each chunk with its count over all training texts.
+def chunked(rows: DataFrame, mean_bytes: float, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows, written with the number of their chunk: neighbouring rows of about ``chunk_bytes`` together.
 
-    A chunk sends each of its words once, with its own count; so a frequent word has at most as
-    many rows as there are chunks. ``first`` marks one row of each word.
+    Numbers run from zero without large holes. Rows that repeat lie in as many chunks as they fill.
     """
+    parts = rows.rdd.getNumPartitions()
+    place = F.monotonically_increasing_id()  # partition, then place in it; fixed by writing it
+    nth = F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / max(1, int(chunk_bytes / mean_bytes)))
+    return cut(rows.withColumn("chunk", nth * parts + F.shiftright(place, 33)), "texts")
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(chunk, word, class, n): each word of each chunk with its count in the chunk's training texts."""
 
     def run(batches):
-        counts: dict[int, dict[bytes, int]] = {}
-        for b in batches:
-            for chunk, held, text in zip(*(b.column(c).to_pylist() for c in ("chunk", "held_out", "t"))):
-                own, step = counts.setdefault(chunk, {}), 0 if held else 1
-                for w in tokens(text):
-                    own[w] = own.get(w, 0) + step
-                own[b""] = own.get(b"", 0) + step
         known = Classes()
-        for chunk, own in counts.items():
+
+        def out(chunk, own):
             words = list(own)
             for i in range(0, len(words), 100_000):
                 part = words[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(part), pa.int32()), pa.array([word_key(w) for w in part], pa.int64()), pa.array([known[w] if w else END_CLASS for w in part], pa.int16()), pa.array([own[w] for w in part], pa.int64())],
+                    [pa.array([chunk] * len(part), pa.int64()), pa.array([word_key(w) for w in part], pa.int64()), pa.array([known[w] if w else END_CLASS for w in part], pa.int16()), pa.array([own[w] for w in part], pa.int64())],
                     names=["chunk", "word", "class", "n"],
                 )
 
-    rows = chunked.mapInArrow(run, "chunk int, word long, class short, n long")
-    of_word = Window.partitionBy("word")
-    return rows.select("chunk", "word", "class", F.sum("n").over(of_word).alias("c"), (F.col("chunk") == F.min("chunk").over(of_word)).alias("first"))
+        at, own = None, {}
+        for b in batches:
+            for chunk, held, text in zip(*(b.column(c).to_pylist() for c in ("chunk", "held_out", "t"))):
+                if chunk != at:
+                    yield from out(at, own)
+                    at, own = chunk, {}
+                step = 0 if held else 1
+                for w in tokens(text):
+                    own[w] = own.get(w, 0) + step
+                own[b""] = own.get(b"", 0) + step
+        yield from out(at, own)
+
+    return texts.transform(map_arrow, run, "chunk long, word long, class short, n long")
 
 
 def _score_chunk(texts, words, counts, model, rest, base_log):
-    """Scores of one chunk's texts; ``rest`` is the log10 denominator of each class."""
+    """Scores of texts of one chunk, whose words come sorted; ``rest`` is the log10 denominator of each class."""
     known, local, local_ids = Classes(), {}, []
     known[b""] = END_CLASS
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
     classes = []
     for text in texts:
         own = tokens(text)
@@ -237,28 +309,53 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     with one share for all unknown words, so every text has a likelihood that sums to one over
     texts. Null texts count as empty (the end token alone); repeated rows count and are scored
     each; an empty table gives no rows. The forward recursion runs over whole texts.
+
+    Texts are dealt to chunks. A chunk sends each of its words once with its own count; these are
+    added up per word and joined back, so a frequent word has a row for each chunk at most and no
+    window over it. A chunk's words, then its texts, come to one task, which scores text by batch.
     """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("t"), (remainder(id_col, folds) == held).alias("held_out"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.lit(16))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    training = rows.where(~F.col("held_out")).select("t")
-    warm = training.where(F.length("t") <= WARM_CHARS).orderBy(F.xxhash64("t"), "t").limit(WARM_DOCS).collect()
-    model = baum_welch(training, warm_start([r["t"] for r in warm], states), rounds)
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64(id_col, "t"), F.lit(chunks)).cast("int")).repartition(int(chunks), "chunk")
-    words = cut(word_counts(chunked), "words")
-    stats = words.where("first").groupBy("class").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).toPandas()
+    sized = rows.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.lit(16)).alias("b")).first()
+    texts = chunked(rows, (sized["b"] or 16) / max(1, sized["n"]))
+    chunks = (texts.agg(F.max("chunk")).first()[0] or 0) + 1
+    training = texts.where(~F.col("held_out")).select("t")
+    warm = training.where((F.length("t") <= WARM_CHARS) & below_share(F.xxhash64("t"), WARM_DOCS / max(1, sized["n"]))).distinct().collect()
+    model = baum_welch(training, warm_start(sorted(r["t"] for r in warm), states), rounds)
+    words = cut(word_counts(texts), "words")
+    totals = cut(words.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("c")), "totals")
+    stats = totals.groupBy("class").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).toPandas()
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
     n[stats["class"].to_numpy()], v[stats["class"].to_numpy()] = stats["n"].to_numpy(), stats["v"].to_numpy()
     total = int(n.sum())
     rest, base_log = np.log10(n + v + 1), float(np.log10(total + v.sum() + 1))
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, held_out, texts = left.column(id_col), left.column("held_out"), left.column("t").to_pylist()
-        if not texts:
-            return pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
-        sizes, known, base, own = _score_chunk(texts, right.column("word").to_numpy(), right.column("c").to_numpy(), model, rest, base_log)
-        return pa.table([ids, held_out, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array([total] * len(sizes), pa.int64()), pa.array(base), pa.array(own)], names=names)
-
-    both = chunked.groupBy("chunk").cogroup(words.select("chunk", "word", "c").groupBy("chunk"))
-    return both.applyInArrow(run, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(batches):
+        at, keys, counts, merged = None, [], [], False
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            edges = [0, *(np.nonzero(np.diff(chunk))[0] + 1).tolist(), len(chunk)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if chunk[lo] != at:
+                    at, keys, counts, merged = chunk[lo], [], [], False
+                part = batch.slice(lo, hi - lo)
+                own = part.filter(part.column("word").is_valid())
+                if own.num_rows:
+                    keys.append(own.column("word").to_numpy())
+                    counts.append(own.column("c").to_numpy())
+                scored = part.filter(part.column("word").is_null())
+                if not scored.num_rows:
+                    continue
+                if not merged:
+                    word, count = np.concatenate(keys), np.concatenate(counts)
+                    order = np.argsort(word)
+                    keys, counts, merged = [word[order]], [count[order]], True
+                sizes, known, base, own = _score_chunk(scored.column("t").to_pylist(), keys[0], counts[0], model, rest, base_log)
+                yield pa.RecordBatch.from_arrays([scored.column(id_col), scored.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array([total] * len(sizes), pa.int64()), pa.array(base), pa.array(own)], names=names)
+
+    counted = words.join(totals.select("word", "c"), "word").select("chunk", "word", "c")
+    both = counted.unionByName(texts.select("chunk", id_col, "held_out", "t"), allowMissingColumns=True)
+    near = both.repartitionById(int(chunks), F.col("chunk").cast("int")).sortWithinPartitions("chunk", F.col("word").asc_nulls_last())
+    return near.transform(map_arrow, run, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
