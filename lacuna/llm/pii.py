@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import below_share, map_arrow
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 #: Atoms (runs of letters and digits, runs of blanks, single signs) of an entity, at most.
 MAX_ATOMS = 14
-#: Documents whose spans the field is trained on, at most; regions of them; passes over the regions.
+#: Documents whose spans the field is trained on, at most about; regions of them, at most; passes over the regions.
 MAX_TRAIN, MAX_REGIONS, EPOCHS = 2000, 500, 6
+#: Longer regions are trained on in parts of about so many characters.
+REGION_CHARS = 200
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -69,7 +75,6 @@ _ATOM = re.compile(r"[^\W_]+|\s+|[\W_]")
 _ANCHOR = re.compile(r"\S*[0-9@]\S*")
 #: Words before a region that are shown to the field as well.
 _BEFORE = re.compile(r"\S+\s+\S+\s+\Z|\S+\s+\Z")
-_SEED_CARD = re.compile(r"(?<![\w.])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w])")
 _SEED_SECRET = re.compile(r"(?i)\b(?:token|secret|password|api_?key)\s*[=:]\s*[\"']?([0-9A-Za-z]{16,})")
 
 
@@ -89,33 +94,39 @@ def regions(text: str):
         yield tuple(held)
 
 
-def _shape(s: str) -> str:
-    s = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s))
-    return re.sub(r"(?:a9|9a)[a9]*", "x", s)[:24]
+def _shape(atom: str) -> str:
+    """a for letters, 9 for digits, x for both together; signs and blanks stand for themselves."""
+    if not atom[0].isalnum():
+        return atom
+    digits = sum(map(str.isdigit, atom))
+    return "a" if not digits else "9" if digits == len(atom) else "x"
 
 
 def candidates(atoms: list[str]):
     """(i, j, features) of the spans that may be entities: they start and end on a sign or letter and hold a digit or @."""
     n = len(atoms)
     blank = [a.isspace() for a in atoms]
-    key = [any(c.isdigit() or c == "@" for c in a) for a in atoms]
+    shapes = [_shape(a) for a in atoms]
+    sums = lambda xs: [0, *itertools.accumulate(xs)]
+    digits = sums(sum(map(str.isdigit, a)) for a in atoms)
+    ats, stops = sums(a == "@" for a in atoms), sums(a == "." for a in atoms)
     for i in range(n):
         if blank[i]:
             continue
         left = next((atoms[k].lower() for k in range(i - 1, max(-1, i - 5), -1) if not blank[k] and atoms[k] not in "\"'=:"), "^")
-        touch = atoms[i - 1] if i else "^"
-        some = False
+        before = ("t:" + (shapes[i - 1] if i else "^"), "l:" + (left[:8] if not left.isdigit() else "9"))
+        shape = ""
         for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
-            some = some or key[j - 1]
-            if blank[j - 1] or not some:
+            shape += shapes[j - 1]
+            own = digits[j] - digits[i]
+            if blank[j - 1] or not own and ats[j] == ats[i]:
                 continue
-            s = "".join(atoms[i:j])
-            digits = sum(c.isdigit() for c in s)
-            right = atoms[j] if j < n else "$"
-            hexes = len(s) if j == i + 1 and digits and digits < len(s) else 0
+            size = len(atoms[i])
+            hexes = size if j == i + 1 and 0 < own < size else 0
+            valid = 13 <= own <= 19 and luhn("".join(c for a in atoms[i:j] for c in a if c in "0123456789"))
             yield i, j, (
-                "one", "s:" + _shape(s), f"d:{min(digits, 20)}", f"n:{j - i}", "t:" + _shape(touch), "r:" + _shape(right[:1]),
-                "l:" + (left[:8] if not left.isdigit() else "9"), f"h:{min(hexes // 8, 6)}", f"@:{s.count('@')}.{min(s.count('.'), 4)}",
+                "one", "s:" + shape[:24], f"d:{min(own, 20)}", f"n:{j - i}", *before, "r:" + (shapes[j][:1] if j < n else "$"),
+                f"h:{min(hexes // 8, 6)}", f"@:{ats[j] - ats[i]}.{min(stops[j] - stops[i], 4)}", f"v:{valid}",
             )
 
 
@@ -125,6 +136,7 @@ class Field:
     def __init__(self):
         self.weight: dict[tuple[str, str], float] = defaultdict(float)
         self.follow: dict[tuple[str, str], float] = defaultdict(float)
+        self.table = None
 
     def _scored(self, atoms):
         spans = defaultdict(list)
@@ -132,29 +144,55 @@ class Field:
             spans[j].append((i, feats, [sum(self.weight.get((k, f), 0.0) for f in feats) for k in KINDS]))
         return spans
 
+    def freeze(self) -> None:
+        """Lay the weights out for decoding: a row of kinds for each feature, and what a span must score to matter."""
+        names = sorted({f for _, f in self.weight})
+        self.index = {f: n for n, f in enumerate(names, 1)}
+        self.table = np.zeros((len(names) + 1, len(KINDS)))
+        for (k, f), w in self.weight.items():
+            self.table[self.index[f], KINDS.index(k)] = w
+        states = ("O", *KINDS)
+        self.steps = [[self.follow.get((p, k), 0.0) for p in states] for k in KINDS]
+        gain = [max(0.0, *(self.follow.get((p, k), 0.0) - self.follow.get(("O", k), 0.0) for k in KINDS)) for p in KINDS]
+        # a span below this never beats leaving its atoms outside, whatever stands before and after it
+        self.floor = -np.array([max(own) + g for own, g in zip(self.steps, gain)])
+
     def decode(self, atoms: list[str]) -> list[tuple[str, int, int]]:
         """The best segmentation's entities, as (kind, first atom, end atom)."""
-        spans, n = self._scored(atoms), len(atoms)
-        states = ("O", *KINDS)
-        best, back = [dict.fromkeys(states, 0.0)], [{}]
-        best[0] = {"O": 0.0}
-        for j in range(1, n + 1):
-            now, how = {}, {}
-            p = max(best[j - 1], key=best[j - 1].get)
-            now["O"], how["O"] = best[j - 1][p], (j - 1, p)
-            for i, _, scores in spans[j]:
-                for k, s in zip(KINDS, scores):
-                    for p, v in best[i].items():
-                        total = v + s + self.follow.get((p, k), 0.0)
-                        if total > now.get(k, -math.inf) and total > -50:
-                            now[k], how[k] = total, (i, p)
+        if self.table is None:
+            self.freeze()
+        places, rows, known = [], [], self.index.get
+        for i, j, feats in candidates(atoms):
+            places.append((i, j))
+            rows.append([known(f, 0) for f in feats])
+        if not rows:
+            return []
+        scores = np.concatenate([self.table[np.array(rows[at : at + 4096])].sum(axis=1) for at in range(0, len(rows), 4096)])
+        ending = defaultdict(list)
+        for c, k in zip(*(x.tolist() for x in np.nonzero(scores > self.floor))):
+            ending[places[c][1]].append((places[c][0], k, scores[c, k]))
+        if not ending:
+            return []
+        # the best value of each state (outside, then the kinds) after each atom, and where it comes from
+        best = [[0.0] + [-math.inf] * len(KINDS)]
+        back: list[list] = [[None] * (len(KINDS) + 1)]
+        for j in range(1, len(atoms) + 1):
+            had = best[j - 1]
+            top = max(range(len(had)), key=had.__getitem__)
+            now, how = [had[top]] + [-math.inf] * len(KINDS), [(j - 1, top)] + [None] * len(KINDS)
+            for i, k, s in ending.get(j, ()):
+                come = [v + f for v, f in zip(best[i], self.steps[k])]
+                p = max(range(len(come)), key=come.__getitem__)
+                if come[p] + s > now[k + 1]:
+                    now[k + 1], how[k + 1] = come[p] + s, (i, p)
             best.append(now)
             back.append(how)
-        out, j, state = [], n, max(best[n], key=best[n].get)
+        out, j = [], len(atoms)
+        state = max(range(len(best[j])), key=best[j].__getitem__)
         while j:
             i, p = back[j][state]
-            if state != "O":
-                out.append((state, i, j))
+            if state:
+                out.append((KINDS[state - 1], i, j))
             j, state = i, p
         return out[::-1]
 
@@ -200,6 +238,8 @@ class Field:
         out = []
         if not self.weight:
             return out
+        taken = sorted((x, y) for _, x, y in base)
+        starts, ends = [x for x, _ in taken], list(itertools.accumulate((y for _, y in taken), max))
         for start, end in regions(text):
             atoms = _ATOM.findall(text[start:end])
             places = [start]
@@ -207,41 +247,55 @@ class Field:
                 places.append(places[-1] + len(a))
             for kind, i, j in self.decode(atoms):
                 s, e = places[i], places[j]
-                if not any(s < y and x < e for _, x, y in base):
+                near = bisect.bisect_left(starts, e)  # base spans that start before e; does the farthest end after s?
+                if not near or ends[near - 1] <= s:
                     out.append((kind, s, e))
         return out
 
 
 def seeds(text: str) -> list[tuple[str, int, int]]:
-    """Spans that the field learns from: the base spans, card-like numbers and quoted secrets, without overlaps."""
-    found = base_spans(text) + [("card", *m.span()) for m in _SEED_CARD.finditer(text)] + [("secret", *m.span(1)) for m in _SEED_SECRET.finditer(text)]
-    out: list[tuple[str, int, int]] = []
-    for s in found:
-        if not any(s[1] < e and b < s[2] for _, b, e in out):
-            out.append(s)
-    return out
+    """Spans that the field learns from: the base spans and quoted secrets, without overlaps.
+
+    Of spans that overlap the one of the kind listed first stays, then the one that starts first.
+    """
+    found = base_spans(text) + [("secret", *m.span(1)) for m in _SEED_SECRET.finditer(text)]
+    out: list[tuple[int, int, str]] = []
+    for kind, s, e in found:
+        at = bisect.bisect_left(out, (s, e, kind))
+        if (at == 0 or out[at - 1][1] <= s) and (at == len(out) or out[at][0] >= e):
+            out.insert(at, (s, e, kind))
+    return [(k, s, e) for s, e, k in out]
+
+
+def _trained_parts(text: str):
+    """(start, end) of the text's regions, long ones in parts that end at blanks."""
+    for start, end in regions(text):
+        while end - start > REGION_CHARS and (blank := re.compile(r"\s").search(text, start + REGION_CHARS, end)):
+            yield start, blank.start()
+            start = blank.end()
+        yield start, end
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, max_regions: int = MAX_REGIONS, epochs: int = EPOCHS) -> Field:
-    """Fit the field on the regions of at most ``max_train`` documents that hold digits or at-signs.
+    """Fit the field on regions of about ``max_train`` documents that hold digits or at-signs, drawn by a hash of the text.
 
-    Regions, not texts, come to the driver, ``max_regions`` at most.
+    The documents are read in Spark; regions, not texts, come to the driver, ``max_regions`` at most.
     """
     rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    rows = rows.where(F.length("t") <= 20_000).orderBy("h", "t").limit(max_train)
+    rows = rows.where(below_share(F.col("h"), max_train / max(1, rows.count())))
 
     def run(batches):
         for b in batches:
             texts, golds = [], []
             for text in b.column(1).to_pylist():
                 own = seeds(text)
-                for start, end in regions(text):
-                    if end - start <= 200:
-                        texts.append(text[start:end])
-                        golds.append(",".join(f"{k}:{s - start}:{e - start}" for k, s, e in own if s >= start and e <= end))
+                for start, end in _trained_parts(text):
+                    texts.append(text[start:end])
+                    at = bisect.bisect_left(own, start, key=lambda x: x[1])
+                    golds.append(",".join(f"{k}:{s - start}:{e - start}" for k, s, e in itertools.takewhile(lambda x: x[1] < end, own[at:]) if e <= end))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(golds, pa.string())], names=["t", "g"])
 
-    found = rows.mapInArrow(run, "t string, g string").distinct().orderBy(F.xxhash64("t"), "t", "g").limit(max_regions).collect()
+    found = rows.transform(map_arrow, run, "t string, g string").distinct().orderBy(F.xxhash64("t"), "t", "g").limit(max_regions).collect()
     field, data = Field(), []
     for r in found:
         atoms, at, gold = _ATOM.findall(r["t"]), {0: 0}, set()
@@ -287,7 +341,7 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct(fields)))], names=[id_col, "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"{id_col} long, spans array<struct<kind:string,start:bigint,stop:bigint,base:boolean>>")
+    return rows.transform(map_arrow, run, f"{id_col} long, spans array<struct<kind:string,start:bigint,stop:bigint,base:boolean>>")
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -326,7 +380,7 @@ def redact(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
     names = [c for c in docs.columns if c != text_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(text_col, *names).schema)
-    done = docs.select(text_col, *names).mapInArrow(run, schema)
+    done = docs.select(text_col, *names).transform(map_arrow, run, schema)
     if count_col and count_col in names:
         done = done.withColumn(count_col, F.char_length(text_col).cast(docs.schema[count_col].dataType))
     return done.select(*docs.columns)
