@@ -9,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import map_arrow
+
 Q = 8
 EDIT_RATE = 0.1
 #: Characters of benchmark text that one pass takes to the executors (about 100 MB of index).
 BLOCK_CHARS = 2_000_000
 #: Characters of documents that a task looks at in one go.
 TEXT_CHARS = 1_000_000
+#: Shared q-grams that are counted in one go.
+HITS = 1 << 20
 FILTER_BITS = 22
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -97,13 +101,8 @@ class Index:
         n = self.first[key + 1] - self.first[key]
         if not n.sum():
             return []
-        row = np.repeat(self.first[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item = self.item[row]
-        diagonal = np.repeat(at, n) - self.place[row]
-        width = self.budget[item] + 1
         cells = len(codes) + int(self.size.max()) + 4
-        cell = diagonal // width + int(self.size.max()) + 1
-        found, count = np.unique(item * cells + cell, return_counts=True)
+        found, count = self._cells(at, key, n, cells)
         follow = np.searchsorted(found, found + 1)
         second = np.where((follow < len(found)) & (found[np.minimum(follow, len(found) - 1)] == found + 1), count[np.minimum(follow, len(found) - 1)], 0)
         before = np.searchsorted(found, found - 1)
@@ -118,6 +117,32 @@ class Index:
                 out.append((i, (c - 1) * int(self.budget[i] + 1)))
         return out
 
+    def _cells(self, at: np.ndarray, key: np.ndarray, n: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cells (item and diagonal cell as one number) with shared q-grams, and the count of these.
+
+        A repetitive text and passage share each q-gram at many places, so places are expanded
+        HITS at a time, and only counts of cells are held.
+        """
+        ends = np.cumsum(n)
+        parts, held = [], 0
+
+        def merged():
+            every, owner = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+            return every, np.bincount(owner, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+        for lo in range(0, int(ends[-1]), HITS):
+            hit = np.arange(lo, min(lo + HITS, int(ends[-1])))
+            own = np.searchsorted(ends, hit, "right")
+            row = self.first[key[own]] + hit - (ends[own] - n[own])
+            item = self.item[row]
+            cell = (at[own] - self.place[row]) // (self.budget[item] + 1) + int(self.size.max()) + 1
+            parts.append(np.unique(item * cells + cell, return_counts=True))
+            held += len(parts[-1][0])
+            if held > 4 * HITS and len(parts) > 1:
+                parts = [merged()]
+                held = len(parts[0][0])
+        return parts[0] if len(parts) == 1 else merged()
+
 
 def align(item: np.ndarray, text: np.ndarray, first: int, width: int) -> tuple[int, int, int]:
     """Fewest edits that turn ``item`` into a stretch of ``text``, on diagonals first .. first + width - 1.
@@ -225,7 +250,7 @@ def _search(rows: DataFrame, index: Index, id_col: str, item_col: str) -> DataFr
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return rows.mapInArrow(run, f"{id_col} long, {item_col} long, match_start long, match_end long, edits long, similarity double")
+    return rows.transform(map_arrow, run, f"{id_col} long, {item_col} long, match_start long, match_end long, edits long, similarity double")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
