@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import cut
+from lacuna.llm.common import cut, map_arrow
 
 END_ID = 1
-#: A worker's memory of word ids is emptied at this many words (about 300 MB).
-CACHE_WORDS = 1_500_000
+#: A worker's memory of word ids is emptied at this many words (about 120 MB).
+CACHE_WORDS = 600_000
 #: A stop or comma between a letter and a blank: it is a token of its own, as a blank before it shows.
 _STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=\s|\Z)")
 _MARK = b"\x01"
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return rows.transform(map_arrow, run, f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 class CapacityTree:
