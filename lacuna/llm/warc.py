@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import map_arrow
+
 CRLF = b"\r\n"
 SEGMENT_BYTES = 1 << 16
-RECORDS_PER_FILE = 1000
+RECORDS_PER_FILE = 4000
 DATE = "2020-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-ROWS = "record string, segment long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, last boolean, body binary"
+ROWS = "record string, segment long, chunk long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, last boolean, body binary"
 
 
 def base32_sha1(payload):
@@ -54,74 +56,54 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "pa
     )
 
 
-def _uri(page_id) -> str:
-    return "" if page_id is None else str(page_id)
-
-
-def _segments(row: dict, record: str, size: int):
-    """The WARC records of one page as byte strings without the closing blank lines."""
-    payload, revisit = row["payload"], row["record_type"] == "revisit"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"]
-    total = 1 if revisit else max(1, -(-len(payload) // size))
-    view = memoryview(payload)
-    for n in range(1, total + 1):
-        body = b"" if revisit else view[(n - 1) * size : n * size]
-        head = [
-            "WARC/1.1",
-            f"WARC-Type: {row['record_type'] if n == 1 else 'continuation'}",
-            f"WARC-Record-ID: <urn:page:{record}:{n}>",
-            f"WARC-Date: {DATE}",
-            f"WARC-Target-URI: {' '.join((row['url'] or '').split())}",
-            f"X-Page-ID: {_uri(row['page_id'])}",
-            f"X-Payload-Length: {row['payload_bytes']}",
-            f"WARC-Payload-Digest: sha1:{row['payload_digest']}",
-        ]
-        if revisit:
-            head += [f"WARC-Refers-To: <urn:page:{row['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        if total > 1:
-            head += [f"WARC-Segment-Number: {n}"] + [f"WARC-Segment-Origin-ID: <urn:page:{record}:1>"] * (n > 1)
-            head += [f"WARC-Segment-Total-Length: {len(http) + len(payload)}"] * (n == total)
-        block = http if n == 1 else b""
-        head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block) + len(body)}"]
-        yield b"".join((CRLF.join(h.encode() for h in head), CRLF, CRLF, block, body))
+def segments(records: DataFrame, size: int = SEGMENT_BYTES) -> DataFrame:
+    """A row for each WARC record of the planned records: record, segment, value (header and block as bytes).
+
+    A payload above ``size`` becomes a response and continuation records, cut from the payload one
+    by one, so no row is larger than that; all by JVM functions.
+    """
+    crlf = F.lit("\r\n")
+    revisit = F.col("record_type") == "revisit"
+    total = F.when(revisit, 1).otherwise(F.greatest(F.ceil(F.col("payload_bytes") / size), F.lit(1))).cast("int")
+    keyed = records.withColumn("record", F.lower(F.hex(F.monotonically_increasing_id()))).withColumn("total", total)
+    rows = keyed.withColumn("segment", F.explode(F.sequence(F.lit(1), F.col("total"))))
+    first, split = F.col("segment") == 1, F.col("total") > 1
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), crlf, crlf)
+    body = F.when(revisit, F.lit(b"")).otherwise(F.substring(F.col("payload"), (F.col("segment") - 1) * size + 1, F.lit(size)))
+    rows = rows.withColumn("block", F.concat(F.when(first, http.cast("binary")).otherwise(F.lit(b"")), body))
+    line = lambda name, *parts: F.concat(F.lit(f"{name}: "), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    head = F.concat_ws(
+        "\r\n",
+        F.lit("WARC/1.1"),
+        line("WARC-Type", F.when(first, F.col("record_type")).otherwise("continuation")),
+        line("WARC-Record-ID", "<urn:page:", F.col("record"), ":", F.col("segment"), ">"),
+        line("WARC-Date", DATE),
+        line("WARC-Target-URI", F.trim(F.regexp_replace(F.coalesce("url", F.lit("")), r"[\s\p{Z}\p{Cc}]+", " "))),
+        line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
+        line("X-Payload-Length", F.col("payload_bytes")),
+        line("WARC-Payload-Digest", "sha1:", F.col("payload_digest")),
+        F.when(revisit, line("WARC-Refers-To", "<urn:page:", F.col("refers_to"), ">")),
+        F.when(revisit, line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        F.when(split, line("WARC-Segment-Number", F.col("segment"))),
+        F.when(split & ~first, line("WARC-Segment-Origin-ID", "<urn:page:", F.col("record"), ":1>")),
+        F.when(split & (F.col("segment") == F.col("total")), line("WARC-Segment-Total-Length", F.octet_length(http) + F.col("payload_bytes"))),
+        line("Content-Type", "application/http; msgtype=response"),
+        line("Content-Length", F.octet_length("block")),
+    )
+    return rows.select("record", "segment", F.concat(head.cast("binary"), F.lit(b"\r\n\r\n"), F.col("block")).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write planned records as gzipped WARC files, each row of the written table being one WARC record.
 
-    A payload above ``segment_bytes`` becomes a response and continuation records, so no row is
-    larger than that and no file holds more than ``records_per_file`` of them.
+    No row is larger than a segment and no file holds more than ``records_per_file`` of them, so a
+    file can be read back within bounded memory. A file is one gzip stream.
     """
-
-    def run(batches):
-        for b in batches:
-            for row, key in zip(b.drop_columns(["key"]).to_pylist(), b.column("key").to_pylist()):
-                for s in _segments(row, f"{key:x}", segment_bytes):
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.binary())], names=["value"])
-
-    rows = records.withColumn("key", F.monotonically_increasing_id()).mapInArrow(_joined(run), "value binary")
     # a cast keeps the bytes as they are; blank lines close each record
-    writer = rows.select(F.col("value").cast("string").alias("value")).write
+    writer = segments(records, segment_bytes).select(F.col("value").cast("string").alias("value")).write
     writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _joined(run, rows: int = 256, size: int = 4 << 20):
-    """Join a generator's batches into batches of up to so many rows or bytes."""
-
-    def joined(batches):
-        held, n, m = [], 0, 0
-        for b in run(batches):
-            held.append(b)
-            n, m = n + b.num_rows, m + b.nbytes
-            if n >= rows or m >= size:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n, m = [], 0, 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return joined
-
-
 def _parts(content: bytes, step: int = 1 << 20):
     """The bytes of a plain or gzipped file, piece by piece."""
     if content[:2] != b"\x1f\x8b":
@@ -136,8 +118,11 @@ def _parts(content: bytes, step: int = 1 << 20):
             left, unzip = unzip.unused_data, zlib.decompressobj(31)
 
 
-def parse_warc(content: bytes):
-    """(header fields, block) of each WARC record, holding one record at a time."""
+def parse_warc(content: bytes, size: int = SEGMENT_BYTES):
+    """(header fields, chunk number, chunk, whether it is the last) for the block of each WARC record.
+
+    Chunks hold ``size`` bytes at most, so a record is never held whole, however large.
+    """
     buffer, parts = bytearray(), _parts(content)
 
     def more() -> bool:
@@ -163,39 +148,68 @@ def parse_warc(content: bytes):
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]}")
         fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(fields["content-length"])
-        while len(buffer) < end + 4 + size:
-            if not more():
-                raise ValueError("a WARC record is cut short")
-        block = bytes(buffer[end + 4 : end + 4 + size])
-        del buffer[: end + 4 + size]
-        yield fields, block
-
-
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each WARC record under ``path``: its record, segment number, fields and body.
-
-    Whole payloads are digested where they are read and leave their body there; only the
-    segments of oversized payloads carry theirs.
+        del buffer[: end + 4]
+        left, n = int(fields["content-length"]), 0
+        while left or not n:
+            want = min(left, size)
+            while len(buffer) < want:
+                if not more():
+                    raise ValueError("a WARC record is cut short")
+            chunk = bytes(buffer[:want])
+            del buffer[:want]
+            left -= want
+            yield fields, n, chunk, not left
+            n += 1
+
+
+def payload_chunks(content: bytes, size: int = SEGMENT_BYTES):
+    """The chunks of ``parse_warc`` without the HTTP header that a block other than a continuation begins with."""
+    head = None
+    for fields, n, chunk, last in parse_warc(content, size):
+        if n == 0:
+            head = b"" if fields["warc-type"] != "continuation" else None
+        if head is not None:
+            head += chunk
+            end = head.find(b"\r\n\r\n")
+            if end < 0 and not last:
+                chunk = b""
+            else:
+                chunk, head = head[end + 4 :] if end >= 0 else b"", None
+        yield fields, n, chunk, last
+
+
+def read_segments(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame:
+    """The chunked record table of the archives under ``path``: rows by record, segment and chunk number.
+
+    Records that are whole run through an incremental digest where they are read and leave their
+    body there, in one row a record; ``bodies`` keeps it, in chunk rows. The segments of oversized
+    payloads are chunk rows with their bodies.
     """
 
     def rows(batches):
         for b in batches:
             for content in b.column(0).to_pylist():
-                for f, block in parse_warc(content):
+                digest, size = hashlib.sha1(), 0
+                for f, chunk, body, last in payload_chunks(content):
                     kind, n = f["warc-type"], int(f.get("warc-segment-number", 0))
-                    body = block.partition(b"\r\n\r\n")[2] if kind != "continuation" else block
                     whole = kind == "response" and n == 0
-                    digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if whole else f["warc-payload-digest"].removeprefix("sha1:")
+                    if chunk == 0:
+                        digest, size = hashlib.sha1(), 0
+                    if whole:
+                        digest.update(body)
+                        size += len(body)
+                    if not (last or n or bodies):
+                        continue
                     page, refers = f["x-page-id"], f.get("warc-refers-to", "")[len("<urn:page:") : -1]
                     yield {
-                        "record": f["warc-record-id"][1:-1].rpartition(":")[0], "segment": n, "page_id": int(page) if page else None, "url": f["warc-target-uri"],
+                        "record": f["warc-record-id"][1:-1].rpartition(":")[0], "segment": n, "chunk": chunk, "page_id": int(page) if page else None, "url": f["warc-target-uri"],
                         "record_type": "response" if kind == "continuation" else kind, "refers_to": int(refers) if refers else None,
-                        "payload_bytes": len(body) if whole else int(f["x-payload-length"]), "payload_digest": digest,
-                        "last": n == 0 or "warc-segment-total-length" in f, "body": body if n else None,
+                        "payload_bytes": size if whole else int(f["x-payload-length"]),
+                        "payload_digest": base64.b32encode(digest.digest()).decode() if whole and last else f["warc-payload-digest"].removeprefix("sha1:"),
+                        "last": last and (n == 0 or "warc-segment-total-length" in f), "body": body if n or bodies else None,
                     }
 
-    schema = pa.schema([("record", pa.string()), ("segment", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("last", pa.bool_()), ("body", pa.binary())])
+    schema = pa.schema([("record", pa.string()), ("segment", pa.int64()), ("chunk", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("last", pa.bool_()), ("body", pa.binary())])
 
     def run(batches):
         held, size = [], 0
@@ -209,22 +223,22 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(held, schema)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, ROWS)
+    return files.transform(map_arrow, run, ROWS)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row a record: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    The segments of a payload meet in order in one partition and run through one incremental
-    digest, a segment at a time. A payload whose segments are not all there raises an error.
+    The chunks of an oversized payload meet in order in one partition and run through one
+    incremental digest. A payload whose segments are not all there raises an error.
     """
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def run(batches):
-        digest, size, record, expected = hashlib.sha1(), 0, None, 1
+        digest, size, record, expected = hashlib.sha1(), 0, None, (1, 0)
         for b in batches:
             kept, sizes, digests = [], [], []
-            numbers, records, lasts, bodies = (b.column(c).to_pylist() for c in ("segment", "record", "last", "body"))
+            numbers, chunks, records, lasts, bodies = (b.column(c).to_pylist() for c in ("segment", "chunk", "record", "last", "body"))
             known = (b.column("payload_bytes").to_pylist(), b.column("payload_digest").to_pylist())
             for i, n in enumerate(numbers):
                 if n == 0:
@@ -232,12 +246,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     sizes.append(known[0][i])
                     digests.append(known[1][i])
                     continue
-                if n == 1:
-                    digest, size, record, expected = hashlib.sha1(), 0, records[i], 1
-                if records[i] != record or n != expected:
+                here = (n, chunks[i])
+                if here == (1, 0):
+                    digest, size, record, expected = hashlib.sha1(), 0, records[i], here
+                # the next chunk of the segment, or the first of the next segment
+                if records[i] != record or here not in (expected, (expected[0] + 1, 0)):
                     raise ValueError(f"segment {n} of {records[i]} is out of place")
                 digest.update(bodies[i])
-                size, expected = size + len(bodies[i]), expected + 1
+                size, expected = size + len(bodies[i]), (n, chunks[i] + 1)
                 if lasts[i]:
                     if size != known[0][i]:
                         raise ValueError(f"{records[i]} has {size} bytes of {known[0][i]}")
@@ -249,5 +265,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             columns = {c: b.column(c).take(at) for c in names} | {"payload_bytes": pa.array(sizes, pa.int64()), "payload_digest": pa.array(digests, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    rows = read_segments(spark, path).repartition("record").sortWithinPartitions("record", "segment")
-    return rows.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = read_segments(spark, path).repartition("record").sortWithinPartitions("record", "segment", "chunk")
+    return rows.transform(map_arrow, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
