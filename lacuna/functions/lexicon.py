@@ -5,15 +5,15 @@ Patterns are matched without regard to case unless a table says otherwise.
 
 #: Discourse labels, ties go to the earlier one.
 LABELS = [
-    r"PROBLEM",
-    r"OBJECTIVE",
-    r"METHOD",
-    r"DATASET",
-    r"METRIC",
-    r"RESULT",
-    r"LIMITATION",
-    r"FUTURE_WORK",
-    r"OTHER",
+    "PROBLEM",
+    "OBJECTIVE",
+    "METHOD",
+    "DATASET",
+    "METRIC",
+    "RESULT",
+    "LIMITATION",
+    "FUTURE_WORK",
+    "OTHER",
 ]
 
 #: Patterns and weights of each label.
@@ -267,44 +267,44 @@ METHOD_TEMPLATES = [
 
 #: Known methods.
 CANONICAL_METHODS = [
-    r"transformer",
-    r"self-attention",
-    r"multi-head attention",
-    r"attention mechanism",
-    r"lstm",
-    r"bilstm",
-    r"gru",
-    r"rnn",
-    r"recurrent neural network",
-    r"cnn",
-    r"convolutional neural network",
-    r"bert",
-    r"roberta",
-    r"scibert",
-    r"gpt",
-    r"gpt-2",
-    r"gpt-3",
-    r"gpt-4",
-    r"llama",
-    r"resnet",
-    r"vgg",
-    r"densenet",
-    r"gcn",
-    r"gat",
-    r"graph neural network",
-    r"adam",
-    r"adamw",
-    r"sgd",
-    r"backpropagation",
-    r"beam search",
-    r"dropout",
-    r"layernorm",
-    r"batchnorm",
-    r"lora",
-    r"flashattention",
-    r"contrastive learning",
-    r"diffusion model",
-    r"encoder-decoder",
+    "transformer",
+    "self-attention",
+    "multi-head attention",
+    "attention mechanism",
+    "lstm",
+    "bilstm",
+    "gru",
+    "rnn",
+    "recurrent neural network",
+    "cnn",
+    "convolutional neural network",
+    "bert",
+    "roberta",
+    "scibert",
+    "gpt",
+    "gpt-2",
+    "gpt-3",
+    "gpt-4",
+    "llama",
+    "resnet",
+    "vgg",
+    "densenet",
+    "gcn",
+    "gat",
+    "graph neural network",
+    "adam",
+    "adamw",
+    "sgd",
+    "backpropagation",
+    "beam search",
+    "dropout",
+    "layernorm",
+    "batchnorm",
+    "lora",
+    "flashattention",
+    "contrastive learning",
+    "diffusion model",
+    "encoder-decoder",
 ]
 
 #: Templates of dataset names (case matters).
@@ -316,32 +316,32 @@ DATASET_TEMPLATES = [
 
 #: Known datasets.
 CANONICAL_DATASETS = [
-    r"wmt",
-    r"wmt 2014",
-    r"wmt14",
-    r"glue",
-    r"superglue",
-    r"squad",
-    r"squad 2.0",
-    r"imagenet",
-    r"cifar-10",
-    r"cifar-100",
-    r"mnist",
-    r"ms coco",
-    r"coco",
-    r"conll",
-    r"penn treebank",
-    r"multi30k",
-    r"bookcorpus",
-    r"wikipedia",
-    r"pubmed",
-    r"arxiv",
-    r"triviaqa",
-    r"natural questions",
-    r"snli",
-    r"mnli",
-    r"smlmt",
-    r"ag news",
+    "wmt",
+    "wmt 2014",
+    "wmt14",
+    "glue",
+    "superglue",
+    "squad",
+    "squad 2.0",
+    "imagenet",
+    "cifar-10",
+    "cifar-100",
+    "mnist",
+    "ms coco",
+    "coco",
+    "conll",
+    "penn treebank",
+    "multi30k",
+    "bookcorpus",
+    "wikipedia",
+    "pubmed",
+    "arxiv",
+    "triviaqa",
+    "natural questions",
+    "snli",
+    "mnli",
+    "smlmt",
+    "ag news",
 ]
 
 #: Metric names with an optional score.
@@ -352,56 +352,56 @@ METRIC_TEMPLATES = [
 
 #: Abbreviations whose periods end no sentence.
 ABBREVIATIONS = [
-    r"e.g.",
-    r"i.e.",
-    r"et al.",
-    r"etc.",
-    r"cf.",
-    r"viz.",
-    r"vs.",
-    r"v.",
-    r"ca.",
-    r"ibid.",
-    r"op. cit.",
-    r"fig.",
-    r"figs.",
-    r"eq.",
-    r"eqs.",
-    r"eqn.",
-    r"eqns.",
-    r"ref.",
-    r"refs.",
-    r"sec.",
-    r"secs.",
-    r"tab.",
-    r"tabs.",
-    r"vol.",
-    r"vols.",
-    r"no.",
-    r"nos.",
-    r"pp.",
-    r"p.",
-    r"ch.",
-    r"app.",
-    r"dr.",
-    r"prof.",
-    r"mr.",
-    r"mrs.",
-    r"ms.",
-    r"univ.",
-    r"dept.",
-    r"assoc.",
-    r"proc.",
-    r"conf.",
-    r"u.s.",
-    r"u.k.",
-    r"ph.d.",
-    r"m.sc.",
-    r"b.sc.",
-    r"approx.",
-    r"min.",
-    r"sec.",
-    r"hr.",
+    "e.g.",
+    "i.e.",
+    "et al.",
+    "etc.",
+    "cf.",
+    "viz.",
+    "vs.",
+    "v.",
+    "ca.",
+    "ibid.",
+    "op. cit.",
+    "fig.",
+    "figs.",
+    "eq.",
+    "eqs.",
+    "eqn.",
+    "eqns.",
+    "ref.",
+    "refs.",
+    "sec.",
+    "secs.",
+    "tab.",
+    "tabs.",
+    "vol.",
+    "vols.",
+    "no.",
+    "nos.",
+    "pp.",
+    "p.",
+    "ch.",
+    "app.",
+    "dr.",
+    "prof.",
+    "mr.",
+    "mrs.",
+    "ms.",
+    "univ.",
+    "dept.",
+    "assoc.",
+    "proc.",
+    "conf.",
+    "u.s.",
+    "u.k.",
+    "ph.d.",
+    "m.sc.",
+    "b.sc.",
+    "approx.",
+    "min.",
+    "sec.",
+    "hr.",
 ]
 
 #: Canonical names by written form.
@@ -467,6 +467,8 @@ USES_CUES = r"\b(we use|we employ|we utilize|trained on|fine-tuned on|evaluated
 
 #: Fixed value: cues of a relation.
 ADDRESSES_CUES = r"\b(address|addresses|addressing|to overcome|mitigates|resolves|tackles|alleviates|circumvents|solves the bottleneck)\b"
+#: Fixed value: verbs of a sentence that takes on another paper's limitation.
+SOLVING_VERBS = r"\b(address|overcome|mitigate|solve|tackle|resolve)\b"
 
 #: Fixed value: cues of a relation.
 SUPPORTS_CUES = r"\b(confirms|demonstrates|validates|supports the hypothesis|consistent with|corroborates|proves the efficacy)\b"

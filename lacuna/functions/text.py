@@ -74,13 +74,22 @@ def title_case(text: Column) -> Column:
 
 
 def slugify(text: Column, dash: str = "_", limit: int | None = 64) -> Column:
-    slug = F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), "(?U)[^\\w\\s-]", ""), "[-\\s]+", dash)
+    slug = F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), "[^\\p{L}\\p{N}_\\s\\p{Z}-]", ""), "[-\\s\\p{Z}]+", dash)
     return F.substring(slug, 1, limit) if limit else slug
 
 
+#: Edges of words in any script, spelt out as ``\\b`` depends on the Java version.
+BEFORE, AFTER = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
+
+
+def whole_words(text: Column, pattern: str) -> Column:
+    """The words of a text in lower case that ``pattern`` describes from end to end."""
+    return F.regexp_extract_all(F.lower(text), F.lit(BEFORE + pattern + AFTER), F.lit(0))
+
+
 def words(text: Column, least: int = 3, stop: list[str] | None = None) -> Column:
     """Distinct lower-case ASCII words of ``least`` letters or more, without stop words."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"\\b[a-z]{{{least},}}\\b"), F.lit(0)))
+    found = F.array_distinct(whole_words(text, f"[a-z]{{{least},}}"))
     return F.array_except(found, F.array(*map(F.lit, stop))) if stop else found
 
 
@@ -96,11 +105,11 @@ def protect_periods(text: Column, abbreviations: list[str] | None = None) -> Col
     """Replace periods that end no sentence by a private character: numbers, initials, abbreviations, citations."""
     dot = DOT
     text = F.regexp_replace(text, "(\\d)\\.(?=\\d)", f"$1{dot}")
-    text = F.regexp_replace(text, "\\b([A-Z])\\.\\s+(?=[A-Z])", f"$1{dot} ")
+    text = F.regexp_replace(text, BEFORE + "([A-Z])\\.\\s+(?=[A-Z])", f"$1{dot} ")
     for a in lexicon.ABBREVIATIONS if abbreviations is None else abbreviations:
         parts = a.split(".")[:-1]
         groups = "\\.".join("(" + p.replace(" ", "\\x20") + ")" for p in parts)
-        text = F.regexp_replace(text, f"(?i)\\b{groups}\\.", "".join(f"${n}{dot}" for n in range(1, len(parts) + 1)))
+        text = F.regexp_replace(text, f"(?i){BEFORE}{groups}\\.", "".join(f"${n}{dot}" for n in range(1, len(parts) + 1)))
     return F.regexp_replace(text, "(\\[\\s*\\d+)\\.(\\s*\\d+\\])", f"$1{dot}$2")
 
 

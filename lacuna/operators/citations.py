@@ -26,11 +26,14 @@ def context_text(context: DataFrame) -> DataFrame:
     return own.select("gap_id", F.array_join(F.transform("s", lambda x: x["l"]), "\n").alias("context"))
 
 
-def prompts(gaps: DataFrame, context: DataFrame, states: DataFrame, verified: DataFrame) -> DataFrame:
-    """(gap_id, prompt) from the gap, its lifecycle and verification states and its tagged context."""
+def prompts(gaps: DataFrame, context: DataFrame, states: DataFrame, verified: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """(gap_id, prompt) from the gap, its lifecycle and verification states, its genealogy (gap_id, summary) and its tagged context."""
+    steps = gaps.where("false").select("gap_id", F.lit("").alias("summary")) if steps is None else steps
     rows = gaps.join(context_text(context), "gap_id", "left").join(states.select("gap_id", F.col("status").alias("lifecycle")), "gap_id", "left").join(verified.select("gap_id", F.col("status").alias("verification")), "gap_id", "left")
-    part = lambda name, c: F.concat(F.lit(name + ": "), F.coalesce(F.col(c), F.lit("unknown")))
-    return rows.select("gap_id", F.concat_ws("\n", part("Gap", "title"), part("Lifecycle", "lifecycle"), part("Verification", "verification"), F.lit("Cite evidence by tag and state nothing without a tag."), part("Evidence", "context")).alias("prompt"))
+    rows = rows.join(steps.select("gap_id", F.col("summary").alias("genealogy")), "gap_id", "left")
+    part = lambda name, c, default="unknown": F.concat(F.lit(name + ": "), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)))
+    lines = [part("Gap", "title"), part("Lifecycle", "lifecycle"), part("Genealogy", "genealogy", "Direct bottleneck"), part("Verification", "verification"), F.lit("Cite evidence by tag and state nothing without a tag."), part("Evidence", "context")]
+    return rows.select("gap_id", F.concat_ws("\n", *lines).alias("prompt"))
 
 
 def parse_responses(df: DataFrame, column: str = "response") -> tuple[DataFrame, DataFrame]:

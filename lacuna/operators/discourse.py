@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import lexicon
 from lacuna.functions.rules import any_match, contains_any, first_match, matches, weight_max, weight_sum
-from lacuna.functions.text import strip
+from lacuna.functions.text import AFTER, BEFORE, strip
 
 BASE, THRESHOLD = 0.1, 0.8
 STRONG_SECTIONS = ["limitation", "limitations", "threats to validity", "future work"]
@@ -117,7 +117,7 @@ def _named(text: Column, templates: list[str], ignore: list[str], article: str)
 
 def dictionary_mentions(text: Column, names: list[str]) -> Column:
     """Known names in a text as written there, the first of each."""
-    found = [F.regexp_extract(text, "(?i)\\b\\Q" + n + "\\E\\b", 0) for n in names]
+    found = [F.regexp_extract(text, "(?i)" + BEFORE + "\\Q" + n + "\\E" + AFTER, 0) for n in names]
     return F.filter(F.array(*found), lambda x: x != "")
 
 
@@ -213,14 +213,13 @@ def future_work_view(df: DataFrame) -> DataFrame:
     return df.where("extraction_type = 'FUTURE_WORK'").select("id", "paper_id", "extracted_text", "confidence", p("section_name", "Unknown"), p("page_number", 1))
 
 
-def prototype_classify(vectors: DataFrame, anchors: DataFrame, threshold: float = 0.52) -> DataFrame:
-    """Best cosine to a few anchor vectors (unit length on both sides) and whether it reaches ``threshold``."""
-    from lacuna.operators.vectors import dot
+def prototype_classify(vectors: DataFrame, anchors: DataFrame, threshold: float = 0.52, id_col: str = "id") -> DataFrame:
+    """(id, best, is_positive): the best cosine of each vector to the anchors, in blocks of both, and whether it reaches ``threshold``."""
+    from lacuna.operators.vectors import knn_join
 
-    pairs = vectors.crossJoin(F.broadcast(anchors.select(F.col("embedding").alias("__a"))))  # a few anchors only
-    keys = [c for c in vectors.columns if c != "embedding"]
-    best = pairs.groupBy(*keys).agg(F.max(dot(F.col("embedding"), F.col("__a"))).alias("best"))
-    return best.withColumn("is_positive", F.col("best") >= threshold)
+    named = anchors.withColumn("__anchor", F.xxhash64("embedding"))
+    best = knn_join(vectors, named, 1, query_id=id_col, id_col="__anchor")
+    return best.select(id_col, F.col("score").alias("best"), (F.col("score") >= threshold).alias("is_positive"))
 
 
 def hybrid_decision(rule: Column, in_section: Column, best: Column) -> Column:

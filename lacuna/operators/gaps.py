@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import lexicon
 from lacuna.functions.rules import matches
 from lacuna.functions.text import slugify, title_case
+from lacuna.operators.lifecycle import containing
 
 #: Confidence of the candidates whose evidence carries none.
 TOPIC_SURE, METHOD_SURE, DATASET_SURE, CONFLICT_SURE = 0.88, 0.89, 0.88, 0.87
@@ -58,7 +59,7 @@ def sig_conflict(conflicts: Column, papers: Column) -> Column:
 def limitation_key(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """The key of a recurring limitation: the first keyword group, else its first three longer words."""
     low = F.lower(text)
-    found = F.regexp_extract_all(low, F.lit("(?U)\\b\\w{4,}\\b"), F.lit(0))
+    found = F.regexp_extract_all(low, F.lit("[\\p{L}\\p{N}_]{4,}"), F.lit(0))
     plain = F.filter(found, lambda w: ~w.isin(*lexicon.NO_KEY_WORDS))
     key = F.when(F.size(plain) > 0, F.array_join(F.slice(plain, 1, 3), " ")).otherwise("unspecified limitation")
     chosen = None
@@ -182,11 +183,10 @@ def match_gold(candidates: DataFrame, gold: DataFrame) -> DataFrame:
 
     An item matches by two keywords, or by its type and one. The gold table is a few rows.
     """
-    g = F.broadcast(gold.select("gt_id", "keywords", F.col("gap_type").alias("gold_type")))
-    pairs = candidates.crossJoin(g)
-    hits = F.size(F.filter("keywords", lambda k: F.lower("title").contains(F.lower(k))))
-    ok = (hits >= 2) | ((F.col("gap_type") == F.col("gold_type")) & (hits >= 1))
-    found = pairs.where(ok).groupBy("gap_id").agg(F.min("gt_id").alias("gt_id"))
+    words = gold.select("gt_id", F.col("gap_type").alias("gold_type"), F.explode(F.transform("keywords", lambda k: F.lower(k))).alias("w"))
+    hits = containing(candidates.select("gap_id", "gap_type", "title"), F.lower("title"), words)
+    counted = hits.groupBy("gap_id", "gt_id").agg(F.count("*").alias("n"), F.bool_or(F.col("gap_type") == F.col("gold_type")).alias("same"))
+    found = counted.where("n >= 2 or same").groupBy("gap_id").agg(F.min("gt_id").alias("gt_id"))
     return candidates.join(found, "gap_id", "left")
 
 

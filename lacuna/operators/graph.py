@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import lexicon
 from lacuna.functions.rules import matches
-from lacuna.functions.text import slugify, title_case, words
-from lacuna.sources.tables import scratch_path
+from lacuna.functions.text import slugify, title_case, whole_words
+from lacuna.sources.tables import delete_path, scratch_path
 
 NODE_COLUMNS = ("id", "label", "type", "properties", "aliases", "seq")
 
@@ -145,17 +145,28 @@ def membership_edges(assignments: DataFrame, topics: DataFrame) -> DataFrame:
     return edge(rows, F.concat(F.lit("paper:"), F.col("paper_id")), F.concat(F.lit("topic:"), F.col("topic_id")), F.lit("belongs_to"), F.greatest(F.lit(0.60), F.least(F.lit(1.0), F.col("probability"))), F.col("paper_id"), seq=F.col("paper_id"))
 
 
-def address_edges(sentences: DataFrame, limitations: DataFrame, cues: str | None = None, least: int = 2, pattern: str | None = None) -> DataFrame:
-    """Sentences with a solving verb that share words of 4 letters or more with another paper's limitation.
+def address_edges(sentences: DataFrame, limitations: DataFrame, cues: str | None = None, least: int = 2) -> DataFrame:
+    """Sentences with a solving verb that share ``least`` words of 4 letters or more with another paper's limitation.
 
-    The cue filter comes first; then distinct words meet in an equi-join and are counted, so no
-    sentence is compared with a limitation that shares no word.
+    The cue filter comes first. Words are put in one order of frequency; each side then leaves out
+    its ``least`` - 1 most frequent words, without which a pair that shares enough still meets in
+    another. So a word that nearly all texts hold joins no rows, and pairs are counted exactly on
+    their whole word sets afterwards.
     """
-    solving = sentences.where(matches(F.col("source_text"), cues or lexicon.ADDRESSES_CUES))
-    own = lambda df, t: F.explode(words(F.col(t), 4)).alias("w")
-    a = solving.select("id", "paper_id", own(solving, "source_text"))
-    b = limitations.select(F.col("id").alias("lim_id"), F.col("paper_id").alias("lim_paper"), own(limitations, "extracted_text"))
-    pairs = a.join(b, "w").where("paper_id <> lim_paper").groupBy("id", "paper_id", "lim_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    solving = sentences.where(matches(F.col("source_text"), cues or lexicon.SOLVING_VERBS))
+    long = lambda c: F.array_distinct(whole_words(F.col(c), "[\\p{L}\\p{N}_]{4,}"))
+    a = solving.select("id", "paper_id", long("source_text").alias("own"))
+    b = limitations.select(F.col("id").alias("lim_id"), F.col("paper_id").alias("lim_paper"), long("extracted_text").alias("lim_words"))
+    often = b.select(F.explode("lim_words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rarer(df, key, own):
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "w"))
+        rows = df.select(key, F.explode(own).alias("w")).join(often, "w").withColumn("r", rank)
+        return rows.where(F.col("r") >= least).select(key, "w")
+
+    met = rarer(a, "id", "own").join(rarer(b, "lim_id", "lim_words"), "w").select("id", "lim_id").distinct()
+    pairs = met.join(a, "id").join(b, "lim_id").where("paper_id <> lim_paper")
+    pairs = pairs.where(F.size(F.array_intersect("own", "lim_words")) >= least).select("id", "paper_id", "lim_id")
     found = pairs.join(sentences.select("id", "source_text"), "id")
     return edge(found, F.concat(F.lit("paper:"), F.col("paper_id")), F.concat(F.lit("limitation:"), F.col("lim_id")), F.lit("addresses"), F.lit(0.88), F.col("paper_id"), F.col("source_text"), F.col("id"))
 
@@ -185,28 +196,33 @@ def build_graph(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFra
     return merged, merge_edges(valid_edges(stacked(edges), merged))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def _cut(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared scratch folder and read back, and the path of the table."""
     path = scratch_path(df.sparkSession, f"graph-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): weakly connected components by the smallest id, by label passing with pointer jumping.
 
-    Each round is written to the shared scratch folder; the driver only sees whether labels moved.
+    Rounds go on until no label moves, which the driver sees as one flag a round. Each round is
+    written to the shared scratch folder and the table of the round before is deleted.
     """
-    both = _cut(edges.select(F.col("source").alias("u"), F.col("target").alias("v")).unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"))).where("u <> v").distinct())
-    labels = nodes.select("id", F.col("id").alias("component")).distinct()
-    for _ in range(max_rounds):
+    spark = nodes.sparkSession
+    both, edges_path = _cut(edges.select(F.col("source").alias("u"), F.col("target").alias("v")).unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"))).where("u <> v").distinct())
+    labels, path = nodes.select("id", F.col("id").alias("component")).distinct(), None
+    while True:
         near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("m"))
         hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        moved = _cut(hooked.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("top", "component")).alias("component")))
-        labels = moved.select("id", "component")
+        moved, next_path = _cut(hooked.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("top", "component")).alias("component")))
+        if path:
+            delete_path(spark, path)
+        labels, path = moved.select("id", "component"), next_path
         if moved.where("old <> component").isEmpty():
+            delete_path(spark, edges_path)
             return labels
-    raise RuntimeError(f"labels still moved after {max_rounds} rounds")
 
 
 def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -262,21 +278,43 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     ids = nodes.select("id").distinct()
     n = ids.count()
     out = edges.groupBy("source").agg(F.count("*").alias("deg"))
-    links = _cut(edges.select("source", "target").join(out, "source"))
-    ranks = ids.withColumn("rank", F.lit(1.0 / max(1, n)))
+    spark = nodes.sparkSession
+    links, links_path = _cut(edges.select("source", "target").join(out, "source"))
+    ranks, path = ids.withColumn("rank", F.lit(1.0 / max(1, n))), None
     for _ in range(rounds):
         flow = links.join(ranks.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         dangling = ranks.join(out.select(F.col("source").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         base = (1 - damping) / n + damping * dangling / n
-        ranks = _cut(ids.join(flow, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        ranks, next_path = _cut(ids.join(flow, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        if path:
+            delete_path(spark, path)
+        path = next_path
+    delete_path(spark, links_path)
     return ranks
 
 
+def cypher_text(value: Column) -> Column:
+    """A quoted string literal: backslashes and quotes are escaped, line ends written as such."""
+    for sign, put in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+        value = F.replace(value, F.lit(sign), F.lit(put))
+    return F.concat(F.lit("'"), value, F.lit("'"))
+
+
 def export_cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One MERGE statement a node and an edge, as rows of text."""
-    a = nodes.select(F.lit(0).alias("part"), "id", F.format_string("MERGE (n:%s {id: '%s'}) SET n.label = '%s';", "type", "id", F.replace(F.col("label"), F.lit("'"), F.lit("\\'"))).alias("statement"))
-    b = edges.select(F.lit(1).alias("part"), "id", F.format_string("MATCH (a {id: '%s'}), (b {id: '%s'}) MERGE (a)-[:%s {confidence: %s}]->(b);", "source", "target", F.upper("relationship"), F.col("confidence").cast("string")).alias("statement"))
-    return a.unionByName(b)
+    """One MERGE statement a node and an edge, as rows of text; a node gets all its properties, names that are no words in backticks.
+
+    Properties without a value are left out; without any the node gets its label only.
+    """
+    key = lambda k: F.when(k.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), k).otherwise(F.concat(F.lit("`"), F.replace(k, F.lit("`"), F.lit("``")), F.lit("`")))
+    entries = F.filter(F.map_entries("properties"), lambda e: e["value"].isNotNull())
+    own = F.transform(F.array_sort(entries), lambda e: F.concat(key(e["key"]), F.lit(": "), cypher_text(e["value"])))
+    label = F.array(F.concat(F.lit("label: "), cypher_text(F.coalesce("label", F.lit("")))))
+    props = F.array_join(F.when(F.size(own) > 0, own).otherwise(label), ", ")
+    kind = F.coalesce("type", F.lit("Entity"))
+    a = nodes.select(F.lit(0).alias("part"), "id", F.concat(F.lit("MERGE (n:"), kind, F.lit(" {id: "), cypher_text(F.col("id")), F.lit("}) SET n += {"), props, F.lit("};")).alias("statement"))
+    relation = F.upper(F.coalesce("relationship", F.lit("RELATED_TO")))
+    link = F.concat(F.lit("MATCH (a {id: "), cypher_text(F.col("source")), F.lit("}), (b {id: "), cypher_text(F.col("target")), F.lit("}) MERGE (a)-[r:"), relation, F.lit(" {confidence: "), F.coalesce("confidence", F.lit(1.0)).cast("string"), F.lit("}]->(b);"))
+    return a.unionByName(edges.select(F.lit(1).alias("part"), "id", link.alias("statement")))
 
 
 def provenance(paper_id: Column, title: Column, sentence_id: Column, section: Column, page: Column, text: Column, confidence: Column, method: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,22 +55,44 @@ def subtype_accuracy(df: DataFrame, by: list[str]) -> DataFrame:
     return df.where("gold = 1 and pred = 1").groupBy(*by).agg(F.avg((F.col("gold_subtype") == F.col("pred_subtype")).cast("double")).alias("subtype_accuracy"))
 
 
+#: Chances that a Poisson draw of mean one is at most 0, 1, 2, ...
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+
+
+def poisson_draws(rows: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each row (a 64-bit hash) counts in each resample: seeded draws from a mix of row and resample."""
+    with np.errstate(over="ignore"):
+        x = rows.view(np.uint64)[:, None] + np.arange(1, resamples + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) / float(1 << 53), "right")
+
+
 def bootstrap_ci(df: DataFrame, value: str, by: list[str], resamples: int = 1000, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval of the mean by Poisson resampling: each row counts as often as a seeded draw per resample says.
 
-    Draws come from a hash of row and resample, so every task makes its own and a row is never
-    sent for each resample; partial sums per resample are combined.
+    A task draws for its own rows, batch by batch, and gives the sums of each group and resample;
+    a row is never sent for each resample. Rows are told apart by the column ``row``; null values
+    are left out; a resample that draws no row has no mean.
     """
-    draw = lambda r, i: F.pmod(F.xxhash64(r, i), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    cumulative, p = [], math.exp(-1)
-    total = 0.0
-    for k in range(9):
-        total += p / math.factorial(k)
-        cumulative.append(total)
-    times = lambda u: sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
-    rows = df.select(*by, F.col(value).cast("double").alias("v"), F.col("row").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    rows = rows.withColumn("t", times(draw(F.col("r"), F.col("i"))))
-    means = rows.groupBy(*by, "r").agg(F.try_divide(F.sum(F.col("t") * F.col("v")), F.sum("t")).alias("m"))
+
+    def run(frames):
+        for f in frames:
+            for key, own in f.groupby(by, dropna=False):
+                count, total = np.zeros(resamples), np.zeros(resamples)
+                for at in range(0, len(own), 1024):
+                    part = own.iloc[at : at + 1024]
+                    t = poisson_draws(part["__h"].to_numpy(), resamples)
+                    count += t.sum(axis=0)
+                    total += part["__v"].to_numpy() @ t
+                out = pd.DataFrame({k: [v] * resamples for k, v in zip(by, key)})
+                yield out.assign(r=np.arange(resamples), total=total, times=count)
+
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), F.xxhash64("row").alias("__h"))
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    sums = rows.mapInPandas(run, f"{fields}, r int, total double, times double")
+    means = sums.groupBy(*by, "r").agg(F.try_divide(F.sum("total"), F.sum("times")).alias("m"))
     return means.groupBy(*by).agg(F.expr(f"percentile(m, {low})").alias("low"), F.expr(f"percentile(m, {high})").alias("high"))
 
 
@@ -164,12 +187,39 @@ def average_rank(by: list[str], value: Column) -> Column:
     return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
+def signed_rank_p(ranks: list[float], smaller: float) -> float:
+    """Two-sided p-value of a signed-rank sum: exact without ties up to 50 values, else normal with the tie correction."""
+    n = len(ranks)
+    if n <= 50 and len(set(ranks)) == n:
+        ways = [1] + [0] * (n * (n + 1) // 2)
+        for r in range(1, n + 1):
+            for total in range(len(ways) - 1, r - 1, -1):
+                ways[total] += ways[total - r]
+        return min(1.0, 2 * sum(ways[: int(smaller) + 1]) / 2**n)
+    return normal_p(n, sum(r * r for r in ranks), smaller)
+
+
+def normal_p(n: int, squares: float, smaller: float) -> float:
+    """Normal tail of a signed-rank sum; the squared ranks carry the tie correction, as their sum is four times the variance."""
+    return math.erfc(abs(smaller - n * (n + 1) / 4) / math.sqrt(squares / 4) / math.sqrt(2)) if squares else 1.0
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank(n: pd.Series, ties: pd.Series, squares: pd.Series, smaller: pd.Series) -> pd.Series:
+    exact = lambda m, t: m <= 50 and not t
+    return pd.Series([signed_rank_p(list(range(1, int(m) + 1)), w) if exact(m, t) else normal_p(int(m), q, w) for m, t, q, w in zip(n, ties, squares, smaller)], dtype=float)
+
+
 def wilcoxon(df: DataFrame, by: list[str]) -> DataFrame:
-    """Signed-rank sums of paired values (x, y) without zero differences, and the smaller of them."""
+    """Signed-rank sums of paired values (x, y) without zero differences, the smaller of them and its p-value."""
     rows = df.withColumn("d", F.col("x") - F.col("y")).where("d <> 0").withColumn("a", F.abs("d"))
     ranked = rows.withColumn("r", average_rank(by, F.col("a")))
-    a = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
-    return a.withColumn("statistic", F.least("w_plus", "w_minus"))
+    a = ranked.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
+        F.sum(F.col("r") * F.col("r")).alias("__q"), (F.count("*") - F.count_distinct("a")).alias("__t"),
+    )
+    a = a.withColumn("statistic", F.least("w_plus", "w_minus"))
+    return a.withColumn("p_value", signed_rank("n", "__t", "__q", "statistic")).drop("__q", "__t")
 
 
 def mean_ci(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -184,16 +234,46 @@ def spearman(df: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"))
 
 
+def concordance(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float, float]:
+    """Concordant less discordant pairs, pairs that differ in x, and pairs that differ in y; cell (x, y) stands for c items.
+
+    Each pair is counted at the highest bit in which the ranks of its x differ: within one prefix
+    the cells with that bit are compared with those without it, by running sums in order of y.
+    """
+    rx, ry = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    c = c.astype(float)
+    differ = lambda r: (c.sum() ** 2 - (np.bincount(r, c) ** 2).sum()) / 2
+    s = 0.0
+    for bit in range(int(rx.max(initial=0)).bit_length()):
+        prefix, upper = rx >> (bit + 1), (rx >> bit) & 1
+        order = np.lexsort((ry, prefix))
+        p, y_, low, high = prefix[order], ry[order], np.where(upper[order], 0.0, c[order]), np.where(upper[order], c[order], 0.0)
+        run = np.concatenate([[0.0], np.cumsum(low)])
+        new = np.nonzero(np.concatenate([[True], p[1:] != p[:-1]]))[0]
+        tie = np.nonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (y_[1:] != y_[:-1])]))[0]
+        of = lambda starts: np.searchsorted(starts, np.arange(len(p)), "right") - 1  # noqa: E731, B023
+        ends = lambda starts: np.append(starts[1:], len(p))  # noqa: E731, B023
+        below = run[tie][of(tie)] - run[new][of(new)]
+        above = run[ends(new)][of(new)] - run[ends(tie)][of(tie)]
+        s += float((high * (below - above)).sum())
+    return s, differ(rx), differ(ry)
+
+
 def kendall(df: DataFrame, by: list[str]) -> DataFrame:
-    """Tau-b. Groups are rankings of up to a few thousand items, compared pair by pair within the group."""
-    a, b = df.alias("a"), df.alias("b")
-    same = F.lit(True)
-    for k in by:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    pairs = a.join(b, same & (F.col("a.item") < F.col("b.item")))
-    dx, dy = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y"))
-    s = pairs.groupBy(*[F.col(f"a.{k}").alias(k) for k in by]).agg(F.sum(dx * dy).alias("s"), F.sum(F.abs(dx)).alias("nx"), F.sum(F.abs(dy)).alias("ny"))
-    return s.select(*by, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+    """Tau-b of the columns x and y in each group; null where one of them is constant.
+
+    Equal (x, y) are counted first, across partitions; a group's distinct cells then meet in one
+    task, which counts them in n log n steps.
+    """
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        s, nx, ny = concordance(cells["x"].to_numpy(), cells["y"].to_numpy(), cells["n"].to_numpy())
+        tau = s / math.sqrt(nx * ny) if nx and ny else None
+        return pd.DataFrame({**{k: cells[k].iloc[:1] for k in by}, "tau": [tau]})
+
+    known = df.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count("*").alias("n"))
+    return known.groupBy(*by).applyInPandas(run, f"{fields}, tau double")
 
 
 def kappa(matrix: DataFrame, by: list[str]) -> DataFrame:

@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import re
+import uuid
+from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def term_array(text: Column, ngrams: int = 2, stop: list[str] | None = None, pattern: str = "\\b\\w\\w+\\b") -> Column:
-    """Words of two letters or more without stop words, and runs of up to ``ngrams`` of them."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
-    if stop:
-        tokens = F.filter(tokens, lambda t: ~t.isin(*stop))
-    if ngrams == 1:
-        return tokens
-    runs = lambda t, n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(tokens), lambda t: F.concat(t, *[runs(t, n) for n in range(2, ngrams + 1)]))[0]
+from lacuna.operators import vectors
+from lacuna.sources.tables import scratch_path
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngrams: int = 2, stop: list[str] | None = None, pattern: str = "\\b\\w\\w+\\b") -> DataFrame:
-    """(id, term, tf)."""
-    rows = df.select(F.col(id_col).alias("id"), F.explode(term_array(F.col(text_col), ngrams, stop, pattern)).alias("term"))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf): words of two letters or more without stop words, and runs of up to ``ngrams`` of them, with their counts.
+
+    A text is counted where it is read, batch by batch, so only its distinct terms become rows;
+    rows with equal ids are added up. Null texts give no rows.
+    """
+    find, skip = re.compile(pattern).findall, frozenset(stop or ())
+
+    def run(batches):
+        for b in batches:
+            ids, terms, counts = [], [], []
+            for n, text in enumerate(b.column(1).to_pylist()):
+                tokens = [t for t in find((text or "").lower()) if t not in skip]
+                own = Counter(tokens)
+                for size in range(2, ngrams + 1):
+                    own.update(map(" ".join, zip(*(tokens[i:] for i in range(size)))))
+                ids += [n] * len(own)
+                terms += own
+                counts += own.values()
+                if len(terms) > 200_000:
+                    yield out(b, ids, terms, counts)
+                    ids, terms, counts = [], [], []
+            yield out(b, ids, terms, counts)
+
+    def out(b, ids, terms, counts):
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["id", "term", "tf"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    counted = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, term string, tf long")
+    return counted.groupBy("id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def cap_vocab(tf: DataFrame, most: int) -> DataFrame:
@@ -29,6 +52,13 @@ def cap_vocab(tf: DataFrame, most: int) -> DataFrame:
     return tf.join(top.select("term"), "term", "left_semi")
 
 
+def written(tf: DataFrame) -> DataFrame:
+    """The term table in the shared scratch folder, for uses that read it more than once."""
+    path = scratch_path(tf.sparkSession, f"terms-{uuid.uuid4().hex}")
+    tf.write.parquet(path)
+    return tf.sparkSession.read.schema(tf.schema).parquet(path)
+
+
 def idf(tf: DataFrame, documents: int) -> DataFrame:
     """(term, df, idf) with the smoothed form ln((1 + n) / (1 + df)) + 1."""
     return tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((1.0 + F.lit(documents)) / (1 + F.col("df"))) + 1)
@@ -57,11 +87,42 @@ def tfidf_search(weights: DataFrame, query_weights: DataFrame, k: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search_evidence(method: str, units: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits (unit_id, score, rank) in the common output shape: paper and sentence as structs."""
-    name = "tfidf" if method.lower() in ("tfidf", "tf-idf", "tf_idf", "lexical", "keyword") else "semantic"
+LEXICAL = ("tfidf", "tf-idf", "tf_idf", "lexical", "keyword")
+
+
+def lexical_hits(units: DataFrame, queries: DataFrame, k: int, vocabulary: int = 25_000, unit_id: str = "unit_id", query_id: str = "query_id", text: str = "text", **options) -> DataFrame:
+    """(query_id, id, score, rank): TF-IDF search of query texts over all units.
+
+    Term counts are made once and written; the idf of the capped vocabulary is a table of
+    ``vocabulary`` rows at most, which is what may be broadcast.
+    """
+    tf = written(term_counts(units, unit_id, text, **options))
+    capped = cap_vocab(tf, vocabulary)
+    table = written(idf(capped, units.count()))
+    asked = weigh(term_counts(queries, query_id, text, **options), table)
+    return tfidf_search(weigh(tf, F.broadcast(table)), asked, k)
+
+
+def semantic_hits(units: DataFrame, queries: DataFrame, k: int, embed=None, unit_id: str = "unit_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the nearest units by embedding, above zero; ``embed`` adds the column embedding (default: hashed).
+
+    Vectors are written, as blocks read them more than once.
+    """
+    embed = embed or (lambda df: vectors.embed_with(df, vectors.hashing_model, text))
+    side = lambda df, key: written(embed(df.select(key, text)).select(F.col(key).alias("id" if key == unit_id else "query_id"), "embedding"))
+    return vectors.knn_join(side(queries, query_id), side(units, unit_id), k).where("score > 0")
+
+
+def search_evidence(method: str, units: DataFrame, queries: DataFrame, k: int = 10, embed=None, **options) -> DataFrame:
+    """Search units of evidence (unit_id, text, paper_id, ...) for queries (query_id, text) by the named method, in the common output shape.
+
+    Lexical names search by TF-IDF (``options`` as in ``lexical_hits``), all others by embedding.
+    """
+    lexical = method.lower() in LEXICAL
+    hits = lexical_hits(units, queries, k, **options) if lexical else semantic_hits(units, queries, k, embed)
     paper = F.struct("paper_id", F.col("paper_title").alias("title"), "year")
-    return hits.join(units, "unit_id").select("rank", "unit_id", "score", F.lit(name).alias("retrieval_method"), paper.alias("paper"), F.struct("sentence_id", "text", "section", "page").alias("sentence"), "extraction_type")
+    found = hits.withColumnRenamed("id", "unit_id").join(units, "unit_id")
+    return found.select("query_id", "rank", "unit_id", "score", F.lit("tfidf" if lexical else "semantic").alias("retrieval_method"), paper.alias("paper"), F.struct("sentence_id", "text", "section", "page").alias("sentence"), "extraction_type")
 
 
 def judged(queries: DataFrame, hits: DataFrame, relevant: DataFrame) -> DataFrame:

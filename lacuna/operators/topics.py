@@ -64,6 +64,14 @@ def density_topics(df: DataFrame, links: DataFrame, min_size: int = 2) -> DataFr
     return found.join(sized, "component").select("id", F.when(F.col("n") >= min_size, F.col("component")).otherwise(F.lit(-1)).alias("topic_id"))
 
 
+def density_or_kmeans(df: DataFrame, links: DataFrame, min_size: int = 2, max_topics: int = 10, column: str = "embedding") -> DataFrame:
+    """Density topics of rows (id, embedding); if they are all outliers, the topics of ``discover_topics`` instead."""
+    found = df.join(density_topics(df, links, min_size), "id")
+    if not found.where("topic_id <> -1").isEmpty():
+        return found.withColumn("probability", F.when(F.col("topic_id") == -1, 0.0).otherwise(1.0))
+    return discover_topics(df, max_topics, column)
+
+
 def discover_topics(df: DataFrame, max_topics: int = 10, column: str = "embedding") -> DataFrame:
     """Topics with the rules for few documents: none gives none, one is topic 0, below four two clusters."""
     n = df.count()
@@ -179,11 +187,14 @@ def tfidf_kmeans(weights: DataFrame, k: int, features: int, top: int = 5) -> tup
 
 
 def coherence(terms: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Mean cosine of each topic's term pairs (terms: topic_id, term; vectors: term, embedding)."""
-    own = terms.select("topic_id", "term").join(vectors, "term").select("topic_id", "term", l2_normalize(F.col("embedding")).alias("v"))
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.topic_id") == F.col("b.topic_id")) & (F.col("a.term") < F.col("b.term")))  # a few top terms a topic
-    return pairs.groupBy(F.col("a.topic_id").alias("topic_id")).agg(F.avg(dot(F.col("a.v"), F.col("b.v"))).alias("coherence"))
+    """Mean cosine of each topic's term pairs (terms: topic_id, term; vectors: term, embedding); null for a single term.
+
+    With unit vectors it is (|sum|^2 - n) / (n (n - 1)), so sums per dimension do, and no pairs are made.
+    """
+    own = terms.select("topic_id", "term").join(vectors, "term").select("topic_id", l2_normalize(F.col("embedding")).alias("v"))
+    dims = own.select("topic_id", F.posexplode("v").alias("i", "x")).groupBy("topic_id", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    square, n = F.sum(F.col("s") * F.col("s")), F.max("n")
+    return dims.groupBy("topic_id").agg(F.when(n > 1, (square - n) / (n * (n - 1))).alias("coherence"))
 
 
 def silhouette(df: DataFrame, column: str = "embedding") -> float:
@@ -207,5 +218,10 @@ def stability(base: DataFrame, runs: DataFrame) -> DataFrame:
     return best.groupBy("run").agg(F.avg("j").alias("stability"))
 
 
+def stability_summary(per_run: DataFrame) -> DataFrame:
+    """Number, mean and standard deviation (of the population) of the runs' stability."""
+    return per_run.agg(F.count("*").alias("runs"), F.avg("stability").alias("mean"), F.stddev_pop("stability").alias("std"))
+
+
 def outlier_ratio(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(F.when(F.col("topic_id") == -1, 1.0).otherwise(0.0)).alias("outlier_ratio"))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-#: Vectors of one block of queries; more queries are joined block by block.
-QUERY_BLOCK = 4096
+#: Queries and vectors of one pair of blocks.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+#: Queries that are multiplied with a block of vectors at a time.
+SLICE = 256
+#: Vectors that the cells of the approximate index are fitted on, at most about.
+MAX_FIT = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,36 +47,64 @@ def require_dim(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame
     return df.withColumn(column, F.when(right, F.col(column)).otherwise(F.raise_error(F.lit(f"vector length is not {dim}"))))
 
 
-def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> DataFrame:
-    """(id, bucket, w): hashed unigrams, prefixes and bigrams of a text, weighted by place, unit length.
+@lru_cache(200_000)
+def _word_buckets(word: str, dim: int) -> tuple[int, int]:
+    """Buckets of a word and of its beginning of four letters (-1 for words that are no longer than three)."""
+    number = lambda digest, t: int(digest(t.encode()).hexdigest()[:8], 16) % dim
+    return number(hashlib.sha256, word), number(hashlib.md5, word[:4]) if len(word) > 3 else -1
+
+
+def hashed_weights(text: str | None, dim: int = 384) -> dict[int, float]:
+    """Weights of a text's buckets: hashed words, beginnings and pairs of words, weighted by place, unit length together.
 
-    The sparse form; only a text's own buckets have rows. Texts without words give none.
+    Words are what blanks part, in lower case; a pair weighs as its second word does.
     """
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("\\b[a-z0-9_]+\\b"), F.lit(0))
-    # each word takes the next one along, so that no row carries the whole text
-    follow = lambda t: F.transform(t, lambda w, i: F.struct(i.alias("i"), w.alias("w"), F.get(t, i + 1).alias("next")))
-    rows = df.select(F.col(id_col).alias("id"), F.inline(F.transform(F.array(tokens), follow)[0]))
-    bucket = lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    pair = F.when(F.col("next").isNotNull(), F.concat_ws("_", "w", "next"))
-    terms = F.array(
-        F.struct(bucket(F.sha2("w", 256)).alias("bucket"), F.lit(1.5).alias("f")),
-        F.when(F.char_length("w") > 3, F.struct(bucket(F.md5(F.substring("w", 1, 4))).alias("bucket"), F.lit(0.75).alias("f"))),
-        F.when(pair.isNotNull(), F.struct(bucket(F.sha2(pair, 256)).alias("bucket"), F.lit(2.0).alias("f"))),
-    )
-    one = rows.select("id", (F.lit(1.0) / (1 + 0.05 * F.col("i"))).alias("p"), F.explode(F.filter(terms, lambda x: x.isNotNull())).alias("x"))
-    sums = one.groupBy("id", F.col("x.bucket").alias("bucket")).agg(F.sum(F.col("p") * F.col("x.f")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return sums.select("id", "bucket", (F.col("w") / length).alias("w"))
-
-
-def dense(terms: DataFrame, dim: int = 384) -> DataFrame:
-    """(id, embedding): the array form of hashed terms."""
-    own = terms.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
-    return own.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
+    out: dict[int, float] = {}
+    before = None
+    for i, word in enumerate((text or "").lower().split()):
+        place = 1.0 / (1.0 + 0.05 * i)
+        whole, start = _word_buckets(word, dim)
+        out[whole] = out.get(whole, 0.0) + 1.5 * place
+        if start >= 0:
+            out[start] = out.get(start, 0.0) + 0.75 * place
+        if before is not None:
+            pair = int.from_bytes(hashlib.sha256(f"{before}_{word}".encode()).digest()[:4], "big") % dim
+            out[pair] = out.get(pair, 0.0) + 2.0 * place
+        before = word
+    length = sum(w * w for w in out.values()) ** 0.5
+    return {k: w / length for k, w in out.items()}
+
+
+def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> DataFrame:
+    """(id, bucket, w): the sparse form of the hashed embedding; texts without words give no rows."""
+
+    def run(batches):
+        for b in batches:
+            own = [hashed_weights(t, dim) for t in b.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([k for o in own for k in o], pa.int32()), pa.array([w for o in own for w in o.values()], pa.float64())], names=["id", "bucket", "w"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bucket int, w double")
+
+
+def hashing_model(dim: int = 384):
+    """The hashed embedding as a model for ``embed_with``; a text without words is the zero vector."""
+
+    def embed(texts):
+        out = np.zeros((len(texts), dim), np.float32)
+        for row, t in zip(out, texts):
+            for k, w in hashed_weights(t, dim).items():
+                row[k] = w
+        return out
+
+    return embed
 
 
 def hash_embed(df: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 384) -> DataFrame:
-    return dense(hashed_terms(df, id_col, text_col, dim), dim)
+    """(id, embedding): the dense hashed embedding of every text."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return embed_with(rows, lambda: hashing_model(dim), "t").drop("t")
 
 
 def embed_with(df: DataFrame, load, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
@@ -107,51 +142,146 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", colu
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    flat = table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return _unit(flat.astype(float).reshape(table.num_rows, -1))
+
+
+def _blocked(df: DataFrame, key: str, column: str, name: str, rows: int) -> tuple[DataFrame, int]:
+    """(key, v, block): vectors dealt to blocks of about ``rows`` by a hash of the key; null vectors are left out."""
+    own = df.where(F.col(column).isNotNull()).select(F.col(key).alias(name), F.col(column).alias(f"{name}_v"))
+    blocks = -(-own.count() // rows) or 1
+    return own.withColumn(f"{name}_b", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")), blocks
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _best(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """The best k vectors of each query of two blocks; ties, to 12 places, go to the smaller id."""
+    vectors = vectors.sort_by("id")
+    q, v, out = _matrix(queries, "query_v"), _matrix(vectors, "id_v"), []
+    for i in range(0, len(q), SLICE):
+        scores = np.clip(np.round(q[i : i + SLICE] @ v.T, 12), -1, 1)
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        names = queries.column("query").slice(i, len(scores)).take(pa.array(np.repeat(np.arange(len(scores)), top.shape[1])))
+        out.append(pa.table([names, vectors.column("id").take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, 1).ravel())], names=["query", "id", "score"]))
+    return pa.concat_tables(out)
+
+
+def _top(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, query_id: str, id_col: str) -> DataFrame:
+    schema = f"query {queries.schema['query'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            return _best(left, right, k)
+        return pa.table([pa.nulls(0, left.schema.field("query").type), pa.nulls(0, right.schema.field("id").type), pa.nulls(0, pa.float64())], names=["query", "id", "score"])
+
+    parts = _block_pairs(queries, vectors, keys, run, schema)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    ranked = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_id), F.col("id").alias(id_col), "score", "rank")
+
+
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", column: str = "embedding") -> DataFrame:
-    """The k nearest vectors of each query by cosine: query_id, id, score, rank.
+    """The k nearest vectors of each query by cosine, over all vectors: query_id, id, score, rank.
 
-    Queries go out in blocks of QUERY_BLOCK. Each batch of vectors keeps its best k for each
-    query by one matrix product; a window then merges them. Memory is bounded by block and batch.
+    Both sides are dealt to blocks; each pair of blocks meets in one task, which keeps its best k
+    for each query by matrix products; a window merges them. Memory is bounded by two blocks.
+    """
+    q, n = _blocked(queries, query_id, column, "query", QUERY_BLOCK)
+    v, m = _blocked(vectors, id_col, column, "id", VECTOR_BLOCK)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    return _top(q.withColumn("id_b", every(m)), v.withColumn("query_b", every(n)), ["query_b", "id_b"], k, query_id, id_col)
+
+
+def _forest(a: pa.Table, b: pa.Table, least: float, same: bool) -> list[tuple[int, int]]:
+    """Places (in a, in b) of links that connect what all links of two blocks connect."""
+    x, y = _matrix(a, "id_v"), _matrix(b, "id_v")
+    root = list(range(len(x) + (0 if same else len(y))))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for at in range(0, len(x), SLICE):
+        left, right = np.nonzero(np.round(x[at : at + SLICE] @ y.T, 12) >= least)
+        for i, j in zip((left + at).tolist(), right.tolist()):
+            r, s = find(i), find(j if same else len(x) + j)
+            if r != s:
+                root[max(r, s)] = min(r, s)
+                out.append((i, j))
+    return out
+
+
+def neighbour_links(vectors: DataFrame, least: float, id_col: str = "id", column: str = "embedding") -> DataFrame:
+    """(source, target): links of cosine ``least`` or more that connect all vectors such links connect.
+
+    Each pair of blocks meets in one task, which goes through all its links and keeps a spanning
+    forest of them, so dense groups give few rows and no link is capped.
     """
-    blocks = queries.select(query_id, F.col(column).alias("q"))
-    n = -(-blocks.count() // QUERY_BLOCK) or 1
-    parts = None
-    for b in range(n):
-        own = blocks.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == b).toPandas() if n > 1 else blocks.toPandas()
-        part = _block_top(own, vectors.select(id_col, column), k, query_id, id_col, column, queries.schema[query_id].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString())
-        parts = part if parts is None else parts.unionByName(part)
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _block_top(own, vectors, k, query_id, id_col, column, query_type, id_type):
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    names = own[query_id].to_numpy()
-    q = unit(np.array(own["q"].tolist(), float)) if len(own) else None
-
-    def run(frames):
-        for f in frames:
-            if q is None or not len(f):
-                continue
-            f = f.sort_values(id_col)
-            ids, scores = f[id_col].to_numpy(), q @ unit(np.array(f[column].tolist(), float)).T
-            top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({query_id: np.repeat(names, top.shape[1]), id_col: ids[top].ravel(), "score": np.clip(np.take_along_axis(scores, top, 1).ravel(), -1, 1)})
-
-    return vectors.mapInPandas(run, f"{query_id} {query_type}, {id_col} {id_type}, score double")
-
-
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", column: str = "embedding", tables: int = 6, width: float = 0.6) -> DataFrame:
-    """Neighbours from random-projection buckets on unit vectors, ranked by exact cosine."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    v, m = _blocked(vectors, id_col, column, "id", QUERY_BLOCK)
+    others = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("other")
+    pairs = v.select("id", "id_v", "id_b", others).select("id", "id_v", "id_b", F.least("id_b", "other").alias("p"), F.greatest("id_b", "other").alias("q"))
+    kind = v.schema["id"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = _forest(left, right if right.num_rows else left, least, not right.num_rows) if left.num_rows else []
+        i, j = (pa.array([x[n] for x in links], pa.int64()) for n in (0, 1))
+        return pa.table([left.column("id").take(i), (right if right.num_rows else left).column("id").take(j)], names=["source", "target"])
+
+    return _block_pairs(pairs.where("id_b = p"), pairs.where("id_b = q and p < q"), ["p", "q"], run, f"source {kind}, target {kind}").where("source <> target")
+
+
+def fit_cells(vectors: DataFrame, cells: int, column: str = "embedding", seed: int = 42) -> np.ndarray:
+    """Centres of an index: k-means over about MAX_FIT unit vectors at most, drawn by a hash of the vector."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    side = lambda df, i: df.select(F.col(i), array_to_vector(l2_normalize(F.col(column))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=width, seed=42).fit(side(vectors, id_col))
-    near = model.approxSimilarityJoin(side(queries, query_id), side(vectors, id_col), 2.0, "d")
-    scored = near.select(F.col(f"datasetA.{query_id}").alias(query_id), F.col(f"datasetB.{id_col}").alias(id_col), (1 - F.col("d") * F.col("d") / 2).alias("score"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    known = vectors.where(F.col(column).isNotNull())
+    share = MAX_FIT / max(1, known.count())
+    drawn = known if share >= 1 else known.where(F.xxhash64(column) < F.lit(-(1 << 63) + int(share * (1 << 64))).cast("long"))
+    rows = drawn.select(array_to_vector(l2_normalize(F.col(column))).alias("v"))
+    return _unit(np.array(KMeans(k=cells, seed=seed, featuresCol="v").fit(rows).clusterCenters()))
+
+
+def _to_cells(df: DataFrame, centres: np.ndarray, probes: int, column: str) -> DataFrame:
+    """Add ``cell``: a row for each of the ``probes`` nearest cells of a vector."""
+    from pyspark.sql.types import IntegerType
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def nearest(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        scores = _unit(np.array(vectors.tolist(), float)) @ centres.T
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    return df.withColumn("cell", F.explode(nearest(F.col(column))))
+
+
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", column: str = "embedding", cells: int = 32, probes: int = 8) -> DataFrame:
+    """Neighbours from an inverted file: each query looks into the ``probes`` nearest of ``cells`` cells, ranked by exact cosine.
+
+    The cells are fitted on a bounded sample, every vector is filed. The share of all pairs that
+    is looked at is about probes / cells; the recall follows from the data (measured in the tests).
+    A cell is split into blocks of about VECTOR_BLOCK, so that a hot one meets in many tasks.
+    """
+    centres = fit_cells(vectors, cells, column)
+    v, _ = _blocked(vectors, id_col, column, "id", VECTOR_BLOCK)
+    filed = _to_cells(v, centres, 1, "id_v")
+    sizes = filed.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))  # a row a cell
+    filed = filed.join(F.broadcast(sizes), "cell").withColumn("id_b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    q, n = _blocked(queries, query_id, column, "query", QUERY_BLOCK)
+    asked = _to_cells(q, centres, probes, "query_v").join(F.broadcast(sizes), "cell").withColumn("id_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    filed = filed.withColumn("query_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return _top(asked, filed, ["cell", "query_b", "id_b"], k, query_id, id_col)
 
 
 def evidence_units(sentences: DataFrame, extractions: DataFrame, papers: DataFrame) -> DataFrame:

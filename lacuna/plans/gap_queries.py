@@ -39,22 +39,22 @@ def h2(spark, sf):
     return _supp(spark, sf).select("k", H.sig_repeated(2 + (F.col("papers") - 600) / 100.0, F.col("n")).alias("signal"))
 
 
-_CONC = "WITH c AS (SELECT {by} AS g, {name} AS name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {where} GROUP BY ALL), t AS (SELECT g, sum(n) AS total FROM c GROUP BY 1), h AS (SELECT g, any_value(total)::BIGINT AS total, sum((n / total) * (n / total)) AS hhi, arg_min(name, lpad((1000000 - n)::VARCHAR, 8, '0') || name) AS top, max(n) / any_value(total) AS top_share FROM c JOIN t USING (g) GROUP BY 1) SELECT g, total, round(hhi, 6) AS hhi, top, round(top_share, 6) AS top_share, CASE WHEN total > 1 AND hhi >= 0.5 THEN round(least(1.0, (hhi - 0.40) / 0.60), 4) ELSE 0.0 END AS signal FROM h"
+_CONC = "WITH c AS (SELECT {by} AS g, {name} AS name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), t AS (SELECT g, sum(n) AS total FROM c GROUP BY 1), h AS (SELECT g, any_value(total)::BIGINT AS total, sum((n / total) * (n / total)) AS hhi, arg_min(name, lpad((1000000 - n)::VARCHAR, 8, '0') || name) AS top, max(n) / any_value(total) AS top_share FROM c JOIN t USING (g) GROUP BY 1) SELECT g, total, round(hhi, 6) AS hhi, top, round(top_share, 6) AS top_share, CASE WHEN total > 1 AND hhi >= 0.5 THEN round(least(1.0, (hhi - 0.40) / 0.60), 4) ELSE 0.0 END AS signal FROM h"
 
 
-def _conc(spark, sf, by, name, where):
-    counts = _use(spark, sf).where(where).groupBy(F.col(by).alias("g"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
+def _conc(spark, sf, by, name):
+    counts = _use(spark, sf).groupBy(F.col(by).alias("g"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
     return H.sig_concentration(counts, ["g"]).select("g", "total", F.round("hhi", 6).alias("hhi"), "top", F.round("top_share", 6).alias("top_share"), "signal")
 
 
-@query("h3_method_concentration", _CONC.format(by="l_orderkey", name="p_brand", where="l_orderkey % 2 = 0"))
+@query("h3_method_concentration", _CONC.format(by="l_orderkey", name="p_brand"))
 def h3(spark, sf):
-    return _conc(spark, sf, "l_orderkey", "p_brand", "l_orderkey % 2 = 0")
+    return _conc(spark, sf, "l_orderkey", "p_brand")
 
 
-@query("h4_dataset_concentration", _CONC.format(by="l_orderkey", name="p_type", where="l_orderkey % 2 = 1"))
+@query("h4_dataset_concentration", _CONC.format(by="l_orderkey", name="p_type"))
 def h4(spark, sf):
-    return _conc(spark, sf, "l_orderkey", "p_type", "l_orderkey % 2 = 1")
+    return _conc(spark, sf, "l_orderkey", "p_type")
 
 
 @query("h5_temporal", f"WITH {_SUPP} SELECT k, CASE WHEN NOT solved AND last - first >= 1 THEN round(least(1.0, 0.50 + 0.15 * (last - first)), 4)::DOUBLE ELSE 0 END AS signal FROM c")
@@ -75,28 +75,30 @@ def h7(spark, sf):
 
 
 _KEYS = [(V.word("thon"), "key one"), (V.word("the"), "key two")]
-_KEY = f"CASE WHEN {V.hit('source_text', _KEYS[0][0])} THEN 'key one' WHEN {V.hit('source_text', _KEYS[1][0])} THEN 'key two' ELSE coalesce(nullif(array_to_string(list_filter(regexp_extract_all(lower(source_text), '[0-9a-z_]{{4,}}'), lambda x: x NOT IN ('approach', 'limitation', 'paper', 'model'))[1:3], ' '), ''), 'unspecified limitation') END".replace("{{", "{").replace("}}", "}")
-_ASCII = "regexp_matches(source_text, '^[ -~]*$')"
+def key_sql(rules) -> str:
+    """SQL of ``limitation_key`` under the rules."""
+    known = " ".join(f"WHEN {V.hit('source_text', p)} THEN '{name}'" for p, name in rules)
+    plain = f"list_filter(regexp_extract_all(lower(source_text), '[\\p{{L}}\\p{{N}}_]{{4,}}'), lambda x: x NOT IN ({', '.join(chr(39) + w + chr(39) for w in lexicon.NO_KEY_WORDS)}))"
+    return f"CASE {known} ELSE coalesce(nullif(array_to_string({plain}[1:3], ' '), ''), 'unspecified limitation') END"
 
 
 def _limits(spark, sf):
-    s = V.sentences(spark, sf).where(F.col("source_text").rlike("^[ -~]*$"))
     p = V.papers(spark, sf).select(F.col("id").alias("paper_id"), F.col("publication_year").alias("year"))
-    return s.join(p, "paper_id")
+    return V.sentences(spark, sf).join(p, "paper_id")
 
 
-@query("h8_limitation_key", f"WITH {V.SENTENCES} SELECT id, {_KEY} AS key FROM sentences WHERE {_ASCII}")
+@query("h8_limitation_key", f"WITH {V.SENTENCES} SELECT id, {key_sql(_KEYS)} AS key FROM sentences")
 def h8(spark, sf):
     return _limits(spark, sf).select("id", H.limitation_key(F.col("source_text"), _KEYS).alias("key"))
 
 
-_REAL_KEYS = lexicon.LIMITATION_KEYS
+_SLUG = r"substr(regexp_replace(regexp_replace(trim(lower(key), ' '), '[^\p{L}\p{N}_\s\p{Z}-]', '', 'g'), '[-\s\p{Z}]+', '-', 'g'), 1, 32)"
 
 
-@query("h9_limitation_gaps", f"WITH {V.SENTENCES}, {V.PAPERS}, s AS (SELECT s.*, publication_year AS year, split_part(lower(source_text), ' ', 1) AS w FROM sentences s JOIN papers p ON p.id = s.paper_id WHERE {_ASCII} AND regexp_matches(source_text, '^[A-Za-z]{{6,}} ')), g AS (SELECT w, count(DISTINCT paper_id) AS p, count(*) AS n, min(year) AS a, max(year) AS b, bool_or(id % 5 = 0) AS solved FROM s GROUP BY 1) SELECT 'gap-limitation-' || substr(w, 1, 32) AS gap_id, p AS n_papers, n AS n_evidence, CASE WHEN p >= 2 THEN round(least(1.0, 0.60 + 0.15 * (p - 2) + least(0.10, 0.02 * n)), 4)::DOUBLE ELSE 0 END AS rep, CASE WHEN a IS NOT NULL AND NOT solved AND b - a >= 1 THEN round(least(1.0, 0.5 + 0.15 * (b - a)), 4)::DOUBLE ELSE 0 END AS temporal FROM g")
+@query("h9_limitation_gaps", f"WITH {V.SENTENCES}, {V.PAPERS}, s AS (SELECT s.id, paper_id, publication_year AS year, {key_sql(lexicon.LIMITATION_KEYS)} AS key FROM sentences s JOIN papers p ON p.id = s.paper_id), g AS (SELECT key, count(DISTINCT paper_id) AS p, count(*) AS n, min(year) AS a, max(year) AS b, bool_or(id % 5 = 0) AS solved FROM s GROUP BY 1) SELECT 'gap-limitation-' || {_SLUG} AS gap_id, p AS n_papers, n AS n_evidence, CASE WHEN p >= 2 THEN round(least(1.0, 0.60 + 0.15 * (p - 2) + least(0.10, 0.02 * n)), 4)::DOUBLE ELSE 0 END AS rep, CASE WHEN a IS NOT NULL AND NOT solved AND b - a >= 1 THEN round(least(1.0, 0.5 + 0.15 * (b - a)), 4)::DOUBLE ELSE 0 END AS temporal FROM g")
 def h9(spark, sf):
-    s = _limits(spark, sf).where(F.col("source_text").rlike("^[A-Za-z]{6,} ")).withColumn("text", F.lower(F.split_part("source_text", F.lit(" "), F.lit(1)))).withColumn("confidence", F.lit(0.9))
-    g = H.limitation_gaps(s.select("id", "paper_id", "year", "text", "confidence"), s.where("id % 5 = 0").select("id"))
+    s = _limits(spark, sf).withColumn("confidence", F.lit(0.9))
+    g = H.limitation_gaps(s.select("id", "paper_id", "year", F.col("source_text").alias("text"), "confidence"), s.where("id % 5 = 0").select("id"))
     m = F.col("signals")
     return g.select("gap_id", "n_papers", "n_evidence", m["repeated_limitation"].alias("rep"), m["temporal_opportunity"].alias("temporal"))
 
@@ -411,10 +413,10 @@ def j10(spark, sf):
 
 def _sources(spark, sf):
     c = V.table(spark, sf, "conversations")
-    return c.select(F.col("conv_id").alias("gap_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("source_rank"), F.col("turn").alias("seq"), F.substring("text", 1, 40).alias("text"))
+    return c.select(F.col("conv_id").alias("gap_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("source_rank"), F.col("turn").alias("seq"), "text")
 
 
-_CTX = "src AS (SELECT conv_id AS gap_id, (role <> 'user')::INT AS source_rank, turn AS seq, substr(text, 1, 40) AS text FROM conversations), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id, text ORDER BY source_rank, seq) AS r FROM src WHERE length(trim(text)) > 0) WHERE r = 1), ctx AS (SELECT gap_id, text, row_number() OVER (PARTITION BY gap_id ORDER BY source_rank, seq, text) AS n FROM one)"
+_CTX = "src AS (SELECT conv_id AS gap_id, (role <> 'user')::INT AS source_rank, turn AS seq, text FROM conversations), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id, text ORDER BY source_rank, seq) AS r FROM src WHERE length(trim(text)) > 0) WHERE r = 1), ctx AS (SELECT gap_id, text, row_number() OVER (PARTITION BY gap_id ORDER BY source_rank, seq, text) AS n FROM one)"
 
 
 @query("k1_evidence_context", f"WITH {_CTX} SELECT gap_id, text, 'E' || n AS citation_id FROM ctx")
@@ -430,11 +432,14 @@ def k2(spark, sf):
     return K.context_text(K.evidence_context(_sources(spark, sf)))
 
 
-@query("k3_prompts", f"WITH {_CTX} SELECT gap_id, 'Gap: t' || gap_id || chr(10) || 'Lifecycle: EMERGING' || chr(10) || 'Verification: unknown' || chr(10) || 'Cite evidence by tag and state nothing without a tag.' || chr(10) || 'Evidence: ' || {_LINES} AS prompt FROM ctx GROUP BY 1")
+@query("k3_prompts", f"WITH {_CTX} SELECT gap_id, 'Gap: t' || gap_id || chr(10) || 'Lifecycle: EMERGING' || chr(10) || 'Genealogy: ' || CASE gap_id % 3 WHEN 0 THEN 'observed -> repeated' ELSE 'Direct bottleneck' END || chr(10) || 'Verification: unknown' || chr(10) || 'Cite evidence by tag and state nothing without a tag.' || chr(10) || 'Evidence: ' || {_LINES} AS prompt FROM ctx GROUP BY 1")
 def k3(spark, sf):
     ctx = K.evidence_context(_sources(spark, sf))
     gaps = ctx.select("gap_id").distinct().withColumn("title", F.concat(F.lit("t"), "gap_id"))
-    return K.prompts(gaps, ctx, gaps.select("gap_id", F.lit("EMERGING").alias("status")), gaps.where("false").select("gap_id", F.lit("x").alias("status")))
+    # of three gaps one has steps, one an empty list of them, one none
+    chain = gaps.where("gap_id % 3 = 0").select("gap_id", F.explode(F.array(F.struct(F.lit(2).alias("step"), F.lit("repeated").alias("stage")), F.struct(F.lit(1).alias("step"), F.lit("observed").alias("stage")))).alias("s")).select("gap_id", "s.*")
+    steps = I.genealogy_summary(chain).unionByName(gaps.where("gap_id % 3 = 1").select("gap_id", F.lit("").alias("summary")))
+    return K.prompts(gaps, ctx, gaps.select("gap_id", F.lit("EMERGING").alias("status")), gaps.where("false").select("gap_id", F.lit("x").alias("status")), steps)
 
 
 @query("k4_parse_responses", "SELECT item_id, split_part(text, ' ', 1) AS executive_summary, 0.5::DOUBLE AS confidence FROM benchmark WHERE item_id % 3 <> 0 AND NOT contains(split_part(text, ' ', 1), '\"')")
@@ -468,12 +473,12 @@ def k6(spark, sf):
 
 
 _STOPS = ", ".join(f"'{w}'" for w in lexicon.OVERLAP_STOP_WORDS)
-_SET = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z]{{3,}}'), lambda x: x NOT IN ({_STOPS})))"
+_SET = lambda c: f"list_distinct(list_filter({V.words_sql(c, '[a-z]{3,}')}, lambda x: x NOT IN ({_STOPS})))"
 
 
-@query("k7_token_overlap", f"WITH p AS (SELECT a.item_id AS a, b.item_id AS b, {_SET('a.text')} AS x, {_SET('b.text')} AS y FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id WHERE regexp_matches(a.text || b.text, '^[ -~\\n]*$')) SELECT a, b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(greatest(len(list_intersect(x, y)) / len(list_distinct(x || y)), len(list_intersect(x, y)) / least(len(x), len(y))), 8) END AS overlap FROM p")
+@query("k7_token_overlap", f"WITH p AS (SELECT a.item_id AS a, b.item_id AS b, {_SET('a.text')} AS x, {_SET('b.text')} AS y FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id) SELECT a, b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(greatest(len(list_intersect(x, y)) / len(list_distinct(x || y)), len(list_intersect(x, y)) / least(len(x), len(y))), 8) END AS overlap FROM p")
 def k7(spark, sf):
-    b = V.table(spark, sf, "benchmark").where(F.col("text").rlike("^[ -~\\n]*$"))
+    b = V.table(spark, sf, "benchmark")
     pairs = b.alias("a").join(b.alias("b"), F.col("a.item_id") < F.col("b.item_id"))  # the test items only
     return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(token_overlap(F.col("a.text"), F.col("b.text")), 8).alias("overlap"))
 

@@ -15,10 +15,9 @@ def merged(spark, sf):
     return G.merge_edges(V.graph_edges(spark, sf))
 
 
-@query("g1_slugify", r"SELECT doc_id, substr(regexp_replace(regexp_replace(trim(lower(split_part(text, chr(10), 1)), ' '), '[^0-9a-z_\s-]', '', 'g'), '[-\s]+', '_', 'g'), 1, 64) AS slug FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '^[ -~]*$')")
+@query("g1_slugify", r"SELECT doc_id, substr(regexp_replace(regexp_replace(trim(lower(split_part(text, chr(10), 1)), ' '), '[^\p{L}\p{N}_\s\p{Z}-]', '', 'g'), '[-\s\p{Z}]+', '_', 'g'), 1, 64) AS slug FROM documents")
 def g1(spark, sf):
-    p = V.papers(spark, sf).where(F.col("title").rlike("^[ -~]*$"))
-    return p.select(F.col("id").alias("doc_id"), slugify(F.col("title")).alias("slug"))
+    return V.papers(spark, sf).select(F.col("id").alias("doc_id"), slugify(F.col("title")).alias("slug"))
 
 
 _TABLE = {"is": "Is-Name", "of the": "Of-The"}
@@ -51,9 +50,9 @@ def g5(spark, sf):
     return G.merge_nodes(G.entity_nodes(p, "Method")).select("id")
 
 
-@query("g6_statement_nodes", f"WITH {V.SENTENCES} SELECT 'limitation:' || id AS id, CASE WHEN length(source_text) > 80 THEN substr(source_text, 1, 80) || '...' ELSE source_text END AS label FROM sentences WHERE part = 0")
+@query("g6_statement_nodes", f"WITH {V.SENTENCES} SELECT 'limitation:' || id AS id, CASE WHEN length(source_text) > 80 THEN substr(source_text, 1, 80) || '...' ELSE source_text END AS label FROM sentences")
 def g6(spark, sf):
-    s = V.sentences(spark, sf).where("part = 0").select("id", "paper_id", F.col("source_text").alias("extracted_text"))
+    s = V.sentences(spark, sf).select("id", "paper_id", F.col("source_text").alias("extracted_text"))
     return G.statement_nodes(s, "Limitation", "limitation").select("id", "label")
 
 
@@ -87,10 +86,10 @@ def g11(spark, sf):
     return merged(spark, sf).select("source", "target", "relationship", "confidence", "seq")
 
 
-@query("g12_citation_edges", f"WITH {V.PAPERS}, r AS (SELECT id AS paper_id, upper(title) AS t FROM papers) SELECT 'paper:' || paper_id AS source, 'paper:' || id AS target FROM r JOIN papers ON lower(trim(t)) = lower(trim(title)) WHERE paper_id <> id AND regexp_matches(title, '^[ -~]+$')")
+@query("g12_citation_edges", f"WITH {V.PAPERS}, r AS (SELECT id AS paper_id, '  ' || lower(title) || ' ' AS t FROM papers) SELECT 'paper:' || paper_id AS source, 'paper:' || id AS target FROM r JOIN papers ON lower(trim(t)) = lower(trim(title)) WHERE paper_id <> id AND length(trim(title)) > 0")
 def g12(spark, sf):
-    p = V.papers(spark, sf).where(F.col("title").rlike("^[ -~]+$"))
-    refs = p.select(F.col("id").alias("paper_id"), F.lit(0).alias("ref_index"), F.upper("title").alias("title"))
+    p = V.papers(spark, sf)
+    refs = p.select(F.col("id").alias("paper_id"), F.lit(0).alias("ref_index"), F.concat(F.lit("  "), F.lower("title"), F.lit(" ")).alias("title"))
     return G.citation_edges(refs, p).select("source", "target")
 
 
@@ -126,9 +125,12 @@ def g15(spark, sf):
 _SOLVE, _LIMIT = V.word("erat"), V.word("onor")
 
 
-@query("g16_address_edges", f"WITH {V.SENTENCES}, a AS (SELECT DISTINCT id, paper_id, unnest(regexp_extract_all(lower(source_text), '[a-z]{{4,}}')) AS w FROM sentences WHERE {V.hit('source_text', _SOLVE)} AND regexp_matches(source_text, '^[ -~]*$')), b AS (SELECT DISTINCT id AS lim, paper_id AS lp, unnest(regexp_extract_all(lower(source_text), '[a-z]{{4,}}')) AS w FROM sentences WHERE {V.hit('source_text', _LIMIT)} AND regexp_matches(source_text, '^[ -~]*$')) SELECT 'paper:' || paper_id AS source, 'limitation:' || lim AS target, id AS seq FROM a JOIN b USING (w) WHERE paper_id <> lp GROUP BY id, paper_id, lim HAVING count(*) >= 2")
+_LONG = r"regexp_extract_all(lower(source_text), '[\p{L}\p{N}_]{4,}')"
+
+
+@query("g16_address_edges", f"WITH {V.SENTENCES}, a AS (SELECT DISTINCT id, paper_id, unnest({_LONG}) AS w FROM sentences WHERE {V.hit('source_text', _SOLVE)}), b AS (SELECT DISTINCT id AS lim, paper_id AS lp, unnest({_LONG}) AS w FROM sentences WHERE {V.hit('source_text', _LIMIT)}) SELECT 'paper:' || paper_id AS source, 'limitation:' || lim AS target, id AS seq FROM a JOIN b USING (w) WHERE paper_id <> lp GROUP BY id, paper_id, lim HAVING count(*) >= 2")
 def g16(spark, sf):
-    s = V.sentences(spark, sf).where(F.col("source_text").rlike("^[ -~]*$"))
+    s = V.sentences(spark, sf)
     lims = s.where(F.col("source_text").rlike("(?i)" + _LIMIT)).select("id", "paper_id", F.col("source_text").alias("extracted_text"))
     return G.address_edges(s, lims, _SOLVE).select("source", "target", "seq")
 
@@ -149,17 +151,17 @@ def g18(spark, sf):
     return edges.groupBy("relationship").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("total"))
 
 
-def _small(spark, sf):
-    """Orders and customers of a few days, a graph of many components."""
-    o = V.table(spark, sf, "orders").where("o_custkey % 10 = 0")
+def _ordered(spark, sf):
+    """Orders and their customers, a graph of many components."""
+    o = V.table(spark, sf, "orders")
     e = o.select(F.concat(F.lit("o"), "o_orderkey").alias("source"), F.concat(F.lit("c"), F.col("o_custkey")).alias("target"), F.lit("by").alias("relationship"), F.lit(1.0).alias("confidence"), F.col("o_orderkey").alias("paper_id"), F.lit(None).cast("string").alias("source_text"), F.lit(0).cast("long").alias("seq")).withColumn("id", F.concat("source", "target"))
     ids = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct()
     return ids.select("id", F.col("id").alias("label"), F.substring("id", 1, 1).alias("type")), e
 
 
-@query("g19_components", "WITH o AS (SELECT 'o' || o_orderkey AS s, 'c' || o_custkey AS t FROM orders WHERE o_custkey % 10 = 0), m AS (SELECT t, least(t, min(s)) AS c FROM o GROUP BY t) SELECT s AS id, c AS component FROM o JOIN m USING (t) UNION SELECT t, c FROM m")
+@query("g19_components", "WITH o AS (SELECT 'o' || o_orderkey AS s, 'c' || o_custkey AS t FROM orders), m AS (SELECT t, least(t, min(s)) AS c FROM o GROUP BY t) SELECT s AS id, c AS component FROM o JOIN m USING (t) UNION SELECT t, c FROM m")
 def g19(spark, sf):
-    return G.components(*_small(spark, sf))
+    return G.components(*_ordered(spark, sf))
 
 
 @query("g20_overview", f"WITH {V.GRAPH_EDGES}, {V.GRAPH_NODES}, a AS (SELECT 'node' AS kind, type AS name, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', relationship, count(*) FROM edges GROUP BY ALL) SELECT * FROM a UNION ALL SELECT kind, 'total', sum(n)::BIGINT FROM a GROUP BY kind")
@@ -199,14 +201,14 @@ def g24(spark, sf):
 
 
 _RANK = "r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS rank FROM ids)" + "".join(
-    f", f{k} AS (SELECT target AS id, sum(rank / deg) AS got FROM links JOIN r{k - 1} ON id = source GROUP BY 1), r{k} AS (SELECT ids.id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT source FROM deg)) / (SELECT count(*) FROM ids) + 0.85 * coalesce(got, 0) AS rank FROM ids LEFT JOIN f{k} USING (id))"
-    for k in range(1, 4)
+    f", f{k} AS MATERIALIZED (SELECT target AS id, sum(rank / deg) AS got FROM links JOIN r{k - 1} ON id = source GROUP BY 1), r{k} AS MATERIALIZED (SELECT ids.id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT source FROM deg)) / (SELECT count(*) FROM ids) + 0.85 * coalesce(got, 0) AS rank FROM ids LEFT JOIN f{k} USING (id))"
+    for k in range(1, 11)
 )
 
 
-@query("g25_pagerank", f"WITH e AS (SELECT 'o' || o_orderkey AS source, 'c' || o_custkey AS target FROM orders WHERE o_custkey % 10 = 0), ids AS (SELECT source AS id FROM e UNION SELECT target FROM e), deg AS (SELECT source, count(*) AS deg FROM e GROUP BY 1), links AS (SELECT * FROM e JOIN deg USING (source)), {_RANK} SELECT id, round(rank, 9) AS rank FROM r3")
+@query("g25_pagerank", f"WITH e AS (SELECT 'o' || o_orderkey AS source, 'c' || o_custkey AS target FROM orders), ids AS (SELECT source AS id FROM e UNION SELECT target FROM e), deg AS (SELECT source, count(*) AS deg FROM e GROUP BY 1), links AS (SELECT * FROM e JOIN deg USING (source)), {_RANK} SELECT id, round(rank, 9) AS rank FROM r10")
 def g25(spark, sf):
-    return G.pagerank(*_small(spark, sf), rounds=3).withColumn("rank", F.round("rank", 9))
+    return G.pagerank(*_ordered(spark, sf), rounds=10).withColumn("rank", F.round("rank", 9))
 
 
 _E = f"WITH {V.GRAPH_EDGES}"
@@ -267,9 +269,9 @@ def g35(spark, sf):
     return c.select("role", "n", F.size("papers").cast("long").alias("papers"))
 
 
-@query("g36_provenance", f"WITH {V.SENTENCES} SELECT id, 'Paper ' || paper_id || ', ' || section_name || ', p. 1' AS citation FROM sentences WHERE part = 0")
+@query("g36_provenance", f"WITH {V.SENTENCES} SELECT id, 'Paper ' || paper_id || ', ' || section_name || ', p. 1' AS citation FROM sentences")
 def g36(spark, sf):
-    s = V.sentences(spark, sf).where("part = 0")
+    s = V.sentences(spark, sf)
     p = G.provenance(F.col("paper_id"), F.concat(F.lit("Paper "), "paper_id"), F.col("id"), F.col("section_name"), F.lit(None).cast("int"), F.col("source_text"), F.lit(1.2), F.lit("rule"))
     rows = s.withColumn("provenance", p)
     # nothing lacks its origin here, so the rows of provenance_gaps add none
@@ -277,6 +279,13 @@ def g36(spark, sf):
     return whole.select("id", G.cite(F.col("provenance.paper_title"), F.col("provenance.section_name"), F.col("provenance.page_number")).alias("citation"))
 
 
-@query("a14_export_cypher", f"{_E}, {V.GRAPH_NODES} SELECT 'MERGE (n:' || type || ' {{id: ''' || id || '''}}) SET n.label = ''' || label || ''';' AS statement FROM nodes UNION ALL SELECT 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) MERGE (a)-[:BELONGS_TO {{confidence: 0.8}}]->(b);' FROM edges WHERE relationship = 'belongs_to'".replace("{{", "{").replace("}}", "}"))
+_TEXT = "replace(replace({}, chr(92), chr(92) || chr(92)), '''', chr(92) || '''')"
+_NODE = f"'MERGE (n:' || upper(type[1]) || substr(type, 2) || ' {{id: ''' || {_TEXT.format('id')} || '''}}) SET n += {{label: ''' || {_TEXT.format('label')} || ''', name: ''it' || chr(92) || '''s ' || {_TEXT.format('label')} || '''}};'"
+_LINK = f"'MATCH (a {{id: ''' || {_TEXT.format('source')} || '''}}), (b {{id: ''' || {_TEXT.format('target')} || '''}}) MERGE (a)-[r:' || upper(relationship) || ' {{confidence: ' || CASE WHEN confidence = 1 THEN '1.0' ELSE confidence::VARCHAR END || '}}]->(b);'"
+
+
+@query("a14_export_cypher", f"{_E}, {V.GRAPH_NODES} SELECT {_NODE} AS statement FROM nodes UNION ALL SELECT {_LINK} FROM edges".replace("{{", "{").replace("}}", "}"))
 def a14(spark, sf):
-    return G.export_cypher(V.graph_nodes(spark, sf), V.graph_edges(spark, sf).where("relationship = 'belongs_to'")).select("statement")
+    n = V.graph_nodes(spark, sf).withColumn("type", F.initcap("type"))
+    n = n.withColumn("properties", F.create_map(F.lit("label"), F.col("label"), F.lit("name"), F.concat(F.lit("it's "), "label")))
+    return G.export_cypher(n, V.graph_edges(spark, sf)).select("statement")

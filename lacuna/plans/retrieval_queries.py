@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.operators import tfidf as R
 from lacuna.operators import topics as TP
 from lacuna.operators import vectors as E
+from lacuna.operators.lifecycle import containing
 from lacuna.plans import views as V
 from lacuna.plans.registry import query
 
@@ -33,20 +34,29 @@ def e3(spark, sf):
     return E.check_dim(short, 64).select("id")
 
 
-_EMBED = """t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS l FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$')),
-    p AS (SELECT id, l, unnest(range(len(l))) AS i FROM t), w AS (SELECT id, i, l[i + 1] AS w, l[i + 2] AS nxt FROM p),
-    b AS (SELECT id, 1.5 / (1 + 0.05 * i) AS w, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 384 AS bucket FROM w
-        UNION ALL SELECT id, 0.75 / (1 + 0.05 * i), ('0x' || substr(md5(substr(w, 1, 4)), 1, 8))::BIGINT % 384 FROM w WHERE length(w) > 3
-        UNION ALL SELECT id, 2.0 / (1 + 0.05 * i), ('0x' || substr(sha256(w || '_' || nxt), 1, 8))::BIGINT % 384 FROM w WHERE nxt IS NOT NULL),
-    s AS (SELECT id, bucket, sum(w::DOUBLE) AS w FROM b GROUP BY 1, 2)"""
+def embed_sql(name: str, table: str, key: str) -> str:
+    """SQL of the hashed embedding of a table's texts as ``name`` (id, bucket, w), unit length together."""
+    w, nxt = "l[i + 1]", "l[i + 2]"
+    return f"""{name}_t AS (SELECT {key} AS id, {V.SPLIT.format('text')} AS l FROM {table}), {name}_w AS (SELECT id, l, unnest(range(len(l))) AS i FROM {name}_t),
+    {name}_b AS (SELECT id, 1.5 / (1 + 0.05 * i) AS w, {V.bucket_sql(w, 'sha256')} AS bucket FROM {name}_w
+        UNION ALL SELECT id, 0.75 / (1 + 0.05 * i), {V.bucket_sql(f'substr({w}, 1, 4)', 'md5')} FROM {name}_w WHERE length({w}) > 3
+        UNION ALL SELECT id, 2.0 / (1 + 0.05 * (i + 1)), {V.bucket_sql(f"{w} || '_' || {nxt}", 'sha256')} FROM {name}_w WHERE {nxt} IS NOT NULL),
+    {name}_s AS (SELECT id, bucket, sum(w::DOUBLE) AS w FROM {name}_b GROUP BY 1, 2), {name} AS (SELECT id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {name}_s)"""
 
 
-@query("e1_hash_embed", f"WITH {_EMBED} SELECT id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS w FROM s")
+@query("e1_hash_embed", f"WITH {embed_sql('e', 'documents', 'doc_id')} SELECT id, bucket, round(w, 6) AS w FROM e")
 def e1(spark, sf):
-    d = V.table(spark, sf, "documents").where(F.col("text").rlike("^[ -~\\n]*$"))
+    d = V.table(spark, sf, "documents")
     return E.hashed_terms(d, "doc_id", "text").select("id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 6).alias("w"))
 
 
+@query("e1_hash_vectors", f"WITH {embed_sql('e', 'documents', 'doc_id')}, d AS (SELECT doc_id AS id, unnest(range(384)) AS bucket FROM documents), f AS (SELECT d.id, bucket, coalesce(w, 0.0) AS w FROM d LEFT JOIN e USING (id, bucket)) SELECT id, 384 AS dim, round(sum(w), 4) AS total, arg_min(bucket, (-round(w, 5), bucket)) AS top FROM f GROUP BY id")
+def e1v(spark, sf):
+    v = E.hash_embed(V.table(spark, sf, "documents"), "doc_id")
+    best = F.array_min(F.transform("embedding", lambda x, i: F.struct((-F.round(x.cast("double"), 5)).alias("s"), i.cast("long").alias("i"))))["i"]
+    return v.select("id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"), best.alias("top"))
+
+
 @query("e4_evidence_units", f"WITH {V.SENTENCES}, {V.PAPERS}, u AS (SELECT 's' || id AS unit_id, paper_id, source_text AS text, section_name FROM sentences UNION ALL SELECT 'e' || (id + 1), paper_id, reverse(source_text), section_name FROM sentences WHERE part = 0) SELECT unit_id, u.text AS text, section_name AS section, publication_year AS year FROM u LEFT JOIN papers ON papers.id = paper_id WHERE length(trim(u.text)) > 0")
 def e4(spark, sf):
     s = V.sentences(spark, sf).withColumn("page_number", F.lit(1))
@@ -110,10 +120,13 @@ def e9(spark, sf):
     return tf(spark, sf).groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("total"))
 
 
-_CAP = _TOK + ", vocab AS (SELECT term FROM (SELECT term, sum(tf) AS f FROM tf GROUP BY 1 ORDER BY f DESC, term LIMIT 2000)), capped AS (SELECT tf.* FROM tf JOIN vocab USING (term))"
+_CAPPED = _TOK + ", vocab AS (SELECT term FROM (SELECT term, sum(tf) AS f FROM tf GROUP BY 1 ORDER BY f DESC, term LIMIT {cap})), capped AS (SELECT tf.* FROM tf JOIN vocab USING (term))"
+#: The vocabulary of the production index, and a smaller one for the query that is about the cap itself.
+VOCABULARY = 25_000
+_CAP = _CAPPED.replace("{cap}", str(VOCABULARY))
 
 
-@query("e10_cap_vocab", f"WITH {_CAP} SELECT term, sum(tf)::BIGINT AS f FROM capped GROUP BY 1")
+@query("e10_cap_vocab", f"WITH {_CAPPED.replace('{cap}', '2000')} SELECT term, sum(tf)::BIGINT AS f FROM capped GROUP BY 1")
 def e10(spark, sf):
     return R.cap_vocab(tf(spark, sf), 2000).groupBy("term").agg(F.sum("tf").alias("f"))
 
@@ -123,8 +136,8 @@ _W = _CAP + """, idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)
 
 
 def weights(spark, sf):
-    capped = R.cap_vocab(tf(spark, sf), 2000)
-    return R.tfidf(capped, V.table(spark, sf, "documents").count())
+    counted = R.written(tf(spark, sf))
+    return R.tfidf(R.cap_vocab(counted, VOCABULARY), V.table(spark, sf, "documents").count())
 
 
 @query("e11_tfidf", f"WITH {_W} SELECT id, count(*) AS n, round(sum(w), 6) AS total FROM weights GROUP BY 1")
@@ -140,11 +153,24 @@ _BQ = """, bq AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[
     top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits WHERE score > 0)"""
 
 
+def _documents(spark, sf):
+    return V.table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+
+
+def _questions(spark, sf):
+    return V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def lexical_hits(spark, sf, k=10):
-    capped = R.cap_vocab(tf(spark, sf), 2000)
-    table = R.idf(capped, V.table(spark, sf, "documents").count())
-    q = R.weigh(R.term_counts(V.table(spark, sf, "benchmark"), "item_id", "text", **_TERMS), table)
-    return R.tfidf_search(R.weigh(capped, table), q, k)
+    return R.lexical_hits(_documents(spark, sf), _questions(spark, sf), k, VOCABULARY, **_TERMS)
+
+
+def semantic_hits(spark, sf, k=10):
+    return R.semantic_hits(_documents(spark, sf), _questions(spark, sf), k)
+
+
+_SEM = f""", {embed_sql('de', 'documents', 'doc_id')}, {embed_sql('qe', 'benchmark', 'item_id')}, sh AS (SELECT qe.id AS query_id, de.id, round(sum(de.w::FLOAT::DOUBLE * qe.w::FLOAT::DOUBLE), 6) AS score FROM de JOIN qe USING (bucket) GROUP BY 1, 2),
+    stop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sh WHERE score > 0)"""
 
 
 @query("e12_tfidf_search", f"WITH {_W}{_BQ} SELECT query_id, id, round(score, 6) AS score, rank FROM top WHERE rank <= 10")
@@ -159,13 +185,16 @@ def e13(spark, sf):
     return R.tfidf_add(base, d.where("doc_id % 4 = 0"), "doc_id", "text", **_TERMS).groupBy("term").agg(F.count("*").alias("df")).where("df > 3")
 
 
-@query("e14_search_evidence", f"WITH {_W}{_BQ} SELECT query_id, id, 'tfidf' AS retrieval_method, split_part(d.text, chr(10), 1) AS title FROM top JOIN documents d ON d.doc_id = id WHERE rank = 1")
+_E14 = "SELECT query_id, id, '{0}' AS retrieval_method, split_part(d.text, chr(10), 1) AS title FROM {1} JOIN documents d ON d.doc_id = id WHERE rank = 1"
+
+
+@query("e14_search_evidence", f"WITH {_W}{_BQ}{_SEM} {_E14.format('tfidf', 'top')} UNION ALL {_E14.format('semantic', 'stop')}")
 def e14(spark, sf):
-    u = V.papers(spark, sf).select(F.col("id").alias("unit_id"), F.col("id").alias("paper_id"), F.col("title").alias("paper_title"), F.col("publication_year").alias("year"), F.lit(None).cast("long").alias("sentence_id"), F.lit("").alias("text"), F.lit("").alias("section"), F.lit(1).alias("page"), F.lit("DOC").alias("extraction_type"))
-    hits = lexical_hits(spark, sf, 1).withColumn("unit_id", F.col("id"))
-    r = R.search_evidence("TF-IDF", u, hits.select("query_id", "unit_id", "score", "rank").withColumn("unit_id", F.col("unit_id")))
-    both = hits.select("query_id", "unit_id").join(r.select("unit_id", "retrieval_method", F.col("paper.title").alias("title")).distinct(), "unit_id")
-    return both.select("query_id", F.col("unit_id").alias("id"), "retrieval_method", "title")
+    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+    p = V.papers(spark, sf).select(F.col("id").alias("unit_id"), F.col("id").alias("paper_id"), F.col("title").alias("paper_title"), F.col("publication_year").alias("year"), F.lit(None).cast("long").alias("sentence_id"), F.lit("").alias("section"), F.lit(1).alias("page"), F.lit("DOC").alias("extraction_type"))
+    units = d.join(p, "unit_id")
+    found = R.search_evidence("TF-IDF", units, _questions(spark, sf), 1, vocabulary=VOCABULARY, **_TERMS).unionByName(R.search_evidence("semantic", units, _questions(spark, sf), 1))
+    return found.select("query_id", F.col("unit_id").alias("id"), "retrieval_method", F.col("paper.title").alias("title"))
 
 
 @query("e15_embed_collection", f"WITH {V.SENTENCES} SELECT paper_id, count(*) AS n, count(DISTINCT id) AS sentences FROM sentences GROUP BY 1")
@@ -179,17 +208,16 @@ def e16(spark, sf):
 
 
 def relevant(spark, sf):
-    b, d = V.table(spark, sf, "benchmark"), V.table(spark, sf, "documents")
-    # the test items are a small table, and a passage has to be looked for in whole texts
-    return d.join(F.broadcast(b.select("item_id", F.col("text").alias("p"))), F.col("text").contains(F.col("p"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    """The documents that hold a test passage."""
+    passages = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("w"))
+    return containing(V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), F.col("text"), passages).select("query_id", "id")
 
 
 _REL = ", rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT b.item_id AS query_id, coalesce(sum(CASE WHEN rank <= 5 AND rel.id IS NOT NULL THEN 1 ELSE 0 END), 0) AS found, min(CASE WHEN rel.id IS NOT NULL THEN rank END) AS first FROM benchmark b LEFT JOIN (SELECT * FROM top WHERE rank <= 10) top ON top.query_id = b.item_id LEFT JOIN rel ON rel.query_id = top.query_id AND rel.id = top.id GROUP BY 1), tot AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1), per AS (SELECT m.query_id, found / 5 AS precision, coalesce(found / total, 0.0) AS recall, coalesce(1.0 / first, 0.0) AS rr FROM m LEFT JOIN tot USING (query_id))"
 
 
 def measures(spark, sf):
-    q = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    return R.query_measures(q, lexical_hits(spark, sf), relevant(spark, sf), 5)
+    return R.query_measures(_questions(spark, sf), lexical_hits(spark, sf), relevant(spark, sf), 5)
 
 
 @query("e17_precision_at_k", f"WITH {_W}{_BQ}{_REL} SELECT query_id, precision::DOUBLE AS precision FROM per")
@@ -207,26 +235,42 @@ def e19(spark, sf):
     return measures(spark, sf).select("query_id", F.round("rr", 6).alias("rr"))
 
 
-@query("e20_compare_engines", f"WITH {_W}{_BQ}{_REL} SELECT 'tfidf' AS engine, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM per")
+_SREL = _REL[_REL.index(", m AS") :].replace(" m AS", " sm AS").replace("FROM top ", "FROM stop ").replace("tot AS (", "stot AS (").replace("per AS (", "sper AS (").replace("m.query_id", "sm.query_id").replace("FROM m LEFT JOIN tot", "FROM sm LEFT JOIN stot")
+_ENGINE = "SELECT '{0}' AS engine, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM {1}"
+
+
+@query("e20_compare_engines", f"WITH {_W}{_BQ}{_SEM}{_REL}{_SREL} {_ENGINE.format('tfidf', 'per')} UNION ALL {_ENGINE.format('semantic', 'sper')}")
 def e20(spark, sf):
-    r = R.engine_measures(measures(spark, sf).withColumn("engine", F.lit("tfidf")), ["engine"])
+    known = R.written(relevant(spark, sf))
+    each = [R.query_measures(_questions(spark, sf), hits(spark, sf), known, 5).withColumn("engine", F.lit(name)) for name, hits in (("tfidf", lexical_hits), ("semantic", semantic_hits))]
+    r = R.engine_measures(each[0].unionByName(each[1]), ["engine"])
     return r.select("engine", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")])
 
 
 @query("e21_knn_approx")
 def e21(spark, sf):
+    # the vectors are noise without clusters, so a recall of 0.9 takes most of the cells
     v = vectors(spark, sf)
-    return E.knn_approx(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), v, 5)
+    return E.knn_approx(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), v, 5, cells=32, probes=20)
 
 
 @query("d22_prototype_classify", f"WITH {_UNIT}, a AS (SELECT v AS av FROM unit WHERE id < 5) SELECT id, round(max(list_dot_product(v, av)), 6) AS best, max(list_dot_product(v, av)) >= 0.52 AS is_positive FROM unit, a GROUP BY id")
 def d22(spark, sf):
     from lacuna.operators.discourse import prototype_classify
 
-    u = vectors(spark, sf).select("id", E.l2_normalize(F.col("embedding")).alias("embedding"))
+    u = vectors(spark, sf).select("id", "embedding")
     return prototype_classify(u, u.where("id < 5")).select("id", F.round("best", 6).alias("best"), "is_positive")
 
 
+@query("d22_hybrid_decision", f"WITH {_UNIT}, a AS (SELECT v AS av FROM unit WHERE id < 5), b AS (SELECT id, max(list_dot_product(v, av)) AS best FROM unit, a GROUP BY id) SELECT id, (id % 7 = 0) OR (id % 2 = 0 AND best >= 0.50) OR best >= 0.58 AS is_limitation FROM b")
+def d22h(spark, sf):
+    from lacuna.operators.discourse import hybrid_decision, prototype_classify
+
+    u = vectors(spark, sf).select("id", "embedding")
+    best = prototype_classify(u, u.where("id < 5"))
+    return best.select("id", hybrid_decision(F.col("id") % 7 == 0, F.col("id") % 2 == 0, F.col("best")).alias("is_limitation"))
+
+
 # --- F: topics
 
 
@@ -261,18 +305,29 @@ def f4(spark, sf):
     return TP.membership(d, TP.centroids(d)).select("id", "probability")
 
 
-_NEAR = "near AS (SELECT a.id AS u, b.id AS v FROM unit a JOIN unit b ON a.id <> b.id AND list_dot_product(a.v, b.v) >= 0.8)"
+_NEAR = "near AS (SELECT a.id AS u, b.id AS v FROM unit a JOIN unit b ON a.id <> b.id AND round(list_dot_product(a.v, b.v), 12) >= 0.4)"
 
 
 @query("f5_density_topics", f"WITH RECURSIVE {_UNIT}, {_NEAR}, r AS (SELECT id, id AS c FROM unit UNION SELECT near.v, r.c FROM r JOIN near ON near.u = r.id), comp AS (SELECT id, min(c) AS c FROM r GROUP BY 1), n AS (SELECT c, count(*) AS n FROM comp GROUP BY 1) SELECT id, CASE WHEN n >= 3 THEN c ELSE -1 END AS topic_id FROM comp JOIN n USING (c)")
 def f5(spark, sf):
     v = vectors(spark, sf)
-    near = E.knn_join(v.select(F.col("id").alias("query_id"), "embedding"), v, 500).where("score >= 0.8 and query_id <> id")
-    return TP.density_topics(v, near.select(F.col("query_id").alias("source"), F.col("id").alias("target")), 3)
+    return TP.density_topics(v, E.neighbour_links(v, 0.4), 3)
+
+
+@query("f5_density_or_kmeans")
+def f5k(spark, sf):
+    # no two vectors are this near, so all would be outliers and k-means takes over
+    v = vectors(spark, sf)
+    return TP.density_or_kmeans(v, E.neighbour_links(v, 0.95), 3).select("id", "topic_id")
 
 
-@query("f6_discover_topics", "SELECT 0 AS topic_id, 1.0::DOUBLE AS probability, vec_id AS id FROM embeddings WHERE vec_id = 1")
+@query("f6_discover_topics")
 def f6(spark, sf):
+    return TP.discover_topics(vectors(spark, sf)).select("id", "topic_id", "probability")
+
+
+@query("f6_discover_one", "SELECT 0 AS topic_id, 1.0::DOUBLE AS probability, vec_id AS id FROM embeddings WHERE vec_id = 1")
+def f6o(spark, sf):
     return TP.discover_topics(vectors(spark, sf).where("id = 1")).select("id", "topic_id", "probability")
 
 
@@ -331,14 +386,14 @@ def f11(spark, sf):
     return TP.yearly_distribution(assigned(spark, sf))
 
 
-_TRAJ = """d AS (SELECT topic_id, year AS y, count(*)::DOUBLE AS n FROM (SELECT doc_id % 50 AS topic_id, CASE WHEN doc_id % 17 <> 0 THEN (2018 + (doc_id * doc_id // 50 + n_chars) % 8)::INT END AS year FROM documents WHERE n_chars % 10 < 4) WHERE year IS NOT NULL GROUP BY 1, 2),
+_TRAJ = """d AS (SELECT topic_id, year AS y, count(*)::DOUBLE AS n FROM (SELECT doc_id % 50 AS topic_id, CASE WHEN doc_id % 17 <> 0 THEN (2018 + (doc_id * doc_id // 50 + n_chars) % 8)::INT END AS year FROM documents) WHERE year IS NOT NULL GROUP BY 1, 2),
     a AS (SELECT topic_id, count(*) AS m, sum(n) AS total, max(y) AS last, min(y) AS first, covar_samp(n, y) AS cov, var_pop(y) AS var, arg_max(y, n * 10000 - y) AS peak FROM d GROUP BY 1),
     l AS (SELECT a.*, (SELECT sum(n) FROM d WHERE d.topic_id = a.topic_id AND y >= last - 1) / total AS r, CASE WHEN var > 1e-6 THEN cov / var ELSE 0 END AS beta FROM a)"""
 
 
 @query("f12_trajectory", f"WITH {_TRAJ} SELECT topic_id, CASE WHEN m = 1 THEN CASE WHEN first >= 2024 THEN 'EMERGING' ELSE 'PERSISTENT' END WHEN (beta >= 0.20 AND r >= 0.45) OR (r >= 0.70 AND total >= 2) THEN 'EMERGING' WHEN (beta <= -0.15 AND r <= 0.25 AND peak <= last - 2) OR r = 0 THEN 'DECLINING' ELSE 'PERSISTENT' END AS trajectory FROM l")
 def f12(spark, sf):
-    d = V.table(spark, sf, "documents").where("n_chars % 10 < 4")
+    d = V.table(spark, sf, "documents")
     y = F.when(F.col("doc_id") % 17 != 0, (2018 + (F.floor(F.col("doc_id") * F.col("doc_id") / 50) + F.col("n_chars")) % 8).cast("int"))
     known = TP.yearly_distribution(d.select((F.col("doc_id") % 50).alias("topic_id"), y.alias("year")).where("year is not null"))
     return TP.trajectory(known)
@@ -360,11 +415,11 @@ def f15(spark, sf):
     return TP.topic_detail(assigned(spark, sf), V.papers(spark, sf), 2)
 
 
-@query("f16_landscape_overview", f"WITH {_ASG}, p AS (SELECT topic_id, count(*) AS paper_count FROM asg WHERE topic_id <> -1 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY paper_count DESC, topic_id) AS rank FROM p) SELECT topic_id, paper_count, rank, paper_count >= greatest(2.0, 1000 / 4) OR rank <= 2 AS is_major FROM r")
+@query("f16_landscape_overview", f"WITH {_ASG}, p AS (SELECT topic_id, count(*) AS paper_count FROM asg WHERE topic_id <> -1 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY paper_count DESC, topic_id) AS rank FROM p) SELECT topic_id, paper_count, rank, paper_count >= greatest(2.0, (SELECT count(*) FROM documents) / 4) OR rank <= 2 AS is_major FROM r")
 def f16(spark, sf):
     p = TP.topic_profiles(assigned(spark, sf))
     status = p.select("topic_id", F.lit("PERSISTENT").alias("status"))
-    return TP.landscape_overview(p, status, 1000).select("topic_id", "paper_count", F.col("rank").cast("long").alias("rank"), "is_major")
+    return TP.landscape_overview(p, status, V.table(spark, sf, "documents").count()).select("topic_id", "paper_count", F.col("rank").cast("long").alias("rank"), "is_major")
 
 
 @query("f17_tfidf_kmeans")
@@ -372,17 +427,23 @@ def f17(spark, sf):
     return TP.tfidf_kmeans(R.tfidf(R.cap_vocab(R.term_counts(V.table(spark, sf, "documents"), "doc_id", "text", ngrams=1, pattern="[a-z]{2,}"), 500), V.table(spark, sf, "documents").count()), 5, 500)[0]
 
 
-@query("f18_coherence", f"WITH {_UNIT} SELECT a.label AS topic_id, round(avg(list_dot_product(a.v, b.v)), 8) AS coherence FROM unit a JOIN unit b ON a.label = b.label AND a.id < b.id WHERE a.id < 200 AND b.id < 200 GROUP BY 1")
+@query("f18_coherence", f"WITH {_UNIT} SELECT a.label AS topic_id, round(avg(list_dot_product(a.v, b.v)), 8) AS coherence FROM unit a JOIN unit b ON a.label = b.label AND a.id < b.id GROUP BY 1")
 def f18(spark, sf):
-    v = vectors(spark, sf).where("id < 200")
+    v = vectors(spark, sf)
     t = v.select(F.col("label").alias("topic_id"), F.col("id").alias("term"))
     return TP.coherence(t, v.select(F.col("id").alias("term"), "embedding")).withColumn("coherence", F.round("coherence", 8))
 
 
-@query("f19_silhouette")
+_SIL = f"""x AS (SELECT vec_id AS id, label, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM embeddings), m AS (SELECT label, i, avg(v[i]) AS m FROM x, range(1, 65) t(i) GROUP BY 1, 2),
+    c AS (SELECT m.label, list(m ORDER BY i) AS c, (SELECT avg(list_dot_product(v, v)) FROM x WHERE x.label = m.label) AS sq, (SELECT count(*) FROM x WHERE x.label = m.label) AS n FROM m GROUP BY 1),
+    d AS (SELECT x.id, x.label, c.label AS other, n, list_dot_product(v, v) + sq - 2 * list_dot_product(v, c) AS d FROM x, c),
+    s AS (SELECT id, max(CASE WHEN label = other THEN CASE WHEN n > 1 THEN d * n / (n - 1) END END) AS a, min(CASE WHEN label <> other THEN d END) AS b FROM d GROUP BY 1)"""
+
+
+@query("f19_silhouette", f"WITH {_SIL} SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 8) AS silhouette FROM s")
 def f19(spark, sf):
     s = TP.silhouette(labelled(spark, sf))
-    return spark.createDataFrame([(float(s),)], "silhouette double")
+    return spark.createDataFrame([(round(float(s), 8),)], "silhouette double")
 
 
 @query("f20_stability", "WITH base AS (SELECT vec_id AS id, label AS topic_id FROM embeddings), runs AS (SELECT r AS run, id, (topic_id + (id % (r + 2) = 0)::INT) % 10 AS other FROM base, range(1, 6) t(r) WHERE (id * 7 + r) % 5 <> 0), b AS (SELECT run, base.topic_id, other FROM base JOIN runs USING (id)), s AS (SELECT run, topic_id, other, count(*) AS n FROM b GROUP BY ALL), x AS (SELECT run, topic_id, count(*) AS na FROM b GROUP BY ALL), y AS (SELECT run, other, count(*) AS nb FROM b GROUP BY ALL), j AS (SELECT run, topic_id, max(n / (na + nb - n)) AS j FROM s JOIN x USING (run, topic_id) JOIN y USING (run, other) GROUP BY ALL) SELECT run, round(avg(j), 8) AS stability FROM j GROUP BY 1")
@@ -393,6 +454,15 @@ def f20(spark, sf):
     return TP.stability(base, runs).withColumn("stability", F.round("stability", 8))
 
 
+_STABLE = "WITH base AS (SELECT vec_id AS id, label AS topic_id FROM embeddings), runs AS (SELECT r AS run, id, (topic_id + (id % (r + 2) = 0)::INT) % 10 AS other FROM base, range(1, 6) t(r) WHERE (id * 7 + r) % 5 <> 0), b AS (SELECT run, base.topic_id, other FROM base JOIN runs USING (id)), s AS (SELECT run, topic_id, other, count(*) AS n FROM b GROUP BY ALL), x AS (SELECT run, topic_id, count(*) AS na FROM b GROUP BY ALL), y AS (SELECT run, other, count(*) AS nb FROM b GROUP BY ALL), j AS (SELECT run, topic_id, max(n / (na + nb - n)) AS j FROM s JOIN x USING (run, topic_id) JOIN y USING (run, other) GROUP BY ALL), q AS (SELECT run, avg(j) AS s FROM j GROUP BY 1)"
+
+
+@query("f20_stability_summary", f"{_STABLE} SELECT count(*) AS runs, round(avg(s), 8) AS mean, round(stddev_pop(s), 8) AS std FROM q")
+def f20s(spark, sf):
+    r = TP.stability_summary(f20(spark, sf))
+    return r.select("runs", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
+
+
 @query("f21_outlier_ratio", f"WITH {_ASG} SELECT avg(CASE WHEN topic_id = -1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS outlier_ratio FROM asg")
 def f21(spark, sf):
     return TP.outlier_ratio(assigned(spark, sf))

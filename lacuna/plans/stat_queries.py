@@ -65,11 +65,11 @@ def l5(spark, sf):
     return stats.bootstrap_ci(judged(spark, sf).withColumn("row", F.col("doc_id")), "gold", ["g"], 200)
 
 
-_PAIR = "p AS (SELECT user_id AS g, event_id AS item, (value * 1000)::BIGINT % 50 / 10 AS x, (event_id * 7919) % 53 / 10 AS y FROM events WHERE user_id < 40)"
+_PAIR = "p AS (SELECT user_id AS g, event_id AS item, (value * 1000)::BIGINT % 50 / 10 AS x, (event_id * 7919) % 53 / 10 AS y FROM events)"
 
 
 def pairs(spark, sf):
-    e = V.table(spark, sf, "events").where("user_id < 40")
+    e = V.table(spark, sf, "events")
     return e.select(F.col("user_id").alias("g"), F.col("event_id").alias("item"), (F.round(F.col("value") * 1000).cast("long") % 50 / 10).alias("x"), (F.col("event_id") * 7919 % 53 / 10).alias("y"))
 
 
@@ -87,10 +87,10 @@ def l7(spark, sf):
 _WR = "d AS (SELECT g, round(x - y, 6) AS d FROM p WHERE round(x - y, 6) <> 0), r AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY abs(d)) + (count(*) OVER (PARTITION BY g, abs(d)) - 1) / 2 AS r FROM d)"
 
 
-@query("l8_wilcoxon", f"WITH {_PAIR}, {_WR} SELECT g, round(sum(CASE WHEN d > 0 THEN r ELSE 0 END), 4) AS w_plus, round(sum(CASE WHEN d < 0 THEN r ELSE 0 END), 4) AS w_minus FROM r GROUP BY 1")
+@query("l8_wilcoxon", f"WITH {_PAIR}, {_WR} SELECT g, round(sum(CASE WHEN d > 0 THEN r ELSE 0 END), 4) AS w_plus, round(sum(CASE WHEN d < 0 THEN r ELSE 0 END), 4) AS w_minus, count(*) AS n FROM r GROUP BY 1")
 def l8(spark, sf):
     p = pairs(spark, sf).withColumns({"x": F.round(F.col("x") - F.col("y"), 6), "y": F.lit(0.0)})
-    return stats.wilcoxon(p, ["g"]).select("g", F.round("w_plus", 4).alias("w_plus"), F.round("w_minus", 4).alias("w_minus"))
+    return stats.wilcoxon(p, ["g"]).select("g", F.round("w_plus", 4).alias("w_plus"), F.round("w_minus", 4).alias("w_minus"), "n")
 
 
 @query("l9_mean_ci", f"WITH {_PAIR} SELECT g, round(avg(x), 6) AS mean, round(stddev_samp(x) / sqrt(count(*)), 6) AS se FROM p GROUP BY 1")
@@ -116,9 +116,12 @@ def l12(spark, sf):
     return stats.kappa(matrix(spark, sf), ["g"]).withColumn("kappa", F.round("kappa", 8))
 
 
-@query("l13_fisher")
+_LOGP = "(lgamma(r1 + 1) - lgamma({k} + 1) - lgamma(r1 - {k} + 1) + lgamma(r2 + 1) - lgamma(c1 - {k} + 1) - lgamma(r2 - c1 + {k} + 1) - lgamma(n + 1) + lgamma(c1 + 1) + lgamma(n - c1 + 1))"
+
+
+@query("l13_fisher", f"WITH {_J}, b AS (SELECT g, sum((gold = 1 AND pred = 1)::INT)::BIGINT AS tp, sum((gold = 0 AND pred = 1)::INT)::BIGINT AS fp, sum((gold = 0 AND pred = 0)::INT)::BIGINT AS tn, sum((gold = 1 AND pred = 0)::INT)::BIGINT AS fn FROM j GROUP BY 1), m AS (SELECT *, tp + fp AS r1, fn + tn AS r2, tp + fn AS c1, tp + fp + fn + tn AS n FROM b), k AS (SELECT *, unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) AS k FROM m), p AS (SELECT *, exp({_LOGP.format(k='k')}) AS q, exp({_LOGP.format(k='tp')}) AS own FROM k) SELECT g, tp, fp, tn, fn, round(least(1.0, sum(CASE WHEN q <= own * (1 + 1e-7) THEN q ELSE 0 END)), 6) AS p_value FROM p GROUP BY ALL")
 def l13(spark, sf):
-    return stats.fisher(judged(spark, sf), ["g"])
+    return stats.fisher(judged(spark, sf), ["g"]).withColumn("p_value", F.round("p_value", 6))
 
 
 @query("l14_metric_summary", f"WITH {_PAIR} SELECT g, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM p GROUP BY 1")
@@ -157,18 +160,23 @@ def s1(spark, sf):
     return _sink(stream.unique_rows(e, "file_hash", "ts", "1000 days"), spark).agg(F.count("*").alias("n"))
 
 
-@query("s2_incremental_extract", f"WITH {V.SENTENCES}, {V.classified_sql()} SELECT id, label FROM classified WHERE paper_id % 10 = 0")
+_FILLED = f"w AS (SELECT id, l, unnest(range(len(l))) AS i FROM (SELECT id, {V.SPLIT.format('source_text')} AS l FROM sentences)), h AS (SELECT id, {V.bucket_sql('l[i + 1]', 'sha256')} AS bucket FROM w UNION ALL SELECT id, {V.bucket_sql('substr(l[i + 1], 1, 4)', 'md5')} FROM w WHERE length(l[i + 1]) > 3 UNION ALL SELECT id, {V.bucket_sql("l[i + 1] || '_' || l[i + 2]", 'sha256')} FROM w WHERE l[i + 2] IS NOT NULL), filled AS (SELECT id, count(DISTINCT bucket) AS filled FROM h GROUP BY 1)"
+
+
+@query("s2_incremental_extract", f"WITH {V.SENTENCES}, {V.classified_sql()}, {_FILLED} SELECT id, label, coalesce(filled, 0) AS filled FROM classified LEFT JOIN filled USING (id)")
 def s2(spark, sf):
-    d = _read(spark, sf, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_id", "paragraph"))
+    d = _read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_id", "paragraph"))
     name = F.element_at(F.array(*map(F.lit, V.SECTION_NAMES)), F.col("paragraph_id") % 5 + 1)
     rows = d.withColumn("section_name", name)
     cut = segment.split_paragraphs(rows, splitter=lambda p: F.split(F.replace(p, F.lit(". "), F.lit(".\u0001")), "\u0001")).where("length(source_text) > 3")
-    from lacuna.operators import discourse
+    from lacuna.operators import discourse, vectors
 
     labelled = discourse.classify(cut.withColumn("id", F.col("paper_id") * 1000000000 + F.col("paragraph_id") * 100000 + F.col("part")), V.RULES, V.PRIORS, list(V.RULES), strong=["limitations", "future work"])
+    embedded = vectors.embed_with(labelled, vectors.hashing_model, "source_text")
     path = tables.scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    stream.upsert_batches(labelled.select("id", "paper_id", "label"), f"{path}/out", "paper_id", f"{path}/state").start().awaitTermination()
-    return spark.read.parquet(f"{path}/out/v0").select("id", "label")
+    stream.upsert_batches(embedded.select("id", "paper_id", "label", "embedding"), f"{path}/out", "paper_id", f"{path}/state").start().awaitTermination()
+    filled = F.size(F.filter("embedding", lambda x: x > 0)).cast("long")
+    return spark.read.parquet(f"{path}/out/v0").select("id", "label", filled.alias("filled"))
 
 
 @query("s3_windowed_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -192,17 +200,28 @@ def a12(spark, sf):
     return tables.load_vectors(spark, path, 64).select("vec_id", F.size("embedding").alias("dim"))
 
 
-@query("a13_write_result", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 10 = 0")
+def _orders(spark, sf):
+    return V.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+
+
+@query("a13_write_result", "SELECT o_orderkey, o_orderpriority FROM orders")
 def a13(spark, sf):
     path = tables.scratch_path(spark, f"result-{uuid.uuid4().hex}")
-    tables.write_result(V.table(spark, sf, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_orderpriority"), path)
+    tables.write_result(_orders(spark, sf), path)
     return spark.read.option("header", True).schema("o_orderkey long, o_orderpriority string").csv(path)
 
 
-@query("a3_land_files", "SELECT page_id, sha256(html) AS file_hash, strlen(html)::BIGINT AS file_size FROM pages WHERE page_id % 5 = 0")
+@query("a13_write_json", "SELECT o_orderkey, o_orderpriority FROM orders")
+def a13j(spark, sf):
+    path = tables.scratch_path(spark, f"result-{uuid.uuid4().hex}")
+    tables.write_result(_orders(spark, sf), path, "json")
+    return spark.read.schema("o_orderkey long, o_orderpriority string").json(path)
+
+
+@query("a3_land_files", "SELECT page_id, sha256(html) AS file_hash, strlen(html)::BIGINT AS file_size FROM pages")
 def a3(spark, sf):
     # pages become files of one record each partition, and are landed again
-    p = V.table(spark, sf, "pages").where("page_id % 5 = 0")
+    p = V.table(spark, sf, "pages")
     path = tables.scratch_path(spark, f"files-{uuid.uuid4().hex}")
     p.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").option("lineSep", "\u0004").text(path)
     raw = tables.land_files(spark, f"{path}/*/*.txt")

@@ -155,16 +155,50 @@ def c8(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", T.normalize_sentence(F.col("text")).alias("t"))
 
 
-@query("c10_split_sentences")
-def c10(spark, sf):
-    rows = V.paragraphs(spark, sf)
-    return segment.split_paragraphs(rows)
+def protected_sql(text: str, abbreviations: list[str]) -> str:
+    """SQL of ``protect_periods``: RE2 looks neither ahead nor behind, so what stands around is matched and put back, twice over."""
+    dot, edge = "' || chr(57344) || '", "(^|[^\\p{L}\\p{N}_])"
+    for find, put in (("([0-9])\\.([0-9])", f"\\1{dot}\\2"), (f"{edge}([A-Z])\\.\\s+([A-Z])", f"\\1\\2{dot} \\3")):
+        for _ in range(2):
+            text = f"regexp_replace({text}, '{find}', '{put}', 'g')"
+    for a in abbreviations:
+        parts = a.split(".")[:-1]
+        groups = "\\.".join(f"({p})" for p in parts)
+        text = f"regexp_replace({text}, '(?i){edge}{groups}\\.', '\\1{''.join(f'\\{n}{dot}' for n in range(2, len(parts) + 2))}', 'g')"
+    return f"regexp_replace({text}, '(\\[\\s*[0-9]+)\\.(\\s*[0-9]+\\])', '\\1{dot}\\2', 'g')"
+
+
+#: Words of the invented prose become initials, abbreviations and citations, so that every rule has work.
+_CUED = [(" of ", " e.g. Fig. 3.5 of "), (" de ", " (J. R. R. Tolkien et al. [ 1.2 ]) "), (" the ", " vs. The "), (" la ", " Ph.D. é.g. A. É. ")]
+
+
+def _cued(text):
+    for word, cue in _CUED:
+        text = F.replace(text, F.lit(word), F.lit(cue))
+    return text
+
+
+def _cued_sql(text: str) -> str:
+    for word, cue in _CUED:
+        text = f"replace({text}, '{word}', '{cue}')"
+    return text
+
 
+_SHORT = ["e.g.", "et al.", "fig.", "vs.", "ph.d.", "no."]
 
-@query("c9_protect_periods", "SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])\\.([0-9])', '\\1' || chr(57344) || '\\2', 'g'), '([0-9])\\.([0-9])', '\\1' || chr(57344) || '\\2', 'g') AS t FROM documents WHERE NOT regexp_matches(text, '[A-Z]\\.\\s+[A-Z]') AND NOT contains(text, '[')")
+
+@query("c9_protect_periods", f"SELECT doc_id, {protected_sql(_cued_sql('text'), _SHORT)} AS t FROM documents")
 def c9(spark, sf):
-    d = V.table(spark, sf, "documents").where(~F.col("text").rlike("[A-Z]\\.\\s+[A-Z]") & ~F.col("text").contains("["))
-    return d.select("doc_id", T.protect_periods(F.col("text"), []).alias("t"))
+    return V.table(spark, sf, "documents").select("doc_id", T.protect_periods(_cued(F.col("text")), _SHORT).alias("t"))
+
+
+_CUTS = "regexp_replace(regexp_replace({0}, '{1}', '\\1' || chr(1) || '\\3', 'g'), '{1}', '\\1' || chr(1) || '\\3', 'g')".replace("{1}", "([.!?])([''\"”’)\\]]+)?\\s+([A-Z\"“''(\\[0-9•*-])")
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("c10_split_sentences", f"WITH {V.PARAGRAPHS}, cleaned AS (SELECT paper_id, paragraph_id, section_name, {_CLEAN.replace('text', 'paragraph')} AS t FROM paragraphs), cut AS (SELECT * EXCLUDE (t), string_split({_CUTS.replace('{0}', protected_sql(_TRIM.format('t'), _SHORT))}, chr(1)) AS l FROM cleaned), whole AS (SELECT * EXCLUDE (l), list_filter(list_transform(l, lambda x: {_TRIM.format("regexp_replace(replace(x, chr(57344), '.'), '\\s{2,}', ' ', 'g')")}), lambda x: length(x) > 3 AND regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS l FROM cut) SELECT paper_id, paragraph_id, section_name, unnest(range(len(l))) AS part, unnest(l) AS source_text FROM whole")
+def c10(spark, sf):
+    return segment.split_paragraphs(V.paragraphs(spark, sf), _SHORT).withColumn("part", F.col("part").cast("long")).withColumn("paragraph_id", F.col("paragraph_id").cast("long"))
 
 
 @query("c11_restore_periods", f"WITH {V.SENTENCES} SELECT id, source_text FROM sentences WHERE NOT contains(source_text, chr(57344)) AND regexp_matches(source_text, '[0-9A-Za-z]')")
@@ -286,22 +320,25 @@ def d12(spark, sf):
 
 @query("d13_extract_metrics", "SELECT doc_id AS id, 'f1' AS name, '0.91' AS score_value, 0.92::DOUBLE AS confidence FROM documents WHERE contains(text, ' of ') UNION ALL SELECT doc_id, 'recall', NULL, 0.86::DOUBLE FROM documents WHERE contains(text, ' of ')")
 def d13(spark, sf):
-    d = V.table(spark, sf, "documents").where(F.col("text").contains(" of ")).select(F.col("doc_id").alias("id"), F.regexp_replace(F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit(" F1 of 0.91 with Recall; ")), F.lit("\n"), F.lit(" ")), "(?i)\\bem\\b", "en").alias("source_text"))
+    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit(" F1 of 0.91 with Recall; ")), F.lit("\n"), F.lit(" ")), "(?i)\\bem\\b", "en").alias("source_text"))
     return discourse.extract_metrics(d).select("id", F.lower("entity_name").alias("name"), "score_value", "confidence")
 
 
 _DICT = ["thon", "ering", "the", "que"]
 
 
-@query("d14_dictionary_mentions", f"WITH {V.SENTENCES} SELECT id, name FROM (SELECT id, source_text, unnest({_DICT}) AS name FROM sentences) WHERE regexp_matches(source_text, '(?i)(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)') AND regexp_matches(source_text, '^[ -~]*$')")
+_MENTION = " UNION ALL ".join(f"SELECT id, '{w}' AS name FROM sentences WHERE regexp_matches(source_text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{N}}_]|$)')" for w in _DICT)
+
+
+@query("d14_dictionary_mentions", f"WITH {V.SENTENCES} {_MENTION}")
 def d14(spark, sf):
-    s = V.sentences(spark, sf).where(F.col("source_text").rlike("^[ -~]*$"))
+    s = V.sentences(spark, sf)
     return s.select("id", F.explode(discourse.dictionary_mentions(F.col("source_text"), _DICT)).alias("name")).select("id", F.lower("name").alias("name"))
 
 
-@query("d15_drop_substrings", f"WITH {V.SENTENCES}, w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(source_text), '[a-z]{{3,}}')) AS w FROM sentences WHERE part = 0) SELECT id, count(*) AS n FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE a.id = b.id AND a.w <> b.w AND contains(b.w, a.w)) GROUP BY id")
+@query("d15_drop_substrings", f"WITH {V.SENTENCES}, w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(source_text), '[a-z]{{3,}}')) AS w FROM sentences) SELECT id, count(*) AS n FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE a.id = b.id AND a.w <> b.w AND contains(b.w, a.w)) GROUP BY id")
 def d15(spark, sf):
-    s = V.sentences(spark, sf).where("part = 0").withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit("[a-z]{3,}"), F.lit(0))))
+    s = V.sentences(spark, sf).withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit("[a-z]{3,}"), F.lit(0))))
     kept = discourse.drop_substrings(F.transform("w", lambda x: F.struct(x.alias("entity_name"))))
     return s.select("id", F.size(kept).cast("long").alias("n")).where("n > 0")
 
@@ -316,10 +353,11 @@ def d17(spark, sf):
     return discourse.count_types(classified(spark, sf))
 
 
-@query("d18_filter_extractions", f"WITH {V.SENTENCES}, {V.classified_sql()} SELECT id, confidence FROM classified WHERE label = 'METHOD' AND paper_id = 12")
+@query("d18_filter_extractions", f"WITH {V.SENTENCES}, {V.classified_sql()} SELECT id, confidence FROM classified WHERE label = 'METHOD' AND paper_id = (SELECT min(paper_id) FROM classified WHERE label = 'METHOD')")
 def d18(spark, sf):
     e = classified(spark, sf).withColumnRenamed("label", "extraction_type")
-    return discourse.filter_extractions(e, 12, "METHOD").select("id", "confidence")
+    paper = discourse.filter_extractions(e, kind="METHOD").agg(F.min("paper_id")).first()[0]
+    return discourse.filter_extractions(e, paper, "METHOD").select("id", "confidence")
 
 
 def _views(spark, sf):

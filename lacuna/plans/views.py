@@ -68,6 +68,19 @@ def hit(col: str, pattern: str) -> str:
     return f"regexp_matches({col}, '(?i){pattern}')"
 
 
+#: SQL of the parts of a column between blanks, in lower case.
+SPLIT = "regexp_extract_all(lower({}), '[^\\s\\p{{Z}}]+')"
+
+
+def words_sql(column: str, pattern: str) -> str:
+    """SQL of the words of a column in lower case that the pattern describes from end to end."""
+    return f"list_filter(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '{pattern}'))"
+
+
+def bucket_sql(term: str, digest: str, dim: int = 384) -> str:
+    return f"('0x' || substr({digest}({term}), 1, 8))::BIGINT % {dim}"
+
+
 def score_sql(col: str = "source_text", rules=None, base: float = 0.1) -> dict[str, str]:
     rules = RULES if rules is None else rules
     return {k: " + ".join([f"{base}::DOUBLE", *(f"CASE WHEN {hit(col, p)} THEN {w}::DOUBLE ELSE 0 END" for p, w in v)]) for k, v in rules.items()}

@@ -136,6 +136,12 @@ def load_vectors(spark: SparkSession, path: str, dim: int | None = None, count:
     return df
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table through the file system that Spark itself uses for its path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)

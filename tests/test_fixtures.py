@@ -157,8 +157,29 @@ def test_measures(spark):
 
 def test_embedding_is_deterministic_and_unit(spark):
     df = spark.createDataFrame([(1, "Deep nets learn"), (2, "")], "id long, text string")
-    a, b = (E.hash_embed(df.repartition(n)).collect() for n in (1, 5))
-    assert a == b and len(a) == 1 and abs(sum(x * x for x in a[0]["embedding"]) - 1) < 1e-9
+    a, b = ({r["id"]: r["embedding"] for r in E.hash_embed(df.repartition(n)).collect()} for n in (1, 5))
+    # float vectors; a text without words is the zero vector
+    assert a == b and abs(sum(x * x for x in a[1]) - 1) < 1e-6 and set(a[2]) == {0.0}
+
+
+def test_embedding_equals_plain_loops():
+    """Words between blanks with their signs, any script; a pair weighs as its second word."""
+    import hashlib
+
+    import numpy as np
+
+    text = "Tiefe Netze, große\u00a0Netze: lernen!\n(2024) à lire"
+    tokens, vec = text.lower().split(), np.zeros(384)
+    bucket = lambda h, t: int(h(t.encode()).hexdigest()[:8], 16) % 384
+    for i, t in enumerate(tokens):
+        w = 1 / (1 + 0.05 * i)
+        vec[bucket(hashlib.sha256, t)] += 1.5 * w
+        if len(t) > 3:
+            vec[bucket(hashlib.md5, t[:4])] += 0.75 * w
+        if i:
+            vec[bucket(hashlib.sha256, f"{tokens[i - 1]}_{t}")] += 2 * w
+    got = E.hashing_model()([text])[0]
+    assert len(tokens) == 8 and np.allclose(got, vec / np.linalg.norm(vec), atol=1e-6)
 
 
 def test_plug_in_models(spark):
@@ -177,10 +198,95 @@ def test_knn_agrees_with_brute_force(spark):
     got = {(r["query_id"], r["rank"]): r["id"] for r in E.knn_join(v.where("id < 10").withColumnRenamed("id", "query_id"), v.repartition(7), 4).collect()}
     best = np.argsort(-(u[:10] @ u.T), axis=1)[:, :4]
     assert got == {(i, k + 1): int(best[i, k]) for i in range(10) for k in range(4)}
-    near = {(r["query_id"], r["id"]) for r in E.knn_approx(v.where("id < 10").withColumnRenamed("id", "query_id"), v, 4).collect()}
+    near = {(r["query_id"], r["id"]) for r in E.knn_approx(v.where("id < 10").withColumnRenamed("id", "query_id"), v, 4, cells=8, probes=6).collect()}
     assert len(near & {(i, int(x)) for i in range(10) for x in best[i]}) >= 36
 
 
+@pytest.mark.parametrize(("query_block", "vector_block"), [(4, 16), (1000, 1000)])
+def test_joins_in_blocks_agree_with_brute_force(spark, monkeypatch, query_block, vector_block):
+    """Null, zero and equal vectors, ties by id; links of a dense group above any number of neighbours."""
+    import numpy as np
+
+    monkeypatch.setattr(E, "QUERY_BLOCK", query_block)
+    monkeypatch.setattr(E, "VECTOR_BLOCK", vector_block)
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(60, 6))
+    m[40:] = m[0] + rng.normal(size=(20, 6)) * 0.01  # a dense group
+    m[7], m[8] = m[3], 0.0
+    rows = [(i, x.tolist()) for i, x in enumerate(m)] + [(99, None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = np.round(u @ u.T, 12)
+    q = v.where("id % 5 = 0 or id = 99").withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in E.knn_join(q, v, 5).collect()}
+    assert got == {(i, k + 1): int(j) for i in range(0, 60, 5) for k, j in enumerate(np.argsort(-scores[i], kind="stable")[:5])}
+    links = [(r["source"], r["target"]) for r in E.neighbour_links(v, 0.9).collect()]
+    assert all(scores[a, b] >= 0.9 for a, b in links)
+
+    def groups(pairs):
+        label = list(range(60))
+        for _ in range(60):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert groups(links) == groups([(a, b) for a in range(60) for b in range(60) if a != b and scores[a, b] >= 0.9])
+
+
+def test_approximate_neighbours_of_the_table(spark):
+    """Every vector is filed, and the recall of the registered parameters is measured against all pairs."""
+    from lacuna.plans import registry
+    from lacuna.plans import retrieval_queries as Q
+
+    sf = "/root/testdata/sf0.01"
+    v = Q.vectors(spark, sf)
+    exact = {(r["query_id"], r["id"]) for r in E.knn_join(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 5).collect()}
+    near = {(r["query_id"], r["id"]) for r in registry.queries()["e21_knn_approx"](spark, sf).collect()}
+    assert len(near & exact) / len(exact) >= 0.9
+
+
+def test_kmeans_topics_of_the_table_are_their_nearest_centres(spark):
+    import numpy as np
+
+    from lacuna.plans import registry
+    from lacuna.plans import retrieval_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    data = {r["id"]: np.array(r["embedding"], float) for r in Q.vectors(spark, sf).collect()}
+    rows, centres = topics.kmeans_topics(Q.vectors(spark, sf), 10)
+    c = {r["topic_id"]: np.array(r["center"]) for r in centres.collect()}
+    own = {r["id"]: r["topic_id"] for r in rows.collect()}
+    assert all(own[i] == min(c, key=lambda k: np.linalg.norm(x - c[k])) for i, x in data.items())
+    for r in registry.queries()["f6_discover_topics"](spark, sf).collect():
+        assert own[r["id"]] == r["topic_id"] and r["probability"] == pytest.approx(1 / (1 + np.linalg.norm(data[r["id"]] - c[r["topic_id"]])), abs=1e-4)
+    reduced = topics.reduce_dims(Q.vectors(spark, sf), len(data)).collect()
+    m = np.array(list(data.values()))
+    got = np.array([r["embedding"] for r in reduced])
+    # variance along the five axes is that of the largest principal components
+    assert np.allclose(sorted(got.var(axis=0)), sorted(np.linalg.eigvalsh(np.cov(m.T, bias=True))[-5:]), rtol=1e-6)
+
+
+def test_topics_fall_back_to_kmeans(spark):
+    rows = [(i, [float(i % 3), 1.0, float(i)]) for i in range(9)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    no_links = spark.createDataFrame([], "source long, target long")
+    found = topics.density_or_kmeans(v, no_links).collect()
+    assert len(found) == 9 and len({r["topic_id"] for r in found}) == 3 and all(r["topic_id"] >= 0 for r in found)
+    links = spark.createDataFrame([(0, 1), (1, 2)], "source long, target long")
+    kept = {r["id"]: r["topic_id"] for r in topics.density_or_kmeans(v, links, 3).collect()}
+    assert kept == {i: 0 if i < 3 else -1 for i in range(9)}
+
+
+def test_cypher_escapes_and_sets_all_properties(spark):
+    n = spark.createDataFrame([("paper:o'1", "A \\ B", "Paper", {"title": "it's\nso", "my key": "v", "none": None}), ("t", "L'x", "Topic", {})], "id string, label string, type string, properties map<string,string>")
+    e = spark.createDataFrame([("e", "paper:o'1", "t", "belongs_to", 0.8)], "id string, source string, target string, relationship string, confidence double")
+    assert sorted(r["statement"] for r in graph.export_cypher(n, e).collect()) == sorted([
+        "MERGE (n:Paper {id: 'paper:o\\'1'}) SET n += {`my key`: 'v', title: 'it\\'s\\nso'};",
+        "MERGE (n:Topic {id: 't'}) SET n += {label: 'L\\'x'};",
+        "MATCH (a {id: 'paper:o\\'1'}), (b {id: 't'}) MERGE (a)-[r:BELONGS_TO {confidence: 0.8}]->(b);",
+    ])
+
+
 # topics
 
 
@@ -408,3 +514,51 @@ def test_landing_stream_drops_copies(spark, tmp_path):
     q = stream.landed(spark, str(tmp_path)).writeStream.format("memory").queryName("landed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     q.awaitTermination()
     assert spark.table("landed").count() == 2
+
+
+def test_rank_statistics_agree_with_plain_loops(spark):
+    """Kendall with ties and weights, exact and normal signed-rank tails, Poisson draws."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(g, int(rng.integers(6)) / 2, int(rng.integers(9)) / 3) for g in ("a", "b") for _ in range(80)] + [("c", 1.0, 2.0), ("c", 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: r["tau"] for r in stats.kendall(df, ["g"]).collect()}
+    for g in ("a", "b"):
+        own = [(x, y) for k, x, y in rows if k == g]
+        sign = lambda v: (v > 0) - (v < 0)
+        s = nx = ny = 0
+        for (a, b), (c, d) in itertools.combinations(own, 2):
+            s, nx, ny = s + sign(a - c) * sign(b - d), nx + (a != c), ny + (b != d)
+        assert got[g] == pytest.approx(s / math.sqrt(nx * ny))
+    assert got["c"] is None
+    # five values, all positive: both tails are 2 / 2^5; four of them 0.125
+    for n, p in ((5, 0.0625), (4, 0.125)):
+        d = spark.createDataFrame([("k", float(i + 1), 0.0) for i in range(n)], "g string, x double, y double")
+        r = stats.wilcoxon(d, ["g"]).first()
+        assert (r["n"], r["statistic"]) == (n, 0.0) and r["p_value"] == pytest.approx(p)
+    t = stats.poisson_draws(rng.integers(-(1 << 62), 1 << 62, 2000), 50)
+    assert abs(t.mean() - 1) < 0.01 and abs(t.var() - 1) < 0.03
+
+
+def test_frequent_words_join_no_rows(spark):
+    """Pairs that share two words are found, also where all sentences share the most frequent one."""
+    import itertools
+    import random
+
+    rnd = random.Random(2)
+    vocabulary = ["common"] + [f"word{chr(97 + i)}" for i in range(12)]
+    text = lambda: " ".join(["common"] + rnd.sample(vocabulary[1:], 3))
+    sentences = spark.createDataFrame([(i, i % 7, "we solve " + text()) for i in range(60)], "id long, paper_id long, source_text string")
+    limits = spark.createDataFrame([(i, i % 5, text()) for i in range(100, 160)], "id long, paper_id long, extracted_text string")
+    got = {(r["seq"], r["target"]) for r in graph.address_edges(sentences, limits).collect()}
+    long = lambda t: {w for w in t.split() if len(w) > 3}
+    expected = {
+        (a["id"], f"limitation:{b['id']}")
+        for a, b in itertools.product(sentences.collect(), limits.collect())
+        if a["paper_id"] != b["paper_id"] and len(long(a["source_text"]) & long(b["extracted_text"])) >= 2
+    }
+    assert got == expected and expected
