@@ -50,8 +50,10 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return df.select(*columns) if columns else df
+    """The documents table; over all cores where its scan would give fewer tasks than that, as a file of one row group does."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns or ["*"])
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

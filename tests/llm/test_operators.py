@@ -78,6 +78,40 @@ def test_order_minhash_on_documents(docs, texts):
     assert len({next(iter(v)) for v in same.values()}) == len(same)
 
 
+def true_order_minhash(text, orders=600):
+    """Tuples of the two least occurrence-numbered k-mers in text order, under many independent random orders."""
+    kmers, seen, numbered = brute_sketch(text), collections.Counter(), []
+    for k in kmers:
+        numbered.append(xxhash.xxh64_intdigest(repr((k, seen[k])).encode()))
+        seen[k] += 1
+    h, rng, out = np.array(numbered, np.uint64), np.random.default_rng(3), []
+    flips, factors = rng.integers(0, 1 << 63, (2, orders), dtype=np.uint64)
+    for flip, factor in zip(flips, factors | np.uint64(1)):
+        x = (h ^ flip) * factor
+        x ^= x >> np.uint64(29)
+        out.append(tuple(kmers[i] for i in sorted(np.argsort(x)[:2].tolist())))
+    return out
+
+
+def test_order_minhash_likeness_is_that_of_independent_orders(spark, texts):
+    """The ring's 64 sketches estimate what 600 independent orders give, as closely as 64 independent ones would."""
+    rng, rows = np.random.default_rng(1), []
+    for d in [d for d, t in texts.items() if 1500 < len(t) < 6000][:8]:
+        for rate in (0.005, 0.02, 0.05):
+            w = texts[d].split()
+            for _ in range(max(1, int(len(w) * rate))):
+                at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+                w[at : at + (kind != 1)] = [[w[at] + "x"], ["new"], []][kind]
+            rows.append((len(rows), " ".join(texts[d].split()), " ".join(w)))
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = {r["i"]: r["n"] for r in df.select("i", ordermin.likeness(ordermin.order_minhash(F.col("a")), ordermin.order_minhash(F.col("b"))).alias("n")).collect()}
+    errors = []
+    for i, a, b in rows:
+        exact = np.mean([x == y for x, y in zip(true_order_minhash(a), true_order_minhash(b))])
+        errors.append(got[i] - exact)
+    assert len(rows) >= 15 and np.abs(errors).mean() < 0.06 and abs(np.mean(errors)) < 0.03
+
+
 def test_order_minhash_numbers_repeats_and_sees_order(spark):
     base = [f"w{i}" for i in range(400)]
     rng = np.random.default_rng(3)
