@@ -46,13 +46,13 @@ def embed_sql(name: str, table: str, key: str) -> str:
 
 @query("e1_hash_embed", f"WITH {embed_sql('e', 'documents', 'doc_id')} SELECT id, bucket, round(w, 6) AS w FROM e")
 def e1(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf, "doc_id", "text")
     return E.hashed_terms(d, "doc_id", "text").select("id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 6).alias("w"))
 
 
 @query("e1_hash_vectors", f"WITH {embed_sql('e', 'documents', 'doc_id')}, d AS (SELECT doc_id AS id, unnest(range(384)) AS bucket FROM documents), f AS (SELECT d.id, bucket, coalesce(w, 0.0) AS w FROM d LEFT JOIN e USING (id, bucket)) SELECT id, 384 AS dim, round(sum(w), 4) AS total, arg_min(bucket, (-round(w, 5), bucket)) AS top FROM f GROUP BY id")
 def e1v(spark, sf):
-    v = E.hash_embed(V.table(spark, sf, "documents"), "doc_id")
+    v = E.hash_embed(V.texts(spark, sf, "doc_id", "text"), "doc_id")
     best = F.array_min(F.transform("embedding", lambda x, i: F.struct((-F.round(x.cast("double"), 5)).alias("s"), i.cast("long").alias("i"))))["i"]
     return v.select("id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"), best.alias("top"))
 
@@ -112,7 +112,7 @@ _TERMS = dict(ngrams=2, stop=STOP, pattern="[a-z]{2,}")
 
 
 def tf(spark, sf):
-    return R.term_counts(V.table(spark, sf, "documents"), "doc_id", "text", **_TERMS)
+    return R.term_counts(V.texts(spark, sf, "doc_id", "text"), "doc_id", "text", **_TERMS)
 
 
 @query("e9_term_counts", f"WITH {_TOK} SELECT id, count(*) AS terms, sum(tf)::BIGINT AS total FROM tf GROUP BY 1")
@@ -154,7 +154,7 @@ _BQ = """, bq AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[
 
 
 def _documents(spark, sf):
-    return V.table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+    return V.texts(spark, sf, "doc_id", "text").withColumnRenamed("doc_id", "unit_id")
 
 
 def _questions(spark, sf):
@@ -190,7 +190,7 @@ _E14 = "SELECT query_id, id, '{0}' AS retrieval_method, split_part(d.text, chr(1
 
 @query("e14_search_evidence", f"WITH {_W}{_BQ}{_SEM} {_E14.format('tfidf', 'top')} UNION ALL {_E14.format('semantic', 'stop')}")
 def e14(spark, sf):
-    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+    d = _documents(spark, sf)
     p = V.papers(spark, sf).select(F.col("id").alias("unit_id"), F.col("id").alias("paper_id"), F.col("title").alias("paper_title"), F.col("publication_year").alias("year"), F.lit(None).cast("long").alias("sentence_id"), F.lit("").alias("section"), F.lit(1).alias("page"), F.lit("DOC").alias("extraction_type"))
     units = d.join(p, "unit_id")
     found = R.search_evidence("TF-IDF", units, _questions(spark, sf), 1, vocabulary=VOCABULARY, **_TERMS).unionByName(R.search_evidence("semantic", units, _questions(spark, sf), 1))
@@ -210,7 +210,7 @@ def e16(spark, sf):
 def relevant(spark, sf):
     """The documents that hold a test passage."""
     passages = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("w"))
-    return containing(V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), F.col("text"), passages).select("query_id", "id")
+    return containing(V.texts(spark, sf, "doc_id", "text").withColumnRenamed("doc_id", "id"), F.col("text"), passages).select("query_id", "id")
 
 
 _REL = ", rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT b.item_id AS query_id, coalesce(sum(CASE WHEN rank <= 5 AND rel.id IS NOT NULL THEN 1 ELSE 0 END), 0) AS found, min(CASE WHEN rel.id IS NOT NULL THEN rank END) AS first FROM benchmark b LEFT JOIN (SELECT * FROM top WHERE rank <= 10) top ON top.query_id = b.item_id LEFT JOIN rel ON rel.query_id = top.query_id AND rel.id = top.id GROUP BY 1), tot AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1), per AS (SELECT m.query_id, found / 5 AS precision, coalesce(found / total, 0.0) AS recall, coalesce(1.0 / first, 0.0) AS rr FROM m LEFT JOIN tot USING (query_id))"
@@ -340,7 +340,7 @@ _LANGS = "CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 EN
 
 def topic_terms(spark, sf):
     d = V.table(spark, sf, "documents")
-    counts = R.term_counts(d, "doc_id", "text", ngrams=1, pattern="[a-z]{2,}")
+    counts = R.term_counts(V.texts(spark, sf, "doc_id", "text"), "doc_id", "text", ngrams=1, pattern="[a-z]{2,}")
     number = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
     return TP.ctfidf(counts, d.select(F.col("doc_id").alias("id"), number.alias("topic_id")), 300.0)
 
@@ -424,7 +424,7 @@ def f16(spark, sf):
 
 @query("f17_tfidf_kmeans")
 def f17(spark, sf):
-    return TP.tfidf_kmeans(R.tfidf(R.cap_vocab(R.term_counts(V.table(spark, sf, "documents"), "doc_id", "text", ngrams=1, pattern="[a-z]{2,}"), 500), V.table(spark, sf, "documents").count()), 5, 500)[0]
+    return TP.tfidf_kmeans(R.tfidf(R.cap_vocab(R.term_counts(V.texts(spark, sf, "doc_id", "text"), "doc_id", "text", ngrams=1, pattern="[a-z]{2,}"), 500), V.table(spark, sf, "documents").count()), 5, 500)[0]
 
 
 @query("f18_coherence", f"WITH {_UNIT} SELECT a.label AS topic_id, round(avg(list_dot_product(a.v, b.v)), 8) AS coherence FROM unit a JOIN unit b ON a.label = b.label AND a.id < b.id GROUP BY 1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.sources.tables import spread
+
 SECTION_NAMES = ["Introduction", "Methods", "Results", "Limitations", "Future Work"]
 #: Words that occur in the invented prose stand in for the production cues.
 WORD = "(^|[^A-Za-z]){}([^A-Za-z]|$)"
@@ -14,6 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The documents for work that takes long per row, so on all cores."""
+    return spread(table(spark, sf, "documents").select(*columns))
+
+
 def papers(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
     year = F.when(F.col("doc_id") % 17 != 0, (2018 + F.col("doc_id") % 8).cast("int"))
@@ -25,7 +32,7 @@ PAPERS = """papers AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS titl
 
 
 def paragraphs(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_id", "paragraph"))
+    rows = texts(spark, sf, "doc_id", "text").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_id", "paragraph"))
     name = F.element_at(F.array(*map(F.lit, SECTION_NAMES)), F.col("paragraph_id") % 5 + 1)
     return rows.select("paper_id", "paragraph_id", "paragraph", name.alias("section_name"))
 

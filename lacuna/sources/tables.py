@@ -136,6 +136,15 @@ def load_vectors(spark: SparkSession, path: str, dim: int | None = None, count:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan would give fewer tasks than that, as a file of one row group does.
+
+    Scans of many files keep their partitions, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through the file system that Spark itself uses for its path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
