@@ -21,6 +21,7 @@ def evidence_context(sources: DataFrame) -> DataFrame:
 
 
 def context_text(context: DataFrame) -> DataFrame:
+    """(gap_id, context): a gap's tagged evidence as lines of one text, which goes into one prompt and so must fit one row."""
     line = F.concat(F.lit("["), "citation_id", F.lit("] "), "text")
     own = context.groupBy("gap_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))).alias("s"))
     return own.select("gap_id", F.array_join(F.transform("s", lambda x: x["l"]), "\n").alias("context"))

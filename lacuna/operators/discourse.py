@@ -156,14 +156,15 @@ def extract_metrics(df: DataFrame, templates=None, text: str = "source_text") ->
     return rows.select(*df.columns, F.lit("METRIC").alias("entity_type"), F.col("__e.name").alias("entity_name"), score.alias("score_value"), F.when(score.isNotNull(), 0.92).otherwise(0.86).alias("confidence"), F.lit("regex_metric_template").alias("extraction_method"))
 
 
-def extract_all(sentences: DataFrame, **options) -> DataFrame:
+def extract_all(sentences: DataFrame, subtypes=None, future_work: list | None = None, results: list | None = None, methods: dict | None = None, datasets: dict | None = None, metrics: dict | None = None, **options) -> DataFrame:
     """All extractions of sentences (id, paper_id, source_text, section_name, ...), long form.
 
     The primary label gives a row unless it is OTHER; a detector adds a row where the primary label
-    differs; a LIMITATION primary takes the detector's subtype and name; entities follow.
+    differs; a LIMITATION primary takes the detector's subtype and name; entities follow. Rules of
+    the detectors and options of the entity extractors may be given, ``options`` are those of ``classify``.
     """
     # the primary label stays, as other branches ask for it
-    base = detect_results(detect_future_work(detect_limitations(classify(sentences, **options))))
+    base = detect_results(detect_future_work(detect_limitations(classify(sentences, **options), subtypes), future_work), results)
     same = (F.col("label") == "LIMITATION") & F.col("subtype").isNotNull()
     none, keys = F.lit(None).cast("string"), ["id", "paper_id"]
 
@@ -179,8 +180,8 @@ def extract_all(sentences: DataFrame, **options) -> DataFrame:
         rows(base.where("res_confidence is not null and label <> 'RESULT'"), F.lit("RESULT"), strip(s), F.col("res_confidence"), F.lit("result_detector"), numerical_gain=F.col("numerical_gain")),
     ]
     slim = sentences.select(*keys, "source_text")
-    for f in (extract_methods, extract_datasets, extract_metrics):
-        e = f(slim)
+    for f, own in ((extract_methods, methods), (extract_datasets, datasets), (extract_metrics, metrics)):
+        e = f(slim, **(own or {}))
         parts.append(rows(e, F.col("entity_type"), F.col("entity_name"), F.col("confidence"), F.col("extraction_method"), **({"score_value": F.col("score_value")} if "score_value" in e.columns else {})))
     out = parts[0]
     for p in parts[1:]:

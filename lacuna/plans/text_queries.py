@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lacuna.functions import lexicon
 from lacuna.functions import text as T
 from lacuna.operators import discourse, segment, structure
 from lacuna.plans import views as V
@@ -62,6 +63,13 @@ def a11(spark, sf):
     return tables.search_papers(V.papers(spark, sf), "the", 2021).select("id", "title")
 
 
+@query("a11_search_topic", f"WITH {V.PAPERS} SELECT id, title FROM papers WHERE id % 5 = 3 AND contains(lower(title), 'e')")
+def a11_topic(spark, sf):
+    p = V.papers(spark, sf)
+    topics = p.select(F.col("id").alias("paper_id"), (F.col("id") % 5).alias("topic_id"))
+    return tables.search_papers(p, "E", topic=3, topics=topics).select("id", "title")
+
+
 @query("a11_paper_years", f"WITH {V.PAPERS} SELECT DISTINCT publication_year FROM papers WHERE publication_year IS NOT NULL")
 def a11_years(spark, sf):
     return tables.paper_years(V.papers(spark, sf))
@@ -343,9 +351,36 @@ def d15(spark, sf):
     return s.select("id", F.size(kept).cast("long").alias("n")).where("n > 0")
 
 
-@query("d16_extract_all")
+_ING, _SCORE = "([A-Z][a-z]+ing) ", "(que) ([a-z]{2}) "
+
+
+def _entity_sql(kind: str, pattern: str, ignore: list[str], sure: float) -> str:
+    skip = ", ".join(f"'{w}'" for w in ignore)
+    return f"""{kind}_l AS (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(source_text, '{pattern}', 1), lambda x: lower(x)))) AS name FROM sentences), {kind}_k AS (SELECT * FROM {kind}_l WHERE length(name) >= 3 AND name NOT IN ({skip})),
+        {kind}_r AS (SELECT id, '{kind}' AS kind, name AS text, {sure}::DOUBLE AS confidence, 'linguistic_template' AS method, NULL AS subtype, NULL AS gain, NULL AS score FROM {kind}_k e WHERE name <> 'the' AND NOT EXISTS (SELECT 1 FROM {kind}_k f WHERE f.id = e.id AND f.name <> e.name AND contains(f.name, e.name)))"""
+
+
+_STRIPPED = "lower(regexp_replace(source_text, '^\\s+|\\s+$', '', 'g'))"
+_ALL = f"""lim AS (SELECT id, {_D5_SQL} AS subtype FROM sentences), lc AS (SELECT id, subtype, round(least(0.72 + CASE WHEN subtype <> 'generic' THEN 0.18 ELSE 0 END + CASE WHEN section_name = 'Limitations' THEN 0.08 ELSE 0 END, 0.98), 2)::DOUBLE AS sure FROM lim JOIN sentences USING (id)),
+    fw AS (SELECT id, CASE WHEN length(trim(source_text)) < 10 THEN 0 WHEN {V.hit('source_text', _D7[0][0])} THEN 3.6 WHEN {V.hit('source_text', _D7[1][0])} THEN 2.4 ELSE 0 END AS w FROM sentences),
+    rs AS (SELECT id, CASE WHEN length(trim(source_text)) < 10 THEN 0 WHEN {V.hit('source_text', _D8[0][0])} THEN 3.5 WHEN regexp_matches(source_text, '{_GAIN}') THEN 2.8 WHEN {V.hit('source_text', _D8[1][0])} THEN 2.6 ELSE 0 END AS w, nullif(regexp_extract(source_text, '{_GAIN}', 0), '') AS g FROM sentences),
+    {_entity_sql('METHOD', _ENTITY, lexicon.NO_METHODS, 0.85)}, {_entity_sql('DATASET', _ING, lexicon.NO_DATASETS, 0.84)},
+    everything AS (SELECT id, label AS kind, lower(source_text) AS text, confidence, CASE WHEN label = 'LIMITATION' AND subtype IS NOT NULL THEN 'limitation_detector_' || subtype ELSE 'scientific_classifier_baseline' END AS method, CASE WHEN label = 'LIMITATION' THEN subtype END AS subtype, NULL AS gain, NULL AS score FROM classified JOIN lc USING (id) WHERE label <> 'OTHER'
+    UNION ALL SELECT id, 'LIMITATION', {_STRIPPED}, sure, 'limitation_detector_' || subtype, subtype, NULL, NULL FROM classified JOIN lc USING (id) WHERE subtype IS NOT NULL AND label <> 'LIMITATION'
+    UNION ALL SELECT id, 'FUTURE_WORK', {_STRIPPED}, round(0.72 + CASE WHEN w >= 3 THEN 0.16 ELSE 0 END + CASE WHEN section_name = 'Future Work' THEN 0.08 ELSE 0 END, 2), 'future_work_detector', NULL, NULL, NULL FROM classified JOIN fw USING (id) WHERE w > 0 AND label <> 'FUTURE_WORK'
+    UNION ALL SELECT id, 'RESULT', {_STRIPPED}, round(0.70 + CASE WHEN w >= 3 THEN 0.16 ELSE 0 END + CASE WHEN section_name = 'Results' THEN 0.08 ELSE 0 END, 2), 'result_detector', NULL, g, NULL FROM classified JOIN rs USING (id) WHERE w > 0 AND label <> 'RESULT'
+    UNION ALL SELECT * FROM METHOD_r UNION ALL SELECT * FROM DATASET_r
+    UNION ALL SELECT id, 'METRIC', lower(regexp_extract(source_text, '(?i){_SCORE}', 1)), 0.92, 'regex_metric_template', NULL, NULL, regexp_extract(source_text, '(?i){_SCORE}', 2) FROM sentences WHERE regexp_matches(source_text, '(?i){_SCORE}'))"""
+
+
+@query("d16_extract_all", f"WITH {V.SENTENCES}, {V.classified_sql()}, {_ALL} SELECT id, kind, text, round(confidence::DOUBLE, 6) AS confidence, method, subtype, gain, score FROM everything")
 def d16(spark, sf):
-    return discourse.extract_all(V.sentences(spark, sf), rules=V.RULES, priors=V.PRIORS, labels=list(V.RULES), strong=["limitations", "future work"])
+    e = discourse.extract_all(
+        V.sentences(spark, sf), subtypes=_D5, future_work=_D7, results=_D8, methods={"templates": [_ENTITY], "names": ["zzz"]}, datasets={"templates": [_ING], "names": ["zzz"]}, metrics={"templates": [_SCORE]},
+        rules=V.RULES, priors=V.PRIORS, labels=list(V.RULES), strong=["limitations", "future work"], digits=6,
+    )
+    e = e.select("id", F.col("extraction_type").alias("kind"), F.lower("extracted_text").alias("text"), F.round("confidence", 6).alias("confidence"), F.col("extraction_method").alias("method"), F.col("limitation_subtype").alias("subtype"), F.col("numerical_gain").alias("gain"), F.col("score_value").alias("score"))
+    return e.where("not (kind in ('METHOD', 'DATASET') and method = 'linguistic_template' and text = 'the')")
 
 
 @query("d17_count_extractions", f"WITH {V.SENTENCES}, {V.classified_sql()} SELECT k AS extraction_type, count(label) AS n FROM (SELECT unnest({list(V.RULES)}) AS k) LEFT JOIN classified ON label = k GROUP BY 1")

@@ -96,7 +96,7 @@ def children(df: DataFrame, parent: int, order: str, key: str = "paper_id") -> D
 
 
 def assemble_papers(papers: DataFrame, sections: DataFrame, references: DataFrame) -> DataFrame:
-    """Papers with their ordered sections and references nested."""
+    """Papers with their ordered sections and references nested; a paper's own must fit one row."""
     nest = lambda df, order, name: df.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c not in ("paper_id", order)]))).alias(name)).withColumnRenamed("paper_id", "id")
     return papers.join(nest(sections, "section_order", "sections"), "id", "left").join(nest(references, "ref_index", "references"), "id", "left")
 
