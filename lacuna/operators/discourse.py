@@ -166,26 +166,26 @@ def extract_all(sentences: DataFrame, subtypes=None, future_work: list | None =
     # the primary label stays, as other branches ask for it
     base = detect_results(detect_future_work(detect_limitations(classify(sentences, **options), subtypes), future_work), results)
     same = (F.col("label") == "LIMITATION") & F.col("subtype").isNotNull()
-    none, keys = F.lit(None).cast("string"), ["id", "paper_id"]
+    none, keys, fields = F.lit(None).cast("string"), ["id", "paper_id"], ("limitation_subtype", "numerical_gain", "score_value")
 
-    def rows(df, kind, text, sure, method, **more):
-        extra = {k: more.get(k, none).alias(k) for k in ("limitation_subtype", "numerical_gain", "score_value")}
-        return df.select(*keys, kind.alias("extraction_type"), text.alias("extracted_text"), sure.alias("confidence"), method.alias("extraction_method"), *extra.values())
+    def row(kind, text, sure, method, **more):
+        extra = [more.get(k, none).alias(k) for k in fields]
+        return F.struct(kind.alias("extraction_type"), text.alias("extracted_text"), sure.alias("confidence"), method.alias("extraction_method"), *extra)
 
     s, named = F.col("source_text"), F.concat(F.lit("limitation_detector_"), F.col("subtype"))
-    parts = [
-        rows(base.where("label <> 'OTHER'"), F.col("label"), s, F.col("confidence"), F.when(same, named).otherwise("scientific_classifier_baseline"), limitation_subtype=F.when(same, F.col("subtype"))),
-        rows(base.where("subtype is not null and label <> 'LIMITATION'"), F.lit("LIMITATION"), strip(s), F.col("lim_confidence"), named, limitation_subtype=F.col("subtype")),
-        rows(base.where("fw_confidence is not null and label <> 'FUTURE_WORK'"), F.lit("FUTURE_WORK"), strip(s), F.col("fw_confidence"), F.lit("future_work_detector")),
-        rows(base.where("res_confidence is not null and label <> 'RESULT'"), F.lit("RESULT"), strip(s), F.col("res_confidence"), F.lit("result_detector"), numerical_gain=F.col("numerical_gain")),
-    ]
+    # all rows of a sentence come from one pass over it
+    found = F.array(
+        F.when(F.col("label") != "OTHER", row(F.col("label"), s, F.col("confidence"), F.when(same, named).otherwise("scientific_classifier_baseline"), limitation_subtype=F.when(same, F.col("subtype")))),
+        F.when(F.col("subtype").isNotNull() & (F.col("label") != "LIMITATION"), row(F.lit("LIMITATION"), strip(s), F.col("lim_confidence"), named, limitation_subtype=F.col("subtype"))),
+        F.when(F.col("fw_confidence").isNotNull() & (F.col("label") != "FUTURE_WORK"), row(F.lit("FUTURE_WORK"), strip(s), F.col("fw_confidence"), F.lit("future_work_detector"))),
+        F.when(F.col("res_confidence").isNotNull() & (F.col("label") != "RESULT"), row(F.lit("RESULT"), strip(s), F.col("res_confidence"), F.lit("result_detector"), numerical_gain=F.col("numerical_gain"))),
+    )
+    out = base.select(*keys, F.inline(F.filter(found, lambda x: x.isNotNull())))
     slim = sentences.select(*keys, "source_text")
     for f, own in ((extract_methods, methods), (extract_datasets, datasets), (extract_metrics, metrics)):
         e = f(slim, **(own or {}))
-        parts.append(rows(e, F.col("entity_type"), F.col("entity_name"), F.col("confidence"), F.col("extraction_method"), **({"score_value": F.col("score_value")} if "score_value" in e.columns else {})))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        score = F.col("score_value") if "score_value" in e.columns else none
+        out = out.unionByName(e.select(*keys, F.col("entity_type").alias("extraction_type"), F.col("entity_name").alias("extracted_text"), "confidence", "extraction_method", none.alias("limitation_subtype"), none.alias("numerical_gain"), score.alias("score_value")))
     return out
 
 
