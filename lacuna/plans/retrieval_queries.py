@@ -50,11 +50,12 @@ def e1(spark, sf):
     return E.hashed_terms(d, "doc_id", "text").select("id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 6).alias("w"))
 
 
-@query("e1_hash_vectors", f"WITH {embed_sql('e', 'documents', 'doc_id')}, d AS (SELECT doc_id AS id, unnest(range(384)) AS bucket FROM documents), f AS (SELECT d.id, bucket, coalesce(w, 0.0) AS w FROM d LEFT JOIN e USING (id, bucket)) SELECT id, 384 AS dim, round(sum(w), 4) AS total, arg_min(bucket, (-round(w, 5), bucket)) AS top FROM f GROUP BY id")
+@query("e1_hash_vectors", f"WITH {embed_sql('e', 'documents', 'doc_id')}, n AS (SELECT id, count(*) AS filled, arg_min(bucket, (-round(w, 5), bucket)) AS top FROM e GROUP BY 1) SELECT doc_id AS id, 384 AS dim, coalesce(filled, 0) AS filled, top FROM documents LEFT JOIN n ON id = doc_id")
 def e1v(spark, sf):
     v = E.hash_embed(V.texts(spark, sf, "doc_id", "text"), "doc_id")
+    filled = F.size(F.filter("embedding", lambda x: x > 0)).cast("long")
     best = F.array_min(F.transform("embedding", lambda x, i: F.struct((-F.round(x.cast("double"), 5)).alias("s"), i.cast("long").alias("i"))))["i"]
-    return v.select("id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"), best.alias("top"))
+    return v.select("id", F.size("embedding").alias("dim"), filled.alias("filled"), F.when(filled > 0, best).alias("top"))
 
 
 @query("e4_evidence_units", f"WITH {V.SENTENCES}, {V.PAPERS}, u AS (SELECT 's' || id AS unit_id, paper_id, source_text AS text, section_name FROM sentences UNION ALL SELECT 'e' || (id + 1), paper_id, reverse(source_text), section_name FROM sentences WHERE part = 0) SELECT unit_id, u.text AS text, section_name AS section, publication_year AS year FROM u LEFT JOIN papers ON papers.id = paper_id WHERE length(trim(u.text)) > 0")
@@ -169,7 +170,9 @@ def semantic_hits(spark, sf, k=10):
     return R.semantic_hits(_documents(spark, sf), _questions(spark, sf), k)
 
 
-_SEM = f""", {embed_sql('de', 'documents', 'doc_id')}, {embed_sql('qe', 'benchmark', 'item_id')}, sh AS (SELECT qe.id AS query_id, de.id, round(sum(de.w::FLOAT::DOUBLE * qe.w::FLOAT::DOUBLE), 6) AS score FROM de JOIN qe USING (bucket) GROUP BY 1, 2),
+#: The stored vectors are floats, so the SQL takes these to unit length as the search does.
+_FLOATS = "{0}f AS (SELECT id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, bucket, w::FLOAT::DOUBLE AS w FROM {0}))"
+_SEM = f""", {embed_sql('de', 'documents', 'doc_id')}, {embed_sql('qe', 'benchmark', 'item_id')}, {_FLOATS.format('de')}, {_FLOATS.format('qe')}, sh AS (SELECT qef.id AS query_id, def.id, round(sum(def.w * qef.w), 10) AS score FROM def JOIN qef USING (bucket) GROUP BY 1, 2),
     stop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sh WHERE score > 0)"""
 
 
