@@ -39,7 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The same, with the path of the table, for ``discard`` when nothing needs it any more."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
