@@ -131,9 +131,10 @@ def _entities(df: DataFrame, kind: str, templates, ignore, article, names, sure:
     s = F.coalesce(F.col(text), F.lit(""))
     item = lambda m, c: lambda x: F.struct(x.alias("entity_name"), F.lit(c).alias("confidence"), F.lit(m).alias("extraction_method"))
     both = F.concat(F.transform(_named(s, templates, ignore, article), item("linguistic_template", sure)), F.transform(dictionary_mentions(s, names), item("canonical_dictionary", known)))
-    low = lambda a: F.transform(a, lambda x: F.lower(x["entity_name"]))
-    first = F.filter(both, lambda x, i: F.array_position(low(both), F.lower(x["entity_name"])) == i + 1)
-    rows = df.withColumn("__found", first).withColumn("__e", F.explode(drop_substrings(F.col("__found"))))
+    # columns of their own, so that nothing is matched again for each item
+    rows = df.withColumn("__both", both).withColumn("__low", F.transform("__both", lambda x: F.lower(x["entity_name"])))
+    rows = rows.withColumn("__found", F.filter("__both", lambda x, i: F.array_position(F.col("__low"), F.lower(x["entity_name"])) == i + 1))
+    rows = rows.where(F.size("__found") > 0).withColumn("__e", F.explode(drop_substrings(F.col("__found"))))
     return rows.select(*df.columns, F.lit(kind).alias("entity_type"), "__e.*")
 
 
@@ -149,9 +150,9 @@ def extract_metrics(df: DataFrame, templates=None, text: str = "source_text") ->
     """Metric names with their score if one follows; the first of each name."""
     s = F.coalesce(F.col(text), F.lit(""))
     pairs = F.concat(*[F.arrays_zip(F.regexp_extract_all(s, F.lit("(?i)" + p), F.lit(1)).alias("name"), F.regexp_extract_all(s, F.lit("(?i)" + p), F.lit(2)).alias("score")) for p in templates or lexicon.METRIC_TEMPLATES])
-    low = F.transform(pairs, lambda x: F.lower(x["name"]))
-    first = F.filter(pairs, lambda x, i: F.array_position(low, F.lower(x["name"])) == i + 1)
-    rows = df.withColumn("__e", F.explode(first))
+    rows = df.withColumn("__pairs", pairs).withColumn("__low", F.transform("__pairs", lambda x: F.lower(x["name"])))
+    first = F.filter("__pairs", lambda x, i: F.array_position(F.col("__low"), F.lower(x["name"])) == i + 1)
+    rows = rows.where(F.size("__pairs") > 0).withColumn("__e", F.explode(first))
     score = F.nullif(F.col("__e.score"), F.lit(""))
     return rows.select(*df.columns, F.lit("METRIC").alias("entity_type"), F.col("__e.name").alias("entity_name"), score.alias("score_value"), F.when(score.isNotNull(), 0.92).otherwise(0.86).alias("confidence"), F.lit("regex_metric_template").alias("extraction_method"))
 

@@ -328,7 +328,7 @@ def d12(spark, sf):
 
 @query("d13_extract_metrics", "SELECT doc_id AS id, 'f1' AS name, '0.91' AS score_value, 0.92::DOUBLE AS confidence FROM documents WHERE contains(text, ' of ') UNION ALL SELECT doc_id, 'recall', NULL, 0.86::DOUBLE FROM documents WHERE contains(text, ' of ')")
 def d13(spark, sf):
-    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit(" F1 of 0.91 with Recall; ")), F.lit("\n"), F.lit(" ")), "(?i)\\bem\\b", "en").alias("source_text"))
+    d = V.texts(spark, sf, "doc_id", "text").select(F.col("doc_id").alias("id"), F.regexp_replace(F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit(" F1 of 0.91 with Recall; ")), F.lit("\n"), F.lit(" ")), "(?i)\\bem\\b", "en").alias("source_text"))
     return discourse.extract_metrics(d).select("id", F.lower("entity_name").alias("name"), "score_value", "confidence")
 
 
