@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{name}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to scratch and read back: its lineage is cut, and what chance decided in it stays as it is."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, name: str | None = None, key: str | None = None) -> DataFrame:
     """A Parquet table with its declared schema if it has one; in key order if a key is given."""
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
