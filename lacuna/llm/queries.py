@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import decontaminate, fim, hmm, langid, licenses, mixing, ordermin, packing, pii, simhash, toxicity, warc
+from lacuna.llm import decontaminate, fim, hmm, langid, licenses, mixing, ordermin, packing, pii, simhash, toxicity, warc, whitening
 from lacuna.llm.common import documents, shared_path
 
 
@@ -62,6 +62,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    return whitening.by_component(whitening.whiten(vectors, model), model)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")))
 
@@ -79,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op2_packing, op3_pii, op4_decontamination, op5_licenses, op6_hmm, op7_simhash, op8_warc, op9_toxicity, op10_language, op12_mixing, op13_fim, pipeline)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_packing, op3_pii, op4_decontamination, op5_licenses, op6_hmm, op7_simhash, op8_warc, op9_toxicity, op10_language, op11_whitening, op12_mixing, op13_fim, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
