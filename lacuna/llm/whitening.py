@@ -153,9 +153,10 @@ def slices(a: np.ndarray, k: int, width: int = SLICE) -> list[tuple[float, float
     border, borders = top * 1.01 + floor, []
     at = 0
     while at < k:
-        near = [r for r in range(max(at + 1, at + width // 2), min(seen - 1, at + 2 * width) + 1) if gaps[r - 1] > 1e-6 * top and (r >= k or r <= at + width + width // 2)]
         if k - at <= width:
-            near = [r for r in near if r >= k]
+            near = [r for r in range(k, seen) if gaps[r - 1] > 1e-6 * top]
+        else:
+            near = [r for r in range(at + width // 2, min(seen - 1, at + 2 * width) + 1) if gaps[r - 1] > 1e-6 * top and (r >= k or r <= at + width + width // 2)]
         if not near:  # to the end of the spectrum
             low_end, at = float((d - reach).min()) - max(floor, 0.01 * top), n
         else:
@@ -220,7 +221,7 @@ def components(spark: SparkSession, a: np.ndarray, k: int) -> tuple[np.ndarray,
         raise ArithmeticError("the slices hold more eigenvalues than were found")
     q = np.linalg.qr(np.array([r["vector"] for r in sorted(found, key=lambda r: -r["value"])]).T)[0]
     values, u = np.linalg.eigh(q.T @ a @ q)  # one basis for all slices
-    k = min(k, len(values))
+    k = min(k, int((values > NOISE * values[-1]).sum()))
     return values[::-1][:k].copy(), (q @ u[:, ::-1])[:, :k].copy()
 
 
