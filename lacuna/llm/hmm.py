@@ -16,10 +16,12 @@ CLASSES = 2048
 ROUNDS = 2
 #: Tokens of a stretch, the unit of work in Baum-Welch; what passes over its ends is carried exactly.
 STRETCH = 64
-#: Distinct texts of the warm start on the driver, at most about, and their length in characters.
-WARM_DOCS, WARM_CHARS, WARM_ROUNDS = 400, 8000, 12
+#: Distinct pieces of texts of the warm start on the driver, about, and their length in bytes, at most.
+WARM_PIECES, WARM_BYTES, WARM_ROUNDS = 400, 8000, 12
 #: Bytes of text that share one dictionary, about.
 CHUNK_BYTES = 24 << 20
+#: Tasks that score chunks, at most; beyond that a task works through several chunks one by one.
+MOST_TASKS = 20_000
 #: Tokens that Baum-Welch works on in one go.
 TOGETHER = 1 << 18
 CACHE_WORDS = 1_000_000
@@ -174,20 +176,41 @@ def maximise(counts: np.ndarray):
     return start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True)
 
 
+def likelihood(model, rows: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> float:
+    """Log10 likelihood of stretches of whole texts."""
+    _, move, emit = model
+    a, total = _carried(model, rows, sizes, first)[0], 0.0
+    for t in range(STRETCH):
+        a = (a if t == 0 else a @ move) * emit[rows[:, t]]
+        s = a.sum(axis=1)
+        total += float(np.log10(s[sizes > t]).sum())
+        a /= s[:, None]
+    return total
+
+
 def warm_start(texts: list[bytes], states: int = STATES):
-    """A first model from a few texts: states begin as random groups of texts."""
+    """A first model from a few texts; states differ even without any.
+
+    Two starts are tried, and the one that makes the texts likelier after WARM_ROUNDS goes on: states
+    that begin as random groups of texts and seldom change, which finds languages and topics, and states
+    with random shares of every class, which finds what alternates within a text.
+    """
     known, rng = Classes(), np.random.default_rng(11)
     seqs = [np.array([known[w] for w in tokens(t)] + [END_CLASS], np.int32) for t in texts]
-    counts = np.ones((CLASSES + states + 1, states)) * 0.01
+    grouped = np.ones((CLASSES + states + 1, states)) * 0.01
     for s in seqs:
-        counts[:CLASSES, rng.integers(states)] += np.bincount(s, minlength=CLASSES)
-    counts[CLASSES : CLASSES + states] += 1 + 40 * states * np.eye(states)
-    model = maximise(counts)
-    if seqs:
-        data = stretches(seqs)
-        for _ in range(WARM_ROUNDS):
-            model = maximise(expectations(model, *data))
-    return model
+        grouped[:CLASSES, rng.integers(states)] += np.bincount(s, minlength=CLASSES)
+    mixed = grouped.copy()
+    mixed[:CLASSES] = grouped[:CLASSES].sum(axis=1, keepdims=True) * rng.gamma(0.5, size=(CLASSES, states))
+    mixed[CLASSES : CLASSES + states] += 50 * rng.gamma(1.0, size=(states, states))
+    grouped[CLASSES : CLASSES + states] += 1 + 40 * states * np.eye(states)
+    models = [maximise(grouped), maximise(mixed)]
+    if not seqs:
+        return models[1]
+    data = stretches(seqs)
+    for _ in range(WARM_ROUNDS):
+        models = [maximise(expectations(m, *data)) for m in models]
+    return max(models, key=lambda m: likelihood(m, *data))
 
 
 def baum_welch(rows: DataFrame, model, rounds: int = ROUNDS):
@@ -223,6 +246,19 @@ def baum_welch(rows: DataFrame, model, rounds: int = ROUNDS):
     return model
 
 
+def warm_pieces(training: DataFrame, pieces: int = WARM_PIECES, size: int = WARM_BYTES) -> list[bytes]:
+    """About ``pieces`` distinct pieces of training texts (a binary column ``t``) of any length, drawn by a hash.
+
+    A text has a piece for each ``size`` bytes begun, all with the same chance, and is hashed once.
+    """
+    count = F.greatest(F.lit(1), F.ceil(F.octet_length("t") / size)).cast("int")
+    known = training.where("t is not null").select("t", F.xxhash64("t").alias("h"), count.alias("k"))
+    total = known.agg(F.sum("k")).first()[0] or 1
+    placed = known.select("t", "h", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).where(below_share(F.xxhash64("h", "i"), pieces / total))
+    found = placed.select(F.substring("t", F.col("i") * size + 1, F.lit(size)).alias("t")).distinct().collect()
+    return sorted(r["t"] for r in found)
+
+
 def chunked(rows: DataFrame, mean_bytes: float, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The rows, written with the number of their chunk: neighbouring rows of about ``chunk_bytes`` together.
 
@@ -319,8 +355,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     texts = chunked(rows, (sized["b"] or 16) / max(1, sized["n"]))
     chunks = (texts.agg(F.max("chunk")).first()[0] or 0) + 1
     training = texts.where(~F.col("held_out")).select("t")
-    warm = training.where((F.length("t") <= WARM_CHARS) & below_share(F.xxhash64("t"), WARM_DOCS / max(1, sized["n"]))).distinct().collect()
-    model = baum_welch(training, warm_start(sorted(r["t"] for r in warm), states), rounds)
+    model = baum_welch(training, warm_start(warm_pieces(training), states), rounds)
     words = cut(word_counts(texts), "words")
     totals = cut(words.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("c")), "totals")
     stats = totals.groupBy("class").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).toPandas()
@@ -357,5 +392,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     counted = words.join(totals.select("word", "c"), "word").select("chunk", "word", "c")
     both = counted.unionByName(texts.select("chunk", id_col, "held_out", "t"), allowMissingColumns=True)
-    near = both.repartitionById(int(chunks), F.col("chunk").cast("int")).sortWithinPartitions("chunk", F.col("word").asc_nulls_last())
+    tasks = int(min(chunks, MOST_TASKS))
+    near = both.repartitionById(tasks, (F.col("chunk") % tasks).cast("int")).sortWithinPartitions("chunk", F.col("word").asc_nulls_last())
     return near.transform(map_arrow, run, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
