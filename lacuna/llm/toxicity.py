@@ -16,9 +16,10 @@ from lacuna.llm.common import below_share, cut, map_arrow, remainder
 BUCKETS = 1 << 28
 #: Labelled documents that the machine is fitted on, at most (by a hash of the id).
 MAX_TRAIN = 20_000
-#: Terms with weights, at most. Held-out errors (missed, false) on 2,636 and 13,650 training rows:
-#: 512 terms 13, 5 and 0, 0; 1,024 terms 12, 5 and 0, 0; 2,048 terms 12, 1 and 0, 1.
-TERMS = 1024
+#: Numbers of terms with weights to choose from, by the log-loss on a part of the learning rows.
+TERMS = (512, 1024, 2048, 4096)
+#: One in so many of the learning rows is that part.
+PART = 4
 FACTORS = 8
 STEPS = 80
 THRESHOLD = 0.7
@@ -45,16 +46,16 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
     At most about ``max_train`` documents are drawn, by a threshold on a hash of the id.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("n")).agg(F.max(label_col).alias("y"))
     n = known.count()
-    known = known.where(below_share(F.xxhash64(id_col), max_train / max(1, n)))  # bounds what is broadcast
+    known = known.where(below_share(F.xxhash64("n"), max_train / max(1, n)))  # bounds what is broadcast
 
     def run(batches):
         for b in batches:
             found = [sorted({k for w in set(WORD.findall((t or "").lower())) for k in buckets(w)}) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["n", "y", "b"])
 
-    rows = docs.join(F.broadcast(known), id_col).select(F.col(id_col).cast("long").alias("n"), F.col("y").cast("int"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("n"), F.col(text_col).alias("t")).join(F.broadcast(known), "n").select(F.col("n").cast("long"), F.col("y").cast("int"), "t")
     terms = rows.transform(map_arrow, run, "n long, y int, b array<int>")
     return cut(terms.groupBy("n").agg(F.min(F.struct("y", "b")).alias("r")).select("n", "r.y", "r.b"), "terms")
 
@@ -88,59 +89,87 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(rows: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS) -> Machine:
+def fit(rows: DataFrame, terms: int | tuple[int, ...] = TERMS, factors: int = FACTORS, steps: int = STEPS) -> Machine:
     """Fit on rows (n, y, b): Spark counts the buckets, the driver learns over the chosen ones only.
 
-    The ``terms`` buckets with the largest chi-square against the label are chosen among those in
-    MIN_ROWS distinct rows; linear and pair weights come from full-batch Adam on the regularised
-    log-loss, both kinds of rows weighing alike.
+    The buckets with the largest chi-square against the label are chosen among those in MIN_ROWS
+    distinct rows. How many of them is chosen from ``terms``: machines learnt on three quarters of
+    these rows are tried on the last, and the number with the least log-loss is taken for all rows.
     """
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n, p = total["n"], total["p"]
     if not n or not p or p == n:
         share = (p + 0.5) / (n + 1)
         return Machine(np.empty(0, int), float(np.log(share / (1 - share))), np.empty(0), np.empty((0, factors)))
+    sizes = (terms,) if isinstance(terms, int) else tuple(sorted(terms))
     stats = rows.groupBy("b").agg(F.max("y").alias("y")).select("y", F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("df"), F.sum("y").alias("pos"))
     expected = F.col("df") * (p / n)
     chi = F.pow(F.col("pos") - expected, 2) / (expected * (1 - F.col("df") / F.lit(n + 1.0)))
-    chosen = stats.where(F.col("df") >= MIN_ROWS).select("b", "df", "pos", chi.alias("chi")).orderBy(F.desc("chi"), "b").limit(terms).collect()
-    chosen = sorted(chosen, key=lambda r: r["b"])
-    picked, df, pos = (np.array([r[c] for r in chosen], int) for c in ("b", "df", "pos"))
+    chosen = stats.where(F.col("df") >= MIN_ROWS).select("b", "df", "pos", chi.alias("chi")).orderBy(F.desc("chi"), "b").limit(sizes[-1]).collect()
+    picked, df, pos = (np.array([r[c] for r in chosen], int) for c in ("b", "df", "pos"))  # the largest chi-square first
     keep = rows.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(picked)], "b int, i int")
     # rows are bounded by MAX_TRAIN, and each has so many chosen terms at most; ``keep`` by TERMS
     pairs = rows.select("n", "y", F.explode_outer("b").alias("b")).join(F.broadcast(keep), "b", "left")
-    data = pairs.groupBy("n", "y").agg(F.array_sort(F.collect_list("i")).alias("i")).orderBy("n", "y").collect()
-    x = Sparse([r["i"] for r in data], len(picked))
-    y = np.array([r["y"] for r in data], np.float32)
-    weight = np.where(y == 1, min(MAX_BALANCE, (n - p) / p), 1.0).astype(np.float32)
-    weight /= weight.sum()
-    rng = np.random.default_rng(7)
+    data = pairs.groupBy("n", "y", F.pmod(F.xxhash64("n"), F.lit(PART)).alias("part")).agg(F.array_sort(F.collect_list("i")).alias("i")).orderBy("n", "y").collect()
+    y, tried = np.array([r["y"] for r in data], np.float32), np.array([r["part"] == 0 for r in data])
     # terms begin with most of their log-odds, so that one that is rarely alone counts on its own
     odds = np.log((pos + 0.5) / (p + 1)) - np.log((df - pos + 0.5) / (n - p + 1))
-    sure = df / (df + PRIOR_ROWS)
-    theta = [np.array([np.log(p / (n - p))], np.float32), (0.7 * sure * odds).astype(np.float32), rng.normal(0, 0.05, (len(picked), factors)).astype(np.float32)]
-    first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
+    first = (0.7 * df / (df + PRIOR_ROWS) * odds).astype(np.float32)
+    # a number beyond the terms there are is the same as the next lower one
+    sizes = sizes[: int(np.searchsorted(sizes, len(picked))) + 1]
+    best = sizes[-1]
+    if len(sizes) > 1 and len({*y[tried]}) == 2 == len({*y[~tried]}):
+        losses = []
+        for k in sizes:
+            machine = descend([r["i"] for r in data if r["part"]], y[~tried], first[:k], factors, steps)
+            z = reached(machine, Sparse([r["i"] for r in data if not r["part"]], len(first[:k])))[0]
+            losses.append(float((balanced(y[tried]) * np.logaddexp(0, np.where(y[tried] == 1, -z, z))).sum()))
+        best = sizes[int(np.argmin(losses))]
+    bias, weight, factor = descend([r["i"] for r in data], y, first[:best], factors, steps)
+    order = np.argsort(picked[:best])
+    return Machine(picked[:best][order], float(bias[0]), weight[order].astype(float), factor[order].astype(float))
+
+
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Row weights that add up to one, both kinds weighing alike unless one is very rare."""
+    weight = np.where(y == 1, min(MAX_BALANCE, float((y == 0).sum() / max(1, (y == 1).sum()))), 1.0).astype(np.float32)
+    return weight / weight.sum()
+
+
+def reached(theta, x: Sparse):
+    """The score of each row before the logistic function, and the sums of its factors."""
+    bias, w, v = theta
+    xv = x.dot(v)
+    return bias + x.dot(w) + 0.5 * ((xv**2).sum(axis=1) - x.dot((v * v).sum(axis=1))), xv
+
+
+def descend(columns: list[list[int]], y: np.ndarray, first: np.ndarray, factors: int, steps: int):
+    """Bias, weights and factors by full-batch Adam on the regularised log-loss, from the weights ``first``; columns beyond them are left out."""
+    x, weight = Sparse(columns, len(first)), balanced(y)
+    p, n = float(y.sum()), len(y)
+    theta = [np.array([np.log(p / (n - p))], np.float32), first.copy(), np.random.default_rng(7).normal(0, 0.05, (len(first), factors)).astype(np.float32)]
+    means, squares = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, steps + 1):
         bias, w, v = theta
-        xv = x.dot(v)
-        z = bias + x.dot(w) + 0.5 * ((xv**2).sum(axis=1) - x.dot((v * v).sum(axis=1)))
+        z, xv = reached(theta, x)
         g = (1 / (1 + np.exp(-z)) - y) * weight
         gx = x.back(g)
         grads = [np.array([g.sum()]), gx + LINEAR_PENALTY * w, x.back(g[:, None] * xv) - gx[:, None] * v + PAIR_PENALTY * v]
         for i, grad in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * grad
-            second[i] = 0.999 * second[i] + 0.001 * grad * grad
-            theta[i] = theta[i] - 0.08 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    return Machine(picked, float(theta[0][0]), theta[1].astype(float), theta[2].astype(float))
+            means[i] = 0.9 * means[i] + 0.1 * grad
+            squares[i] = 0.999 * squares[i] + 0.001 * grad * grad
+            theta[i] = theta[i] - 0.08 * (means[i] / (1 - 0.9**step)) / (np.sqrt(squares[i] / (1 - 0.999**step)) + 1e-8)
+    return theta
 
 
 class Sparse:
-    """A 0/1 matrix by the columns of each row's ones, with products from both sides."""
+    """A 0/1 matrix by the columns of each row's ones below ``width``, with products from both sides."""
 
     def __init__(self, columns: list[list[int]], width: int):
         self.shape = len(columns), width
-        self.at = np.array([i for c in columns for i in c], np.int64)
-        self.row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+        at = np.array([i for c in columns for i in c], np.int64)
+        row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+        self.at, self.row = at[at < width], row[at < width]
 
     def dot(self, v: np.ndarray) -> np.ndarray:
         flat = v.reshape(self.shape[1], -1)
