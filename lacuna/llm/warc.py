@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ SEGMENT_BYTES = 1 << 16
 RECORDS_PER_FILE = 4000
 DATE = "2020-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-ROWS = "record string, segment long, chunk long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, last boolean, body binary"
+ROWS = "record string, segment long, chunk long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, last boolean, body binary, fault string"
 
 
 def base32_sha1(payload):
@@ -118,56 +119,86 @@ def _parts(content: bytes, step: int = 1 << 20):
             left, unzip = unzip.unused_data, zlib.decompressobj(31)
 
 
-def parse_warc(content: bytes, size: int = SEGMENT_BYTES):
+def parse_warc(content: bytes, size: int = SEGMENT_BYTES, strict: bool = True):
     """(header fields, chunk number, chunk, whether it is the last) for the block of each WARC record.
 
-    Chunks hold ``size`` bytes at most, so a record is never held whole, however large.
+    Chunks hold ``size`` bytes at most, so a record is never held whole, however large. Damage is
+    an error; if not ``strict``, it is a record whose one field ``fault`` names it, and reading goes
+    on at the next line that begins a record.
     """
-    buffer, parts = bytearray(), _parts(content)
+    buffer, parts, broken = bytearray(), _parts(content), ""
 
     def more() -> bool:
-        part = next(parts, None)
+        nonlocal broken
+        try:
+            part = next(parts, None)
+        except zlib.error:
+            part, broken = None, "its compressed data are damaged"
         buffer.extend(part or b"")
         return part is not None
 
-    while True:
+    def header():
+        """Header fields of the next record, None at the end, or what is wrong."""
         while len(buffer) < 4 and more():
             pass
         while buffer[:2] == CRLF:
             del buffer[:2]
             if len(buffer) < 4:
                 more()
-        if not buffer.strip():
+        while not buffer.strip():
             if not more():
-                return
-            continue
+                return broken or None
         while (end := buffer.find(b"\r\n\r\n")) < 0:
             if not more():
-                raise ValueError("a WARC header has no end")
-        lines = bytes(buffer[:end]).decode("utf-8").split("\r\n")
+                return broken or "a WARC header has no end"
+        lines = bytes(buffer[:end]).decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:40]}")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+            return f"not a WARC record: {lines[0][:40]}"
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not re.fullmatch("[0-9]{1,18}", fields.get("content-length", "")):
+            return "a WARC record has no length"
         del buffer[: end + 4]
-        left, n = int(fields["content-length"]), 0
-        while left or not n:
+        return fields
+
+    while True:
+        fields = header()
+        n, fault = 0, fields if isinstance(fields, str) else None
+        if fields is None:
+            return
+        left = 0 if fault else int(fields["content-length"])
+        while not fault and (left or not n):
             want = min(left, size)
-            while len(buffer) < want:
+            while len(buffer) < want and not fault:
                 if not more():
-                    raise ValueError("a WARC record is cut short")
-            chunk = bytes(buffer[:want])
-            del buffer[:want]
-            left -= want
-            yield fields, n, chunk, not left
-            n += 1
+                    fault = broken or "a WARC record is cut short"
+            if not fault:
+                chunk = bytes(buffer[:want])
+                del buffer[:want]
+                left -= want
+                yield fields, n, chunk, not left
+                n += 1
+        if not fault:
+            continue
+        if strict:
+            raise ValueError(fault)
+        yield {"fault": fault, "warc-record-id": "" if isinstance(fields, str) else fields.get("warc-record-id", "")}, 0, b"", True
+        while True:  # to the next beginning of a record; what may be half of one stays
+            at = buffer.find(b"\nWARC/1.", 1)
+            if at >= 0:
+                del buffer[: at + 1]
+                break
+            del buffer[: max(0, len(buffer) - 8)]
+            if not more():
+                return
 
 
-def payload_chunks(content: bytes, size: int = SEGMENT_BYTES):
-    """The chunks of ``parse_warc`` without the HTTP header that a block other than a continuation begins with."""
+def payload_chunks(content: bytes, size: int = SEGMENT_BYTES, strict: bool = True):
+    """The chunks of ``parse_warc`` without the HTTP header that a block of HTTP other than a continuation begins with."""
     head = None
-    for fields, n, chunk, last in parse_warc(content, size):
+    for fields, n, chunk, last in parse_warc(content, size, strict):
         if n == 0:
-            head = b"" if fields["warc-type"] != "continuation" else None
+            http = fields.get("content-type", "application/http").startswith("application/http")
+            head = b"" if http and fields.get("warc-type") != "continuation" else None
         if head is not None:
             head += chunk
             end = head.find(b"\r\n\r\n")
@@ -183,16 +214,27 @@ def read_segments(spark: SparkSession, path: str, bodies: bool = False) -> DataF
 
     Records that are whole run through an incremental digest where they are read and leave their
     body there, in one row a record; ``bodies`` keeps it, in chunk rows. The segments of oversized
-    payloads are chunk rows with their bodies.
+    payloads are chunk rows with their bodies. Records other than responses, resources, revisits and
+    continuations are passed over; fields that an archive does not have are null; damage is a row
+    with its ``fault``.
     """
 
+    def number(text: str) -> int | None:
+        return int(text) if re.fullmatch("-?[0-9]{1,18}", text) else None
+
     def rows(batches):
         for b in batches:
             for content in b.column(0).to_pylist():
                 digest, size = hashlib.sha1(), 0
-                for f, chunk, body, last in payload_chunks(content):
-                    kind, n = f["warc-type"], int(f.get("warc-segment-number", 0))
-                    whole = kind == "response" and n == 0
+                for f, chunk, body, last in payload_chunks(content, strict=False):
+                    own = f.get("warc-record-id", "").strip("<>")
+                    if "fault" in f:  # of a record whose chunks have gone out already, or of one that is not known
+                        yield {"record": own, "segment": 0, "chunk": 0, "last": True, "fault": f["fault"]}
+                        continue
+                    kind, n = f.get("warc-type", ""), number(f.get("warc-segment-number", "0")) or 0
+                    if kind not in ("response", "resource", "revisit", "continuation"):
+                        continue
+                    whole = kind in ("response", "resource") and n == 0
                     if chunk == 0:
                         digest, size = hashlib.sha1(), 0
                     if whole:
@@ -200,22 +242,23 @@ def read_segments(spark: SparkSession, path: str, bodies: bool = False) -> DataF
                         size += len(body)
                     if not (last or n or bodies):
                         continue
-                    page, refers = f["x-page-id"], f.get("warc-refers-to", "")[len("<urn:page:") : -1]
+                    refers = f.get("warc-refers-to", "").strip("<>")
+                    said = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     yield {
-                        "record": f["warc-record-id"][1:-1].rpartition(":")[0], "segment": n, "chunk": chunk, "page_id": int(page) if page else None, "url": f["warc-target-uri"],
-                        "record_type": "response" if kind == "continuation" else kind, "refers_to": int(refers) if refers else None,
-                        "payload_bytes": size if whole else int(f["x-payload-length"]),
-                        "payload_digest": base64.b32encode(digest.digest()).decode() if whole and last else f["warc-payload-digest"].removeprefix("sha1:"),
+                        "record": f.get("warc-segment-origin-id", "").strip("<>") or own, "segment": n, "chunk": chunk, "page_id": number(f.get("x-page-id", "")), "url": f.get("warc-target-uri", "" if "x-page-id" in f else None),
+                        "record_type": "revisit" if kind == "revisit" else "response", "refers_to": number(refers.removeprefix("urn:page:")),
+                        "payload_bytes": size if whole else number(f.get("x-payload-length", "")),
+                        "payload_digest": base64.b32encode(digest.digest()).decode() if whole and last else said,
                         "last": last and (n == 0 or "warc-segment-total-length" in f), "body": body if n or bodies else None,
                     }
 
-    schema = pa.schema([("record", pa.string()), ("segment", pa.int64()), ("chunk", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("last", pa.bool_()), ("body", pa.binary())])
+    schema = pa.schema([("record", pa.string()), ("segment", pa.int64()), ("chunk", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("last", pa.bool_()), ("body", pa.binary()), ("fault", pa.string())])
 
     def run(batches):
         held, size = [], 0
         for row in rows(batches):
             held.append(row)
-            size += len(row["body"] or b"")
+            size += len(row.get("body") or b"")
             if len(held) >= 1000 or size >= 4 << 20:
                 yield pa.RecordBatch.from_pylist(held, schema)
                 held, size = [], 0
@@ -226,44 +269,61 @@ def read_segments(spark: SparkSession, path: str, bodies: bool = False) -> DataF
     return files.transform(map_arrow, run, ROWS)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """One row a record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, record, fault.
 
     The chunks of an oversized payload meet in order in one partition and run through one
-    incremental digest. A payload whose segments are not all there raises an error.
+    incremental digest. ``fault`` is null for a record that is whole; otherwise it tells what is damaged,
+    or that segments of a payload are missing or do not give its stated size.
     """
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record"]
 
     def run(batches):
-        digest, size, record, expected = hashlib.sha1(), 0, None, (1, 0)
+        digest, size, record, expected, fault, first = hashlib.sha1(), 0, None, (1, 0), None, None
+
+        def close(said: str | None):
+            """The row of the payload that is being read, with what is wrong with it."""
+            return {**first, "payload_bytes": size, "payload_digest": base64.b32encode(digest.digest()).decode(), "fault": said}
+
         for b in batches:
-            kept, sizes, digests = [], [], []
-            numbers, chunks, records, lasts, bodies = (b.column(c).to_pylist() for c in ("segment", "chunk", "record", "last", "body"))
-            known = (b.column("payload_bytes").to_pylist(), b.column("payload_digest").to_pylist())
-            for i, n in enumerate(numbers):
+            out = []
+            for row in b.to_pylist():
+                n = row["segment"]
                 if n == 0:
-                    kept.append(i)
-                    sizes.append(known[0][i])
-                    digests.append(known[1][i])
+                    out.append({c: row[c] for c in (*names, "fault")})
                     continue
-                here = (n, chunks[i])
-                if here == (1, 0):
-                    digest, size, record, expected = hashlib.sha1(), 0, records[i], here
+                here = (n, row["chunk"])
+                if row["record"] != record:
+                    if first is not None:
+                        out.append(close("its last segment is missing"))
+                    digest, size, record, expected, first = hashlib.sha1(), 0, row["record"], (0, 0), {c: row[c] for c in names}
+                    fault = None if here == (1, 0) else "its first segment is missing"
+                elif first is None:
+                    continue  # more than once, or behind the last segment
                 # the next chunk of the segment, or the first of the next segment
-                if records[i] != record or here not in (expected, (expected[0] + 1, 0)):
-                    raise ValueError(f"segment {n} of {records[i]} is out of place")
-                digest.update(bodies[i])
-                size, expected = size + len(bodies[i]), (n, chunks[i] + 1)
-                if lasts[i]:
-                    if size != known[0][i]:
-                        raise ValueError(f"{records[i]} has {size} bytes of {known[0][i]}")
-                    kept.append(i)
-                    sizes.append(size)
-                    digests.append(base64.b32encode(digest.digest()).decode())
-                    record = None
-            at = pa.array(kept, pa.int64())
-            columns = {c: b.column(c).take(at) for c in names} | {"payload_bytes": pa.array(sizes, pa.int64()), "payload_digest": pa.array(digests, pa.string())}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
-
-    rows = read_segments(spark, path).repartition("record").sortWithinPartitions("record", "segment", "chunk")
-    return rows.transform(map_arrow, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+                elif here not in (expected, (expected[0] + 1, 0)):
+                    fault = fault or f"segment {n} is out of place"
+                digest.update(row["body"])
+                size, expected = size + len(row["body"]), (n, row["chunk"] + 1)
+                if row["last"]:
+                    stated = row["payload_bytes"]
+                    out.append(close(fault or (f"it has {size} bytes of {stated}" if stated not in (None, size) else None)))
+                    first = None
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if first is not None:
+            yield pa.RecordBatch.from_pylist([close("its last segment is missing")], schema)
+
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record", pa.string()), ("fault", pa.string())])
+    rows = read_segments(spark, path).repartition("record", F.when(F.col("segment") == 0, F.col("page_id"))).sortWithinPartitions("record", "segment", "chunk")
+    return rows.transform(map_arrow, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record string, fault string")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records that are whole: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
+    return read_all(spark, path).where("fault is null").drop("record", "fault")
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """What could not be read: page_id, url (null if not known), record, fault."""
+    return read_all(spark, path).where("fault is not null").select("page_id", "url", "record", "fault")
