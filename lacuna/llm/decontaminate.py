@@ -25,21 +25,26 @@ BASE = 0x9E3779B97F4A7C15 | 1
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """For each code point below 65,536 its lower case, or 0 if it is no letter or digit; the last stands for all above."""
-    table = np.zeros(65537, np.uint32)
-    for c in range(65536):
-        x = chr(c)
-        if x.isalnum():
-            low = x.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+    """For each code point below 65,536 its lower case, or 0 if it is no letter or digit; one more place for all above."""
+    return np.array([_letter(c) for c in range(65536)] + [0], np.uint32)
+
+
+@functools.cache
+def _letter(c: int) -> int:
+    x = chr(c)
+    low = x.lower()
+    return (ord(low) if len(low) == 1 else c) if x.isalnum() else 0
 
 
 def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Letters and digits of a text in lower case, and the place of each in the text (code points)."""
     codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
     table = _letters()
-    low = np.where(codes < 65536, table[np.minimum(codes, 65536)], codes)
+    low = table[np.minimum(codes, 65536)]
+    high = codes > 65535
+    if high.any():
+        every, owner = np.unique(codes[high], return_inverse=True)
+        low[high] = np.array([_letter(int(c)) if c < 0x110000 else 0 for c in every], np.uint32)[owner]
     at = np.nonzero(low)[0]
     return low[at], at
 
