@@ -10,7 +10,7 @@ from lacuna.operators import segment, stats, structure
 from lacuna.plans import views as V
 from lacuna.plans.registry import query
 from lacuna.sources import tables
-from lacuna.streaming import stream
+from lacuna.streaming import buckets, stream
 
 
 def judged(spark, sf):
@@ -154,10 +154,26 @@ def _sink(df, spark, mode="append"):
     return _done(df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True), spark, f"{path}/out")
 
 
-@query("s1_continuous_landing", "SELECT count(DISTINCT user_id) AS n FROM events")
+def _arrive(pages, folder):
+    """Pages as files, one each."""
+    pages.select("page_id", F.coalesce("html", F.lit("")).alias("value")).write.partitionBy("page_id").option("lineSep", "\u0004").text(folder)
+
+
+_HASH = "sha256(coalesce(html, '') || chr(4))"
+
+
+@query("s1_continuous_landing", f"SELECT {_HASH} AS file_hash, any_value(strlen(coalesce(html, '')) + 1)::BIGINT AS file_size FROM pages WHERE {_HASH} NOT IN (SELECT {_HASH} FROM pages WHERE page_id % 10 = 3) GROUP BY 1")
 def s1(spark, sf):
-    e = _read(spark, sf, "events").select(F.sha2(F.col("user_id").cast("string"), 256).alias("file_hash"), "ts")
-    return _sink(stream.unique_rows(e, "file_hash", "ts", "1000 days"), spark).agg(F.count("*").alias("n"))
+    # some pages are stored before the stream begins; two thirds arrive first, then all of them as new files
+    pages = V.table(spark, sf, "pages")
+    content = F.concat(F.coalesce("html", F.lit("")), F.lit("\u0004"))
+    stored = pages.where("page_id % 10 = 3").select(F.sha2(content, 256).alias("file_hash"))
+    path = tables.scratch_path(spark, f"landing-{uuid.uuid4().hex}")
+    schema = "path string, ts timestamp, file_size long, file_hash string"
+    for wave, rows in (("a", pages.where("page_id % 3 <> 0")), ("b", pages)):
+        _arrive(rows, f"{path}/in/wave={wave}")
+        stream.land(stream.landed(spark, f"{path}/in/*/*/*.txt", stored), f"{path}/out", f"{path}/state").start().awaitTermination()
+    return buckets.read(spark, f"{path}/out", schema).select("file_hash", "file_size")
 
 
 _FILLED = f"w AS (SELECT id, l, unnest(range(len(l))) AS i FROM (SELECT id, {V.SPLIT.format('source_text')} AS l FROM sentences)), h AS (SELECT id, {V.bucket_sql('l[i + 1]', 'sha256')} AS bucket FROM w UNION ALL SELECT id, {V.bucket_sql('substr(l[i + 1], 1, 4)', 'md5')} FROM w WHERE length(l[i + 1]) > 3 UNION ALL SELECT id, {V.bucket_sql("l[i + 1] || '_' || l[i + 2]", 'sha256')} FROM w WHERE l[i + 2] IS NOT NULL), filled AS (SELECT id, count(DISTINCT bucket) AS filled FROM h GROUP BY 1)"
@@ -165,18 +181,23 @@ _FILLED = f"w AS (SELECT id, l, unnest(range(len(l))) AS i FROM (SELECT id, {V.S
 
 @query("s2_incremental_extract", f"WITH {V.SENTENCES}, {V.classified_sql()}, {_FILLED} SELECT id, label, coalesce(filled, 0) AS filled FROM classified LEFT JOIN filled USING (id)")
 def s2(spark, sf):
-    d = _read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_id", "paragraph"))
-    name = F.element_at(F.array(*map(F.lit, V.SECTION_NAMES)), F.col("paragraph_id") % 5 + 1)
-    rows = d.withColumn("section_name", name)
-    cut = segment.split_paragraphs(rows, splitter=lambda p: F.split(F.replace(p, F.lit(". "), F.lit(".\u0001")), "\u0001")).where("length(source_text) > 3")
-    from lacuna.operators import discourse, vectors
-
-    labelled = discourse.classify(cut.withColumn("id", F.col("paper_id") * 1000000000 + F.col("paragraph_id") * 100000 + F.col("part")), V.RULES, V.PRIORS, list(V.RULES), strong=["limitations", "future work"])
-    embedded = vectors.embed_with(labelled, vectors.hashing_model, "source_text")
+    from lacuna.operators import vectors
+
+    # every fourth document comes first in part, and whole with the second batch
+    docs = V.texts(spark, sf, "doc_id", "text")
     path = tables.scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    stream.upsert_batches(embedded.select("id", "paper_id", "label", "embedding"), f"{path}/out", "paper_id", f"{path}/state").start().awaitTermination()
+    early = F.when(F.col("doc_id") % 4 == 0, F.substring_index("text", "\n", 1)).otherwise(F.col("text"))
+    for wave, rows in (("a", docs.withColumn("text", early)), ("b", docs.where("doc_id % 4 = 0"))):
+        rows.write.parquet(f"{path}/in/wave={wave}")
+        arriving = spark.readStream.schema("doc_id long, text string").parquet(f"{path}/in/*")
+        d = arriving.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_id", "paragraph"))
+        name = F.element_at(F.array(*map(F.lit, V.SECTION_NAMES)), F.col("paragraph_id") % 5 + 1)
+        numbered = lambda p: F.split(F.replace(p, F.lit(". "), F.lit(".\u0001")), "\u0001")
+        labelled = stream.extract(d.withColumn("section_name", name), splitter=numbered, rules=V.RULES, priors=V.PRIORS, labels=list(V.RULES), strong=["limitations", "future work"]).where("length(source_text) > 3")
+        embedded = vectors.embed_with(labelled.withColumn("id", F.col("paper_id") * 1000000000 + F.col("paragraph_id") * 100000 + F.col("part")), vectors.hashing_model, "source_text")
+        stream.upsert_batches(embedded.select("id", "paper_id", "label", "embedding"), f"{path}/out", "paper_id", f"{path}/state").start().awaitTermination()
     filled = F.size(F.filter("embedding", lambda x: x > 0)).cast("long")
-    return spark.read.parquet(f"{path}/out/v0").select("id", "label", filled.alias("filled"))
+    return buckets.read(spark, f"{path}/out", "id long, paper_id long, label string, embedding array<float>").select("id", "label", filled.alias("filled"))
 
 
 @query("s3_windowed_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
