@@ -198,6 +198,12 @@ def count_types(df: DataFrame, column: str = "label", labels: list[str] | None =
     return F.broadcast(known).join(counts, "extraction_type", "left").select("extraction_type", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def count_extractions(extractions: DataFrame, column: str = "extraction_type", labels: list[str] | None = None) -> DataFrame:
+    """(extraction_type, n, total) over all extraction rows, zero for types that do not occur; total leaves OTHER out."""
+    counts = count_types(extractions, column, labels)
+    return counts.withColumn("total", F.sum(F.when(F.col("extraction_type") != "OTHER", F.col("n")).otherwise(0)).over(Window.partitionBy(F.lit(0))))  # a row a type
+
+
 def filter_extractions(df: DataFrame, paper: int | None = None, kind: str | None = None) -> DataFrame:
     if paper is not None:
         df = df.where(F.col("paper_id") == paper)

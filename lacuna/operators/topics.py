@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import title_case
-from lacuna.operators.vectors import dot, l2_normalize
+from lacuna.operators.ranks import positions
+from lacuna.operators.tfidf import cap_vocab, term_counts, written
+from lacuna.operators.vectors import dot, l2_normalize, near_links
+from lacuna.sources.tables import stored
 
 
 def topic_documents(papers: DataFrame, sections: DataFrame, first: int = 3) -> DataFrame:
@@ -46,7 +54,7 @@ def distance(a: Column, b: Column) -> Column:
 
 def membership(df: DataFrame, centers: DataFrame, column: str = "embedding") -> DataFrame:
     """Add ``probability`` 1 / (1 + distance to the own centre)."""
-    return df.join(F.broadcast(centers), "topic_id").withColumn("probability", F.round(1 / (1 + distance(F.col(column), F.col("center"))), 4)).drop("center")
+    return df.join(centers, "topic_id").withColumn("probability", F.round(1 / (1 + distance(F.col(column), F.col("center"))), 4)).drop("center")
 
 
 def centroids(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -65,25 +73,68 @@ def density_topics(df: DataFrame, links: DataFrame, min_size: int = 2) -> DataFr
 
 
 def density_or_kmeans(df: DataFrame, links: DataFrame, min_size: int = 2, max_topics: int = 10, column: str = "embedding") -> DataFrame:
-    """Density topics of rows (id, embedding); if they are all outliers, the topics of ``discover_topics`` instead."""
+    """Density topics of rows (id, embedding); of four rows or more that give fewer than two, the topics of k-means instead.
+
+    Fewer than four rows have the topics of ``discover_topics``.
+    """
+    if df.limit(4).count() < 4:
+        return discover_topics(df, max_topics, column)
     found = df.join(density_topics(df, links, min_size), "id")
-    if not found.where("topic_id <> -1").isEmpty():
+    if found.where("topic_id <> -1").select("topic_id").distinct().limit(2).count() == 2:
         return found.withColumn("probability", F.when(F.col("topic_id") == -1, 0.0).otherwise(1.0))
     return discover_topics(df, max_topics, column)
 
 
+def reduced_density(df: DataFrame, least: float, min_size: int = 2, max_topics: int = 10, dims: int = 5, column: str = "embedding") -> DataFrame:
+    """The whole way: PCA, links within near cells, density topics or k-means; probabilities as these give them."""
+    n = df.count()
+    if n < 4:
+        return discover_topics(df, max_topics, column)
+    small = reduce_dims(df, n, dims, column)
+    return density_or_kmeans(small, near_links(small, least, column=column), min_size, max_topics, column)
+
+
 def discover_topics(df: DataFrame, max_topics: int = 10, column: str = "embedding") -> DataFrame:
-    """Topics with the rules for few documents: none gives none, one is topic 0, below four two clusters."""
+    """Topics with the rules for few documents: none gives none, one is topic 0, two and three make two; these are sure (1.0)."""
     n = df.count()
     if n == 0:
         return df.withColumn("topic_id", F.lit(0)).withColumn("probability", F.lit(1.0)).limit(0)
     if n == 1:
         return df.withColumn("topic_id", F.lit(0)).withColumn("probability", F.lit(1.0))
-    k = 2 if n < 4 else min(max_topics, max(2, n // 3))
-    rows, centers = kmeans_topics(df, k, column)
+    if n < 4:
+        return kmeans_topics(df, 2, column)[0].withColumn("probability", F.lit(1.0))
+    rows, centers = kmeans_topics(df, min(max_topics, max(2, n // 3)), column)
     return membership(rows, centers, column)
 
 
+def topic_terms(texts: DataFrame, labels: DataFrame, top: int = 6, max_features: int = 5000, ngrams: int = 2, stop: list[str] | None = None, pattern: str = "\\b\\w\\w+\\b") -> DataFrame:
+    """(topic_id, term, weight, rank) of texts (id, text) with labels (id, topic_id): c-TF-IDF over the ``max_features`` commonest terms.
+
+    Terms are words without stop words and runs of two; the mean number of words of a text (parts between
+    white space), plus one, scales the weights.
+    """
+    return run_terms(texts, labels.withColumn("run", F.lit(0)), top, max_features, ngrams, stop, pattern).drop("run")
+
+
+def run_terms(texts: DataFrame, labels: DataFrame, top: int = 6, max_features: int = 5000, ngrams: int = 2, stop: list[str] | None = None, pattern: str = "\\b\\w\\w+\\b") -> DataFrame:
+    """The same for labels (run, id, topic_id): each run has the vocabulary, counts and mean of its own texts, which are counted once for all."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != ""))
+    lengths = texts.select("id", words.alias("w")).join(labels.select("run", "id"), "id").groupBy("run").agg((F.avg("w") + 1.0).alias("words"))
+    counts = written(term_counts(texts, "id", "text", ngrams, stop, pattern))
+    own = stored(counts.join(labels, "id").groupBy("run", "topic_id", "term").agg(F.sum("tf").alias("c")), "class-terms")
+    frequency = stored(own.groupBy("run", "term").agg(F.sum("c").alias("f")), "term-totals")
+    runs = sorted(r["run"] for r in lengths.select("run").collect())
+    if not runs:
+        return own.select("run", "topic_id", "term", F.lit(0.0).alias("weight"), F.lit(0).alias("rank")).limit(0)
+    vocabulary = functools.reduce(DataFrame.unionByName, [frequency.where(F.col("run") == r).orderBy(F.desc("f"), "term").limit(max_features) for r in runs])
+    kept = own.join(vocabulary, ["run", "term"]).join(lengths, "run")
+    totals = kept.groupBy("run", "topic_id").agg(F.sum("c").alias("n"))
+    w = F.col("c") / (F.col("n") + 1e-9) * F.log(1 + F.col("words") / (F.col("f") + 1e-9))
+    scored = kept.join(totals, ["run", "topic_id"]).select("run", "topic_id", "term", w.alias("weight")).where("weight > 0 and topic_id <> -1")
+    order = Window.partitionBy("run", "topic_id").orderBy(F.desc(F.round("weight", 12)), "term")  # the capped vocabulary at most
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def ctfidf(tf: DataFrame, labels: DataFrame, words_per_doc: float, top: int = 6) -> DataFrame:
     """(topic_id, term, weight, rank) from term counts (id, term, tf) and labels (id, topic_id)."""
     own = tf.join(labels, "id").groupBy("topic_id", "term").agg(F.sum("tf").alias("c"))
@@ -106,7 +157,7 @@ def name_topics(terms: DataFrame) -> DataFrame:
 
 def representatives(df: DataFrame, n: int = 3, column: str = "embedding") -> DataFrame:
     """(topic_id, id, score, rank): the documents nearest to their topic's mean."""
-    scored = df.join(F.broadcast(centroids(df, column)), "topic_id").select("topic_id", "id", F.round(dot(l2_normalize(F.col(column)), l2_normalize(F.col("center"))), 10).alias("score"))
+    scored = df.join(centroids(df, column), "topic_id").select("topic_id", "id", F.round(dot(l2_normalize(F.col(column)), l2_normalize(F.col("center"))), 10).alias("score"))
     order = Window.partitionBy("topic_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -165,9 +216,8 @@ def topic_detail(assignments: DataFrame, papers: DataFrame, topic_id: int) -> Da
 def landscape_overview(profiles: DataFrame, status: DataFrame, papers: int) -> DataFrame:
     """Topics by size with status and whether they are major: large enough, or one of the first two."""
     rows = profiles.where("topic_id <> -1").join(status, "topic_id", "left")
-    size = Window.orderBy(F.desc("paper_count"), "topic_id")  # one row a topic
-    rank = F.row_number().over(size)
-    return rows.withColumn("rank", rank).withColumn("is_major", (F.col("paper_count") >= max(2.0, papers / 4)) | (F.col("rank") <= 2))
+    ranked = positions(rows, [], [F.desc("paper_count"), "topic_id"]).withColumnRenamed("position", "rank")
+    return ranked.withColumn("is_major", (F.col("paper_count") >= max(2.0, papers / 4)) | (F.col("rank") <= 2))
 
 
 def tfidf_kmeans(weights: DataFrame, k: int, features: int, top: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -208,6 +258,146 @@ def silhouette(df: DataFrame, column: str = "embedding") -> float:
     return ClusteringEvaluator(featuresCol="v", predictionCol="p", metricName="silhouette").evaluate(own)
 
 
+def euclidean_silhouette(df: DataFrame, column: str = "embedding", block: int = 8192) -> DataFrame:
+    """(silhouette): mean over the rows that are no outliers of (b - a) / max(a, b), by exact Euclidean distances; 0 with fewer than two topics.
+
+    a is the mean distance to the others of the own topic, b the least mean distance to another topic; a row
+    alone in its topic counts 0. Rows are dealt to blocks of one topic; each pair of blocks meets in one task,
+    which sums up distances by matrix products, so a row gets one partial sum from each block and no pairs are made.
+    """
+    own = df.where(F.col("topic_id") != -1).select("id", F.col("topic_id").cast("long").alias("t"), F.transform(column, lambda x: x.cast("double")).alias("v"))
+    sizes = own.groupBy("t").agg(F.count("*").alias("n"))
+    blocks = own.join(sizes.select("t", F.ceil(F.col("n") / block).alias("k")), "t").withColumn("b", F.concat_ws(":", "t", F.pmod(F.xxhash64("id"), F.col("k")))).drop("k")
+    names = positions(blocks.select("b").distinct(), [], ["b"]).select("b", (F.col("position") - 1).cast("int").alias("at"))
+    m = names.count()
+    blocks = blocks.join(names, "b")
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.nulls(0, left.schema.field("id").type), pa.nulls(0, pa.int64()), pa.nulls(0, pa.int64()), pa.nulls(0, pa.float64())], names=["id", "t", "other", "s"])
+        x, y = (m.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(m.num_rows, -1) for m, c in ((left, "v"), (right, "v_")))
+        centre = y.mean(axis=0)  # near to the points, so that little is lost in the products
+        x, y, out = x - centre, y - centre, []
+        for i in range(0, len(x), 256):
+            square = (x[i : i + 256] ** 2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x[i : i + 256] @ y.T
+            out.append(np.sqrt(np.maximum(square, 0)).sum(axis=1))
+        return pa.table([left.column("id"), left.column("t"), pa.array([right.column("t_")[0].as_py()] * len(x), pa.int64()), pa.array(np.concatenate(out))], names=["id", "t", "other", "s"])
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))  # as many copies of a row as there are blocks to meet
+    asked = blocks.select("id", "t", "v", F.col("at").alias("p"), every.alias("q"))
+    met = blocks.select(F.col("t").alias("t_"), F.col("v").alias("v_"), every.alias("p_"), F.col("at").alias("q_"))
+    kind = df.schema["id"].dataType.simpleString()
+    parts = asked.groupBy("p", "q").cogroup(met.groupBy("p_", "q_")).applyInArrow(sums, f"id {kind}, t long, other long, s double")
+    per = parts.groupBy("id", "t", "other").agg(F.sum("s").alias("s")).join(sizes.withColumnRenamed("t", "other"), "other")
+    same = F.col("t") == F.col("other")
+    scored = per.groupBy("id", "t").agg(F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return scored.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("silhouette"))
+
+
+def subsamples(df: DataFrame, runs: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """(run, id): run 0 has every id of ``df``, runs from 1 on the floor(share n) with the least seeded hashes."""
+    n = df.count()
+    every = df.select("id").withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    dealt = every.withColumn("h", F.xxhash64(F.lit(seed), "run", "id"))
+    drawn = positions(dealt, ["run"], ["h", "id"]).where(F.col("position") <= math.floor(share * n))
+    return df.select(F.lit(0).alias("run"), "id").unionByName(drawn.select("run", "id"))
+
+
+def cluster_runs(df: DataFrame, samples: DataFrame, k: int, starts: int = 5, rounds: int = 20, column: str = "embedding", seed: int = 42) -> DataFrame:
+    """(run, id, topic_id): k-means of every run of ``samples`` (run, id) over the same vectors (id, embedding), all in one job a round.
+
+    Every run has several starts, whose first centres are the rows with the least seeded hashes; a round
+    assigns all rows in all runs and starts in one pass and adds up per task, so the driver sees
+    runs x starts x k centres a round. Of a run's starts the one with the least sum of squares stays.
+    """
+    member = samples.groupBy("id").agg(F.collect_set("run").alias("runs"))  # as many as there are runs
+    rows = stored(df.where(F.col(column).isNotNull()).select("id", F.transform(column, lambda x: x.cast("double")).alias("v")).join(member, "id"), "runs")
+    keyed = rows.select("v", F.explode("runs").alias("run")).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    drawn = keyed.withColumn("h", F.xxhash64(F.lit(seed), "start", "v")).groupBy("run", "start", "h").agg(F.min("v").alias("v"))
+    near = Window.partitionBy("run", "start").orderBy("h")
+    share = 64 * k / max(1, rows.select("v").distinct().count())  # so that no window sees many
+    least = drawn if share >= 0.5 else drawn.where(F.col("h") < F.lit(-(1 << 63) + int(share * (1 << 64))).cast("long"))
+    picked = least.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).collect()  # runs x starts x k
+    centres: dict[tuple[int, int], np.ndarray] = {}
+    for r in sorted(picked, key=lambda r: (r["run"], r["start"], r["r"])):
+        key = r["run"], r["start"]
+        centres[key] = np.vstack([centres[key], r["v"]]) if key in centres else np.array([r["v"]])
+
+    def assigned(batch: pa.RecordBatch, centres):
+        """(run, start), the rows of the batch in that run, their nearest centre and squared distance, for all keys."""
+        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        own = batch.column("runs")
+        place, runs = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy()), own.flatten().to_numpy()
+        members = {run: place[runs == run] for run in {run for run, _ in centres}}
+        for (run, start), c in centres.items():
+            at = members[run]
+            if len(at):
+                d = ((x[at] ** 2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x[at] @ c.T).clip(0)
+                yield (run, start), at, d.argmin(axis=1), d.min(axis=1), x
+
+    sums = None
+    for _ in range(rounds):
+
+        def step(batches, centres=centres):
+            total: dict = {}
+            for b in batches:
+                for key, at, near, d, x in assigned(b, centres) if b.num_rows else ():
+                    for c in np.unique(near).tolist():
+                        own = at[near == c]
+                        n, s, q = total.get((*key, c), (0, 0.0, 0.0))
+                        total[(*key, c)] = n + len(own), s + x[own].sum(axis=0), q + float(d[near == c].sum())
+            for (run, start, c), (n, s, q) in total.items():
+                yield pa.RecordBatch.from_pylist([{"run": run, "start": start, "c": c, "n": n, "s": s.tolist(), "q": q}], wanted)
+
+        wanted = pa.schema([("run", pa.int32()), ("start", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("q", pa.float64())])
+        parts = rows.mapInArrow(step, "run int, start int, c int, n long, s array<double>, q double")
+        cells = parts.select("run", "start", "c", "n", "q", F.posexplode("s").alias("i", "x")).groupBy("run", "start", "c", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("q").alias("q"))
+        found = cells.groupBy("run", "start", "c").agg(F.max("n").alias("n"), F.max("q").alias("q"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).collect()
+        moved, sums = {key: c.copy() for key, c in centres.items()}, dict.fromkeys(centres, 0.0)
+        for r in found:
+            moved[r["run"], r["start"]][r["c"]] = np.array([x["x"] for x in r["s"]]) / r["n"]
+            sums[r["run"], r["start"]] += r["q"]
+        still = all(np.allclose(moved[key], centres[key], rtol=0, atol=1e-9) for key in centres)
+        centres = moved
+        if still:
+            break
+    best = {run: min((s for r, s in centres if r == run), key=lambda s: (sums[run, s], s)) for run, _ in centres}
+    chosen = {(run, s): centres[run, s] for run, s in best.items()}
+
+    def label(batches):
+        for b in batches:
+            for (run, _), at, near, _, _ in assigned(b, chosen) if b.num_rows else ():
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(at), pa.int32()), b.column("id").take(pa.array(at)), pa.array(near, pa.int32())], names=["run", "id", "topic_id"])
+
+    return rows.mapInArrow(label, f"run int, id {df.schema['id'].dataType.simpleString()}, topic_id int")
+
+
+def term_stability(terms: DataFrame) -> DataFrame:
+    """(run, stability) of terms (run, topic_id, term): the mean over run 0's topics of the best Jaccard similarity of their terms to a topic of the run's."""
+    sizes = terms.groupBy("run", "topic_id").agg(F.count_distinct("term").alias("n"))
+    base = terms.where("run = 0").select(F.col("topic_id").alias("base"), "term").distinct()
+    shared = base.join(terms.where("run > 0").select("run", "topic_id", "term").distinct(), "term").groupBy("run", "base", "topic_id").agg(F.count("*").alias("both"))
+    of_base = sizes.where("run = 0").select(F.col("topic_id").alias("base"), F.col("n").alias("nb"))
+    j = shared.join(sizes, ["run", "topic_id"]).join(of_base, "base").withColumn("j", F.col("both") / (F.col("n") + F.col("nb") - F.col("both")))
+    best = j.groupBy("run", "base").agg(F.max("j").alias("j"))
+    topics = of_base.count()
+    every = sizes.where("run > 0").select("run").distinct()
+    return every.join(best.groupBy("run").agg(F.sum("j").alias("s")), "run", "left").select("run", (F.coalesce("s", F.lit(0.0)) / F.lit(max(1, topics))).alias("stability"))
+
+
+def refit_stability(texts: DataFrame, vectors: DataFrame, k: int = 5, runs: int = 5, share: float = 0.8, top: int = 6, seed: int = 42, **terms) -> DataFrame:
+    """(run, n, stability): topics fitted again on ``runs`` subsamples of texts (id, text) with vectors (id, embedding), compared by their top terms with the topics of all.
+
+    All runs are clustered together and their terms weighted together, a topic of a run being a topic of its own.
+    """
+    samples = stored(subsamples(vectors, runs, share, seed), "samples")
+    found = stored(cluster_runs(vectors, samples, k, seed=seed), "clusters")
+    every = run_terms(texts, found, top, **terms)
+    sizes = samples.where("run > 0").groupBy("run").agg(F.count("*").alias("n"))
+    return sizes.join(term_stability(every), "run")
+
+
 def stability(base: DataFrame, runs: DataFrame) -> DataFrame:
     """(run, stability): the mean over base topics of the best Jaccard similarity to a run's topics, on ids of that run."""
     both = base.select("id", "topic_id").join(runs.select("run", "id", F.col("topic_id").alias("other")), "id")

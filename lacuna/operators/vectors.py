@@ -266,22 +266,117 @@ def _to_cells(df: DataFrame, centres: np.ndarray, probes: int, column: str) -> D
     return df.withColumn("cell", F.explode(nearest(F.col(column))))
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", column: str = "embedding", cells: int = 32, probes: int = 8) -> DataFrame:
+def _cell_blocks(asked: DataFrame, filed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with block numbers ``asked_b`` and ``filed_b``, copied so that the blocks of a cell meet in pairs.
+
+    A cell has as many blocks as its own rows fill, so a hot one meets in many tasks and others are not copied.
+    """
+    count = lambda df, block, out: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(out))
+    sizes = count(asked, QUERY_BLOCK, "qn").join(count(filed, VECTOR_BLOCK, "vn"), "cell")  # a row a cell
+    own = lambda df, key, n, out: df.withColumn(out, F.pmod(F.xxhash64(key), F.col(n)).cast("int"))
+    every = lambda df, n, out: df.withColumn(out, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop("qn", "vn")
+    left = every(own(asked.join(F.broadcast(sizes), "cell"), name, "qn", "asked_b"), "vn", "filed_b")
+    return left, every(own(filed.join(F.broadcast(sizes), "cell"), "id", "vn", "filed_b"), "qn", "asked_b")
+
+
+def cell_count(n: int) -> int:
+    """Cells of an index over n vectors: about the square root, 8 to 1024."""
+    return int(min(1024, max(8, round(n**0.5))))
+
+
+def _drawn(df: DataFrame, most: int, column: str) -> DataFrame:
+    """About ``most`` rows at most, drawn by a hash of the vector."""
+    share = most / max(1, df.count())
+    return df if share >= 1 else df.where(F.xxhash64(column) < F.lit(-(1 << 63) + int(share * (1 << 64))).cast("long"))
+
+
+def _home_ranks(x: np.ndarray, y: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For unit vectors x and y, row by row: the how-manieth cell of x's order is the one that y is filed in."""
+    home = np.argmax(y @ centres.T, axis=1)
+    order = x @ centres.T
+    own = order[np.arange(len(x)), home]
+    before = (order > own[:, None]) | ((order == own[:, None]) & (np.arange(len(centres)) < home[:, None]))
+    return before.sum(axis=1)
+
+
+def _enough(counts: dict[int, int], cells: int, target: float) -> int:
+    """The least number of cells within which ``target`` of the counted neighbours lie."""
+    total, seen = sum(counts.values()), 0
+    for rank in range(cells):
+        seen += counts.get(rank, 0)
+        if seen >= target * total:
+            return rank + 1
+    return cells
+
+
+def probes_for(vectors: DataFrame, centres: np.ndarray, k: int, target: float, id_col: str = "id", column: str = "embedding", sample: int = 400) -> int:
+    """Cells to look into so that ``target`` of the k nearest are found, measured on about ``sample`` vectors against all."""
+    own = vectors.where(F.col(column).isNotNull())
+    truth = knn_join(_drawn(own, sample, column).withColumnRenamed(id_col, "__q"), own, k + 1, "__q", id_col, column).where(F.col("__q") != F.col(id_col))
+    vector = lambda key, name: own.select(F.col(id_col).alias(key), F.col(column).alias(name))
+
+    @F.pandas_udf("int")
+    def rank(q: pd.Series, v: pd.Series) -> pd.Series:
+        if not len(q):
+            return pd.Series([], dtype="int32")
+        return pd.Series(_home_ranks(_unit(np.array(q.tolist(), float)), _unit(np.array(v.tolist(), float)), centres).astype("int32"))
+
+    pairs = truth.join(vector("__q", "__x"), "__q").join(vector(id_col, "__y"), id_col)
+    counts = pairs.select(rank("__x", "__y").alias("r")).groupBy("r").agg(F.count("*").alias("n")).collect()  # a row a cell
+    return _enough({r["r"]: r["n"] for r in counts}, len(centres), target)
+
+
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", column: str = "embedding", cells: int | None = None, probes: int | None = None, target: float = 0.95) -> DataFrame:
     """Neighbours from an inverted file: each query looks into the ``probes`` nearest of ``cells`` cells, ranked by exact cosine.
 
-    The cells are fitted on a bounded sample, every vector is filed. The share of all pairs that
-    is looked at is about probes / cells; the recall follows from the data (measured in the tests).
-    A cell is split into blocks of about VECTOR_BLOCK, so that a hot one meets in many tasks.
+    The cells are fitted on a bounded sample, every vector is filed. Without ``probes`` they are chosen so
+    that a sample of vectors finds the share ``target`` of its true neighbours; about probes / cells of all pairs
+    are looked at. On vectors without clusters that comes near to all of them, on clustered ones it is a few hundredths.
     """
-    centres = fit_cells(vectors, cells, column)
-    v, _ = _blocked(vectors, id_col, column, "id", VECTOR_BLOCK)
-    filed = _to_cells(v, centres, 1, "id_v")
-    sizes = filed.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))  # a row a cell
-    filed = filed.join(F.broadcast(sizes), "cell").withColumn("id_b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    q, n = _blocked(queries, query_id, column, "query", QUERY_BLOCK)
-    asked = _to_cells(q, centres, probes, "query_v").join(F.broadcast(sizes), "cell").withColumn("id_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    filed = filed.withColumn("query_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return _top(asked, filed, ["cell", "query_b", "id_b"], k, query_id, id_col)
+    centres = fit_cells(vectors, cells or cell_count(vectors.count()), column)
+    probes = probes or probes_for(vectors, centres, k, target, id_col, column)
+    kept = lambda df, key, name: df.where(F.col(column).isNotNull()).select(F.col(key).alias(name), F.col(column).alias(f"{name}_v"))
+    filed = _to_cells(kept(vectors, id_col, "id"), centres, 1, "id_v")
+    asked = _to_cells(kept(queries, query_id, "query"), centres, probes, "query_v")
+    left, right = _cell_blocks(asked, filed, "query")
+    return _top(left, right, ["cell", "asked_b", "filed_b"], k, query_id, id_col)
+
+
+def near_links(vectors: DataFrame, least: float, id_col: str = "id", column: str = "embedding", cells: int | None = None, target: float = 0.95, sample: int = 400) -> DataFrame:
+    """``neighbour_links`` without all pairs: links are looked for in the nearest cells of each vector only.
+
+    How many cells is measured: for about ``sample`` vectors all links are counted by the cell in which the
+    other end is filed, and as many cells are taken as hold the share ``target`` of them. A link is found from
+    either end, so more than that share is. ``neighbour_links`` is the exact way.
+    """
+    own = vectors.where(F.col(column).isNotNull())
+    centres = fit_cells(own, cells or cell_count(own.count()), column)
+    v, m = _blocked(own, id_col, column, "id", VECTOR_BLOCK)
+    drawn = _drawn(own, sample, column).select(F.col(id_col).alias("query"), F.col(column).alias("query_v")).withColumn("id_b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros(len(centres), np.int64)
+        if left.num_rows and right.num_rows:
+            x, y = _matrix(left, "query_v"), _matrix(right, "id_v")
+            for at in range(0, len(x), 16):
+                i, j = np.nonzero(np.round(x[at : at + 16] @ y.T, 12) >= least)
+                for part in range(0, len(i), 1 << 14):
+                    found += np.bincount(_home_ranks(x[i[part : part + (1 << 14)] + at], y[j[part : part + (1 << 14)]], centres), minlength=len(centres))
+        return pa.table([pa.array(np.arange(len(centres)), pa.int32()), pa.array(found)], names=["r", "n"])
+
+    counts = _block_pairs(drawn, v, ["id_b"], measure, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()  # a row a cell
+    probes = _enough({r["r"]: r["n"] for r in counts}, len(centres), target)
+    slim = v.select("id", "id_v")
+    asked = _to_cells(slim.select(F.col("id").alias("query"), F.col("id_v").alias("query_v")), centres, probes, "query_v")
+    left, right = _cell_blocks(asked, _to_cells(slim, centres, 1, "id_v"), "query")
+    kind = v.schema["id"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = _forest(left.rename_columns(["id_v" if c == "query_v" else c for c in left.column_names]), right, least, False) if left.num_rows and right.num_rows else []
+        i, j = (pa.array([x[n] for x in links], pa.int64()) for n in (0, 1))
+        return pa.table([left.column("query").take(i), right.column("id").take(j)], names=["source", "target"])
+
+    return _block_pairs(left, right, ["cell", "asked_b", "filed_b"], run, f"source {kind}, target {kind}").where("source <> target")
 
 
 def evidence_units(sentences: DataFrame, extractions: DataFrame, papers: DataFrame) -> DataFrame:

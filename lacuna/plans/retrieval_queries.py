@@ -252,9 +252,29 @@ def e20(spark, sf):
 
 @query("e21_knn_approx")
 def e21(spark, sf):
-    # the vectors are noise without clusters, so a recall of 0.9 takes most of the cells
+    # the vectors are noise without clusters, so a recall of 0.9 takes most of the cells; how many is measured
     v = vectors(spark, sf)
-    return E.knn_approx(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), v, 5, cells=32, probes=20)
+    return E.knn_approx(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), v, 5)
+
+
+def clustered(spark, sf):
+    """Each vector drawn to one of 40 others, so that there are clusters."""
+    v = vectors(spark, sf)
+    centre = v.where("id < 40").select(F.col("id").alias("g"), F.col("embedding").alias("c"))
+    return v.withColumn("g", F.col("id") % 40).join(F.broadcast(centre), "g").select("id", "g", F.zip_with("embedding", "c", lambda x, c: F.round(x.cast("double") * 0.25 + c.cast("double"), 6)).alias("embedding"))
+
+
+_CLUSTERED = "clustered AS (SELECT v.vec_id AS id, v.vec_id % 40 AS g, list_transform(range(1, 65), lambda i: round(v.embedding[i]::DOUBLE * 0.25 + c.embedding[i]::DOUBLE, 6)) AS e FROM embeddings v JOIN embeddings c ON c.vec_id = v.vec_id % 40)"
+_CUNIT = _CLUSTERED + ", cunit AS (SELECT id, g, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM clustered)"
+
+
+@query("e21_recall", f"WITH {_CUNIT}, s AS (SELECT a.id AS q, b.id, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.id) AS r FROM cunit a JOIN cunit b ON a.id % 20 = 0) SELECT count(*) AS wanted, true AS enough FROM s WHERE r <= 5")
+def e21r(spark, sf):
+    v = clustered(spark, sf)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    true = E.knn_join(q, v, 5).select("query_id", "id")
+    found = E.knn_approx(q, v, 5).select("query_id", "id").withColumn("found", F.lit(1))
+    return true.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("wanted"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @query("d22_prototype_classify", f"WITH {_UNIT}, a AS (SELECT v AS av FROM unit WHERE id < 5) SELECT id, round(max(list_dot_product(v, av)), 6) AS best, max(list_dot_product(v, av)) >= 0.52 AS is_positive FROM unit, a GROUP BY id")
@@ -317,6 +337,12 @@ def f5(spark, sf):
     return TP.density_topics(v, E.neighbour_links(v, 0.4), 3)
 
 
+@query("f5_near_links", f"WITH RECURSIVE {_CUNIT}, near AS (SELECT a.id AS u, b.id AS v FROM cunit a JOIN cunit b ON a.id <> b.id AND round(list_dot_product(a.v, b.v), 12) >= 0.9), r AS (SELECT id, id AS c FROM cunit UNION SELECT near.v, r.c FROM r JOIN near ON near.u = r.id), comp AS (SELECT id, min(c) AS c FROM r GROUP BY 1), n AS (SELECT c, count(*) AS n FROM comp GROUP BY 1) SELECT id, CASE WHEN n >= 3 THEN c ELSE -1 END AS topic_id FROM comp JOIN n USING (c)")
+def f5n(spark, sf):
+    v = clustered(spark, sf)
+    return TP.density_topics(v, E.near_links(v, 0.9), 3)
+
+
 @query("f5_density_or_kmeans")
 def f5k(spark, sf):
     # no two vectors are this near, so all would be outliers and k-means takes over
@@ -353,14 +379,27 @@ def f7(spark, sf):
     return topic_terms(spark, sf).select("topic_id", "term", F.round("weight", 8).alias("weight"), F.col("rank").cast("long").alias("rank"))
 
 
+_FT = f"""{_TOK}, cf AS (SELECT lang, term, sum(tf) AS c FROM tf JOIN documents ON doc_id = id GROUP BY 1, 2), gf AS (SELECT term, sum(c) AS f FROM cf GROUP BY 1 ORDER BY f DESC, term LIMIT 5000),
+    words AS (SELECT avg(len(regexp_extract_all(coalesce(text, ''), '[^\\s]+'))) + 1.0 AS w FROM documents), kept AS (SELECT * FROM cf JOIN gf USING (term)), kt AS (SELECT lang, sum(c) AS n FROM kept GROUP BY 1),
+    ks AS (SELECT lang, term, c / (n + 1e-9) * ln(1 + w / (f + 1e-9)) AS weight FROM kept JOIN kt USING (lang), words), kr AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(weight, 12) DESC, term) AS rank FROM ks WHERE weight > 0)"""
+
+
+@query("f7_topic_terms", f"WITH {_FT} SELECT {_LANGS} AS topic_id, term, round(weight, 8) AS weight, rank FROM kr WHERE rank <= 6")
+def f7t(spark, sf):
+    d = V.texts(spark, sf, "doc_id", "text", "lang")
+    number = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
+    found = TP.topic_terms(d.select(F.col("doc_id").alias("id"), "text"), d.select(F.col("doc_id").alias("id"), number.alias("topic_id")), stop=STOP, pattern="[a-z]{2,}")
+    return found.select("topic_id", "term", F.round("weight", 8).alias("weight"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("f8_name_topics", f"WITH {_CT}, t AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY rank) AS r FROM top WHERE rank <= 3 AND length(term) > 2), n AS (SELECT lang, string_agg(upper(term[1]) || substr(term, 2), ' & ' ORDER BY r) AS s FROM t WHERE r <= 2 GROUP BY 1) SELECT {_LANGS} AS topic_id, 'Topic ' || {_LANGS} || ': ' || coalesce(s, 'Scientific Exploration') AS topic_name FROM (SELECT DISTINCT lang FROM top) LEFT JOIN n USING (lang)")
 def f8(spark, sf):
     return TP.name_topics(topic_terms(spark, sf))
 
 
-@query("f9_representatives", f"WITH {_UNIT}, {_CENT}, c AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM cent), s AS (SELECT label, id, round(list_dot_product(v, c), 10) AS score FROM unit JOIN c USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank FROM s) SELECT label AS topic_id, id, rank FROM r WHERE rank <= 3")
+@query("f9_representatives", f"WITH {_UNIT}, {_CENT}, c AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM cent), s AS (SELECT label, id, round(list_dot_product(v, c), 10) AS score FROM unit JOIN c USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank FROM s) SELECT label AS topic_id, id, round(score, 8) AS score, rank FROM r WHERE rank <= 3")
 def f9(spark, sf):
-    return TP.representatives(labelled(spark, sf)).select("topic_id", "id", F.col("rank").cast("long").alias("rank"))
+    return TP.representatives(labelled(spark, sf)).select("topic_id", "id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def assigned(spark, sf):
@@ -427,7 +466,7 @@ def f16(spark, sf):
 
 @query("f17_tfidf_kmeans")
 def f17(spark, sf):
-    return TP.tfidf_kmeans(R.tfidf(R.cap_vocab(R.term_counts(V.texts(spark, sf, "doc_id", "text"), "doc_id", "text", ngrams=1, pattern="[a-z]{2,}"), 500), V.table(spark, sf, "documents").count()), 5, 500)[0]
+    return TP.tfidf_kmeans(R.tfidf(R.cap_vocab(R.term_counts(V.texts(spark, sf, "doc_id", "text"), "doc_id", "text", ngrams=1, pattern="[a-z]{2,}"), 1000), V.table(spark, sf, "documents").count()), 5, 1000)[0]
 
 
 @query("f18_coherence", f"WITH {_UNIT} SELECT a.label AS topic_id, round(avg(list_dot_product(a.v, b.v)), 8) AS coherence FROM unit a JOIN unit b ON a.label = b.label AND a.id < b.id GROUP BY 1")
@@ -449,6 +488,20 @@ def f19(spark, sf):
     return spark.createDataFrame([(round(float(s), 8),)], "silhouette double")
 
 
+@query("f19_euclidean_silhouette", "WITH s AS (SELECT a.vec_id AS id, a.label, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s, count(*) AS n FROM embeddings a JOIN embeddings b ON true GROUP BY ALL), m AS (SELECT id, max(CASE WHEN label = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b FROM s GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 8) AS silhouette FROM m")
+def f19e(spark, sf):
+    return TP.euclidean_silhouette(labelled(spark, sf)).select(F.round("silhouette", 8).alias("silhouette"))
+
+
+# refitted topics have no SQL; their sample sizes and bounds do
+@query("f20_refit_stability", "SELECT r::INT AS run, floor(0.8 * (SELECT count(*) FROM documents JOIN embeddings ON vec_id = doc_id))::BIGINT AS n, true AS bounded FROM range(1, 6) t(r)")
+def f20r(spark, sf):
+    d = V.texts(spark, sf, "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
+    v = vectors(spark, sf).join(d.select("id"), "id", "left_semi").select("id", "embedding")
+    found = TP.refit_stability(d.join(v.select("id"), "id", "left_semi"), v, stop=STOP, pattern="[a-z]{2,}")
+    return found.select("run", "n", ((F.col("stability") > 0) & (F.col("stability") <= 1)).alias("bounded"))
+
+
 @query("f20_stability", "WITH base AS (SELECT vec_id AS id, label AS topic_id FROM embeddings), runs AS (SELECT r AS run, id, (topic_id + (id % (r + 2) = 0)::INT) % 10 AS other FROM base, range(1, 6) t(r) WHERE (id * 7 + r) % 5 <> 0), b AS (SELECT run, base.topic_id, other FROM base JOIN runs USING (id)), s AS (SELECT run, topic_id, other, count(*) AS n FROM b GROUP BY ALL), x AS (SELECT run, topic_id, count(*) AS na FROM b GROUP BY ALL), y AS (SELECT run, other, count(*) AS nb FROM b GROUP BY ALL), j AS (SELECT run, topic_id, max(n / (na + nb - n)) AS j FROM s JOIN x USING (run, topic_id) JOIN y USING (run, other) GROUP BY ALL) SELECT run, round(avg(j), 8) AS stability FROM j GROUP BY 1")
 def f20(spark, sf):
     base = labelled(spark, sf).select("id", "topic_id")

@@ -375,12 +375,22 @@ _ALL = f"""lim AS (SELECT id, {_D5_SQL} AS subtype FROM sentences), lc AS (SELEC
 
 @query("d16_extract_all", f"WITH {V.SENTENCES}, {V.classified_sql()}, {_ALL} SELECT id, kind, text, round(confidence::DOUBLE, 6) AS confidence, method, subtype, gain, score FROM everything")
 def d16(spark, sf):
-    e = discourse.extract_all(
+    e = extractions(spark, sf)
+    e = e.select("id", F.col("extraction_type").alias("kind"), F.lower("extracted_text").alias("text"), F.round("confidence", 6).alias("confidence"), F.col("extraction_method").alias("method"), F.col("limitation_subtype").alias("subtype"), F.col("numerical_gain").alias("gain"), F.col("score_value").alias("score"))
+    return e.where("not (kind in ('METHOD', 'DATASET') and method = 'linguistic_template' and text = 'the')")
+
+
+def extractions(spark, sf):
+    return discourse.extract_all(
         V.sentences(spark, sf), subtypes=_D5, future_work=_D7, results=_D8, methods={"templates": [_ENTITY], "names": ["zzz"]}, datasets={"templates": [_ING], "names": ["zzz"]}, metrics={"templates": [_SCORE]},
         rules=V.RULES, priors=V.PRIORS, labels=list(V.RULES), strong=["limitations", "future work"], digits=6,
     )
-    e = e.select("id", F.col("extraction_type").alias("kind"), F.lower("extracted_text").alias("text"), F.round("confidence", 6).alias("confidence"), F.col("extraction_method").alias("method"), F.col("limitation_subtype").alias("subtype"), F.col("numerical_gain").alias("gain"), F.col("score_value").alias("score"))
-    return e.where("not (kind in ('METHOD', 'DATASET') and method = 'linguistic_template' and text = 'the')")
+
+
+@query("d17_count_all", f"WITH {V.SENTENCES}, {V.classified_sql()}, {_ALL}, c AS (SELECT k AS extraction_type, count(kind) AS n FROM (SELECT unnest({list(V.RULES)}) AS k) LEFT JOIN everything ON kind = k GROUP BY 1) SELECT extraction_type, n, sum(CASE WHEN extraction_type <> 'OTHER' THEN n ELSE 0 END) OVER ()::BIGINT AS total FROM c")
+def d17a(spark, sf):
+    named = ~(F.col("extraction_type").isin("METHOD", "DATASET") & (F.col("extraction_method") == "linguistic_template") & (F.lower("extracted_text") == "the"))
+    return discourse.count_extractions(extractions(spark, sf).where(named), labels=list(V.RULES))
 
 
 @query("d17_count_extractions", f"WITH {V.SENTENCES}, {V.classified_sql()} SELECT k AS extraction_type, count(label) AS n FROM (SELECT unnest({list(V.RULES)}) AS k) LEFT JOIN classified ON label = k GROUP BY 1")

@@ -272,9 +272,12 @@ def test_topics_fall_back_to_kmeans(spark):
     no_links = spark.createDataFrame([], "source long, target long")
     found = topics.density_or_kmeans(v, no_links).collect()
     assert len(found) == 9 and len({r["topic_id"] for r in found}) == 3 and all(r["topic_id"] >= 0 for r in found)
+    # two clusters are asked for; with one, k-means takes over as well
     links = spark.createDataFrame([(0, 1), (1, 2)], "source long, target long")
+    assert {r["topic_id"] for r in topics.density_or_kmeans(v, links, 3).collect()} == {0, 1, 2}
+    links = spark.createDataFrame([(0, 1), (1, 2), (4, 5), (5, 6)], "source long, target long")
     kept = {r["id"]: r["topic_id"] for r in topics.density_or_kmeans(v, links, 3).collect()}
-    assert kept == {i: 0 if i < 3 else -1 for i in range(9)}
+    assert kept == {i: 0 if i < 3 else 4 if 4 <= i <= 6 else -1 for i in range(9)}
 
 
 def test_cypher_escapes_and_sets_all_properties(spark):
