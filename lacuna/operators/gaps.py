@@ -9,6 +9,7 @@ from lacuna.functions import lexicon
 from lacuna.functions.rules import matches
 from lacuna.functions.text import slugify, title_case
 from lacuna.operators.lifecycle import containing
+from lacuna.operators.ranks import positions
 
 #: Confidence of the candidates whose evidence carries none.
 TOPIC_SURE, METHOD_SURE, DATASET_SURE, CONFLICT_SURE = 0.88, 0.89, 0.88, 0.87
@@ -202,12 +203,12 @@ def gap_benchmark(matched: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def rank_by(df: DataFrame, weights: dict[str, float], approach: str, by: list[str] | None = None) -> DataFrame:
-    """Candidates ranked by a weighted sum of their signals (a map)."""
+    """Candidates ranked by a weighted sum of their signals (a map), by ordered parts."""
     score = F.lit(0.0)
     for k, w in weights.items():
         score = score + F.lit(float(w)) * F.coalesce(F.element_at("signals", F.lit(k)), F.lit(0.0))
     rows = df.withColumn("score", F.round(score, 8)).withColumn("approach", F.lit(approach))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("approach", *(by or [])).orderBy(F.desc("score"), "gap_id")))
+    return positions(rows, ["approach", *(by or [])], [F.desc("score"), "gap_id"]).withColumnRenamed("position", "rank")
 
 
 def signal_overview(parts: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

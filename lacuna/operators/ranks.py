@@ -48,10 +48,11 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], s
     return rows.drop(*[f"__k{i}" for i in range(len(keys))], "__n", "__part", *[f"__s_{c}" for c in sums])
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(by, value, n, rank): how often each value occurs in its group and the mean rank of its rows.
 
-    Equal values are counted before they are ordered, so neither a hot group nor a hot value meets in one task.
+    Rows stand for ``weight`` rows each if it is given. Equal values are counted before they are ordered, so
+    neither a hot group nor a hot value meets in one task.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     return positions(counts, by, [value], ["n"]).select(*by, value, "n", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"))

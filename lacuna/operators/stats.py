@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lacuna.operators.ranks import average_ranks, positions
+
 
 def confusion(df: DataFrame, labels: list[str], by: list[str]) -> DataFrame:
     """(by, gold, pred, n) with zeros for pairs of labels that do not occur."""
@@ -181,12 +183,6 @@ def paired_t(df: DataFrame, by: list[str]) -> DataFrame:
     return a.withColumn("statistic", t).withColumn("p_value", t_p("statistic", F.col("n") - 1))
 
 
-def average_rank(by: list[str], value: Column) -> Column:
-    """Rank of a value in its group, ties sharing the mean of their ranks."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
-
-
 def signed_rank_p(ranks: list[float], smaller: float) -> float:
     """Two-sided p-value of a signed-rank sum: exact without ties up to 50 values, else normal with the tie correction."""
     n = len(ranks)
@@ -211,12 +207,16 @@ def signed_rank(n: pd.Series, ties: pd.Series, squares: pd.Series, smaller: pd.S
 
 
 def wilcoxon(df: DataFrame, by: list[str]) -> DataFrame:
-    """Signed-rank sums of paired values (x, y) without zero differences, the smaller of them and its p-value."""
+    """Signed-rank sums of paired values (x, y) without zero differences, the smaller of them and its p-value.
+
+    Equal absolute differences are counted before they are ranked, so no group meets in one task.
+    """
     rows = df.withColumn("d", F.col("x") - F.col("y")).where("d <> 0").withColumn("a", F.abs("d"))
-    ranked = rows.withColumn("r", average_rank(by, F.col("a")))
-    a = ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
-        F.sum(F.col("r") * F.col("r")).alias("__q"), (F.count("*") - F.count_distinct("a")).alias("__t"),
+    cells = rows.groupBy(*by, "a").agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
+    r = F.col("before_n") + (F.col("n") + 1) / 2.0
+    a = positions(cells, by, ["a"], ["n"]).withColumn("r", r).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("n") - F.col("up")) * F.col("r")).alias("w_minus"),
+        F.sum(F.col("n") * F.col("r") * F.col("r")).alias("__q"), (F.sum("n") - F.count("*")).alias("__t"),
     )
     a = a.withColumn("statistic", F.least("w_plus", "w_minus"))
     return a.withColumn("p_value", signed_rank("n", "__t", "__q", "statistic")).drop("__q", "__t")
@@ -229,51 +229,58 @@ def mean_ci(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return a.withColumns({"low": F.col("mean") - F.col("q") * F.col("se"), "high": F.col("mean") + F.col("q") * F.col("se")}).drop("q")
 
 
-def spearman(df: DataFrame, by: list[str]) -> DataFrame:
-    rows = df.withColumns({"rx": average_rank(by, F.col("x")), "ry": average_rank(by, F.col("y"))})
-    return rows.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"))
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, by keys that may be null."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(named, on).drop(*[f"__r_{k}" for k in keys])
 
 
-def concordance(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float, float]:
-    """Concordant less discordant pairs, pairs that differ in x, and pairs that differ in y; cell (x, y) stands for c items.
+def spearman(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rank correlation of the columns x and y in each group, rows with a null left out; null where one is constant.
 
-    Each pair is counted at the highest bit in which the ranks of its x differ: within one prefix
-    the cells with that bit are compared with those without it, by running sums in order of y.
+    Equal (x, y) are counted first; the values of both columns are ranked in one pass over their counts.
     """
-    rx, ry = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
-    c = c.astype(float)
-    differ = lambda r: (c.sum() ** 2 - (np.bincount(r, c) ** 2).sum()) / 2
-    s = 0.0
-    for bit in range(int(rx.max(initial=0)).bit_length()):
-        prefix, upper = rx >> (bit + 1), (rx >> bit) & 1
-        order = np.lexsort((ry, prefix))
-        p, y_, low, high = prefix[order], ry[order], np.where(upper[order], 0.0, c[order]), np.where(upper[order], c[order], 0.0)
-        run = np.concatenate([[0.0], np.cumsum(low)])
-        new = np.nonzero(np.concatenate([[True], p[1:] != p[:-1]]))[0]
-        tie = np.nonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (y_[1:] != y_[:-1])]))[0]
-        of = lambda starts: np.searchsorted(starts, np.arange(len(p)), "right") - 1  # noqa: E731, B023
-        ends = lambda starts: np.append(starts[1:], len(p))  # noqa: E731, B023
-        below = run[tie][of(tie)] - run[new][of(new)]
-        above = run[ends(new)][of(new)] - run[ends(tie)][of(tie)]
-        s += float((high * (below - above)).sum())
-    return s, differ(rx), differ(ry)
+    cells = df.where("x is not null and y is not null").groupBy(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.count("*").alias("c"))
+    both = cells.select(*by, "c", F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("value")) for k in ("x", "y")])))
+    ranks = average_ranks(both.withColumnRenamed("c", "n"), [*by, "side"], "value", "n")
+    of = lambda side: ranks.where(F.col("side") == side).select(*by, F.col("value").alias(side), F.col("rank").alias(f"r{side}"))
+    rows = _same(_same(cells, of("x"), [*by, "x"]), of("y"), [*by, "y"])
+    sums = {k: F.sum(F.col("c") * v) for k, v in {"n": F.lit(1.0), "sx": F.col("rx"), "sxx": F.col("rx") * F.col("rx"), "syy": F.col("ry") * F.col("ry"), "sxy": F.col("rx") * F.col("ry")}.items()}
+    a = rows.groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()])
+    middle = F.col("n") * ((F.col("n") + 1) / 2) * ((F.col("n") + 1) / 2)  # mean ranks are (n + 1) / 2 on both sides
+    vx, vy = F.col("sxx") - middle, F.col("syy") - middle
+    return a.select(*by, F.when((vx > 0) & (vy > 0), (F.col("sxy") - middle) / F.sqrt(vx * vy)).alias("rho"))
 
 
 def kendall(df: DataFrame, by: list[str]) -> DataFrame:
-    """Tau-b of the columns x and y in each group; null where one of them is constant.
+    """Tau-b of the columns x and y in each group, rows with a null left out; null where one of them is constant.
 
-    Equal (x, y) are counted first, across partitions; a group's distinct cells then meet in one
-    task, which counts them in n log n steps.
+    Equal (x, y) are counted first. Each pair of cells is then told apart at the highest bit in which the
+    ranks of their x differ: among cells with one prefix, running sums in the order of y say how many without
+    the bit lie below one with it. A cell is a row for each bit, and running sums go by parts, so
+    a group that holds all rows is spread over all tasks.
     """
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        s, nx, ny = concordance(cells["x"].to_numpy(), cells["y"].to_numpy(), cells["n"].to_numpy())
-        tau = s / math.sqrt(nx * ny) if nx and ny else None
-        return pd.DataFrame({**{k: cells[k].iloc[:1] for k in by}, "tau": [tau]})
-
-    known = df.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count("*").alias("n"))
-    return known.groupBy(*by).applyInPandas(run, f"{fields}, tau double")
+    known = df.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count("*").alias("c"))
+    xs = positions(known.select(*by, "x").distinct(), by, ["x"]).select(*by, "x", (F.col("position") - 1).alias("r"))
+    bits = int(xs.agg(F.max("r")).first()[0] or 0).bit_length()
+    cells = _same(known, xs, [*by, "x"])
+    squares = lambda key, name: known.groupBy(*by, key).agg(F.sum("c").cast("double").alias("n")).groupBy(*by).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias(name))
+    pairs = _same(squares("x", "qx"), squares("y", "qy").drop("all"), by) if by else squares("x", "qx").join(squares("y", "qy").drop("all"), F.lit(True))
+    if bits:
+        at = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+        keyed = at.withColumn("upper", F.expr("shiftright(r, bit) & 1")).withColumn("prefix", F.expr("shiftright(r, bit + 1)"))
+        levels = keyed.groupBy(*by, "bit", "prefix", "y").agg(F.sum(F.when(F.col("upper") == 0, F.col("c")).otherwise(0)).alias("low"), F.sum(F.when(F.col("upper") == 1, F.col("c")).otherwise(0)).alias("high"))
+        run = positions(levels, [*by, "bit", "prefix"], ["y"], ["low"])
+        # for each cell: those below less those above = 2 before + own level - all
+        found = run.groupBy(*by, "bit", "prefix").agg(F.sum(F.col("high").cast("double") * (2 * F.col("before_low") + F.col("low"))).alias("s"), F.sum("high").cast("double").alias("h"), F.sum("low").cast("double").alias("l"))
+        score = found.groupBy(*by).agg(F.sum(F.col("s") - F.col("h") * F.col("l")).alias("s"))
+        pairs = _same(pairs, score, by) if by else pairs.join(score, F.lit(True))
+    else:
+        pairs = pairs.withColumn("s", F.lit(0.0))
+    differ = lambda q: (F.col("all") * F.col("all") - F.col(q)) / 2
+    product = differ("qx") * differ("qy")
+    return pairs.select(*by, F.when(product > 0, F.col("s") / F.sqrt(product)).alias("tau"))
 
 
 def kappa(matrix: DataFrame, by: list[str]) -> DataFrame:
