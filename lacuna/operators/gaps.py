@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lacuna.functions import lexicon
 from lacuna.functions.rules import matches
 from lacuna.functions.text import slugify, title_case
-from lacuna.operators.lifecycle import containing
 from lacuna.operators.ranks import positions
+from lacuna.operators.substrings import containing
 
 #: Confidence of the candidates whose evidence carries none.
 TOPIC_SURE, METHOD_SURE, DATASET_SURE, CONFLICT_SURE = 0.88, 0.89, 0.88, 0.87

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from lacuna.functions import lexicon
 from lacuna.functions.rules import matches
 from lacuna.functions.text import strip
+from lacuna.operators.substrings import containing
 
 LIMITS = ["limitation_identified", "repeated_limitation", "limitation_persists"]
 SOLUTIONS = ["attempted_solution", "partial_solution"]
@@ -57,39 +54,6 @@ def title_words(gaps: DataFrame, longer: int = 4) -> DataFrame:
     return gaps.select("gap_id", F.explode(w).alias("w"))
 
 
-def finder(patterns: list[str]):
-    """A column function from texts to the distinct patterns that they contain, by one automaton a worker."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for p in patterns:
-            machine.add_word(p, p)
-        machine.make_automaton()
-        for texts in batches:
-            yield texts.map(lambda t: sorted({p for _, p in machine.iter(t)}) if t and len(machine) else [])
-
-    return found
-
-
-def containing(rows: DataFrame, hay: Column, words: DataFrame, block: int = 10_000) -> DataFrame:
-    """Rows joined to the words (gap_id, w) that ``hay`` contains anywhere, once for each gap and word.
-
-    Each text is read once for each block of about ``block`` distinct words, which travel with the
-    function, so what is sent has a bound whatever the number of gaps; gaps then join by word.
-    """
-    vocabulary = words.select("w").where("w <> ''").distinct()
-    n = -(-vocabulary.count() // block) or 1
-    marked, out = rows.withColumn("__hay", hay), None
-    for k in range(n):
-        part = vocabulary.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k) if n > 1 else vocabulary
-        hits = marked.withColumn("w", F.explode(finder(sorted(r["w"] for r in part.collect()))(F.col("__hay"))))
-        out = hits if out is None else out.unionByName(hits)
-    return out.join(words, "w").drop("__hay")
-
-
 def graph_events(gaps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Events from addresses and limited_by edges into limitation nodes whose label holds a word of the gap's title.
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lacuna.functions import lexicon
 from lacuna.functions.rules import any_match, contains_any
 from lacuna.functions.text import strip
-from lacuna.operators.lifecycle import containing, first_by, title_words
+from lacuna.operators.lifecycle import first_by, title_words
+from lacuna.operators.substrings import containing
 
 CATEGORIES = ["SUPPORTING", "COUNTER", "CONTRADICTORY", "ADDRESSED_BY"]
 

@@ -352,13 +352,17 @@ def j3(spark, sf):
     return J.dedupe_evidence(V.timeline(spark, sf)).select("gap_id", "paper_id", "source_text", "seq")
 
 
-@query("j4_mine_edges", f"WITH {V.GRAPH_EDGES}, e AS (SELECT paper_id, 'uses ' || target AS source_text, min(seq) AS seq FROM edges WHERE target LIKE 'method:brand#1%' AND relationship = 'extends' GROUP BY ALL), g AS (SELECT 'g' || n_nationkey AS gap_id, 'brand#1' || (n_nationkey % 5 + 1) AS w FROM nation) SELECT gap_id, paper_id, source_text, seq FROM g JOIN e ON contains(source_text, w) WHERE paper_id % 2 = 0")
+_J4 = "CASE WHEN relationship = 'extends' THEN 'ADDRESSED_BY' WHEN paper_id % 3 = 0 THEN 'CONTRADICTORY' ELSE '' END"
+
+
+@query("j4_mine_edges", f"WITH {V.GRAPH_EDGES}, e AS (SELECT paper_id, 'uses ' || target AS source_text, min(seq) AS seq, arg_min({_J4}, seq) AS category FROM edges GROUP BY 1, 2), g AS (SELECT 'g' || n_nationkey AS gap_id, 'brand#1' || (n_nationkey % 5 + 1) AS w FROM nation) SELECT gap_id, paper_id, source_text, seq, category FROM g JOIN e ON contains(source_text, w) WHERE paper_id % 2 = 0 AND category <> ''")
 def j4(spark, sf):
-    g = V.table(spark, sf, "nation").select(F.concat(F.lit("g"), "n_nationkey").alias("gap_id"), F.concat(F.lit("Study of brand#1"), F.col("n_nationkey") % 5 + 1).alias("title"))
-    g = g.withColumn("title", F.replace("title", F.lit("Study of "), F.lit("A ")))
-    e = V.graph_edges(spark, sf).where("target like 'method:brand#1%' and relationship = 'extends'").withColumn("source_text", F.concat(F.lit("uses "), "target")).withColumn("relationship", F.lit("addresses"))
-    seen = g.select("gap_id").crossJoin(e.where("paper_id % 2 = 1").select("paper_id", "source_text").distinct())  # 25 gaps
-    return J.mine_edges(g, e, seen).select("gap_id", "paper_id", "source_text", "seq")
+    g = V.table(spark, sf, "nation").select(F.concat(F.lit("g"), "n_nationkey").alias("gap_id"), F.concat(F.lit("A brand#1"), F.col("n_nationkey") % 5 + 1).alias("title"))
+    kind = F.when(F.col("relationship") == "extends", "addresses").when(F.col("paper_id") % 3 == 0, "contradicts").otherwise("uses")
+    e = V.graph_edges(spark, sf).withColumn("source_text", F.concat(F.lit("uses "), "target")).withColumn("relationship", kind)
+    brands = g.select("gap_id", F.concat(F.lit("uses method:"), F.substring_index("title", " ", -1)).alias("source_text"))
+    seen = e.where("paper_id % 2 = 1").select("paper_id", "source_text").distinct().join(brands, "source_text")
+    return J.mine_edges(g, e, seen).select("gap_id", "paper_id", "source_text", "seq", "category")
 
 
 _CAT = {"signup": "SUPPORTING", "error": "SUPPORTING", "click": "SUPPORTING", "view": "CONTRADICTORY", "purchase": "ADDRESSED_BY"}

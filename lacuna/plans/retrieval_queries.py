@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.operators import tfidf as R
 from lacuna.operators import topics as TP
 from lacuna.operators import vectors as E
-from lacuna.operators.lifecycle import containing
+from lacuna.operators.substrings import containing
 from lacuna.plans import views as V
 from lacuna.plans.registry import query
 
