@@ -31,12 +31,26 @@ def _table() -> np.ndarray:
 
 
 def codes(text: str) -> np.ndarray:
-    """Hashed byte trigrams of a text in lower case, a space before and after it."""
+    """Hashed byte trigrams of a text in lower case, a space before and after it; a long text is hashed BLOCK bytes at a time."""
     b = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)
-    x = _TABLE[b]
-    word = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
-    word = word[(x[1:-1] != 32) | (x[2:] != 32)]
-    return ((word * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32)
+    out = []
+    for at in range(0, max(1, len(b) - 2), BLOCK):
+        x = _TABLE[b[at : at + BLOCK + 2]]
+        word = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
+        word = word[(x[1:-1] != 32) | (x[2:] != 32)]
+        out.append(((word * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int16))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def segment_logs(codes_: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of segments, which begin at ``bounds``: a row each, the table looked up for BLOCK codes or so at a time."""
+    out = np.empty((len(bounds), table.shape[1]), np.float32)
+    step = BLOCK // SEGMENT
+    for i in range(0, len(bounds), step):
+        own = bounds[i : i + step]
+        stop = bounds[i + step] if i + step < len(bounds) else len(codes_)
+        out[i : i + step] = np.add.reduceat(table[codes_[own[0] : stop]], own - own[0], axis=0)
+    return out
 
 
 _TABLE = _table()
@@ -107,7 +121,7 @@ def mixtures(texts: list[str], table: np.ndarray, penalty: float = 1.0) -> tuple
     bounds = np.concatenate([c + o for c, o in zip(cuts, offsets)])
     doc = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
     starts = np.cumsum([0] + [len(c) for c in cuts[:-1]])
-    log = np.add.reduceat(table[np.concatenate(parts)], bounds, axis=0).astype(np.float64)
+    log = segment_logs(np.concatenate(parts), bounds, table).astype(np.float64)
     top = log.max(axis=1, keepdims=True)
     seg = np.exp(np.maximum(log - top, -600))
     n = np.array([len(c) for c in cuts])

@@ -104,3 +104,24 @@ def test_foreign_and_damaged_archives(spark, tmp_path):
         assert sum(said in f for f in faults) >= 1, said
     with pytest.raises(ValueError):
         list(warc.parse_warc(broken[0] + whole[0]))
+
+
+def test_blocks_of_a_long_text_change_nothing(monkeypatch):
+    """Hashed and looked up in small blocks a text gives the same; a text of 20 MB needs little besides its codes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    table = rng.standard_normal((langid.DIM, 4)).astype(np.float32)
+    texts = ["short", "Größe é " * 300, "", "the quick brown fox " * 500]
+    want = [langid.codes(t) for t in texts]
+    shares = langid.mixtures(texts, table)
+    monkeypatch.setattr(langid, "BLOCK", 240)
+    assert all(np.array_equal(langid.codes(t), w) for t, w in zip(texts, want))
+    assert all(np.allclose(a, b) for a, b in zip(langid.mixtures(texts, table), shares))
+    monkeypatch.undo()
+    long = "the quick brown fox jumps " * 800_000
+    tracemalloc.start()
+    langid.mixtures([long], table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 18 * len(long)
