@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import lexicon
 from lacuna.functions.rules import any_match, contains_any, first_match, matches, weight_max, weight_sum
 from lacuna.functions.text import AFTER, BEFORE, strip
+from lacuna.operators.substrings import containing
 
 BASE, THRESHOLD = 0.1, 0.8
 STRONG_SECTIONS = ["limitation", "limitations", "threats to validity", "future work"]
@@ -121,6 +122,18 @@ def dictionary_mentions(text: Column, names: list[str]) -> Column:
     return F.filter(F.array(*found), lambda x: x != "")
 
 
+def dictionary_join(df: DataFrame, names: DataFrame, text: str = "source_text", name: str = "name") -> DataFrame:
+    """Rows of ``df`` with each row of ``names`` whose name is in the text as a word or words of its own, without case: adds ``mention``, the first one as written there.
+
+    For dictionaries of any size: names meet texts by q-grams, and only what is suggested is matched at its edges.
+    The columns of ``names`` other than the name, such as a canonical one, come along.
+    """
+    low = names.where(F.length(name) > 0).withColumn("w", F.lower(name))
+    found = containing(df, F.lower(text), low)
+    pattern = F.concat(F.lit("(?iu)" + BEFORE + "\\Q"), F.replace(F.col(name), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E" + AFTER))
+    return found.withColumn("mention", F.regexp_substr(F.col(text), pattern)).where("mention is not null").drop("w")
+
+
 def drop_substrings(items: Column, name: str = "entity_name") -> Column:
     """Items whose name, without case, is not a part of a longer one's."""
     low = lambda x: F.lower(x[name])

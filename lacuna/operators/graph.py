@@ -67,10 +67,13 @@ def topic_nodes(topics: DataFrame) -> DataFrame:
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """One row an id: the first row by seq wins, aliases are united."""
+    """One row an id: the first row by seq wins, aliases are united; an alias counts once before a node's are gathered."""
     first = F.min_by(F.struct("label", "type", "properties"), F.struct(F.col("seq"), F.col("label")))
-    merged = nodes.groupBy("id").agg(first.alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.min("seq").alias("seq"))
-    return merged.select("id", "n.label", "n.type", "n.properties", "aliases", "seq")
+    merged = nodes.groupBy("id").agg(first.alias("n"), F.min("seq").alias("seq"))
+    names = nodes.select(F.col("id").alias("__id"), F.explode("aliases").alias("a")).distinct().groupBy("__id").agg(F.array_sort(F.collect_list("a")).alias("aliases"))
+    none = F.array().cast(nodes.schema["aliases"].dataType)
+    joined = merged.join(names, F.col("id").eqNullSafe(F.col("__id")), "left")
+    return joined.select("id", "n.label", "n.type", "n.properties", F.coalesce("aliases", none).alias("aliases"), "seq")
 
 
 def edge(df: DataFrame, source: Column, target: Column, relationship: Column, confidence: Column, paper_id: Column, text: Column | None = None, seq: Column | None = None) -> DataFrame:

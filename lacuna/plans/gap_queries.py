@@ -156,9 +156,12 @@ def h15(spark, sf):
     return H.breakdown(candidates(spark, sf)).select("gap_id", "signal", F.round("value", 6).alias("value"), "contribution")
 
 
-@query("h15_narrative", f"WITH {_CAND} SELECT gap_id FROM cand WHERE greatest({', '.join(f'v{i}' for i in range(len(_SIG)))}) > 0")
+_PARTS = f"parts AS (SELECT gap_id, s, v, round(v * w, 4) AS c FROM (SELECT gap_id, unnest([{', '.join(chr(39) + k + chr(39) for k, _ in _SIG)}]) AS s, unnest([{', '.join(f'v{i}' for i in range(len(_SIG)))}]) AS v, unnest([{', '.join(f'{w}::DOUBLE' for _, w in _SIG)}]) AS w FROM cand) WHERE v > 0)"
+
+
+@query("h15_narrative", f"WITH {_CAND}, {_PARTS} SELECT gap_id, string_agg(s || ' (' || format('{{:.2f}}', round(v, 2)) || ')', '; ' ORDER BY c DESC, s) AS narrative FROM parts GROUP BY 1")
 def h15n(spark, sf):
-    return H.narrative(H.breakdown(candidates(spark, sf))).select("gap_id")
+    return H.narrative(H.breakdown(candidates(spark, sf)))
 
 
 @query("h16_generate_candidates", f"WITH {_CAND} SELECT gap_id, priority FROM cand WHERE priority >= 0.3 AND confidence >= 0.5")
@@ -436,19 +439,22 @@ def k2(spark, sf):
     return K.context_text(K.evidence_context(_sources(spark, sf)))
 
 
-@query("k3_prompts", f"WITH {_CTX} SELECT gap_id, 'Gap: t' || gap_id || chr(10) || 'Lifecycle: EMERGING' || chr(10) || 'Genealogy: ' || CASE gap_id % 3 WHEN 0 THEN 'observed -> repeated' ELSE 'Direct bottleneck' END || chr(10) || 'Verification: unknown' || chr(10) || 'Cite evidence by tag and state nothing without a tag.' || chr(10) || 'Evidence: ' || {_LINES} AS prompt FROM ctx GROUP BY 1")
+@query("k3_prompts", f"WITH {_CTX} SELECT gap_id, 'Gap: t' || gap_id || chr(10) || 'Lifecycle: ' || ['EMERGING', 'PERSISTENT', 'ADDRESSED', 'unknown'][1 + gap_id % 4] || chr(10) || 'Genealogy: ' || CASE gap_id % 3 WHEN 0 THEN 'observed -> repeated' ELSE 'Direct bottleneck' END || chr(10) || 'Verification: ' || CASE WHEN gap_id % 5 < 2 THEN 'VERIFIED_OPEN' WHEN gap_id % 5 = 2 THEN 'DISPUTED' ELSE 'unknown' END || chr(10) || 'Cite evidence by tag and state nothing without a tag.' || chr(10) || 'Evidence: ' || {_LINES} AS prompt FROM ctx GROUP BY 1")
 def k3(spark, sf):
     ctx = K.evidence_context(_sources(spark, sf))
     gaps = ctx.select("gap_id").distinct().withColumn("title", F.concat(F.lit("t"), "gap_id"))
     # of three gaps one has steps, one an empty list of them, one none
     chain = gaps.where("gap_id % 3 = 0").select("gap_id", F.explode(F.array(F.struct(F.lit(2).alias("step"), F.lit("repeated").alias("stage")), F.struct(F.lit(1).alias("step"), F.lit("observed").alias("stage")))).alias("s")).select("gap_id", "s.*")
     steps = I.genealogy_summary(chain).unionByName(gaps.where("gap_id % 3 = 1").select("gap_id", F.lit("").alias("summary")))
-    return K.prompts(gaps, ctx, gaps.select("gap_id", F.lit("EMERGING").alias("status")), gaps.where("false").select("gap_id", F.lit("x").alias("status")), steps)
+    # of four gaps one has no lifecycle state, of five two have no verification
+    states = gaps.where("gap_id % 4 < 3").select("gap_id", F.element_at(F.array(*map(F.lit, ("EMERGING", "PERSISTENT", "ADDRESSED"))), (F.col("gap_id") % 4 + 1).cast("int")).alias("status"))
+    verified = gaps.where("gap_id % 5 < 3").select("gap_id", F.when(F.col("gap_id") % 5 < 2, "VERIFIED_OPEN").otherwise("DISPUTED").alias("status"))
+    return K.prompts(gaps, ctx, states, verified, steps)
 
 
-@query("k4_parse_responses", "SELECT item_id, split_part(text, ' ', 1) AS executive_summary, 0.5::DOUBLE AS confidence FROM benchmark WHERE item_id % 3 <> 0 AND NOT contains(split_part(text, ' ', 1), '\"')")
+@query("k4_parse_responses", "SELECT item_id, split_part(text, ' ', 1) AS executive_summary, 0.5::DOUBLE AS confidence FROM benchmark WHERE item_id % 3 <> 0")
 def k4(spark, sf):
-    b = V.table(spark, sf, "benchmark").withColumn("w", F.split_part("text", F.lit(" "), F.lit(1))).where("not contains(w, '\"')")
+    b = V.table(spark, sf, "benchmark").withColumn("w", F.split_part("text", F.lit(" "), F.lit(1)))
     j = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("w").alias("executive_summary"), F.lit(0.5).alias("confidence"))), F.lit("\n```"))
     good, _ = K.parse_responses(b.select("item_id", F.when(F.col("item_id") % 3 == 0, F.lit("no object here")).otherwise(j).alias("response")))
     return good.select("item_id", "executive_summary", "confidence")

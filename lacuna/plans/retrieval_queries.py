@@ -457,11 +457,15 @@ def f15(spark, sf):
     return TP.topic_detail(assigned(spark, sf), V.papers(spark, sf), 2)
 
 
-@query("f16_landscape_overview", f"WITH {_ASG}, p AS (SELECT topic_id, count(*) AS paper_count FROM asg WHERE topic_id <> -1 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY paper_count DESC, topic_id) AS rank FROM p) SELECT topic_id, paper_count, rank, paper_count >= greatest(2.0, (SELECT count(*) FROM documents) / 4) OR rank <= 2 AS is_major FROM r")
+_STATUS = _ASG + ", " + "d AS (SELECT topic_id, year AS y, count(*)::DOUBLE AS n FROM asg WHERE year IS NOT NULL GROUP BY 1, 2), " + _TRAJ[_TRAJ.index("a AS (SELECT topic_id") :]
+_STATE = "CASE WHEN m = 1 THEN CASE WHEN first >= 2024 THEN 'EMERGING' ELSE 'PERSISTENT' END WHEN (beta >= 0.20 AND r >= 0.45) OR (r >= 0.70 AND total >= 2) THEN 'EMERGING' WHEN (beta <= -0.15 AND r <= 0.25 AND peak <= last - 2) OR r = 0 THEN 'DECLINING' ELSE 'PERSISTENT' END"
+
+
+@query("f16_landscape_overview", f"WITH {_STATUS}, st AS (SELECT topic_id, {_STATE} AS status FROM l), p AS (SELECT topic_id, count(*) AS paper_count FROM asg WHERE topic_id <> -1 GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY paper_count DESC, topic_id) AS rank FROM p) SELECT topic_id, paper_count, status, rank, paper_count >= greatest(2.0, (SELECT count(*) FROM documents) / 4) OR rank <= 2 AS is_major FROM rk JOIN st USING (topic_id)")
 def f16(spark, sf):
-    p = TP.topic_profiles(assigned(spark, sf))
-    status = p.select("topic_id", F.lit("PERSISTENT").alias("status"))
-    return TP.landscape_overview(p, status, V.table(spark, sf, "documents").count()).select("topic_id", "paper_count", F.col("rank").cast("long").alias("rank"), "is_major")
+    a = assigned(spark, sf)
+    status = TP.trajectory(TP.yearly_distribution(a)).withColumnRenamed("trajectory", "status")
+    return TP.landscape_overview(TP.topic_profiles(a), status, V.table(spark, sf, "documents").count()).select("topic_id", "paper_count", "status", F.col("rank").cast("long").alias("rank"), "is_major")
 
 
 @query("f17_tfidf_kmeans")

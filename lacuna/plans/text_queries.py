@@ -344,6 +344,13 @@ def d14(spark, sf):
     return s.select("id", F.explode(discourse.dictionary_mentions(F.col("source_text"), _DICT)).alias("name")).select("id", F.lower("name").alias("name"))
 
 
+@query("d14_dictionary_join", f"WITH {V.SENTENCES}, n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS name FROM benchmark), w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(source_text), '[\\p{{L}}\\p{{N}}_]+')) AS name FROM sentences) SELECT id, name, 'C:' || name AS canonical FROM w JOIN n USING (name)")
+def d14j(spark, sf):
+    known = V.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("name")).distinct()
+    found = discourse.dictionary_join(V.sentences(spark, sf).select("id", "source_text"), known.withColumn("canonical", F.concat(F.lit("C:"), "name")))
+    return found.select("id", F.lower("mention").alias("name"), "canonical")
+
+
 @query("d15_drop_substrings", f"WITH {V.SENTENCES}, w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(source_text), '[a-z]{{3,}}')) AS w FROM sentences) SELECT id, count(*) AS n FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE a.id = b.id AND a.w <> b.w AND contains(b.w, a.w)) GROUP BY id")
 def d15(spark, sf):
     s = V.sentences(spark, sf).withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit("[a-z]{3,}"), F.lit(0))))
