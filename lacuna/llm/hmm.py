@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import below_share, cut, map_arrow, remainder
+from lacuna.llm.common import below_share, cut, cut_at, discard, map_arrow, remainder
 
 STATES = 6
 CLASSES = 2048
@@ -213,22 +214,36 @@ def warm_start(texts: list[bytes], states: int = STATES):
     return max(models, key=lambda m: likelihood(m, *data))
 
 
+def classed(rows: DataFrame) -> DataFrame:
+    """The classes of the words of each text (a binary column ``t``), its end included, as the bytes ``c`` of 16-bit numbers."""
+
+    def run(batches):
+        known = Classes()
+        for b in batches:
+            found = [np.array([known[w] for w in tokens(text)] + [END_CLASS], np.int16).tobytes() for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["c"])
+
+    return rows.transform(map_arrow, run, "c binary")
+
+
 def baum_welch(rows: DataFrame, model, rounds: int = ROUNDS):
     """Baum-Welch over all rows (a binary column ``t``): counts add up across partitions, then the driver normalises.
 
-    The driver gets CLASSES + STATES + 1 rows a round, whatever the size of the corpus.
+    Words are classed once; the rounds read the classes. The driver gets CLASSES + STATES + 1 rows a round,
+    whatever the size of the corpus.
     """
+    coded, path = cut_at(classed(rows), "classes")
     for _ in range(rounds):
 
         def run(batches, model=model):
-            known, total, held, size = Classes(), 0, [], 0
+            total, held, size = 0, [], 0
 
             def work():
                 return expectations(model, *stretches(held))
 
             for b in batches:
-                for text in b.column(0).to_pylist():
-                    held.append(np.array([known[w] for w in tokens(text)] + [END_CLASS], np.int32))
+                for c in b.column(0).to_pylist():
+                    held.append(np.frombuffer(c, np.int16))
                     size += len(held[-1])
                     if size >= TOGETHER:
                         total = total + work()
@@ -239,10 +254,11 @@ def baum_welch(rows: DataFrame, model, rounds: int = ROUNDS):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), *(pa.array(total[:, j]) for j in range(total.shape[1]))], names=["row", *(f"s{j}" for j in range(total.shape[1]))])
 
         k = len(model[0])
-        got = rows.transform(map_arrow, run, "row long, " + ", ".join(f"s{j} double" for j in range(k))).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
+        got = coded.transform(map_arrow, run, "row long, " + ", ".join(f"s{j} double" for j in range(k))).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
         counts = np.zeros((CLASSES + k + 1, k))
         counts[got["row"].to_numpy()] = got[[f"s{j}" for j in range(k)]].to_numpy()
         model = maximise(counts)
+    discard(rows.sparkSession, path)
     return model
 
 
@@ -285,16 +301,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     names=["chunk", "word", "class", "n"],
                 )
 
-        at, own = None, {}
+        at, own = None, Counter()
         for b in batches:
             for chunk, held, text in zip(*(b.column(c).to_pylist() for c in ("chunk", "held_out", "t"))):
                 if chunk != at:
                     yield from out(at, own)
-                    at, own = chunk, {}
-                step = 0 if held else 1
-                for w in tokens(text):
-                    own[w] = own.get(w, 0) + step
-                own[b""] = own.get(b"", 0) + step
+                    at, own = chunk, Counter()
+                words = [*tokens(text), b""]
+                if held:
+                    for w in words:
+                        own.setdefault(w, 0)
+                else:
+                    own.update(words)
         yield from out(at, own)
 
     return texts.transform(map_arrow, run, "chunk long, word long, class short, n long")
