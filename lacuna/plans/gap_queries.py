@@ -464,17 +464,17 @@ _CLAIM = "replace(replace(text, ' of ', ' [E1] '), ' the ', ' [e2] ')"
 
 
 def _claims(spark, sf):
-    c = V.table(spark, sf, "conversations").where("role = 'assistant'")
+    c = V.table(spark, sf, "conversations")
     t = F.replace(F.replace("text", F.lit(" of "), F.lit(" [E1] ")), F.lit(" the "), F.lit(" [e2] "))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), t.alias("text"))
 
 
-@query("k5_citation_tags", f"SELECT conv_id * 1000 + turn AS doc_id, upper(array_to_string(regexp_extract_all({_CLAIM}, '\\[([eE][0-9]+)\\]', 1), ',')) AS tags FROM conversations WHERE role = 'assistant'")
+@query("k5_citation_tags", f"SELECT conv_id * 1000 + turn AS doc_id, upper(array_to_string(regexp_extract_all({_CLAIM}, '\\[([eE][0-9]+)\\]', 1), ',')) AS tags FROM conversations")
 def k5(spark, sf):
     return _claims(spark, sf).select("doc_id", F.array_join(K.citation_tags(F.col("text")), ",").alias("tags"))
 
 
-_SPLIT = f"cl AS (SELECT conv_id * 1000 + turn AS doc_id, unnest(string_split({_CLAIM}, chr(10))) AS line FROM conversations WHERE role = 'assistant'), parts AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(regexp_replace(trim(line), '^[*\\-0-9.\\s]+', ''), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))) AS c FROM cl), claims AS (SELECT doc_id, c AS claim_text FROM parts WHERE length(c) > 10)"
+_SPLIT = f"cl AS (SELECT conv_id * 1000 + turn AS doc_id, unnest(string_split({_CLAIM}, chr(10))) AS line FROM conversations), parts AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(regexp_replace(trim(line), '^[*\\-0-9.\\s]+', ''), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))) AS c FROM cl), claims AS (SELECT doc_id, c AS claim_text FROM parts WHERE length(c) > 10)"
 
 
 @query("k6_split_claims", f"WITH {_SPLIT} SELECT doc_id, claim_text FROM claims")

@@ -310,6 +310,24 @@ def f2(spark, sf):
     return TP.reduce_dims(v, v.count())
 
 
+@query("f2_axes", "SELECT count(*) AS n, 5 AS dims, true AS orthogonal FROM embeddings")
+def f2a(spark, sf):
+    v = vectors(spark, sf)
+    cells = [F.col("embedding")[i] for i in range(5)]
+    pairs = [F.abs(F.corr(cells[i], cells[j])) for i in range(5) for j in range(i)]
+    return TP.reduce_dims(v, v.count()).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims"), (F.greatest(*pairs) < 1e-6).alias("orthogonal"))
+
+
+@query("f3_nearest_centre", "SELECT count(*) AS n, count(*) AS at_nearest FROM embeddings")
+def f3n(spark, sf):
+    rows, centres = TP.kmeans_topics(vectors(spark, sf), 10)
+    every = centres.agg(F.collect_list("center").alias("c"))  # ten centres
+    far = F.transform("c", lambda c: TP.distance(F.col("embedding"), c))
+    own = rows.join(centres, "topic_id").crossJoin(F.broadcast(every))  # one row
+    near = TP.distance(F.col("embedding"), F.col("center")) <= F.array_min(far) + 1e-6
+    return own.agg(F.count("*").alias("n"), F.count_if(near).alias("at_nearest"))
+
+
 @query("f3_kmeans_topics")
 def f3(spark, sf):
     return TP.kmeans_topics(vectors(spark, sf), 10)[0].select("id", "topic_id")
@@ -355,6 +373,12 @@ def f6(spark, sf):
     return TP.discover_topics(vectors(spark, sf)).select("id", "topic_id", "probability")
 
 
+@query("f6_rules", "SELECT count(*) AS n, 10::BIGINT AS topics, true AS bounded FROM embeddings")
+def f6r(spark, sf):
+    p = F.col("probability")
+    return f6(spark, sf).agg(F.count("*").alias("n"), F.count_distinct("topic_id").alias("topics"), F.bool_and((p > 0) & (p <= 1)).alias("bounded"))
+
+
 @query("f6_discover_one", "SELECT 0 AS topic_id, 1.0::DOUBLE AS probability, vec_id AS id FROM embeddings WHERE vec_id = 1")
 def f6o(spark, sf):
     return TP.discover_topics(vectors(spark, sf).where("id = 1")).select("id", "topic_id", "probability")
@@ -473,6 +497,11 @@ def f17(spark, sf):
     return TP.tfidf_kmeans(R.tfidf(R.cap_vocab(R.term_counts(V.texts(spark, sf, "doc_id", "text"), "doc_id", "text", ngrams=1, pattern="[a-z]{2,}"), 1000), V.table(spark, sf, "documents").count()), 5, 1000)[0]
 
 
+@query("f17_sizes", f"WITH {_TERM1}, v AS (SELECT term FROM (SELECT term, sum(tf) AS f FROM tf GROUP BY 1 ORDER BY f DESC, term LIMIT 1000)) SELECT count(DISTINCT id) AS n, true AS few FROM tf JOIN v USING (term)")
+def f17s(spark, sf):
+    return f17(spark, sf).agg(F.count("*").alias("n"), (F.count_distinct("topic_id") <= 5).alias("few"))
+
+
 @query("f18_coherence", f"WITH {_UNIT} SELECT a.label AS topic_id, round(avg(list_dot_product(a.v, b.v)), 8) AS coherence FROM unit a JOIN unit b ON a.label = b.label AND a.id < b.id GROUP BY 1")
 def f18(spark, sf):
     v = vectors(spark, sf)

@@ -65,6 +65,13 @@ def l5(spark, sf):
     return stats.bootstrap_ci(judged(spark, sf).withColumn("row", F.col("doc_id")), "gold", ["g"], 200)
 
 
+@query("l5_holds_mean", f"WITH {_J} SELECT g, round(avg(gold), 8) AS mean, true AS holds FROM j GROUP BY 1")
+def l5h(spark, sf):
+    j = judged(spark, sf)
+    both = j.groupBy("g").agg(F.avg("gold").alias("mean")).withColumnRenamed("g", "k").join(l5(spark, sf), F.col("k").eqNullSafe(F.col("g")))
+    return both.select("g", F.round("mean", 8).alias("mean"), ((F.col("low") <= F.col("mean") + 1e-9) & (F.col("mean") <= F.col("high") + 1e-9)).alias("holds"))
+
+
 _PAIR = "p AS (SELECT user_id AS g, event_id AS item, (value * 1000)::BIGINT % 50 / 10 AS x, (event_id * 7919) % 53 / 10 AS y FROM events)"
 
 

@@ -280,6 +280,12 @@ def test_topics_fall_back_to_kmeans(spark):
     assert kept == {i: 0 if i < 3 else 4 if 4 <= i <= 6 else -1 for i in range(9)}
 
 
+def test_aliases_of_a_node_are_united_once_each(spark):
+    n = spark.createDataFrame([("m", "B", "Method", ["x", "y"], 2), ("m", "A", "Method", ["y", "z"], 1), ("m", "C", "Method", [], 3), ("t", "T", "Topic", [], 1), ("u", "U", "Topic", None, 1)], "id string, label string, type string, aliases array<string>, seq long").withColumn("properties", F.create_map(F.lit("k"), F.lit("v")))
+    got = {r["id"]: (r["label"], r["aliases"], r["seq"]) for r in graph.merge_nodes(n).collect()}
+    assert got == {"m": ("A", ["x", "y", "z"], 1), "t": ("T", [], 1), "u": ("U", [], 1)}
+
+
 def test_cypher_escapes_and_sets_all_properties(spark):
     n = spark.createDataFrame([("paper:o'1", "A \\ B", "Paper", {"title": "it's\nso", "my key": "v", "none": None}), ("t", "L'x", "Topic", {})], "id string, label string, type string, properties map<string,string>")
     e = spark.createDataFrame([("e", "paper:o'1", "t", "belongs_to", 0.8)], "id string, source string, target string, relationship string, confidence double")

@@ -42,3 +42,16 @@ def test_words_are_filed_under_rare_grams(spark):
     texts = spark.createDataFrame([("common words everywhere",)] * 50 + [("zqxj",)], "hay string")
     filed = substrings.filed_words(spark.createDataFrame([("common zqxj",)], "w string"), texts).first()
     assert filed["gram"] not in set(substrings.gram_hashes("common words", 4).tolist())
+
+
+def test_dictionary_of_any_size_keeps_the_case_of_the_text(spark):
+    from lacuna.operators import discourse
+
+    texts = [(1, "We train BERT and bert-base on C++ code."), (2, "Roberta is no BERT2 nor xBERT."), (3, "An F1-score of 0.9; f1-SCORE again."), (4, None), (5, ""), (6, "ÜBER-Modell und übermodell")]
+    names = [("BERT", "bert"), ("c++", "cpp"), ("F1-score", "f1"), ("über-modell", "um"), ("", "none"), (None, "none"), ("a\\Eb", "odd")]
+    found = discourse.dictionary_join(spark.createDataFrame(texts, "id long, source_text string"), spark.createDataFrame(names, "name string, canonical string"))
+    assert sorted((r["id"], r["canonical"], r["mention"]) for r in found.collect()) == [(1, "bert", "BERT"), (1, "cpp", "C++"), (3, "f1", "F1-score"), (6, "um", "ÜBER-Modell")]
+    many = spark.range(100_000).select(F.concat(F.lit("Name"), F.lpad(F.conv(F.col("id") * 7919 % 1_000_003, 10, 36), 6, "0")).alias("name"), F.col("id").alias("canonical"))
+    rows = many.where("canonical % 1000 = 7").select(F.col("canonical").alias("id"), F.concat(F.lit("the "), F.upper("name"), F.lit(", and Name")).alias("source_text"))
+    got = discourse.dictionary_join(rows, many).collect()
+    assert len(got) == 100 and all(r["id"] == r["canonical"] and r["mention"].startswith("NAME") for r in got)
