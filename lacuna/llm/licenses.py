@@ -92,16 +92,18 @@ def _scan(rows: DataFrame, table: DataFrame, id_col: str, threshold: float) -> D
         def of_width(w):
             half = w // 2
             near = F.flatten(F.transform(p, lambda i: F.array(F.floor(i / half).cast("int"), F.greatest(F.floor(i / half).cast("int") - 1, F.lit(0)))))
-            return F.transform(F.array_distinct(near), lambda n: F.struct(F.lit(w).alias("width"), (n * half).alias("at")))
+            # a window takes its own shingles along, so no row holds the whole text for each of them
+            return F.transform(F.array_distinct(near), lambda n: F.struct(F.lit(w).alias("width"), (n * half).alias("at"), F.slice(F.col("own"), n * half + 1, w).alias("window")))
 
         return F.flatten(F.array(*map(of_width, widths)))
 
-    cut = rows.select(id_col, "own", F.explode(let(places, windows)).alias("w")) if widths else rows.select(id_col, "own", F.struct(F.lit(0).alias("width"), F.lit(0).alias("at")).alias("w"))
-    cut = cut.select(id_col, "w.width", "w.at", F.slice("own", F.col("w.at") + 1, F.col("w.width")).alias("window")).where(F.size("window") > 0)
+    none = F.struct(F.lit(0).alias("width"), F.lit(0).alias("at"), F.slice("own", 1, 0).alias("window"))
+    cut = rows.select(id_col, F.explode(let(places, windows)).alias("w") if widths else none.alias("w"))
+    cut = cut.select(id_col, "w.width", "w.at", "w.window").where(F.size("window") > 0)
     banded = lambda df: df.select("*", F.posexplode("bands").alias("band", "value")).drop("bands")
-    # the index of bands holds BANDS rows for each of BLOCK_TEMPLATES templates at most
-    index = F.broadcast(banded(table.select("width", "license_id", "shingles", "bands")))
-    found = banded(cut.withColumn("bands", bands(F.col("window")))).join(index, ["width", "band", "value"])
+    # the index of bands holds BANDS short rows for each of BLOCK_TEMPLATES templates at most, their shingles one row each
+    index = F.broadcast(banded(table.select("width", "license_id", "bands")))
+    found = banded(cut.withColumn("bands", bands(F.col("window")))).join(index, ["width", "band", "value"]).join(F.broadcast(table.select("license_id", "shingles")), "license_id")
     shared = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
     first = F.array_position(F.transform("window", lambda x: F.array_contains("shingles", x)), F.lit(True)) - 1 + F.col("at")
     checked = found.select(id_col, "license_id", shared.alias("containment"), first.alias("start_word")).where(F.col("containment") >= threshold)
