@@ -140,32 +140,55 @@ def drop_substrings(items: Column, name: str = "entity_name") -> Column:
     return F.filter(items, lambda a: ~F.exists(items, lambda b: low(b).contains(low(a)) & (low(b) != low(a))))
 
 
-def _entities(df: DataFrame, kind: str, templates, ignore, article, names, sure: float, known: float, text: str) -> DataFrame:
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _first_of_each(items: Column, name: str) -> Column:
+    """Items whose name, without case, no earlier one has."""
+    lower = lambda x: F.lower(x[name])
+    return _let(items, lambda own: _let(F.transform(own, lower), lambda low: F.filter(own, lambda x, i: F.array_position(low, lower(x)) == i + 1)))
+
+
+def _entity_items(templates, ignore, article, names, sure: float, known: float, text: str) -> Column:
+    """An array of (entity_name, confidence, extraction_method), names once each and none a part of a longer one."""
     s = F.coalesce(F.col(text), F.lit(""))
     item = lambda m, c: lambda x: F.struct(x.alias("entity_name"), F.lit(c).alias("confidence"), F.lit(m).alias("extraction_method"))
     both = F.concat(F.transform(_named(s, templates, ignore, article), item("linguistic_template", sure)), F.transform(dictionary_mentions(s, names), item("canonical_dictionary", known)))
-    # columns of their own, so that nothing is matched again for each item
-    rows = df.withColumn("__both", both).withColumn("__low", F.transform("__both", lambda x: F.lower(x["entity_name"])))
-    rows = rows.withColumn("__found", F.filter("__both", lambda x, i: F.array_position(F.col("__low"), F.lower(x["entity_name"])) == i + 1))
-    rows = rows.where(F.size("__found") > 0).withColumn("__e", F.explode(drop_substrings(F.col("__found"))))
-    return rows.select(*df.columns, F.lit(kind).alias("entity_type"), "__e.*")
+    return _let(_first_of_each(both, "entity_name"), lambda items: drop_substrings(items))
+
+
+def _entities(df: DataFrame, kind: str, *rules) -> DataFrame:
+    return df.select(*df.columns, F.lit(kind).alias("entity_type"), F.inline(_entity_items(*rules)))
+
+
+def _method_rules(templates=None, names=None, text: str = "source_text") -> tuple:
+    return templates or lexicon.METHOD_TEMPLATES, lexicon.NO_METHODS, "^[Tt]he\\s+|^[Aa]n?\\s+", names or lexicon.CANONICAL_METHODS, 0.85, 0.92, text
+
+
+def _dataset_rules(templates=None, names=None, text: str = "source_text") -> tuple:
+    return templates or lexicon.DATASET_TEMPLATES, lexicon.NO_DATASETS, "^[Tt]he\\s+", names or lexicon.CANONICAL_DATASETS, 0.84, 0.94, text
 
 
 def extract_methods(df: DataFrame, templates=None, names=None, text: str = "source_text") -> DataFrame:
-    return _entities(df, "METHOD", templates or lexicon.METHOD_TEMPLATES, lexicon.NO_METHODS, "^[Tt]he\\s+|^[Aa]n?\\s+", names or lexicon.CANONICAL_METHODS, 0.85, 0.92, text)
+    return _entities(df, "METHOD", *_method_rules(templates, names, text))
 
 
 def extract_datasets(df: DataFrame, templates=None, names=None, text: str = "source_text") -> DataFrame:
-    return _entities(df, "DATASET", templates or lexicon.DATASET_TEMPLATES, lexicon.NO_DATASETS, "^[Tt]he\\s+", names or lexicon.CANONICAL_DATASETS, 0.84, 0.94, text)
+    return _entities(df, "DATASET", *_dataset_rules(templates, names, text))
 
 
-def extract_metrics(df: DataFrame, templates=None, text: str = "source_text") -> DataFrame:
-    """Metric names with their score if one follows; the first of each name."""
+def _metric_items(templates=None, text: str = "source_text") -> Column:
+    """An array of (name, score), the first of each name."""
     s = F.coalesce(F.col(text), F.lit(""))
     pairs = F.concat(*[F.arrays_zip(F.regexp_extract_all(s, F.lit("(?i)" + p), F.lit(1)).alias("name"), F.regexp_extract_all(s, F.lit("(?i)" + p), F.lit(2)).alias("score")) for p in templates or lexicon.METRIC_TEMPLATES])
-    rows = df.withColumn("__pairs", pairs).withColumn("__low", F.transform("__pairs", lambda x: F.lower(x["name"])))
-    first = F.filter("__pairs", lambda x, i: F.array_position(F.col("__low"), F.lower(x["name"])) == i + 1)
-    rows = rows.where(F.size("__pairs") > 0).withColumn("__e", F.explode(first))
+    return _first_of_each(pairs, "name")
+
+
+def extract_metrics(df: DataFrame, templates=None, text: str = "source_text") -> DataFrame:
+    """Metric names with their score if one follows; the first of each name."""
+    rows = df.withColumn("__e", F.explode(_metric_items(templates, text)))
     score = F.nullif(F.col("__e.score"), F.lit(""))
     return rows.select(*df.columns, F.lit("METRIC").alias("entity_type"), F.col("__e.name").alias("entity_name"), score.alias("score_value"), F.when(score.isNotNull(), 0.92).otherwise(0.86).alias("confidence"), F.lit("regex_metric_template").alias("extraction_method"))
 
@@ -180,11 +203,11 @@ def extract_all(sentences: DataFrame, subtypes=None, future_work: list | None =
     # the primary label stays, as other branches ask for it
     base = detect_results(detect_future_work(detect_limitations(classify(sentences, **options), subtypes), future_work), results)
     same = (F.col("label") == "LIMITATION") & F.col("subtype").isNotNull()
-    none, keys, fields = F.lit(None).cast("string"), ["id", "paper_id"], ("limitation_subtype", "numerical_gain", "score_value")
+    none, fields = F.lit(None).cast("string"), ("limitation_subtype", "numerical_gain", "score_value")
 
     def row(kind, text, sure, method, **more):
         extra = [more.get(k, none).alias(k) for k in fields]
-        return F.struct(kind.alias("extraction_type"), text.alias("extracted_text"), sure.alias("confidence"), method.alias("extraction_method"), *extra)
+        return F.struct(kind.alias("extraction_type"), text.alias("extracted_text"), sure.cast("double").alias("confidence"), method.alias("extraction_method"), *extra)
 
     s, named = F.col("source_text"), F.concat(F.lit("limitation_detector_"), F.col("subtype"))
     # all rows of a sentence come from one pass over it
@@ -194,13 +217,11 @@ def extract_all(sentences: DataFrame, subtypes=None, future_work: list | None =
         F.when(F.col("fw_confidence").isNotNull() & (F.col("label") != "FUTURE_WORK"), row(F.lit("FUTURE_WORK"), strip(s), F.col("fw_confidence"), F.lit("future_work_detector"))),
         F.when(F.col("res_confidence").isNotNull() & (F.col("label") != "RESULT"), row(F.lit("RESULT"), strip(s), F.col("res_confidence"), F.lit("result_detector"), numerical_gain=F.col("numerical_gain"))),
     )
-    out = base.select(*keys, F.inline(F.filter(found, lambda x: x.isNotNull())))
-    slim = sentences.select(*keys, "source_text")
-    for f, own in ((extract_methods, methods), (extract_datasets, datasets), (extract_metrics, metrics)):
-        e = f(slim, **(own or {}))
-        score = F.col("score_value") if "score_value" in e.columns else none
-        out = out.unionByName(e.select(*keys, F.col("entity_type").alias("extraction_type"), F.col("entity_name").alias("extracted_text"), "confidence", "extraction_method", none.alias("limitation_subtype"), none.alias("numerical_gain"), score.alias("score_value")))
-    return out
+    of = lambda kind: lambda e: row(F.lit(kind), e["entity_name"], e["confidence"], e["extraction_method"])
+    score = lambda e: F.nullif(e["score"], F.lit(""))
+    metric = lambda e: row(F.lit("METRIC"), e["name"], F.when(score(e).isNotNull(), 0.92).otherwise(0.86), F.lit("regex_metric_template"), score_value=score(e))
+    every = F.concat(F.filter(found, lambda x: x.isNotNull()), F.transform(_entity_items(*_method_rules(**(methods or {}))), of("METHOD")), F.transform(_entity_items(*_dataset_rules(**(datasets or {}))), of("DATASET")), F.transform(_metric_items(**(metrics or {})), metric))
+    return base.select("id", "paper_id", F.inline(every))
 
 
 def count_types(df: DataFrame, column: str = "label", labels: list[str] | None = None) -> DataFrame:

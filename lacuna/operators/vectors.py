@@ -365,7 +365,8 @@ def near_links(vectors: DataFrame, least: float, id_col: str = "id", column: str
         return pa.table([pa.array(np.arange(len(centres)), pa.int32()), pa.array(found)], names=["r", "n"])
 
     counts = _block_pairs(drawn, v, ["id_b"], measure, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()  # a row a cell
-    probes = _enough({r["r"]: r["n"] for r in counts}, len(centres), target)
+    # two at least, or a border through a cluster would part it
+    probes = max(2, _enough({r["r"]: r["n"] for r in counts}, len(centres), target))
     slim = v.select("id", "id_v")
     asked = _to_cells(slim.select(F.col("id").alias("query"), F.col("id_v").alias("query_v")), centres, probes, "query_v")
     left, right = _cell_blocks(asked, _to_cells(slim, centres, 1, "id_v"), "query")

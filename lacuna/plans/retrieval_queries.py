@@ -355,10 +355,11 @@ def f5(spark, sf):
     return TP.density_topics(v, E.neighbour_links(v, 0.4), 3)
 
 
-@query("f5_near_links", f"WITH RECURSIVE {_CUNIT}, near AS (SELECT a.id AS u, b.id AS v FROM cunit a JOIN cunit b ON a.id <> b.id AND round(list_dot_product(a.v, b.v), 12) >= 0.9), r AS (SELECT id, id AS c FROM cunit UNION SELECT near.v, r.c FROM r JOIN near ON near.u = r.id), comp AS (SELECT id, min(c) AS c FROM r GROUP BY 1), n AS (SELECT c, count(*) AS n FROM comp GROUP BY 1) SELECT id, CASE WHEN n >= 3 THEN c ELSE -1 END AS topic_id FROM comp JOIN n USING (c)")
+@query("f5_near_links", f"WITH RECURSIVE {_CUNIT}, near AS (SELECT a.id AS u, b.id AS v FROM cunit a JOIN cunit b ON a.id <> b.id AND round(list_dot_product(a.v, b.v), 12) >= 0.8), r AS (SELECT id, id AS c FROM cunit UNION SELECT near.v, r.c FROM r JOIN near ON near.u = r.id), comp AS (SELECT id, min(c) AS c FROM r GROUP BY 1), n AS (SELECT c, count(*) AS n FROM comp GROUP BY 1) SELECT id, CASE WHEN n >= 3 THEN c ELSE -1 END AS topic_id FROM comp JOIN n USING (c)")
 def f5n(spark, sf):
+    # members of a cluster are nearer to each other than this, so a link that is missed parts none
     v = clustered(spark, sf)
-    return TP.density_topics(v, E.near_links(v, 0.9), 3)
+    return TP.density_topics(v, E.near_links(v, 0.8), 3)
 
 
 @query("f5_density_or_kmeans")
