@@ -223,13 +223,14 @@ def landscape_overview(profiles: DataFrame, status: DataFrame, papers: int) -> D
 def tfidf_kmeans(weights: DataFrame, k: int, features: int, top: int = 5) -> tuple[DataFrame, DataFrame]:
     """Clusters on TF-IDF rows (id, term, w), and the top words of each centre. Terms take ``features`` slots."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
     slots = weights.select("term").distinct().orderBy("term").limit(features)
     slots = slots.withColumn("slot", F.row_number().over(Window.orderBy("term")) - 1)  # ``features`` rows at most
-    rows = weights.join(F.broadcast(slots), "term").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    own = rows.select("id", array_to_vector(cells).alias("features"))
+    rows = weights.join(F.broadcast(slots), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("c"))
+    sparse = F.udf(lambda at, w: SparseVector(features, at, w), VectorUDT())
+    # the rounds of k-means read the rows again and again
+    own = stored(rows.select("id", sparse("c.slot", "c.w").alias("features")), "cells")
     model = KMeans(k=k, seed=42, predictionCol="topic_id").fit(own)
     spark = weights.sparkSession
     centers = spark.createDataFrame([(t, int(s), float(c[s])) for t, c in enumerate(model.clusterCenters()) for s in c.argsort()[::-1][:top] if c[s] > 0], "topic_id int, slot int, weight double")

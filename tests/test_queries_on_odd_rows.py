@@ -31,3 +31,28 @@ def test_ids_that_look_like_years(spark, tmp_path):
 def test_names_inside_names_and_words_of_the_dictionary(spark, tmp_path):
     d = documents(spark, {1: "See Earing and Bearing it.", 2: "One Thing is zzz here.", 3: "Training of Nothing here.", 4: "Only zzz here."})
     assert len(agrees(spark, tmp_path, "d12_extract_datasets", documents=d)) == 2
+
+
+def test_clusters_take_texts_that_hold_few_of_many_terms(spark, tmp_path):
+    """Rows are sparse: a row of a thousand cells for each text took a look-up through its terms for every cell."""
+    from lacuna.operators import tfidf, topics
+
+    d = documents(spark, {i: f"{'alpha beta' if i % 2 else 'gamma delta'} w{chr(97 + i % 26)}x{chr(97 + i // 26)}" for i in range(60)})
+    rows = tfidf.tfidf(tfidf.capped_counts(d, "doc_id", "text", 4, ngrams=1, pattern="[a-z]{2,}"), 60)
+    found, words = topics.tfidf_kmeans(rows, 2, 1_000_000, 2)
+    topic = {r["id"]: r["topic_id"] for r in found.collect()}
+    assert len(topic) == 60 and all(topic[i] == topic[i % 2] for i in topic) and topic[0] != topic[1]
+    assert {r["term"] for r in words.collect()} == {"alpha", "beta", "gamma", "delta"}
+
+
+def test_capped_counts_are_counts_of_the_commonest_terms(spark):
+    from lacuna.operators import tfidf
+
+    rows = [(1, "b b a c"), (2, "a c c"), (2, "c d"), (3, None), (None, "a"), (None, "a b")]
+    d = spark.createDataFrame(rows, "id long, text string")
+    options = dict(ngrams=2, pattern="[a-z]+")
+    whole = tfidf.term_counts(d, "id", "text", **options)
+    key = lambda df: sorted((r["id"] or 0, r["term"], r["tf"]) for r in df.collect())
+    assert (2, "c", 3) in key(whole) and (0, "a", 2) in key(whole)
+    for most in (1, 3, 100):
+        assert key(tfidf.capped_counts(d, "id", "text", most, **options)) == key(tfidf.cap_vocab(whole, most))
