@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.text import title_case
 from lacuna.operators.ranks import positions
-from lacuna.operators.tfidf import cap_vocab, term_counts, written
+from lacuna.operators.tfidf import label_counts
 from lacuna.operators.vectors import dot, l2_normalize, near_links
 from lacuna.sources.tables import stored
 
@@ -120,8 +120,8 @@ def run_terms(texts: DataFrame, labels: DataFrame, top: int = 6, max_features: i
     """The same for labels (run, id, topic_id): each run has the vocabulary, counts and mean of its own texts, which are counted once for all."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != ""))
     lengths = texts.select("id", words.alias("w")).join(labels.select("run", "id"), "id").groupBy("run").agg((F.avg("w") + 1.0).alias("words"))
-    counts = written(term_counts(texts, "id", "text", ngrams, stop, pattern))
-    own = stored(counts.join(labels, "id").groupBy("run", "topic_id", "term").agg(F.sum("tf").alias("c")), "class-terms")
+    member = labels.groupBy("id").agg(F.collect_list(F.struct("run", "topic_id")).alias("l"))  # as many as there are runs
+    own = stored(label_counts(texts.join(member, "id"), "text", "l", ngrams, stop, pattern).select("run", "topic_id", "term", "c"), "class-terms")
     frequency = stored(own.groupBy("run", "term").agg(F.sum("c").alias("f")), "term-totals")
     runs = sorted(r["run"] for r in lengths.select("run").collect())
     if not runs:
@@ -138,7 +138,13 @@ def run_terms(texts: DataFrame, labels: DataFrame, top: int = 6, max_features: i
 def ctfidf(tf: DataFrame, labels: DataFrame, words_per_doc: float, top: int = 6) -> DataFrame:
     """(topic_id, term, weight, rank) from term counts (id, term, tf) and labels (id, topic_id)."""
     own = tf.join(labels, "id").groupBy("topic_id", "term").agg(F.sum("tf").alias("c"))
-    everywhere = tf.groupBy("term").agg(F.sum("tf").alias("f"))
+    return class_weights(own, words_per_doc, top, tf.groupBy("term").agg(F.sum("tf").alias("f")))
+
+
+def class_weights(counts: DataFrame, words_per_doc: float, top: int = 6, everywhere: DataFrame | None = None) -> DataFrame:
+    """The same from counts (topic_id, term, c) of ``label_counts``; corpus frequencies (term, f) are their sums unless given."""
+    own = stored(counts.select("topic_id", "term", "c"), "class-terms")
+    everywhere = own.groupBy("term").agg(F.sum("c").alias("f")) if everywhere is None else everywhere
     total = own.groupBy("topic_id").agg(F.sum("c").alias("n"))
     w = F.col("c") / (F.col("n") + 1e-9) * F.log(1 + F.lit(words_per_doc) / (F.col("f") + 1e-9))
     scored = own.join(total, "topic_id").join(everywhere, "term").select("topic_id", "term", w.alias("weight")).where("weight > 0 and topic_id <> -1")
