@@ -56,3 +56,42 @@ def test_capped_counts_are_counts_of_the_commonest_terms(spark):
     assert (2, "c", 3) in key(whole) and (0, "a", 2) in key(whole)
     for most in (1, 3, 100):
         assert key(tfidf.capped_counts(d, "id", "text", most, **options)) == key(tfidf.cap_vocab(whole, most))
+
+
+def test_search_in_blocks_equals_the_join_over_term_rows(spark, monkeypatch):
+    """Also where units repeat an id, hold no term or are copies of each other, and in blocks of a few rows."""
+    import random
+
+    from lacuna.operators import tfidf
+
+    rnd = random.Random(5)
+    text = lambda: " ".join(rnd.choices("ab bc cd de ef fg gh hi ij jk".split(), k=rnd.randrange(0, 9)))
+    units = spark.createDataFrame([(i, text()) for i in range(80)] + [(90, "ab bc cd"), (91, "ab bc cd"), (92, None)], "unit_id long, text string")
+    asked = spark.createDataFrame([(i, text()) for i in range(12)] + [(50, "none of them"), (51, None)], "query_id long, text string")
+    monkeypatch.setattr(tfidf, "TEXT_BLOCK", 16)
+    monkeypatch.setattr(tfidf, "QUESTION_BLOCK", 5)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    got = key(tfidf.lexical_hits(units, asked, 4, 12, pattern="[a-z]{2,}"))
+    monkeypatch.setattr(tfidf, "_repeats", lambda rows: True)
+    assert got == key(tfidf.lexical_hits(units, asked, 4, 12, pattern="[a-z]{2,}")) and len(got) > 30
+
+
+def test_a_title_that_many_bear_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    from lacuna.operators import graph
+
+    monkeypatch.setattr(graph, "TITLE_BLOCK", 7)
+    d = documents(spark, {i: ("Same title" if i < 40 else f"Title {i // 2}") + "\nrest" for i in range(50)} | {60: None, 61: "", 62: ""})
+    assert len(agrees(spark, tmp_path, "g12_citation_edges", documents=d)) == 40 * 39 + 10
+
+
+def test_sentences_meet_limitations_in_blocks(spark, tmp_path, monkeypatch):
+    import random
+
+    from lacuna.operators import graph
+
+    monkeypatch.setattr(graph, "SENTENCE_BLOCK", 9)
+    monkeypatch.setattr(graph, "PAIRS", 20)
+    rnd = random.Random(1)
+    words = ["wordy", "other", "thing", "maybe", "often", "never"]
+    d = documents(spark, {i: f"{rnd.choice(['erat', 'onor', 'x'])} {' '.join(rnd.choices(words, k=3))}. Then onor {rnd.choice(words)} wordy" for i in range(60)})
+    assert len(agrees(spark, tmp_path, "g16_address_edges", documents=d)) > 100
