@@ -20,6 +20,8 @@ from lacuna.sources.tables import stored
 #: Length of q-grams; shorter words are filed whole.
 Q = 4
 FILTER_BITS = 24
+#: So many distinct words at most are looked for one by one.
+FEW = 16
 #: Texts in which the q-grams of words are counted to find the rarest, about. It decides on speed, not on results.
 COUNTED = 20_000
 
@@ -87,8 +89,16 @@ def filed_words(words: DataFrame, texts: DataFrame) -> DataFrame:
 def containing(rows: DataFrame, hay: Column, words: DataFrame) -> DataFrame:
     """Rows joined to the words (a column ``w`` and others) that ``hay`` contains anywhere, once for each row and word row.
 
-    Texts that repeat are looked through once each; empty and null words and texts match nothing.
+    Texts that repeat are looked through once each; empty and null words and texts match nothing. Up to FEW
+    distinct words are looked for one by one, which takes one pass over the rows and no shuffle of them.
     """
+    few = words.select("w").where("w <> ''").distinct().limit(FEW + 1).collect()
+    if not few:
+        return rows.join(words.where("false"), F.lit(False))
+    if len(few) <= FEW:
+        inside = F.array(*[F.when(F.contains("__hay", F.lit(r["w"])), F.lit(r["w"])) for r in few])
+        found = rows.withColumn("__hay", hay).withColumn("w", F.explode(F.array_compact(inside))).drop("__hay")
+        return found.join(words, "w")
     marked = rows.withColumn("__hay", hay).where(F.col("__hay") != "").withColumn("__h", F.xxhash64("__hay"))
     vocabulary = words.select("w").where("w <> ''").distinct()
     texts = marked.select("__h", F.col("__hay").alias("hay"))
