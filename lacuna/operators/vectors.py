@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from lacuna.sources.tables import map_batches, small_batches
+
 #: Queries and vectors of one pair of blocks.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
 #: Queries that are multiplied with a block of vectors at a time.
 SLICE = 256
+#: Texts that are embedded at a time.
+TEXTS = 256
 #: Vectors that the cells of the approximate index are fitted on, at most about.
 MAX_FIT = 20_000
 
@@ -47,7 +51,7 @@ def require_dim(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame
     return df.withColumn(column, F.when(right, F.col(column)).otherwise(F.raise_error(F.lit(f"vector length is not {dim}"))))
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _word_buckets(word: str, dim: int) -> tuple[int, int]:
     """Buckets of a word and of its beginning of four letters (-1 for words that are no longer than three)."""
     number = lambda digest, t: int(digest(t.encode()).hexdigest()[:8], 16) % dim
@@ -79,13 +83,13 @@ def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> D
     """(id, bucket, w): the sparse form of the hashed embedding; texts without words give no rows."""
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
             own = [hashed_weights(t, dim) for t in b.column(1).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([k for o in own for k in o], pa.int32()), pa.array([w for o in own for w in o.values()], pa.float64())], names=["id", "bucket", "w"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bucket int, w double")
+    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, bucket int, w double")
 
 
 def hashing_model(dim: int = 384):
@@ -114,9 +118,11 @@ def embed_with(df: DataFrame, load, text_col: str = "text", out_col: str = "embe
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            yield pd.Series([np.asarray(v, np.float32).tolist() for v in model(texts.fillna("").tolist())])
+            # vectors stay arrays, a slice of the texts at a time: as lists of numbers they take eight times the room
+            parts = (model(texts.iloc[i : i + TEXTS].fillna("").tolist()) for i in range(0, len(texts), TEXTS))
+            yield pd.Series([np.array(v, np.float32) for part in parts for v in part], dtype=object)
 
-    return df.withColumn(out_col, embed(F.col(text_col)))
+    return small_batches(df).withColumn(out_col, embed(F.col(text_col)))
 
 
 def evidence_filter(df: DataFrame, paper_id=None, extraction_type=None, section=None, year=None, min_year=None, max_year=None) -> DataFrame:
@@ -167,7 +173,19 @@ def _best(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     vectors = vectors.sort_by("id")
     q, v, out = _matrix(queries, "query_v"), _matrix(vectors, "id_v"), []
     for i in range(0, len(q), SLICE):
-        scores = np.clip(np.round(q[i : i + SLICE] @ v.T, 12), -1, 1)
+        raw = q[i : i + SLICE] @ v.T
+        if 4 * k < raw.shape[1] and not np.isnan(raw).any():
+            # only what comes near the k-th best is rounded, ordered and handed on
+            least = np.partition(raw, raw.shape[1] - k, axis=1)[:, -k] - 1e-11
+            row, col = np.nonzero(raw >= least[:, None])
+            s = np.clip(np.round(raw[row, col], 12), -1, 1)
+            order = np.lexsort((col, -s, row))
+            row, col, s = row[order], col[order], s[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            names = queries.column("query").slice(i, len(raw)).take(pa.array(row[best]))
+            out.append(pa.table([names, vectors.column("id").take(pa.array(col[best])), pa.array(s[best])], names=["query", "id", "score"]))
+            continue
+        scores = np.clip(np.round(raw, 12), -1, 1)
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         names = queries.column("query").slice(i, len(scores)).take(pa.array(np.repeat(np.arange(len(scores)), top.shape[1])))
         out.append(pa.table([names, vectors.column("id").take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, 1).ravel())], names=["query", "id", "score"]))

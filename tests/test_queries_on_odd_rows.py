@@ -95,3 +95,31 @@ def test_sentences_meet_limitations_in_blocks(spark, tmp_path, monkeypatch):
     words = ["wordy", "other", "thing", "maybe", "often", "never"]
     d = documents(spark, {i: f"{rnd.choice(['erat', 'onor', 'x'])} {' '.join(rnd.choices(words, k=3))}. Then onor {rnd.choice(words)} wordy" for i in range(60)})
     assert len(agrees(spark, tmp_path, "g16_address_edges", documents=d)) > 100
+
+
+def test_few_words_are_looked_for_without_grams(spark, monkeypatch):
+    from lacuna.operators import substrings
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "abc abd"), (1, "abc abd"), (2, None), (3, ""), (4, "xbd")], "id long, t string")
+    words = spark.createDataFrame([("ab", 1), ("ab", 2), ("bd", 3), ("", 4), (None, 5)], "w string, g long")
+    got = lambda: sorted((r["id"], r["w"], r["g"]) for r in substrings.containing(rows, F.col("t"), words).collect())
+    monkeypatch.setattr(substrings, "filed_words", None)
+    few = got()
+    monkeypatch.undo()
+    monkeypatch.setattr(substrings, "FEW", 1)
+    assert few == got() and len(few) == 7
+
+
+def test_vectors_stay_arrays_a_slice_at_a_time(spark):
+    from lacuna.operators import vectors
+
+    def load():
+        def model(texts):
+            assert len(texts) <= 256
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    df = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', cast(id % 7 as int)) AS text")
+    assert vectors.embed_with(df, load).where("embedding[0] <> length(text) or size(embedding) <> 2").count() == 0
