@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,12 @@ def below_share(key, share: float):
 def remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; an id that is null gives 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))
+
+
+def majority(hashes) -> int:
+    """The SimHash of unsigned 64-bit hashes: a bit is one if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        block = np.array(hashes[i : i + (1 << 15)], dtype=">u8")
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import cut, map_arrow
+from lacuna.llm.common import cut, majority, map_arrow
 from lacuna.llm.components import connected_components
 
 WORDS = 5
@@ -90,16 +91,17 @@ def forest(keys: list[int], sets: list[np.ndarray], similarity: float = SIMILARI
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int) -> DataFrame:
-    """(id, node, bands): the key of every text's shingle set and its band keys."""
+    """(id, node, fp, bands): the key of every text's shingle set, its SimHash (null for the empty set) and its band keys."""
     flip, times = _mixers(bands)
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([band_keys(s, flip, times) for s in sets], pa.list_(pa.int64()))], names=[id_col, "node", "bands"])
+            fps = pa.array([int(np.uint64(majority(s)).view(np.int64)) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.int64()), fps, pa.array([band_keys(s, flip, times) for s in sets], pa.list_(pa.int64()))], names=[id_col, "node", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("t"))
-    return rows.transform(map_arrow, run, f"{id_col} long, node long, bands array<long>")
+    return rows.transform(map_arrow, run, f"{id_col} long, node long, fp long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -137,16 +139,20 @@ def _links(members: DataFrame, similarity: float) -> DataFrame:
     return members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node").transform(map_arrow, run, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, groups: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row a document: id and component_id, the smallest id that links reach.
 
     Documents link if the Jaccard similarity of their five-word shingles reaches ``similarity``.
-    Documents with equal sets are one node. Nodes that share a band key are candidates, all
+    Documents with equal sets are one node. Nodes that share a band key are candidates, as are those that
+    share a key of ``groups``, which maps rows (node, fp) to (node, key), such as an index of fingerprints; all
     pairs of them are compared on whole sets, in blocks; keys with equal members are compared once.
     """
     found = cut(signatures(docs, id_col, text_col, bands_for(similarity)), "signatures")
     nodes = found.groupBy("node").agg(F.min(id_col).alias("least"))
-    filed = cut(found.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key")), "bands")
+    filed = found.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
+    if groups is not None:
+        filed = filed.unionByName(groups(found.select("node", "fp").distinct()))
+    filed = cut(filed, "bands")
     alike = filed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     once = alike.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import jaccard
-from lacuna.llm.common import cut, map_arrow
+from lacuna.llm.common import cut, majority, map_arrow
 from lacuna.llm.components import connected_components
 
 MAX_BITS = 2
@@ -39,11 +39,7 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
         hashes = [digest(a + b + c, 42) for a, b, c in zip(spaced, spaced[1:], tokens[2:])]
     else:
         hashes = [digest(b" ".join(tokens[i : i + words]), 42) for i in range(len(tokens) - words + 1)]
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 15):
-        block = np.array(hashes[i : i + (1 << 15)], dtype=">u8")
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -198,13 +194,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_groups(sets: DataFrame) -> DataFrame:
+    """(node, key): shingle sets (node, fp) filed by the component of their fingerprints in the index of two bits."""
+    known = sets.where("fp is not null").select("node", "fp")
+    labels = connected_components(fingerprint_links(known.select("fp").distinct()))
+    labelled = known.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    return labelled.select("node", F.xxhash64(F.lit("simhash"), F.coalesce("label", "fp")).alias("key"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One document of each near-duplicate component, the one with the smallest id, with all its columns.
 
     Documents link by their fingerprints, as in ``near_duplicates``; with ``similarity`` they link
-    if the Jaccard similarity of their five-word shingles reaches it. No bit limit that an index
-    can guarantee finds such pairs (at 0.8 about 10 of 64 bits differ), so ``jaccard`` chooses
-    candidates by MinHash bands there and verifies them on whole shingle sets. Rows that repeat an
+    if the Jaccard similarity of their five-word shingles reaches it. Candidates come from the SimHash
+    index over five-word fingerprints, and, as no bit limit that an index can guarantee finds all such
+    pairs (at 0.8 about 10 of 64 bits differ), from MinHash bands as well; ``jaccard`` verifies the
+    candidates of both on whole shingle sets, which alone decide. Rows that repeat an
     id count as one document, of which one row stays. Documents without an id cannot be told apart
     and all stay. Null and empty texts are equal texts; an empty table gives no rows.
     """
@@ -212,7 +217,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     if similarity is None:
         found = near_duplicates(known, id_col, text_col)
     else:
-        found = jaccard.near_copies(known, id_col, text_col, similarity)
+        found = jaccard.near_copies(known, id_col, text_col, similarity, fingerprint_groups)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     one = known.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
     return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -48,3 +48,12 @@ def test_group_of_copies_with_edits_and_short_texts(spark, monkeypatch):
     expected = brute_kept(texts)
     assert 5 < len(expected) < 150
     assert kept(spark, texts) == expected
+
+
+def test_the_fingerprint_index_gives_candidates_by_itself(spark, monkeypatch):
+    """Without any MinHash band the SimHash index still finds long near copies; whole sets decide."""
+    monkeypatch.setattr(jaccard, "bands_for", lambda similarity: 0)
+    rng = random.Random(7)
+    long = [[f"{t}{rng.random()}" for _ in range(3000)] for t in "ab"]
+    texts = {1: " ".join(long[0]), 2: " ".join(long[0][:-1]), 3: " ".join(long[1]), 4: " ".join(long[1] + ["more"]), 5: "", 6: None, 7: "two words"}
+    assert kept(spark, texts) == brute_kept(texts) == [1, 3, 5, 7]
