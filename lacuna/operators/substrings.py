@@ -22,13 +22,24 @@ Q = 4
 FILTER_BITS = 24
 #: So many distinct words at most are looked for one by one.
 FEW = 16
+#: Code points of the texts that are hashed together, about; a longer text is hashed alone.
+CHARS = 1 << 18
+#: Filed words up to this number travel to the rows; more of them meet the texts by a shuffle.
+TRAVEL = 50_000
 #: Texts in which the q-grams of words are counted to find the rarest, about. It decides on speed, not on results.
 COUNTED = 20_000
 
 
 def gram_hashes(text: str, q: int) -> np.ndarray:
     """Hashes of the runs of ``q`` code points of a text, one for each place."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return _hashed(_codes(text), q)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _hashed(codes: np.ndarray, q: int) -> np.ndarray:
     if len(codes) < q:
         return np.empty(0, np.int64)
     n = len(codes) - q + 1
@@ -44,15 +55,37 @@ def grams(lengths: list[int], bits: bytes | None = None):
     """A column function from texts to their distinct hashes of q-grams of these lengths, those that pass the filter if there is one."""
     shift = np.uint64(64 - FILTER_BITS)
 
+    def of(texts: list[str], passes: np.ndarray | None) -> list[np.ndarray]:
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        codes = _codes("".join(texts))
+        rows, hashes = [], []
+        for q in lengths:
+            h = _hashed(codes, q)
+            inside = owner[: len(h)] == owner[q - 1 : q - 1 + len(h)]  # not over the end of a text
+            if passes is not None:
+                inside &= passes[(h.view(np.uint64) >> shift).astype(np.int64)]
+            rows.append(owner[: len(h)][inside])
+            hashes.append(h[inside])
+        row, h = np.concatenate(rows), np.concatenate(hashes)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        row, h = row[first], h[first]
+        return np.split(h, np.searchsorted(row, np.arange(1, len(texts))))
+
     @F.pandas_udf(ArrayType(LongType()))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         passes = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool) if bits is not None else None
         for texts in batches:
-            out = []
+            out, held, size = [], [], 0
             for t in texts:
-                h = np.unique(np.concatenate([gram_hashes(t or "", q) for q in lengths]))
-                out.append(h if passes is None else h[passes[(h.view(np.uint64) >> shift).astype(np.int64)]])
-            yield pd.Series(out)
+                held.append(t or "")
+                size += len(held[-1])
+                if size > CHARS:
+                    out += of(held, passes)
+                    held, size = [], 0
+            yield pd.Series(out + (of(held, passes) if held else []), dtype=object)
 
     return found
 
@@ -89,7 +122,7 @@ def filed_words(words: DataFrame, texts: DataFrame) -> DataFrame:
 def containing(rows: DataFrame, hay: Column, words: DataFrame) -> DataFrame:
     """Rows joined to the words (a column ``w`` and others) that ``hay`` contains anywhere, once for each row and word row.
 
-    Texts that repeat are looked through once each; empty and null words and texts match nothing. Up to FEW
+    Few words travel to the rows, which are not shuffled; with more than TRAVEL words, texts that repeat are looked through once each. Empty and null words and texts match nothing. Up to FEW
     distinct words are looked for one by one, which takes one pass over the rows and no shuffle of them.
     """
     few = words.select("w").where("w <> ''").distinct().limit(FEW + 1).collect()
@@ -106,6 +139,10 @@ def containing(rows: DataFrame, hay: Column, words: DataFrame) -> DataFrame:
     lengths = sorted(r["q"] for r in filed.select("q").distinct().collect())  # four at most
     if not lengths:
         return marked.drop("__hay", "__h").join(words.where("false"), F.lit(False))
+    if filed.count() <= TRAVEL:
+        # a word is filed once and a text's grams are distinct, so a row meets a word once, where it is read
+        met = marked.withColumn("gram", F.explode(grams(lengths, filter_of(filed))(F.col("__hay")))).join(F.broadcast(filed.select("gram", "w")), "gram")
+        return met.where(F.contains("__hay", "w")).drop("gram", "__hay", "__h").join(words, "w")
     # the hash stands for the text until it is checked, so texts are not copied for each gram
     hits = texts.select("__h", F.explode(grams(lengths, filter_of(filed))(F.col("hay"))).alias("gram")).distinct()
     suggested = hits.join(filed.select("gram", "w"), "gram").select("__h", "w").distinct()

@@ -55,3 +55,15 @@ def test_dictionary_of_any_size_keeps_the_case_of_the_text(spark):
     rows = many.where("canonical % 1000 = 7").select(F.col("canonical").alias("id"), F.concat(F.lit("the "), F.upper("name"), F.lit(", and Name")).alias("source_text"))
     got = discourse.dictionary_join(rows, many).collect()
     assert len(got) == 100 and all(r["id"] == r["canonical"] and r["mention"].startswith("NAME") for r in got)
+
+
+def test_few_words_travel_and_many_are_met_alike(spark, monkeypatch):
+    """Words up to TRAVEL meet the rows without a shuffle of them; both ways find the same."""
+    rows = [(i, f"text {i} of key{i % 40}x and key{i}") for i in range(120)] + [(900, "key1x key2x"), (901, "key1x key2x")]
+    words = [(f"key{i}x", i) for i in range(30)] + [("of", 50), ("of", 51), ("ke", 52)]
+    got = joined(spark, rows, words)
+    plan = substrings.containing(spark.createDataFrame(rows, "id long, t string"), F.col("t"), spark.createDataFrame(words, "w string, g long"))
+    assert "xxhash64" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(substrings, "TRAVEL", 0)
+    monkeypatch.setattr(substrings, "CHARS", 30)
+    assert got == joined(spark, rows, words) == plain(rows, words)
