@@ -543,6 +543,18 @@ def test_upsert_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
     assert there == current
 
 
+def test_a_bucket_is_dealt_to_as_many_tasks_as_its_rows_fill(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "TASK_ROWS", 20)
+    path, schema = str(tmp_path / "t"), "k long, v long, m map<string,long>"
+    made = lambda keys, v: spark.createDataFrame([(k, v, {"a": 1}) for k in keys], schema)
+    for n, (keys, v) in enumerate([(range(200), 1), (range(150, 250), 2)]):
+        assert buckets.upsert(made(keys, v), path, "k", n, 1) == [0]
+        files = list((tmp_path / "t" / "data" / f"version={n + 1}" / "bucket=0").glob("*.parquet"))
+        assert len(files) > 4 and max(spark.read.parquet(str(f)).count() for f in files) < 100
+    got = sorted((r["k"], r["v"]) for r in buckets.read(spark, path, schema).collect())
+    assert got == [(k, 1) for k in range(150)] + [(k, 2) for k in range(150, 250)]
+
+
 def test_a_batch_that_broke_off_is_written_again(spark, tmp_path):
     """Data without a manifest are not seen, and the batch that left them replaces them."""
     path, schema = str(tmp_path / "t"), "k long, v string"
