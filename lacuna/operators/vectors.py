@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -58,25 +60,31 @@ def _word_buckets(word: str, dim: int) -> tuple[int, int]:
     return number(hashlib.sha256, word), number(hashlib.md5, word[:4]) if len(word) > 3 else -1
 
 
-def hashed_weights(text: str | None, dim: int = 384) -> dict[int, float]:
-    """Weights of a text's buckets: hashed words, beginnings and pairs of words, weighted by place, unit length together.
+def hashed_rows(texts: list[str | None], dim: int = 384) -> np.ndarray:
+    """A row of weights a text: hashed words, beginnings and pairs of words, weighted by place, of unit length; without words all are zero.
 
-    Words are what blanks part, in lower case; a pair weighs as its second word does.
+    Words are what blanks part, in lower case; a pair weighs as its second word does. Words and pairs of all
+    texts are numbered first, so each distinct one is hashed once; weights are added up as arrays.
     """
-    out: dict[int, float] = {}
-    before = None
-    for i, word in enumerate((text or "").lower().split()):
-        place = 1.0 / (1.0 + 0.05 * i)
-        whole, start = _word_buckets(word, dim)
-        out[whole] = out.get(whole, 0.0) + 1.5 * place
-        if start >= 0:
-            out[start] = out.get(start, 0.0) + 0.75 * place
-        if before is not None:
-            pair = int.from_bytes(hashlib.sha256(f"{before}_{word}".encode()).digest()[:4], "big") % dim
-            out[pair] = out.get(pair, 0.0) + 2.0 * place
-        before = word
-    length = sum(w * w for w in out.values()) ** 0.5
-    return {k: w / length for k, w in out.items()}
+    parts = [(t or "").lower().split() for t in texts]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parts)), np.int64, lengths.sum())
+    words = list(numbers)
+    if not words:
+        return np.zeros((len(texts), dim))
+    row = np.repeat(np.arange(len(texts)), lengths)
+    place = 1.0 / (1.0 + 0.05 * (np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)))
+    whole, start = np.array([_word_buckets(w, dim) for w in words], np.int64).T
+    long = start[at] >= 0
+    second = np.flatnonzero(row[1:] == row[:-1]) + 1
+    pairs, which = np.unique(at[second - 1] * len(words) + at[second], return_inverse=True)
+    hashed = np.fromiter((int.from_bytes(hashlib.sha256(f"{words[a]}_{words[b]}".encode()).digest()[:4], "big") % dim for a, b in zip((pairs // len(words)).tolist(), (pairs % len(words)).tolist())), np.int64, len(pairs))
+    cells = np.concatenate([row * dim + whole[at], (row * dim + start[at])[long], row[second] * dim + hashed[which]])
+    weights = np.concatenate([1.5 * place, 0.75 * place[long], 2.0 * place[second]])
+    out = np.bincount(cells, weights, len(texts) * dim).reshape(len(texts), dim)
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
 
 
 def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> DataFrame:
@@ -84,9 +92,9 @@ def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> D
 
     def run(batches):
         for b in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
-            own = [hashed_weights(t, dim) for t in b.column(1).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([k for o in own for k in o], pa.int32()), pa.array([w for o in own for w in o.values()], pa.float64())], names=["id", "bucket", "w"])
+            own = hashed_rows(b.column(1).to_pylist(), dim)
+            at, bucket = np.nonzero(own)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(bucket, pa.int32()), pa.array(own[at, bucket], pa.float64())], names=["id", "bucket", "w"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, bucket int, w double")
@@ -94,15 +102,7 @@ def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> D
 
 def hashing_model(dim: int = 384):
     """The hashed embedding as a model for ``embed_with``; a text without words is the zero vector."""
-
-    def embed(texts):
-        out = np.zeros((len(texts), dim), np.float32)
-        for row, t in zip(out, texts):
-            for k, w in hashed_weights(t, dim).items():
-                row[k] = w
-        return out
-
-    return embed
+    return lambda texts: hashed_rows(texts, dim).astype(np.float32)
 
 
 def hash_embed(df: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 384) -> DataFrame:
