@@ -323,7 +323,7 @@ def cluster_runs(df: DataFrame, samples: DataFrame, k: int, starts: int = 5, rou
     keyed = rows.select("v", F.explode("runs").alias("run")).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
     drawn = keyed.withColumn("h", F.xxhash64(F.lit(seed), "start", "v")).groupBy("run", "start", "h").agg(F.min("v").alias("v"))
     near = Window.partitionBy("run", "start").orderBy("h")
-    share = 64 * k / max(1, rows.select("v").distinct().count())  # so that no window sees many
+    share = 64 * k / max(1, rows.select(F.xxhash64("v")).distinct().count())  # so that no window sees many; of vectors only hashes are gathered
     least = drawn if share >= 0.5 else drawn.where(F.col("h") < F.lit(-(1 << 63) + int(share * (1 << 64))).cast("long"))
     picked = least.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).collect()  # runs x starts x k
     centres: dict[tuple[int, int], np.ndarray] = {}

@@ -116,3 +116,12 @@ def test_term_stability_counts_topics_without_a_match(spark):
     rows = [(0, 0, t) for t in "abc"] + [(0, 1, t) for t in "xyz"] + [(1, 5, t) for t in "abd"] + [(2, 0, "q")]
     found = {r["run"]: r["stability"] for r in topics.term_stability(spark.createDataFrame(rows, "run int, topic_id int, term string")).collect()}
     assert found == {1: (2 / 4 + 0) / 2, 2: 0.0}
+
+
+def test_no_vectors_are_gathered_to_count_the_distinct_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(60)], "id long, embedding array<double>")
+    gathered, plain = [], type(df).distinct
+    monkeypatch.setattr(type(df), "distinct", lambda self: gathered.append(self.schema) or plain(self))
+    found = topics.cluster_runs(df, topics.subsamples(df, 1), 2, starts=2, rounds=3).collect()
+    assert gathered and not any(f.dataType.typeName() == "array" for s in gathered for f in s.fields)
+    assert len(found) == 60 + 48
