@@ -87,25 +87,69 @@ def edge(df: DataFrame, source: Column, target: Column, relationship: Column, co
     )
 
 
+#: Edges of one task, about, edges of one share of an end, and groups of ends whose edges are counted.
+EDGE_BLOCK, END_SHARE, END_GROUPS = 1 << 19, 1 << 15, 1 << 16
+
+
+def _end_group(end: str) -> Column:
+    return F.pmod(F.xxhash64(end), F.lit(END_GROUPS)).cast("int")
+
+
+def _crowds(edges: DataFrame) -> tuple[int, dict[str, list]]:
+    """Tasks for the edges, and per end (source, target) the groups of ends with more than END_SHARE edges, with their number of shares.
+
+    One pass counts; the groups are a fixed number. Spark's own number of shuffle partitions is the least, as a join takes no fewer.
+    """
+    spark = edges.sparkSession
+    ends = edges.select(F.inline(F.array(*[F.struct(F.lit(end).alias("end"), _end_group(end).alias("g")) for end in ("source", "target")])))
+    counts = ends.groupBy("end", "g").agg(F.count("*").alias("n"))
+    shares = F.when(F.col("n") > END_SHARE, F.struct("g", F.ceil(F.col("n") / END_SHARE).cast("int").alias("k")))
+    found = {r["end"]: r for r in counts.groupBy("end").agg(F.sum("n").alias("n"), F.collect_list(shares).alias("crowds")).collect()}
+    n = found["source"]["n"] if found else 0
+    return max(-(-n // EDGE_BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))), {end: [tuple(c) for c in r["crowds"]] for end, r in found.items()}
+
+
+def _valid_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Edges whose ends are both nodes, and the columns by which they lie in tasks: the target and, if some are crowded, the share.
+
+    A topic or a method may be the end of a good part of all edges. Their edges go to shares by their other end, which
+    meet copies of the node; all edges of a pair are in one share.
+    """
+    spark, columns, ids = edges.sparkSession, edges.columns, nodes.select("id").distinct()
+    tasks, crowds = _crowds(edges)
+    for end, other in (("source", "target"), ("target", "source")):
+        left, right, keys = edges.select(*columns), ids.withColumnRenamed("id", end), [end]
+        if crowds.get(end):
+            shares = F.broadcast(spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in zip(*crowds[end])], names=["__g", "__k"])))
+            dealt = lambda df, end=end, shares=shares: df.withColumn("__g", _end_group(end)).join(shares, "__g", "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
+            left = dealt(left).withColumn("__share", F.pmod(F.xxhash64(other), F.col("__k")).cast("int")).drop("__g", "__k")
+            right = dealt(right).select(end, F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__share"))
+            keys = [end, "__share"]
+        edges = left.repartition(tasks, *keys).hint("merge").join(right.repartition(tasks, *keys), keys, "left_semi")
+    return edges.select(*columns, *keys[1:]), keys
+
+
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids = nodes.select("id").distinct()
-    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
+    """Edges whose ends are both nodes."""
+    return _valid_edges(edges, nodes)[0].select(*edges.columns)
 
 
-def merge_edges(edges: DataFrame) -> DataFrame:
+def merge_edges(edges: DataFrame, within: list[str] | None = None) -> DataFrame:
     """One edge a pair: in order of seq, the same relation keeps the surer (the earlier on ties), another replaces.
 
-    So the last run of the final relation counts: its surest edge, the first of these. Windows
-    find the run, no list of a pair's edges is built.
+    So the last run of the final relation counts: its surest edge, the first of these. Windows over rows
+    sorted once find the run and that edge, no list of a pair's edges is built. ``within`` names columns that the edges of
+    a pair share and by which they lie in tasks already.
     """
-    pair = Window.partitionBy("source", "target")
+    own = [c for c in within or [] if c not in ("source", "target")]
+    pair = Window.partitionBy("source", "target", *own)
     order = pair.orderBy("seq", "id")
     last = F.last("relationship").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     other = F.max(F.when(F.col("relationship") != F.col("__last"), F.col("__n"))).over(pair)
     rows = edges.withColumn("__last", last).withColumn("__n", F.row_number().over(order)).withColumn("__o", other)
     rows = rows.where((F.col("relationship") == F.col("__last")) & (F.col("__n") > F.coalesce("__o", F.lit(0))))
-    best = rows.withColumn("__r", F.row_number().over(pair.orderBy(F.desc("confidence"), "__n")))
-    return best.where("__r = 1").select(*edges.columns)
+    best = rows.withColumn("__best", F.max(F.struct(F.col("confidence"), (-F.col("__n")).alias("at"))).over(pair))
+    return best.where("__n = -__best.at").select(*[c for c in edges.columns if c not in own])
 
 
 #: Rows of the larger side of a title that one task joins with all of the other side.
@@ -264,7 +308,7 @@ def build_graph(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFra
         return out
 
     merged = merge_nodes(stacked(nodes))
-    return merged, merge_edges(valid_edges(stacked(edges), merged))
+    return merged, merge_edges(*_valid_edges(stacked(edges), merged))
 
 
 def _cut(df: DataFrame) -> tuple[DataFrame, str]:

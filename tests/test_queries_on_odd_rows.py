@@ -123,3 +123,34 @@ def test_vectors_stay_arrays_a_slice_at_a_time(spark):
 
     df = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', cast(id % 7 as int)) AS text")
     assert vectors.embed_with(df, load).where("embedding[0] <> length(text) or size(embedding) <> 2").count() == 0
+
+
+def test_an_end_of_most_edges_is_dealt_to_tasks(spark, monkeypatch):
+    """Of a method that all papers use, and a paper that uses all methods, no task gets all edges; the graph stays as it is."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lacuna.operators import graph
+
+    monkeypatch.setattr(graph, "EDGE_BLOCK", 100, raising=False)
+    monkeypatch.setattr(graph, "END_SHARE", 20, raising=False)
+    rnd = random.Random(2)
+    pairs = [(f"p{i % 400}", "hub") for i in range(1200)] + [("p0", f"m{i % 300}") for i in range(600)] + [("p1", "gone"), ("gone", "hub"), (None, "hub"), ("p1", None), ("p2", "m2")]
+    rows = [(f"{s}->{r}->{t}", s, t, r, rnd.choice([0.5, 0.7, 0.9, None]), i) for i, (s, t) in enumerate(pairs) for r in [rnd.choice(["uses", "extends"])]]
+    edges = spark.createDataFrame(rows, "id string, source string, target string, relationship string, confidence double, seq long")
+    ids = {f"p{i}" for i in range(400)} | {f"m{i}" for i in range(300)} | {"hub"}
+    nodes = graph.node(spark.createDataFrame([(i,) for i in ids], "id string"), F.col("id"), F.col("id"), "Any")
+
+    want = {}  # the fold edge by edge: the same relation keeps the surer, another replaces
+    for _, s, t, r, c, n in rows:
+        had = want.get((s, t))
+        if s in ids and t in ids and (had is None or had[0] != r or (-1 if c is None else c) > (-1 if had[1] is None else had[1])):
+            want[s, t] = (r, c, n)
+    found = graph.build_graph([nodes], [edges])[1]
+    assert found.columns == edges.columns
+    assert sorted((r["source"], r["target"], r["relationship"], r["seq"]) for r in found.collect()) == sorted((s, t, r, n) for (s, t), (r, _, n) in want.items())
+    for df in (found, graph.valid_edges(edges, nodes)):
+        most = df.groupBy(F.spark_partition_id().alias("p"), "target").count().groupBy("target").agg(F.max("count").alias("most")).where("target = 'hub'").first()["most"]
+        assert most <= df.where("target = 'hub'").count() / 4
+    assert graph.build_graph([nodes], [edges.where("false")])[1].count() == 0
