@@ -109,7 +109,7 @@ def _crowds(edges: DataFrame) -> tuple[int, dict[str, list]]:
     return max(-(-n // EDGE_BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))), {end: [tuple(c) for c in r["crowds"]] for end, r in found.items()}
 
 
-def _valid_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[str]]:
+def _dealt_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[str]]:
     """Edges whose ends are both nodes, and the columns by which they lie in tasks: the target and, if some are crowded, the share.
 
     A topic or a method may be the end of a good part of all edges. Their edges go to shares by their other end, which
@@ -130,8 +130,9 @@ def _valid_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[st
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose ends are both nodes."""
-    return _valid_edges(edges, nodes)[0].select(*edges.columns)
+    """Edges whose ends are both nodes, without a pass that counts them."""
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
 
 
 def merge_edges(edges: DataFrame, within: list[str] | None = None) -> DataFrame:
@@ -308,7 +309,7 @@ def build_graph(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFra
         return out
 
     merged = merge_nodes(stacked(nodes))
-    return merged, merge_edges(*_valid_edges(stacked(edges), merged))
+    return merged, merge_edges(*_dealt_edges(stacked(edges), merged))
 
 
 def _cut(df: DataFrame) -> tuple[DataFrame, str]:
