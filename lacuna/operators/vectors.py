@@ -21,8 +21,10 @@ from lacuna.sources.tables import map_batches, small_batches
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
 #: Queries that are multiplied with a block of vectors at a time.
 SLICE = 256
-#: Texts that are embedded at a time.
-TEXTS = 256
+#: Texts, and sentences, that are embedded at a time.
+TEXTS, SENTENCES = 256, 1024
+#: Type of a hashed embedding of up to 32,767 entries without its zeros.
+HASHED_PAIRS = "struct<place:array<smallint>,weight:array<double>,length:double>"
 #: Vectors that the cells of the approximate index are fitted on, at most about.
 MAX_FIT = 20_000
 
@@ -54,14 +56,17 @@ def require_dim(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame
 
 
 @lru_cache(50_000)
-def _word_buckets(word: str, dim: int) -> tuple[int, int]:
-    """Buckets of a word and of its beginning of four letters (-1 for words that are no longer than three)."""
-    number = lambda digest, t: int(digest(t.encode()).hexdigest()[:8], 16) % dim
-    return number(hashlib.sha256, word), number(hashlib.md5, word[:4]) if len(word) > 3 else -1
+def _beginning(letters: str, dim: int) -> int:
+    return int(hashlib.md5(letters.encode()).hexdigest()[:8], 16) % dim
 
 
-def hashed_rows(texts: list[str | None], dim: int = 384) -> np.ndarray:
-    """A row of weights a text: hashed words, beginnings and pairs of words, weighted by place, of unit length; without words all are zero.
+def _sha_buckets(texts: list[bytes], dim: int) -> np.ndarray:
+    """The bucket of each text: the first four bytes of its SHA-256."""
+    return (np.frombuffer(b"".join([hashlib.sha256(t).digest() for t in texts]), ">u4")[::8] % dim).astype(np.int64)
+
+
+def hashed_weights(texts: list[str | None], dim: int = 384) -> np.ndarray:
+    """A row of weights a text: hashed words, beginnings and pairs of words, weighted by place; without words all are zero.
 
     Words are what blanks part, in lower case; a pair weighs as its second word does. Words and pairs of all
     texts are numbered first, so each distinct one is hashed once; weights are added up as arrays.
@@ -76,15 +81,26 @@ def hashed_rows(texts: list[str | None], dim: int = 384) -> np.ndarray:
         return np.zeros((len(texts), dim))
     row = np.repeat(np.arange(len(texts)), lengths)
     place = 1.0 / (1.0 + 0.05 * (np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)))
-    whole, start = np.array([_word_buckets(w, dim) for w in words], np.int64).T
+    raw = [w.encode() for w in words]
+    whole, start = _sha_buckets(raw, dim), np.array([_beginning(w[:4], dim) if len(w) > 3 else -1 for w in words], np.int64)
     long = start[at] >= 0
     second = np.flatnonzero(row[1:] == row[:-1]) + 1
     pairs, which = np.unique(at[second - 1] * len(words) + at[second], return_inverse=True)
-    hashed = np.fromiter((int.from_bytes(hashlib.sha256(f"{words[a]}_{words[b]}".encode()).digest()[:4], "big") % dim for a, b in zip((pairs // len(words)).tolist(), (pairs % len(words)).tolist())), np.int64, len(pairs))
+    first = [w + b"_" for w in raw]
+    hashed = _sha_buckets([first[a] + raw[b] for a, b in zip((pairs // len(words)).tolist(), (pairs % len(words)).tolist())], dim)
     cells = np.concatenate([row * dim + whole[at], (row * dim + start[at])[long], row[second] * dim + hashed[which]])
     weights = np.concatenate([1.5 * place, 0.75 * place[long], 2.0 * place[second]])
-    out = np.bincount(cells, weights, len(texts) * dim).reshape(len(texts), dim)
-    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+    return np.bincount(cells, weights, len(texts) * dim).reshape(len(texts), dim)
+
+
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    return np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def hashed_rows(texts: list[str | None], dim: int = 384) -> np.ndarray:
+    """``hashed_weights`` of unit length; without words all are zero."""
+    own = hashed_weights(texts, dim)
+    return own / _lengths(own)
 
 
 def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> DataFrame:
@@ -100,6 +116,26 @@ def hashed_terms(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> D
     return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, bucket int, w double")
 
 
+def hashed_pairs(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 384) -> DataFrame:
+    """``df`` with the hashed embedding in place of the text, a sentence or a paragraph: the places that are not zero, in order, their weights, and the vector's length.
+
+    An entry of the embedding is weight / length. Weights as they are repeat from text to text, so a file holds each once.
+    """
+    kept = [c for c in df.columns if c != text_col]
+
+    def run(batches):
+        for b in (whole.slice(i, SENTENCES) for whole in batches for i in range(0, whole.num_rows, SENTENCES)):
+            own = hashed_weights(b.column(len(kept)).to_pylist(), dim)
+            row, place = np.nonzero(own)
+            starts = pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, pa.array(v)) for v in (place.astype(np.int16), own[row, place])]
+            vectors = pa.StructArray.from_arrays([*lists, pa.array(_lengths(own)[:, 0])], names=["place", "weight", "length"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], vectors], names=[*kept, out_col])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+    return map_batches(df.select(*kept, text_col), run, f"{schema}, `{out_col}` {HASHED_PAIRS}")
+
+
 def hashing_model(dim: int = 384):
     """The hashed embedding as a model for ``embed_with``; a text without words is the zero vector."""
     return lambda texts: hashed_rows(texts, dim).astype(np.float32)

@@ -565,6 +565,50 @@ def test_a_batch_that_broke_off_is_written_again(spark, tmp_path):
     assert sorted(map(tuple, buckets.read(spark, path, schema).collect())) == [(1, "whole"), (2, "b")]
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rows_that_work_makes_are_not_shuffled_or_cached(spark, tmp_path, monkeypatch):
+    """Rows of 19 MB that two batches make from a few hundred short ones; they went through a cache and up to three shuffles."""
+    monkeypatch.setattr(buckets, "KEYS", 40)
+    path, table = str(tmp_path / "t"), "k long, v long, i int, noise array<double>, task int"
+    made = lambda df: df.select("k", "v", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i")).withColumn("noise", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda x: F.rand())).withColumn("task", F.spark_partition_id())
+    had = shuffled(spark)
+    for n, (keys, v) in enumerate([(range(400), 1), (range(0, 600, 3), 2)]):
+        batch = spark.createDataFrame([(k, v) for k in keys], "k long, v long")
+        assert len(buckets.upsert(batch, path, "k", n, 8, work=made, task_rows=10)) == 8
+        assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+    assert shuffled(spark) - had < 200_000
+    got = buckets.read(spark, path, table)
+    assert sorted(tuple(r) for r in got.groupBy("k", "v").count().collect()) == sorted([(k, 1, 20) for k in range(400) if k % 3] + [(k, 2, 20) for k in range(0, 600, 3)])
+    tasks = got.where("v = 2").groupBy("task").agg(F.count("*"), F.countDistinct(F.pmod(F.xxhash64("k"), F.lit(8)))).collect()
+    assert len(tasks) > 16 and max(r[1] for r in tasks) <= 20 * 25 and {r[2] for r in tasks} == {1}
+
+
+def test_keys_whose_work_gives_nothing_lose_their_rows(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k long, v string"
+    made = lambda df: df.where("v is not null")
+    for n, rows in enumerate([[(1, "a"), (2, "b")], [(1, None), (3, "c")], [(2, None)]]):
+        buckets.upsert(spark.createDataFrame(rows, schema), path, "k", n, 4, work=made)
+    assert [tuple(r) for r in buckets.read(spark, path, schema).collect()] == [(3, "c")]
+
+
+def test_hashed_pairs_are_the_embedding_without_its_zeros(spark):
+    import numpy as np
+
+    texts = ["one two two three", "", None, "Größe des Netzes"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    for r in E.hashed_pairs(rows, "text").collect():
+        own = np.zeros(384)
+        own[r["embedding"]["place"]] = r["embedding"]["weight"]
+        assert np.array_equal((own / r["embedding"]["length"]).astype(np.float32), E.hashing_model()([texts[r["n"]]])[0])
+
+
 def test_landing_turns_away_all_repeats(spark, tmp_path):
     """Repeats in a batch, of an earlier batch after a restart, of stored hashes, and of what a new stream knows nothing of."""
     import hashlib
