@@ -565,6 +565,23 @@ def test_a_batch_that_broke_off_is_written_again(spark, tmp_path):
     assert sorted(map(tuple, buckets.read(spark, path, schema).collect())) == [(1, "whole"), (2, "b")]
 
 
+def test_pairs_of_a_title_come_block_by_block(spark, monkeypatch):
+    """A task listed all papers of a title after each reference to it, and buffered them; files of such pairs kept every value in full."""
+    monkeypatch.setattr(graph, "TITLE_BLOCK", 16)
+    papers = spark.createDataFrame([(i, " The Title" if i < 400 else f"Other {i % 30}") for i in range(500)] + [(-1, None), (-2, " ")], "id long, title string")
+    refs = spark.createDataFrame([(i, 0, "the title " if i % 2 else f"OTHER {i % 30}") for i in range(0, 300)] + [(-1, 0, None), (-2, 0, "")], "paper_id long, ref_index int, title string")
+    found = graph.citation_edges(refs, papers).select("source", "target").collect()
+    title = lambda i: "t" if i < 400 else i % 30
+    want = {(f"paper:{a}", f"paper:{b}") for a in range(300) for b in range(500) if a != b and title(b) == ("t" if a % 2 else a % 30)}
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+    runs, last, size = [], None, 0
+    for r in found:
+        size = size + 1 if r["source"] == last else 1
+        last = r["source"]
+        runs.append(size)
+    assert max(runs) < 60
+
+
 def shuffled(spark):
     """Bytes that all stages so far have written for shuffles."""
     context, jvm = spark.sparkContext._jsc.sc(), spark._jvm
