@@ -650,6 +650,31 @@ def test_landing_turns_away_all_repeats(spark, tmp_path):
     assert run("new") == ["/a/0.bin", "/a/1.bin", "/a/3.bin", "/b/1.bin", "/c/0.bin"]  # what the table holds stays as it came
 
 
+def test_the_first_of_each_key_is_kept_by_spark_itself(spark, tmp_path, monkeypatch):
+    """A Python processor was asked about each key, which took 10 ms; and each file was looked up in a task of its own."""
+    import pyarrow as pa
+
+    rows = spark.range(30_000).select(F.col("id"), (F.col("id") * 7919 % 10_000).cast("string").alias("k"))
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
+    stored = rows.select("k").where("k < '2'")
+    read = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+    firsts = stream.first_of_key(read, "k", "id", stored)
+    q = firsts.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.awaitTermination()
+    assert {p["stateOperators"][0]["operatorName"] for p in q.recentProgress if p["stateOperators"]} == {"dedupe"}
+    got, want = spark.table("firsts"), rows.where("k >= '2'")
+    assert got.count() == got.select("k").distinct().count() == want.select("k").distinct().count()
+    assert got.join(rows, ["id", "k"], "left_anti").count() == 0
+
+    monkeypatch.setattr(stream, "GATHERED", 10)
+    made = [(key, n, new) for n in range(40) for key in ("a", None, f"own {n % 13}") for new in ([True, False] if key == "own 3" else [True])]
+    batches = [pa.RecordBatch.from_pylist([dict(k=k, order=100 - n, __new=new) for k, n, new in made[i : i + 7]]) for i in range(0, len(made), 7)]
+    found = {r["k"]: (r["order"], r["__new"]) for b in stream._first_rows("k", "order")(batches) for r in b.to_pylist()}
+    assert found == {k: min((new, 100 - n) for key, n, new in made if key == k)[::-1] for k in {m[0] for m in made}}
+    stream.landed(spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 8 * spark.sparkContext.defaultParallelism
+
+
 def test_landing_stream_drops_copies(spark, tmp_path):
     for n, body in enumerate((b"a", b"b", b"a")):
         (tmp_path / f"{n}.bin").write_bytes(body)
